@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,13 +22,9 @@ def item_words(text: bytes) -> list[bytes]:
     return text.lower().translate(_DELIMITERS).split()
 
 
-class Patterns(NamedTuple):
-    """Search tables for the windows of one length."""
-
-    length: int
-    block: int
-    shift: dict  # last words of a block -> how far the window may move on
-    bucket: dict  # last block of a window -> first block -> [(words, items)]
+#: Search tables for the windows of one length: (length, block size, shift: a block's words -> how far the window
+#: may move on, bucket: last block of a window -> first block -> [(words, items)]). Plain values, as they are broadcast.
+Patterns = tuple[int, int, dict, dict]
 
 
 def windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
@@ -50,7 +45,7 @@ def build(found: dict[tuple[bytes, ...], set[str]]) -> list[Patterns]:
                     part = w[end - b : end]
                     shift[part] = min(shift.get(part, n), n - end)
                 bucket.setdefault(w[n - b :], {}).setdefault(w[:b], []).append((list(w), sorted(items)))
-        out.append(Patterns(n, b, shift, bucket))
+        out.append((n, b, shift, bucket))
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, linededup, mixing, quality, sharding, simhash
+from quarry.llm import decontam, hierbayes, langid, linededup, mixing, quality, sharding, simhash, suffix, toolchat
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,53 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir))
 
 
+def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    return langid.identify(_documents(spark, sf_dir))
+
+
+#: Arguments of the tool that op7_link_tool_calls reads into each question.
+ANSWER_TOOL: dict[str, toolchat.Schema] = {
+    "answer": {"prompt": {"type": "string", "required": True, "minLength": 1, "maxLength": 300}, "turn": {"type": "integer", "required": True, "minimum": 0, "maximum": 5}}
+}
+
+
+def op7_link_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of `conversations` as a canonical message. A user's turn is read as a call of the tool `answer`, an assistant's as the result of the call before it."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    asks, answers = F.col("role") == "user", F.col("role") == "assistant"
+    of = F.when(asks, F.col("turn")).when(answers, F.col("turn") - 1)
+    prompt = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn")))
+    messages = turns.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.when(~asks, F.col("text")).alias("content"),
+        F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), of).alias("call_id"),
+        F.when(asks, F.lit("answer")).alias("name"),
+        F.when(asks, prompt).alias("arguments"),
+    )
+    return toolchat.link_calls(messages, ANSWER_TOOL)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in each document."""
     found = decontam.find_items(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from each document because their 100-byte strings start earlier."""
+    found = suffix.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_quality_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, its source as host and its language there as path."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return hierbayes.classify(_documents(spark, sf_dir), labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query opN_<name>."""
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
@@ -54,6 +95,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: SQL twins, where SQL can say it.
 SQL: dict[str, str] = {
+    "op7_link_tool_calls": r"""
+WITH m AS (
+  SELECT conv_id, turn, role, text,
+         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS of_turn
+  FROM conversations),
+calls AS (SELECT conv_id, of_turn, min(turn) AS call_turn FROM m WHERE kind = 'call' GROUP BY ALL),
+results AS (SELECT conv_id, of_turn, count(*) AS results FROM m WHERE kind = 'result' GROUP BY ALL),
+j AS (
+  SELECT m.*, c.call_turn, r.results, 'call-' || m.conv_id || '-' || m.of_turn AS call_id
+  FROM m LEFT JOIN calls c ON c.conv_id = m.conv_id AND c.of_turn = m.of_turn
+  LEFT JOIN results r ON r.conv_id = m.conv_id AND r.of_turn = m.of_turn)
+SELECT conv_id, turn, kind, call_id,
+       CASE kind WHEN 'call' THEN results IS NOT NULL WHEN 'result' THEN call_turn IS NOT NULL END AS linked,
+       CASE WHEN kind = 'call' THEN concat_ws(',',
+         CASE WHEN text IS NULL THEN 'prompt:required' END,
+         CASE WHEN length(text) < 1 THEN 'prompt:minLength' END,
+         CASE WHEN length(text) > 300 THEN 'prompt:maxLength' END,
+         CASE WHEN turn < 0 THEN 'turn:minimum' END, CASE WHEN turn > 5 THEN 'turn:maximum' END) END AS errors,
+       CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN greatest(turn, call_turn) ELSE turn END AS order_turn,
+       CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS order_step,
+       CASE kind
+         WHEN 'call' THEN '{"role":"user","tool_call":{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"answer"}}'
+         WHEN 'result' THEN '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":"tool","tool_call_id":"' || call_id || '"}'
+         ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || '}' END AS json
+FROM j""",
     "op4_drop_repeated_lines": r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line

@@ -26,7 +26,7 @@ def minified(raw: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units, as long."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+    return F.when(F.octet_length(text) == F.length(text), F.length(text).cast("long")).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long"))
 
 
 def trimmed(text: Column) -> Column:
@@ -34,16 +34,46 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def key(v: Column, name: str) -> Column:
+    """Variant under a top-level key; SQL NULL if it is missing, variant null if it is JSON null."""
+    return F.try_variant_get(v, f"$['{name}']", "variant")
+
+
+def elements(v: Column) -> Column:
+    """array<variant> of a JSON array, else null."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def is_object(v: Column) -> Column:
+    """True for a JSON object, never null."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def json_type(v: Column) -> Column:
-    """One of null, boolean, integer, number, string, array, object for a variant; SQL NULL for SQL NULL. A number without fraction is an integer."""
+    """null, boolean, integer, number, string, array or object for a variant; SQL NULL for SQL NULL. A number without fraction is an integer."""
     kind = F.schema_of_variant(v)
-    whole = F.try_variant_get(v, "$", "double")
+    number = F.try_variant_get(v, "$", "double")
     return (
-        F.when(kind == "VOID", "null")
+        F.when(F.is_variant_null(v), "null")
+        .when(elements(v).isNotNull(), "array")
+        .when(is_object(v), "object")
         .when(kind == "BOOLEAN", "boolean")
         .when(kind == "STRING", "string")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind.startswith("OBJECT"), "object")
         .when(kind == "BIGINT", "integer")
-        .when(kind.isNotNull(), F.when(whole == F.floor(whole), "integer").otherwise("number"))
+        .when(kind.isNotNull(), F.when(number == F.floor(number), "integer").otherwise("number"))
     )
+
+
+def text_of(v: Column) -> Column:
+    """The string of a JSON string, else null."""
+    return F.when(json_type(v) == "string", F.try_variant_get(v, "$", "string"))
+
+
+def top_keys(raw: Column) -> Column:
+    """Top-level keys of a JSON object text in order; empty for other text."""
+    return F.coalesce(F.array_distinct(F.json_object_keys(raw)), F.array().cast("array<string>"))
+
+
+def unquoted(name: Column) -> Column:
+    """A key as a path step: .name, or ["..."] where it is no plain name."""
+    return F.when(name.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$"), F.concat(F.lit("."), name)).otherwise(F.concat(F.lit('["'), F.regexp_replace(name, r'(["\\])', r"\\$1"), F.lit('"]')))

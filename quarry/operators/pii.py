@@ -96,7 +96,7 @@ def redact(text: Column, enabled: str | list[str] | None = None) -> Column:
     for name in enabled_names(enabled):
         pattern, token = PATTERNS[name]
         if name == "cc":
-            text = F.aggregate(F.array_distinct(matches(text, "cc")), text, lambda t, m, token=token: F.replace(t, m, F.lit(token)))
+            text = F.aggregate(F.array_distinct(matches(text, "cc")), text, lambda t, m: F.replace(t, m, F.lit(PATTERNS["cc"][1])))
         else:
             text = F.regexp_replace(text, java_pattern(pattern), token)
     return text

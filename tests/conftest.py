@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 def spark():
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -44,31 +44,35 @@ class LineRuns:
         self.levels[0].append(self._write(counts))
         self._compact()
 
-    def _compact(self, all_: bool = False) -> None:
-        for k, runs in enumerate(self.levels):
-            if len(runs) < (1 if all_ else self.fanout):
-                continue
-            merged = self.spark.table(runs[0])
-            for name in runs[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            merged = cut(merged.groupBy("h").agg(F.sum("n").alias("n")), "merged")
-            if merged.where(F.col("n") >= self.enough).limit(1).count():
-                self.full.append(self._write(merged.where(F.col("n") >= self.enough)))
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[k + 1].append(self._write(merged.where(F.col("n") < self.enough)))
-            self._drop(runs)
-            self.levels[k] = []
-            if not all_:
-                continue
+    def _merged(self, names: list[str]) -> DataFrame:
+        """(h, n) of several runs: their sorted buckets are merge-joined in turn."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnRenamed("n", "m")
+            out = out.join(other.hint("merge"), "h", "full_outer").select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
+
+    def _compact(self) -> None:
+        k = 0
+        while k < len(self.levels):
+            runs = self.levels[k]
+            if len(runs) >= self.fanout:
+                merged = cut(self._merged(runs), "merged")
+                if merged.where(F.col("n") >= self.enough).limit(1).count():
+                    self.full.append(self._write(merged.where(F.col("n") >= self.enough)))
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k + 1].append(self._write(merged.where(F.col("n") < self.enough)))
+                self._drop(runs)
+                self.levels[k] = []
+            k += 1
 
     def frequent(self) -> DataFrame:
         """(h) of the keys found in at least `enough` documents: those of the full runs, and those that the open runs add up to."""
         opened = [name for runs in self.levels for name in runs]
-        sums = self.spark.createDataFrame([], "h long, n long")
-        for name in opened:
-            sums = sums.unionByName(self.spark.table(name))
-        found = sums.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= self.enough).select("h")
+        if not opened:
+            return self.spark.createDataFrame([], "h long")
+        found = self._merged(opened).where(F.col("n") >= self.enough).select("h")
         for name in self.full:
             found = found.unionByName(self.spark.table(name).select("h"))
         return cut(found.distinct(), "frequent")

@@ -603,3 +603,130 @@ def s6_bundle_round_trip(spark, sf_dir):
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the audit of the conversations as chat rows."""
     return audit.audit(chats(spark, sf_dir))["summary"]
+
+
+# --- more conversions, edits and files ------------------------------------------------------
+
+
+def _instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as instruction rows: the language as instruction, the source as input, the text as output."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.to_json(F.struct(F.col("lang").alias("instruction"), F.col("source").alias("input"), F.col("text").alias("output"))).alias("raw"))
+    return features.rows_table(docs)
+
+
+_JTEXT = "CAST(to_json(text) AS VARCHAR)"
+
+
+@query(f"SELECT doc_id AS row_id, md5('{{\"messages\":[{{\"role\":\"user\",\"content\":\"' || lang || '\\n\\n' || source || '\"}},{{\"role\":\"assistant\",\"content\":' || {_JTEXT} || '}}]}}') AS after_md5 FROM documents")
+def t3_alpaca_to_openai(spark, sf_dir):
+    return transform.convert(_instructions(spark, sf_dir), "alpaca-to-openai").select("row_id", F.md5("after").alias("after_md5"))
+
+
+@query(f"SELECT doc_id AS row_id, md5('{{\"messages\":[{{\"role\":\"user\",\"content\":\"' || lang || '\"}},{{\"role\":\"assistant\",\"content\":' || {_JTEXT} || '}}]}}') AS after_md5 FROM documents")
+def t4_completion_to_openai(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.to_json(F.struct(F.col("lang").alias("prompt"), F.col("text").alias("completion"))).alias("raw"))
+    return transform.convert(features.rows_table(docs), "completion-to-openai").select("row_id", F.md5("after").alias("after_md5"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS converted, 0 AS skipped")
+def t5_convert_counts(spark, sf_dir):
+    return transform.convert_counts(_instructions(spark, sf_dir), "any-to-openai")
+
+
+@query("SELECT conv_id AS row_id, count(*) FILTER (length(text) < 200) AS turns FROM conversations GROUP BY conv_id")
+def t10_drop_empty_turns(spark, sf_dir):
+    """Turns of 200 characters and more are emptied first, so that there are some to drop."""
+    ops = [{"op": "regex-replace", "pattern": "^.{200,}$", "flags": "gs", "replacement": " "}, {"op": "drop-empty-turns"}]
+    done = transform.apply_ops(chats(spark, sf_dir), ops)
+    return done.select("row_id", F.coalesce(F.size(F.from_json("after", "messages array<struct<role:string>>")["messages"]), F.lit(0)).cast("long").alias("turns"))
+
+
+@query("SELECT doc_id AS row_id, md5('{\"text\":' || CAST(to_json(trim(regexp_replace(regexp_replace(replace(text, ' ', '  '), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9))) AS VARCHAR) || '}') AS after_md5 FROM documents")
+def t12_trim_whitespace(spark, sf_dir):
+    ops = [{"op": "regex-replace", "pattern": " ", "replacement": "  "}, {"op": "trim-whitespace"}]
+    return transform.apply_ops(documents(spark, sf_dir), ops).select("row_id", F.md5("after").alias("after_md5"))
+
+
+@query("SELECT event_id AS row_id, '{\"k\":null}' AS edited, 0 AS refused FROM events")
+def j3_set_at(spark, sf_dir):
+    return jsonops.edit(events(spark, sf_dir), [{"op": "set-at", "path": "$.k", "value": None}]).select("row_id", "edited", "refused")
+
+
+@query("SELECT event_id AS row_id, '{\"z\":' || (props::JSON->>'k') || '}' AS edited, 1 AS refused FROM events")
+def j4_rename_at(spark, sf_dir):
+    return jsonops.edit(events(spark, sf_dir), [{"op": "rename-at", "path": "$.k", "key": "z"}, {"op": "rename-at", "path": "$.none", "key": "y"}]).select("row_id", "edited", "refused")
+
+
+@query("SELECT event_id AS row_id, '{\"new\":null}' AS edited, 0 AS refused FROM events")
+def j5_remove_at(spark, sf_dir):
+    return jsonops.edit(events(spark, sf_dir), [{"op": "remove-at", "path": "$.k"}, {"op": "add-key", "path": "$", "key": "new"}]).select("row_id", "edited", "refused")
+
+
+@query("SELECT doc_id AS row_id, CASE WHEN toxic = 1 THEN '{\"text\":\"\"}' ELSE '{\"text\":' || " + _JTEXT + " || '}' END AS raw, coalesce(toxic = 1, false) AS dirty FROM documents LEFT JOIN labels USING (doc_id)")
+def j7_replace_rows(spark, sf_dir):
+    edits = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id"), F.lit('{"text":""}').alias("raw"))
+    return annotate.replace_rows(documents(spark, sf_dir), edits)
+
+
+@query("SELECT count(*) AS rows, max(doc_id) + (SELECT count(*) FROM benchmark) AS last, (SELECT count(*) FROM benchmark) AS dirty FROM documents")
+def j8_add_rows(spark, sf_dir):
+    new = _table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("text")).alias("raw"))
+    out = annotate.add_rows(documents(spark, sf_dir), new)
+    return out.agg((F.count("*") - F.count_if("dirty")).alias("rows"), F.max("row_id").alias("last"), F.count_if("dirty").alias("dirty"))
+
+
+@query("SELECT count(*) FILTER (bad) AS excluded, count(*) FILTER (NOT bad) AS kept FROM (SELECT c_nationkey > 20 AS bad FROM customer)")
+def l6_exclude_failures(spark, sf_dir):
+    rows = validate.exclude_failures(_objects(spark, sf_dir, "customer", "c_custkey"), {"properties": {"c_nationkey": {"maximum": 20}}})
+    return rows.agg(F.count_if("excluded").alias("excluded"), F.count_if(~F.col("excluded")).alias("kept"))
+
+
+@query("SELECT d.doc_id AS row_id, coalesce(quality = 0, false) AS excluded FROM documents d LEFT JOIN labels USING (doc_id)")
+def an3_exclude_rejected(spark, sf_dir):
+    return annotate.flag_rejected(documents(spark, sf_dir)).select("row_id", "excluded")
+
+
+@query(f"SELECT row_id, md5(json) AS line_md5 FROM ({_DOC}) WHERE row_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def s9_export(spark, sf_dir):
+    from quarry.sources.files import export_lines
+
+    return export_lines(annotate.flag_rejected(documents(spark, sf_dir))).select("row_id", F.md5("value").alias("line_md5"))
+
+
+@query(f"SELECT split, count(*) AS n FROM (SELECT doc_id, {_CUT} FROM (SELECT doc_id, row_number() OVER (ORDER BY {_LOT}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)) GROUP BY split")
+def s10_write_splits(spark, sf_dir):
+    import uuid
+
+    from quarry.sources.files import write_splits
+
+    path = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    write_splits(split.split(documents(spark, sf_dir)), path)
+    return spark.read.text(path).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents")
+def s2_read_json(spark, sf_dir):
+    """The documents' ids written as one JSON array for each language, and read back."""
+    import uuid
+
+    from quarry.sources.files import read_json
+
+    path = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    arrays = _table(spark, sf_dir, "documents").groupBy("lang").agg(F.to_json(F.collect_list(F.struct("doc_id"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json(spark, path).agg(F.count("*").alias("rows"), F.sum(F.try_variant_get("v", "$.doc_id", "long")).alias("ids"))
+
+
+@query(f"SELECT lang || '.jsonl' AS file, count(*) AS rows, count(*) AS ok, 0 AS errors, 0 AS deleted, CAST(sum(length(json)) AS BIGINT) AS chars, CAST(floor(sum(length(json)) / 4.0 + 0.5) AS BIGINT) AS tokens FROM ({_DOC}) GROUP BY lang")
+def s13_load_summary(spark, sf_dir):
+    from quarry.sources.files import load_summary
+
+    return load_summary(documents(spark, sf_dir).withColumn("file", F.concat("lang", F.lit(".jsonl"))))
+
+
+@query("SELECT lang || CASE WHEN lang = 'en' THEN ' (imported)' ELSE '' END AS project FROM (SELECT DISTINCT lang FROM documents) UNION ALL SELECT 'en'")
+def s7_merge_projects(spark, sf_dir):
+    from quarry.sources.files import merge_projects
+
+    names = _table(spark, sf_dir, "documents").select(F.col("lang").alias("project_id"), F.col("lang").alias("project")).distinct()
+    return merge_projects(names.where("project_id = 'en'"), names).select("project")

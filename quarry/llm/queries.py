@@ -95,6 +95,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: SQL twins, where SQL can say it.
 SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w
+  FROM d GROUP BY source),
+k AS (
+  SELECT *, source_size * 3.0::DOUBLE AS cap, row_number() OVER o AS rn, sum(source_size * 3.0::DOUBLE) OVER o - source_size * 3.0::DOUBLE AS filled,
+         sum(w) OVER (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM s WINDOW o AS (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT arg_min((t - filled) / weights, rn) AS level FROM k, (SELECT CAST(sum(size) AS DOUBLE) AS t FROM d) WHERE cap / w >= (t - filled) / weights),
+p AS (SELECT source, source_size, least(cap, w * level) AS target FROM k, l),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM p),
+c AS (
+  SELECT d.*, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS need, sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS cum
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN cum < need OR cum - size < need AND (need - (cum - size)) * 2 >= size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c""",
     "op7_link_tool_calls": r"""
 WITH m AS (
   SELECT conv_id, turn, role, text,

@@ -293,7 +293,23 @@ def a6_role_counts(spark, sf_dir):
     return aggregates.role_counts(chats(spark, sf_dir))
 
 
-@query()
+_CARD = r"\b(?:\d[ -]?){13,19}\b"
+_KEY = r"\b(?:sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{30,}|ghp_[A-Za-z0-9]{30,}|xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})\b"
+_URL = r"""\bhttps?:\/\/[^\s)\]\"'']+"""
+_LUHN = "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN (length(d) - 1 - i) % 2 = 1 THEN (2 * CAST(d[i + 1] AS INT)) // 10 + (2 * CAST(d[i + 1] AS INT)) % 10 ELSE CAST(d[i + 1] AS INT) END)) % 10 = 0"
+
+
+@query(
+    "WITH docs AS (" + _DOC + "), hits AS (" + " UNION ALL ".join(
+        f"SELECT row_id, unnest(regexp_extract_all(json, '{p}')) AS match FROM docs"
+        for p in (_EMAIL, r"(?:\+?\d[\d -]{8,}\d)", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b(?:[A-Fa-f0-9]{1,4}:){2,7}[A-Fa-f0-9]{1,4}\b", r"\b\d{3}-\d{2}-\d{4}\b", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b", _KEY, _URL)
+    ) + f" UNION ALL SELECT row_id, match FROM (SELECT row_id, match, regexp_replace(match, '[ -]', '', 'g') AS d FROM (SELECT row_id, unnest(regexp_extract_all(json, '{_CARD}')) AS match FROM docs)) WHERE {_LUHN}), "
+    "t AS (SELECT count(*) AS total, 0 AS parse_err, 0 AS lint_err_rows, count(*) FILTER (length(json) <= 16) AS lint_rows FROM docs), "
+    "p AS (SELECT count(DISTINCT row_id) AS pii_rows, count(*) AS pii_matches FROM hits), "
+    "u AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS dup_rows, count(*) AS dup_clusters FROM (SELECT count(*) AS n FROM documents GROUP BY text) WHERE n > 1), "
+    "s AS (SELECT *, 'text' AS dominant, 1.0::DOUBLE AS dominant_share, CAST(floor(100 * (0.40::DOUBLE * 1.0 + 0.15::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE * (1 - pii_rows / total) + 0.15::DOUBLE * (1 - dup_rows / total)) + 0.5) AS BIGINT) AS score FROM t, p, u) "
+    "SELECT *, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'bad' END AS tier FROM s"
+)
 def a9_run_audit(spark, sf_dir):
     return audit.audit(documents(spark, sf_dir))["summary"]
 
@@ -334,7 +350,10 @@ def a14_tag_counts(spark, sf_dir):
     return aggregates.tag_counts(documents(spark, sf_dir))
 
 
-@query()
+@query(
+    "SELECT 0 AS place, 'resolve duplicates' AS action WHERE (SELECT count(*) - count(DISTINCT text) FROM documents) > 0 UNION ALL "
+    "SELECT CASE WHEN (SELECT count(*) - count(DISTINCT text) FROM documents) > 0 THEN 1 ELSE 0 END, 'redact personal data' WHERE EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, '" + _EMAIL + "'))"
+)
 def a15_recommendations(spark, sf_dir):
     return aggregates.recommendations(audit.audit(documents(spark, sf_dir))["summary"])
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from quarry.llm import bitfilter
 from quarry.llm.text import small_batches, utf8
 from quarry.plans.lineage import bounded, cut
 
@@ -92,39 +93,74 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeated_windows(pieces: list[dict], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """(doc, m, start, end) of the bytes of every window that also starts earlier among the pieces.
+#: Bytes of a block, and whole blocks inside every window wherever it starts.
+BLOCK = 8
+WHOLE = (LENGTH - BLOCK + 1) // BLOCK
 
-    A piece is {bytes, doc, m, start, windows}: its first `windows` offsets begin windows
-    of `length` bytes. Neighbours in the suffix array that agree on the whole window
-    are one string; all its places but the first by (doc, m, offset) are repeats.
+
+def _blocks(pieces: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, first): the pieces as one text of whole blocks, laid out from each piece's anchor on, and the place of each piece's first block.
+
+    Symbols are ranks of the blocks' bytes; a 1 ends each piece, a 0 the text.
+    """
+    values, first, n = [], np.empty(len(pieces), np.int64), 0
+    for k, p in enumerate(pieces):
+        at = p["anchor"] % BLOCK
+        whole = np.frombuffer(p["bytes"], np.uint64, (len(p["bytes"]) - at) // BLOCK, at)
+        values.append(whole)
+        first[k] = n
+        n += len(whole) + 1
+    sizes = np.array([len(v) for v in values])
+    _, ranks = np.unique(np.concatenate(values), return_inverse=True)
+    symbols = np.ones(n + 1, np.int64)
+    symbols[-1] = 0
+    symbols[np.arange(sizes.sum()) + np.repeat(np.arange(len(pieces)), sizes)] = ranks + 2
+    return symbols, first
+
+
+def repeated_windows(pieces: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(doc, m, start, end) of the bytes of every window of LENGTH that also starts earlier among the pieces.
+
+    A piece is {bytes, doc, m, start, windows, anchor}: its first `windows` offsets begin
+    windows; `anchor` is where its anchor lies. Equal windows lie alike to their anchors, so
+    their blocks are equal. Suffix-array neighbours that agree on WHOLE blocks form a run; a
+    window is named by the run of its first whole block and by the bytes around those blocks. All its places but
+    the first by (doc, m, offset) are repeats.
     """
-    ends = np.cumsum([len(p["bytes"]) + 1 for p in pieces])
-    flat = np.ones(ends[-1] + 1, np.int64)
-    flat[-1] = 0
-    valid = np.zeros(len(flat), bool)
-    for p, e in zip(pieces, ends):
-        s = e - 1 - len(p["bytes"])
-        flat[s : e - 1] = np.frombuffer(p["bytes"], np.uint8) + np.int64(2)
-        valid[s : s + p["windows"]] = True
-    order = np.array(suffix_array(flat.tolist()))
-    order = order[valid[order]]
-    view = np.lib.stride_tricks.sliding_window_view(flat.astype(np.int16), length)
-    new = np.ones(len(order), bool)
-    for k in range(1, len(order), 8192):
-        part = order[k - 1 : k + 8192]
-        new[k : k + 8192] = (view[part[1:]] != view[part[:-1]]).any(1)
-    piece = np.searchsorted(ends, order, "right")
+    symbols, first = _blocks(pieces)
+    order = np.array(suffix_array(symbols.tolist()))
+    view = np.lib.stride_tricks.sliding_window_view(np.r_[symbols, np.zeros(WHOLE, np.int64)], WHOLE)
+    new = np.ones(len(order), np.int64)
+    for k in range(1, len(order), 65536):
+        part = order[k - 1 : k + 65536]
+        new[k : k + 65536] = (view[part[1:]] != view[part[:-1]]).any(1)
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(new)
+    # every window, piece after piece
+    count = np.array([p["windows"] for p in pieces])
+    piece = np.repeat(np.arange(len(pieces)), count)
+    i = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    flat = np.frombuffer(b"".join(p["bytes"] for p in pieces), np.uint8)
+    sizes = np.array([len(p["bytes"]) for p in pieces])
+    base = (np.cumsum(sizes) - sizes)[piece] + i
+    head = (np.array([p["anchor"] for p in pieces])[piece] - i) % BLOCK
+    block = first[piece] + (i + head - np.array([p["anchor"] % BLOCK for p in pieces])[piece]) // BLOCK
+    edge = LENGTH - WHOLE * BLOCK  # bytes outside the whole blocks
+    around = np.zeros((len(piece), (edge + 7) // 8 * 8), np.uint8)
+    for k in range(edge):
+        around[:, k] = flat[base + k + np.where(k < head, 0, WHOLE * BLOCK)]
+    keys = [run[block], head, *around.view(np.uint64).T]
     doc, m = (np.array([p[c] for p in pieces], np.int64)[piece] for c in ("doc", "m"))
-    at = np.array([p["start"] for p in pieces])[piece] + order - (ends - [len(p["bytes"]) + 1 for p in pieces])[piece]
-    by = np.lexsort((at, m, doc))
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(np.r_[False, (np.diff(doc[by]) != 0) | (np.diff(m[by]) != 0) | (np.diff(at[by]) != 0)])
-    first = np.minimum.reduceat(rank, np.flatnonzero(new))[np.cumsum(new) - 1]
+    at = np.array([p["start"] for p in pieces])[piece] + i
+    by = np.lexsort((at, m, doc, *keys))
+    differ = lambda cols: np.any([np.diff(c[by]) != 0 for c in cols], axis=0)
+    starts = np.r_[True, differ(keys)]  # first place of each string
+    lead = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+    repeat = (doc[by] != doc[by][lead]) | (m[by] != m[by][lead]) | (at[by] != at[by][lead])
     found: dict[tuple[int, int], list[int]] = {}
-    for d, k, a in zip(*(x[rank > first].tolist() for x in (doc, m, at))):
+    for d, k, a in zip(*(x[by][repeat].tolist() for x in (doc, m, at))):
         found.setdefault((d, k), []).append(a)
-    return [(d, k, s, e) for (d, k), starts in found.items() for s, e in merged([(a, a + length) for a in starts])]
+    return [(d, k, s, e) for (d, k), starts in found.items() for s, e in merged([(a, a + LENGTH) for a in starts])]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -141,15 +177,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # --- bringing equal strings together --------------------------------------------
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, windows) of the runs of consecutive windows that share an anchor: the window's ANCHOR bytes of least hash, the first of equals.
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, windows, place) of the runs of consecutive windows that share an anchor: the window's ANCHOR bytes of least hash, the first of equals. place: where in the run's text the anchor lies.
 
     Equal windows have equal anchors, wherever they are, so they fall in runs of equal hash.
     """
     n = len(data) - LENGTH + 1
     if n < 1:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     h, factor, step = _TABLE[np.frombuffer(data, np.uint8)], 0x9E3779B97F4A7C15, 1
     while step < ANCHOR:
         h = h[:-step] * np.uint64(factor) + h[step:]
@@ -165,19 +201,11 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum(least[: step - width], least[width - step :])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return h[at[start]], start, np.diff(np.r_[start, n])
-
-
-#: Bits of the filter of repeated anchors (8 MB): what it lets through wrongly is dropped by exact counts later.
-FILTER_BITS = 26
-
-
-def _filter_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(((h * np.uint64(k)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+    return h[at[start]], start, np.diff(np.r_[start, n]), at[start] - start
 
 
 def _repeated_filter(docs: DataFrame) -> np.ndarray:
-    """Bit filter of the anchor hashes that occur twice or more in docs (column data), made by Spark; its size is fixed."""
+    """Bit filter of the anchor hashes that occur twice or more in docs (column data)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,21 +213,10 @@ def _repeated_filter(docs: DataFrame) -> np.ndarray:
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(h, np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = np.unique(np.concatenate(_filter_bits(batch.column(0).to_numpy().view(np.uint64))))
-            word, start = np.unique(bit >> 6, return_index=True)
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), start) if len(bit) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
-
-    repeated = docs.select("data").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    words = repeated.mapInArrow(place, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return bits
+    return bitfilter.repeated(docs.select("data").mapInArrow(count, "h long, n long"))
 
 
-_PIECE = "doc long, m long, h long, p long, start int, windows int, bytes binary"
+_PIECE = "doc long, m long, h long, p long, start int, windows int, anchor int, bytes binary"
 
 
 def _pieces(docs: DataFrame, known) -> DataFrame:
@@ -209,25 +226,23 @@ def _pieces(docs: DataFrame, known) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for doc, m, data in zip(*(c.to_pylist() for c in batch.columns)):
-                h, start, windows = anchors(data)
-                one, two = _filter_bits(h)
-                bits = known.value
-                ok = ((bits[one >> 6] >> (one & 63).astype(np.uint64)) & (bits[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-                for k, s, w in zip(h[ok].view(np.int64).tolist(), start[ok].tolist(), windows[ok].tolist()):
+                h, start, windows, place = anchors(data)
+                ok = bitfilter.passes(known.value, h)
+                for k, s, w, a in zip(h[ok].view(np.int64).tolist(), start[ok].tolist(), windows[ok].tolist(), place[ok].tolist()):
                     piece = data[s : s + w + LENGTH - 1]
-                    for col, x in zip(cols, (doc, m, k, xxhash.xxh64_intdigest(piece) - (1 << 63), s, w, piece)):
+                    for col, x in zip(cols, (doc, m, k, xxhash.xxh64_intdigest(piece) - (1 << 63), s, w, a, piece)):
                         col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "m", "h", "p", "start", "windows", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "m", "h", "p", "start", "windows", "anchor", "bytes"])
 
     return docs.select("doc", "m", "data").mapInArrow(cut_out, _PIECE)
 
 
 _SPAN = StructType([StructField("doc", LongType()), StructField("m", LongType()), StructField("s", LongType()), StructField("e", LongType())])
 #: Bytes that one suffix array is built over, about; and different pieces of one anchor that are brought to one task at most.
-ARRAY_BYTES, GROUP_PIECES = 1 << 20, 1000
+ARRAY_BYTES, GROUP_PIECES = 1 << 21, 20_000
 
 
 def _group_spans(groups: Column) -> Column:
@@ -274,8 +289,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = again.select("doc", "m", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("windows") + LENGTH - 1).cast("long").alias("e"))
     several = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     firsts = kinds.join(bounded(several), "h").select("h", "p", "first", "kinds")
-    mixed = cut(pieces.join(firsts, ["h", "p"]).where(place == F.col("first")).select("h", "kinds", "doc", "m", "start", "windows", "bytes"), "mixed")
-    groups = mixed.where(F.col("kinds") <= GROUP_PIECES).groupBy("h").agg(F.collect_list(F.struct("bytes", "doc", "m", "start", "windows")).alias("pieces"))
+    mixed = cut(pieces.join(firsts, ["h", "p"]).where(place == F.col("first")).select("h", "kinds", "doc", "m", "start", "windows", "anchor", "bytes"), "mixed")
+    groups = mixed.where(F.col("kinds") <= GROUP_PIECES).groupBy("h").agg(F.collect_list(F.struct("bytes", "doc", "m", "start", "windows", "anchor")).alias("pieces"))
     spans = spans.unionByName(groups.select(F.explode(_group_spans(F.col("pieces"))).alias("x")).select("x.*"))
     single = mixed.where(F.col("kinds") > GROUP_PIECES).select("doc", "m", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))
     single = single.select("doc", "m", (F.col("start") + F.col("i")).cast("long").alias("s"), F.substring("bytes", F.col("i") + 1, F.lit(LENGTH)).alias("w"))

@@ -41,22 +41,22 @@ def feature_list(text: Column) -> Column:
     return of(utf8(text))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 150, ridge: float = 1e-4, least: int = 4, strange: float = 3.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression by adaptive gradient steps over all rows.
+def fit(at: np.ndarray, row: np.ndarray, labels: np.ndarray, steps: int = 150, ridge: float = 1e-4, least: int = 4, strange: float = 3.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression by adaptive gradient steps over all rows; feature at[k] is in row row[k].
 
     Only features of at least `least` rows whose rows stray `strange` standard deviations
     from the share of positive rows take part, so a row's own rare words teach nothing.
     """
-    sizes = np.array([len(r) for r in rows])
-    at, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    rows = len(labels)
     share = min(max(labels.mean(), 1e-4), 1 - 1e-4)
     n, good = np.bincount(at, minlength=BUCKETS), np.bincount(at, labels[row], BUCKETS)
     odd = (n >= least) & (np.abs(good - n * share) >= strange * np.sqrt(n * share * (1 - share)))
-    at, row = at[odd[at]], row[odd[at]]
+    mine = odd[at]
+    at, row = at[mine], row[mine]
     weights, bias = np.zeros(BUCKETS), float(np.log(share / (1 - share)))
     past, past_bias = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
-        error = (1 / (1 + np.exp(-np.bincount(row, weights[at], len(rows)) - bias)) - labels) / len(rows)
+        error = (1 / (1 + np.exp(-np.bincount(row, weights[at], rows) - bias)) - labels) / rows
         grad = np.bincount(at, error[row], BUCKETS) + ridge * weights
         past += grad**2
         past_bias += error.sum() ** 2
@@ -88,10 +88,12 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, targets:
     chosen = known.where(part).limit(SAMPLE_ROWS)
     rows = df.select(F.col(id_col), F.col(text_col)).join(bounded(chosen), F.col(id_col) == F.col("__id")).select(feature_list(F.col(text_col)).alias("f"), *[f"__{t}" for t in targets])
     table = cut(rows, "sample").orderBy(F.xxhash64("f")).limit(SAMPLE_ROWS).toArrow()
-    lists = [np.array(x, np.int32) for x in table["f"].to_pylist()]
-    if not lists:
+    if not len(table):
         return [(np.zeros(BUCKETS), 0.0) for _ in targets]
-    return [fit(lists, table[f"__{t}"].to_numpy().astype(float)) for t in targets]
+    lists = table["f"].combine_chunks()
+    at = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(table), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    return [fit(at, row, table[f"__{t}"].to_numpy().astype(float)) for t in targets]
 
 
 def _logit(p: Column) -> Column:

@@ -63,8 +63,8 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
         "rows",
     )
     start = F.pmod(F.xxhash64("id", "node"), F.lit(shards)).cast("int")
-    groups = rows.groupBy("digest").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    grouped = cut(rows.join(groups.select("digest", "leader"), "digest").select("node", "leader", start.alias("shard")), "grouped")
+    groups = cut(rows.groupBy("digest").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "groups")
+    grouped = cut(rows.join(bounded(groups.select("digest", "leader")), "digest").select("node", "leader", start.alias("shard")), "grouped")
     alone = rows.join(grouped.select("node"), "node", "left_anti").select("id", "size", "crc", "node", F.col("node").alias("leader"), start.alias("shard"))
     alone = cut(alone.withColumn("band", (F.pmod(F.xxhash64("node"), F.lit(2)) * 2).cast("int")), "alone")
     labels = propagate(grouped.select("node", "shard"), grouped.where("node <> leader").select(F.col("node").alias("src"), F.col("leader").alias("dst")), _counts(alone, "shard", shards), shards, rounds)

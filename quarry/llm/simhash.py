@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
+from quarry.llm import bitfilter
 from quarry.llm.text import small_batches, utf8
 from quarry.operators.graph import connected_components
 from quarry.plans.lineage import bounded, cut
@@ -66,16 +69,17 @@ def fingerprint(text: Column, width: int = 3, n_bytes: int = 8) -> Column:
 def _links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (row, row) that join the rows of fps (n, bytes) of one list, where at most `most` bits differ.
 
-    Rows are visited breadth first, each row's distances counted in one step; one edge
-    a row is kept, so nothing grows with the square of the list.
+    Rows are visited breadth first from the least one, each row's distances counted in one step;
+    one edge a row is kept, so nothing grows with the square of the list. Lists that share
+    members begin alike, so many of their edges are the same.
     """
     n = len(fps)
-    left, src, dst = np.arange(n), [], []
     words = np.ascontiguousarray(fps).view(np.uint64).reshape(n, -1)
+    left, src, dst = np.argsort(words[:, 0], kind="stable"), [], []
     while len(left):
-        todo, left = [left[0]], left[1:]
+        todo, left = deque([left[0]]), left[1:]
         while todo and len(left):
-            at = todo.pop()
+            at = todo.popleft()
             near = np.bitwise_count(words[left] ^ words[at]).sum(1) <= most
             found, left = left[near], left[~near]
             todo.extend(found)
@@ -146,14 +150,15 @@ def near_edges(fps: DataFrame, most: int = 2) -> DataFrame:
     return lists.select(F.explode(_edges(F.col("members"), most, exact=most == 2)).alias("e")).select("e.src", "e.dst").distinct()
 
 
-def similar_edges(fps: DataFrame, similarity: float = 0.8, tables: int = 120, block: int = 256, seed: int = 7) -> DataFrame:
+def similar_edges(fps: DataFrame, similarity: float = 0.8, tables: int = 120, block: int = 2048, seed: int = 7) -> DataFrame:
     """(src, dst) edges between wide fingerprints (distinct, column fp) whose estimated Jaccard similarity reaches `similarity`.
 
     Jaccard j of two shingle sets of like size means cosine 2j / (1 + j), and a share
     acos(cosine) / pi of differing bits. For wide fingerprints no number of shared
     bytes is guaranteed, so the index uses `tables` random sets of positional bytes
     (3, or more as the corpus grows past 256**3); a pair at 0.8 meets in one of 120
-    with probability 0.9, at 0.9 with over 0.999. Lists above `block` members are dealt into
+    with probability 0.9, at 0.9 with over 0.999. A fixed-size filter holds the keys that occur
+    twice, so most postings are never shuffled with their fingerprints. Lists above `block` members are dealt into
     blocks by hash, anew in each table; the bits of all pairs in a block are counted.
     """
     n = fps.count()
@@ -167,13 +172,23 @@ def similar_edges(fps: DataFrame, similarity: float = 0.8, tables: int = 120, bl
     cosine = 2 * similarity / (1 + similarity)
     most = int(n_bytes * 8 * np.arccos(cosine) / np.pi)
 
-    @F.arrow_udf(ArrayType(LongType()))
-    def keys(values: pa.Array) -> pa.Array:
-        rows = np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(len(values), n_bytes).astype(np.int64)
-        key = sum(rows[:, [s[i] for s in sets]] << (8 * i) for i in range(take)) + (np.arange(tables) << (8 * take))
-        return pa.ListArray.from_arrays(np.arange(0, key.size + 1, tables, dtype=np.int32), key.reshape(-1))
+    def keys(values: list[bytes]) -> np.ndarray:
+        rows = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), n_bytes).astype(np.int64)
+        return sum(rows[:, [s[i] for s in sets]] << (8 * i) for i in range(take)) + (np.arange(tables) << (8 * take))
 
-    posted = cut(fps.select("fp", F.explode(keys("fp")).alias("k")), "posted")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, c = np.unique(keys(batch.column(0).to_pylist()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["h", "n"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = keys(batch.column(0).to_pylist())
+            row, at = np.nonzero(bitfilter.passes(known.value, k.view(np.uint64).reshape(-1)).reshape(k.shape))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(k[row, at])], ["fp", "k"])
+
+    known = fps.sparkSession.sparkContext.broadcast(bitfilter.repeated(fps.select("fp").mapInArrow(count, "h long, n long")))
+    posted = cut(fps.select("fp").mapInArrow(post, "fp binary, k long"), "posted")
     counts = posted.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     dealt = posted.join(counts, "k").withColumn("part", F.pmod(F.xxhash64("fp", "k"), F.ceil(F.col("n") / block)))
     lists = dealt.groupBy("k", "part").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
@@ -194,7 +209,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(df.sparkSession)
     docs = cut(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, n_bytes if similarity else 8).alias("fp")), "fingerprints")
     nodes = cut(docs.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    edges = similar_edges(nodes.select("fp"), similarity) if similarity else near_edges(nodes.select("fp"), most)
+    # the written nodes are few small files; their many postings are made in as many tasks as a shuffle has
+    fps = nodes.select("fp").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = similar_edges(fps, similarity) if similarity else near_edges(fps, most)
     near = connected_components(cut(edges, "links"))
     named = nodes.join(near, nodes.fp == near.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = cut(named, "named")

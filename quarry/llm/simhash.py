@@ -159,7 +159,8 @@ def similar_edges(fps: DataFrame, similarity: float = 0.8, tables: int = 120, bl
     (3, or more as the corpus grows past 256**3); a pair at 0.8 meets in one of 120
     with probability 0.9, at 0.9 with over 0.999. A fixed-size filter holds the keys that occur
     twice, so most postings are never shuffled with their fingerprints. Lists above `block` members are dealt into
-    blocks by hash, anew in each table; the bits of all pairs in a block are counted.
+    blocks by hash, anew in each table; the bits of all pairs in a block are counted, then those of pairs
+    across its blocks that are not joined yet. Edges join the same fingerprints as if all pairs of each list were compared.
     """
     n = fps.count()
     if not n:
@@ -189,10 +190,62 @@ def similar_edges(fps: DataFrame, similarity: float = 0.8, tables: int = 120, bl
 
     known = fps.sparkSession.sparkContext.broadcast(bitfilter.repeated(fps.select("fp").mapInArrow(count, "h long, n long")))
     posted = cut(fps.select("fp").mapInArrow(post, "fp binary, k long"), "posted")
-    counts = posted.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut(posted.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     dealt = posted.join(counts, "k").withColumn("part", F.pmod(F.xxhash64("fp", "k"), F.ceil(F.col("n") / block)))
     lists = dealt.groupBy("k", "part").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    return lists.select(F.explode(_edges(F.col("members"), most, exact=False)).alias("e")).select("e.src", "e.dst").distinct()
+    edges = lists.select(F.explode(_edges(F.col("members"), most, exact=False)).alias("e")).select("e.src", "e.dst").distinct()
+    over = counts.where(F.col("n") > block)
+    return edges if over.isEmpty() else _across(cut(edges, "links"), posted.join(bounded(cut(over, "over").select("k")), "k"), most, block)
+
+
+def _across(edges: DataFrame, posted: DataFrame, most: int, block: int) -> DataFrame:
+    """Edges with the components of `edges` and of all pairs (most bits) within the lists of posted (fp, k), which were dealt into blocks.
+
+    Only pairs of different components can still join any. At least one of such a pair is
+    outside the largest component of its list, so these members, in blocks of their own,
+    meet every block of the list. A task compares two blocks.
+    """
+    near = connected_components(edges)
+    stars = near.where("node <> component").select(F.col("component").alias("src"), F.col("node").alias("dst"))
+    members = cut(posted.join(near, posted.fp == near.node, "left").select("k", "fp", F.coalesce("component", "fp").alias("label")), "members")
+    sizes = members.groupBy("k", "label").agg(F.count("*").alias("m"))
+    lists = sizes.groupBy("k").agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("n")).withColumn("rest", F.col("n") - F.col("main.m")).where("rest > 0")
+    lists = cut(lists.select("k", F.col("main.label").alias("main"), F.ceil(F.col("n") / block).alias("parts"), F.ceil(F.col("rest") / block).alias("probes")), "mixed")
+    rows = members.join(bounded(lists), "k")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("fp", "k"), F.col(n))
+    there = rows.select("k", "fp", "label", F.lit(False).alias("probes_"), place("parts").alias("part"), every("probes").alias("probe"))
+    asked = rows.where("label <> main").select("k", "fp", "label", F.lit(True).alias("probes_"), place("probes").alias("probe"), every("parts").alias("part"))
+    pairs = there.unionByName(asked).groupBy("k", "part", "probe").agg(F.collect_list(F.struct("fp", "label", "probes_")).alias("members"))
+    found = pairs.select(F.explode(_joins(F.col("members"), most)).alias("e")).select("e.src", "e.dst")
+    return stars.unionByName(found).distinct()
+
+
+def _joins(members: Column, most: int) -> Column:
+    """Edges from the probing members to the others of another label, where at most `most` bits differ: as many as join labels anew."""
+    kind = ArrayType(StructType([StructField("src", BinaryType()), StructField("dst", BinaryType())]))
+    pairs = pa.list_(pa.struct([("src", pa.binary()), ("dst", pa.binary())]))
+
+    @F.arrow_udf(kind)
+    def of(lists: pa.Array) -> pa.Array:
+        out = []
+        for members in lists:
+            raw, ids = members.as_py(), {}
+            label = np.array([ids.setdefault(m["label"], len(ids)) for m in raw])
+            words = np.frombuffer(b"".join(m["fp"] for m in raw), np.uint64).reshape(len(raw), -1)
+            asks = np.array([m["probes_"] for m in raw])
+            there, edges = np.flatnonzero(~asks), []
+            for i in np.flatnonzero(asks):
+                other = there[label[there] != label[i]]
+                near = other[np.bitwise_count(words[other] ^ words[i]).sum(1) <= most]
+                while len(near):
+                    edges.append({"src": raw[i]["fp"], "dst": raw[near[0]]["fp"]})
+                    label[label == label[near[0]]] = label[i]
+                    near = near[label[near] != label[i]]
+            out.append(edges)
+        return pa.array(out, pairs)
+
+    return of(members)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2, similarity: float | None = None, n_bytes: int = 64) -> DataFrame:

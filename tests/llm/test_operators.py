@@ -110,6 +110,20 @@ def test_near_edges_dense(spark):
     assert len(edges) < 30 * len(fps)
 
 
+def test_similar_edges_crowded(spark):
+    """Loosely linked pairs that meet only in lists of all fingerprints, dealt into 25 blocks: each pair is joined."""
+    import random
+
+    rng = random.Random(4)
+    same, pairs = rng.randbytes(32), []
+    for _ in range(200):
+        tail = rng.randbytes(32)
+        pairs.append((same + tail, same + bytes(b ^ 1 << rng.randrange(8) for b in tail)))
+    df = spark.createDataFrame([(f,) for p in pairs for f in p], "fp binary")
+    edges = {frozenset(map(bytes, e)) for e in simhash.similar_edges(df, block=16).collect()}
+    assert sum(frozenset(p) in edges for p in pairs) == 200 and len(edges) == 200
+
+
 def test_similar_copies(docs):
     r = got(simhash.near_duplicates(docs, width=5, similarity=0.8))
     assert {r[k]["component_id"] for k in (2, 10, 11, 12)} == {2}

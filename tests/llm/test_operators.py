@@ -234,6 +234,18 @@ def test_quality_outliers(spark):
     assert kept == {k for k, v in r.items() if v["kept"]}
 
 
+@pytest.mark.parametrize("n", [75, 123])
+def test_quality_large_outlier_groups(spark, n):
+    """A third, or 45 %, of a cell's rows are junk."""
+    from conftest_rows import prose
+
+    good = [(i, prose(i), "xa", "s") for i in range(150)]
+    bad = [(1000 + i, prose(i).replace(" ", "### "), "xa", "s") for i in range(n)]
+    assert not any(100 * s[4] > 50 * s[0] for s in (plain_stats(t) for _, t, *_ in bad))
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")
+    assert {x["doc_id"] for x in quality.keep_good(df).collect()} == set(range(150))
+
+
 def test_quality_odd(odd, empty):
     assert quality.quality(odd).count() == odd.count()
     assert quality.keep_good(odd).columns == odd.columns

@@ -261,26 +261,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     small_batches(df.sparkSession)
     docs = cut(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, n_bytes if similarity else 8).alias("fp")), "fingerprints")
-    nodes = cut(docs.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    # the written nodes are few small files; their many postings are made in as many tasks as a shuffle has
-    fps = nodes.select("fp").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = similar_edges(fps, similarity) if similarity else near_edges(fps, most)
-    near = connected_components(cut(edges, "links"))
-    named = nodes.join(near, nodes.fp == near.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = cut(named, "named")
+    named = _named(docs, F.min("id"), most, similarity)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return docs.join(classes, docs.fp == classes.f).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The rows of df whose id is its component's: one document of each near-duplicate group on five-word shingles.
+def _named(docs: DataFrame, first: Column, most: int = 2, similarity: float | None = None) -> DataFrame:
+    """(fp, first, root) of each fingerprint of docs: an aggregate over its rows, and the least fingerprint of its component."""
+    nodes = cut(docs.groupBy("fp").agg(first.alias("first")), "nodes")
+    # the written nodes are few small files; their many postings are made in as many tasks as a shuffle has
+    fps = nodes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = similar_edges(fps, similarity) if similarity else near_edges(fps, most)
+    near = connected_components(cut(edges, "links"))
+    return cut(nodes.join(near, nodes.fp == near.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "named")
+
 
-    Rows repeated with the same id are kept once. A row with a null id is kept only if its group has no other id, once.
-    Columns are those of df.
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, n_bytes: int = 64) -> DataFrame:
+    """One document of each near-duplicate group on five-word shingles: the row of the least id, then the least hash of the text.
+
+    Rows repeated with the same id and text are kept once; different texts under one id are documents of their own.
+    A null id comes behind all others. Columns are those of df.
     """
-    classes = near_duplicates(df, id_col, text_col, width=5, similarity=similarity)
-    keep = cut(classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")), "kept")
-    rows = df.join(bounded(keep.select("__id")).hint("shuffle_hash"), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    # only ids that repeat need their rows brought together
-    return rows.dropDuplicates([id_col]) if keep.where("n > 1").limit(1).count() else rows
+    small_batches(df.sparkSession)
+    digest = F.unhex(F.md5(F.col(text_col)))
+    docs = cut(df.select(F.col(id_col).alias("id"), digest.alias("digest"), fingerprint(F.col(text_col), 5, n_bytes).alias("fp")), "fingerprints")
+    named = _named(docs, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")), similarity=similarity)
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    keep = cut(least.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest")), "kept")
+    ours = (F.col("__row_id").eqNullSafe(F.col("__id"))) & (F.col("__row_digest").eqNullSafe(F.col("__digest")))
+    semi = lambda rows: rows.join(bounded(keep).hint("shuffle_hash"), ours, "left_semi")
+    rows = semi(df.withColumns({"__row_id": F.col(id_col), "__row_digest": digest}))
+    twice = semi(docs.groupBy(F.col("id").alias("__row_id"), F.col("digest").alias("__row_digest")).agg(F.count("*").alias("n")).where("n > 1"))
+    # only rows that repeat need to be brought together
+    return (rows if twice.isEmpty() else rows.dropDuplicates(["__row_id", "__row_digest"])).drop("__row_id", "__row_digest")

@@ -140,6 +140,16 @@ def test_simhash_odd(odd, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
+def test_keep_first_ids(spark):
+    """Clean texts without an id, or under one id, are all kept; a near copy under an id that is kept elsewhere goes."""
+    from conftest_rows import prose
+
+    copy = prose(5) + " tail"
+    rows = [(None, prose(i)) for i in range(4)] + [(None, prose(0))] + [(7, prose(4)), (7, prose(5)), (6, prose(6)), (None, prose(6)), (8, copy), (6, copy), (9, prose(9)), (9, prose(9))]
+    kept = sorted(map(str, map(tuple, simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert kept == sorted(map(str, [(None, prose(i)) for i in range(4)] + [(7, prose(4)), (6, prose(6)), (6, copy), (9, prose(9))]))
+
+
 # --- 3 ---
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.lineage import cut
+from quarry.plans.lineage import cut, lookup
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -19,15 +19,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     e = cut(e.where("a is not null and b is not null").distinct(), "edges")
     # each node's smaller neighbours hang from the least of them: where many edges lead to the same few nodes, few are left
     least = cut(e.groupBy("b").agg(F.min("a").alias("m")), "least")
-    e = e.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))
+    e = lookup(e, least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
+        near = lookup(both, labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         step = cut(labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")), "step")
-        jump = step.select(F.col("node").alias("at"), F.col("component").alias("to"))
-        labels = cut(step.join(jump, step.component == jump["at"], "left").select("node", "old", F.coalesce("to", "component").alias("component")), "labels")
-        done = labels.where("old <> component").limit(1).count() == 0
+        # the label of a node's label; labels are nodes themselves
+        named = step.select("component").distinct().join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component")
+        labels = cut(lookup(step, cut(named, "jump"), "component").select("node", "old", F.col("to").alias("component")), "labels")
+        done = labels.where("old <> component").isEmpty()
         labels = labels.select("node", "component")
         if done:
             return labels

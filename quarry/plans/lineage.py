@@ -1,4 +1,4 @@
-"""Cutting lineage, size-checked broadcasts and global ranks."""
+"""Cutting lineage, size-checked broadcasts, lookups on skewed keys and global ranks."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one is set in local mode (tests); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,6 +36,23 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
+    """rows inner-joined by equal keys with a table that holds each key once, however skewed the keys of rows are.
+
+    A table counted to be small is broadcast. Of a larger one, the part of the keys that hold over
+    1 / BROADCAST_ROWS of rows (so at most BROADCAST_ROWS keys) is broadcast, and only the rest is shuffled.
+    Both sides are read more than once: give written tables.
+    """
+    keys = [key] if isinstance(key, str) else key
+    small = bounded(table)
+    if small is not table:
+        return rows.join(small, keys)
+    least = max(1000, rows.count() // BROADCAST_ROWS)
+    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > least).select(*keys), "hot")
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys)
+    return rows.join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys).unionByName(cold)
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Add a gapless 0-based rank by `order` without one global window.
 

@@ -1,6 +1,7 @@
 """A local session for all tests."""
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -21,6 +22,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

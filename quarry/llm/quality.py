@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,10 +14,32 @@ from quarry.llm.text import small_batches, utf8
 from quarry.plans.lineage import bounded, cut
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Smallest standard deviation of each transformed statistic: below it, differences mean nothing.
-FLOORS = (0.9, 0.12, 0.06, 0.12, 0.12)
-#: What the variance of the nearest half of normal rows is multiplied with, so that it is that of their nearest three quarters, for which MOST was set.
-WIDEN = 1.36
+#: Standard deviations that are added to each transformed statistic's own: differences of that size mean nothing. Several
+#: statistics are zero in most documents, so the core of half of them has no spread there and its matrix could not be inverted.
+TOLERANCE = (0.9, 0.12, 0.06, 0.12, 0.12)
+#: Share of the rows in the core, concentration steps, and the rows of a language's estimate that count in that of one of its cells.
+HALF, STEPS, PRIOR = 0.5, 4, 100
+#: Chance that a document of a normal population is rejected.
+LEVEL = 1e-9
+
+
+def chi_squared(x: float, degrees: int) -> float:
+    """Share of a chi-squared distribution of an odd number of degrees at or below x."""
+    total, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, degrees, 2):
+        total -= term
+        term *= x / (k + 2)
+    return total
+
+
+def chi_quantile(share: float, degrees: int, above: bool = False) -> float:
+    """The x up to which (above: beyond which) that share lies."""
+    low, high = 0.0, 200.0
+    for _ in range(200):
+        x = (low + high) / 2
+        at = chi_squared(x, degrees)
+        low, high = (x, high) if (1 - at > share if above else at < share) else (low, x)
+    return x
 
 
 def text_stats(text: bytes) -> tuple[int, int, int, int, int]:
@@ -76,11 +100,20 @@ def _distance() -> Column:
     return total
 
 
-def _precision(n: Column, sums: Column, products: Column) -> Column:
-    """(mean, precision) of a group from its sums; covariances are multiplied with WIDEN, and variances have FLOORS squared added, so the matrix can be inverted."""
+_ESTIMATE = StructType([StructField("mean", ArrayType(DoubleType())), StructField("cov", ArrayType(DoubleType())), StructField("precision", ArrayType(DoubleType())), StructField("det", DoubleType())])
+_ESTIMATES = pa.struct([("mean", pa.list_(pa.float64())), ("cov", pa.list_(pa.float64())), ("precision", pa.list_(pa.float64())), ("det", pa.float64())])
+
+
+def consistency(half: float, d: int) -> float:
+    """What the scatter of the nearest `half` of normal rows is multiplied with to be that of all."""
+    return half / chi_squared(chi_quantile(half, d), d + 2)
+
+
+def _matrices(n: Column, sums: Column, products: Column, factor: float) -> Column:
+    """Struct (mean, cov, precision, det) from a group's sums: cov is the scatter times `factor`, plus TOLERANCE squared; det its determinant's logarithm."""
     d = len(STATS)
 
-    @F.arrow_udf(StructType([StructField("mean", ArrayType(DoubleType())), StructField("precision", ArrayType(DoubleType()))]))
+    @F.arrow_udf(_ESTIMATE)
     def of(count: pa.Array, s: pa.Array, p: pa.Array) -> pa.Array:
         out = []
         for c, a, b in zip(count.to_pylist(), s.to_pylist(), p.to_pylist()):
@@ -88,85 +121,139 @@ def _precision(n: Column, sums: Column, products: Column) -> Column:
             cov = np.zeros((d, d))
             cov[np.triu_indices(d)] = np.array(b) / c
             cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            out.append({"mean": mean.tolist(), "precision": np.linalg.inv(WIDEN * cov + np.diag(np.square(FLOORS))).ravel().tolist()})
-        return pa.array(out, pa.struct([("mean", pa.list_(pa.float64())), ("precision", pa.list_(pa.float64()))]))
+            cov = factor * cov + np.diag(np.square(TOLERANCE))
+            out.append({"mean": mean.tolist(), "cov": cov.ravel().tolist(), "precision": np.linalg.inv(cov).ravel().tolist(), "det": float(np.linalg.slogdet(cov)[1])})
+        return pa.array(out, _ESTIMATES)
 
     return of(n, sums, products)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """(keys, mean, cov, precision, det) from rows (keys, x): grouped sums only."""
     d = len(STATS)
     x = [F.get("x", F.lit(i)) for i in range(d)]
     sums = F.array(*[F.sum(v) for v in x])
     products = F.array(*[F.sum(x[i] * x[j]) for i in range(d) for j in range(i, d)])
-    sums_ = rows.groupBy("group").agg(F.count("*").alias("n"), sums.alias("s"), products.alias("p"))
-    return sums_.withColumn("e", _precision(F.col("n"), F.col("s"), F.col("p"))).select("group", "e.mean", "e.precision")
-
-
-def group_names(df: DataFrame, least: int, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, group): a language and source with at least `least` passing rows is a group; smaller ones pool by language, then all together."""
-    cells = df.groupBy(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
-    langs = cells.groupBy(F.col("lang").alias("l")).agg(F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0)).alias("rest"))
-    name = F.when(F.col("n") >= least, F.to_json(F.array("lang", "source"))).when(F.col("rest") >= least, F.to_json(F.array("lang"))).otherwise("all")
-    return cells.join(langs, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", name.alias("group"))
+    sums_ = rows.groupBy(*keys).agg(F.count("*").alias("n"), sums.alias("s"), products.alias("p"))
+    return sums_.withColumn("e", _matrices(F.col("n"), F.col("s"), F.col("p"), factor)).select(*keys, "e.*")
 
 
-def estimate(passing: DataFrame, steps: int = 4, half: float = 0.5, least: int = 100, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, mean, precision) by minimum-covariance-determinant concentration steps over all passing rows.
+def _starts(keyed: DataFrame) -> DataFrame:
+    """(group, start, mean, precision): three starts that withstand outliers in nearly half of a group, about its coordinate medians.
 
-    Starts from coordinate medians and median deviations, which like the core of a half stand up to outliers
-    in nearly half of a group; each step keeps the `half` of a
-    group's rows nearest by Mahalanobis distance and estimates anew. Every step is a
-    grouped sum and a mergeable quantile sketch, so no group is brought together.
+    Scatters of the rows scaled by their median deviations: diagonal, of their directions (spatial signs), and of their hyperbolic tangents.
     """
     d = len(STATS)
-    names = cut(group_names(passing, least, lang_col, source_col), "groups")
-    keyed = passing.join(bounded(names), passing[lang_col].eqNullSafe(names["lang"]) & passing[source_col].eqNullSafe(names["source"])).select("group", "x")
-    keyed = cut(keyed, "vectors")
     middle = lambda x: F.percentile_approx(x, 0.5, 1000)
     medians = cut(keyed.groupBy("group").agg(F.array(*[middle(F.get("x", F.lit(i))) for i in range(d)]).alias("mean")), "medians")
-    off = [middle(F.abs(F.get("x", F.lit(i)) - F.get("mean", F.lit(i)))).alias(f"m{i}") for i in range(d)]
-    start = keyed.join(bounded(medians), "group").groupBy("group").agg(F.first("mean").alias("mean"), *off)
-    spread = [F.pow(F.col(f"m{i}") * 1.4826, F.lit(2.0)) + FLOORS[i] ** 2 for i in range(d)]
-    matrix = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    now = cut(start.select("group", "mean", matrix.alias("precision")), "start")
+    off = [middle(F.abs(F.get("x", F.lit(i)) - F.get("mean", F.lit(i)))) for i in range(d)]
+    scale = F.array(*[F.sqrt(F.pow(m * 1.4826, F.lit(2.0)) + TOLERANCE[i] ** 2) for i, m in enumerate(off)])
+    scales = cut(keyed.join(bounded(medians), "group").groupBy("group").agg(F.first("mean").alias("mean"), scale.alias("scale")), "scales")
+    z = F.transform("x", lambda v, i: (v - F.get("mean", i)) / F.get("scale", i))
+    length = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))
+    kinds = F.array(F.transform("z", lambda v: v * 0), F.transform("z", lambda v: v / F.greatest(length, F.lit(1e-9)) * math.sqrt(d)), F.transform("z", F.tanh))
+    rows = keyed.join(bounded(scales), "group").select("group", z.alias("z")).select("group", F.posexplode(kinds).alias("start", "x"))
+    shapes = _moments(rows, ["group", "start"], 1.0)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def precision(cov: pa.Array, scale: pa.Array, start: pa.Array) -> pa.Array:
+        out = []
+        for c, s, k in zip(cov.to_pylist(), scale.to_pylist(), start.to_pylist()):
+            shape = np.eye(d) if k == 0 else np.array(c).reshape(d, d) - np.diag(np.square(TOLERANCE)) + 0.01 * np.eye(d)
+            out.append(np.linalg.inv(np.outer(s, s) * shape).ravel().tolist())
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return shapes.select("group", "start", "cov").join(bounded(scales), "group").select("group", "start", "mean", precision(F.col("cov"), F.col("scale"), F.col("start")).alias("precision"))
+
+
+def mcd(keyed: DataFrame, half: float = HALF, steps: int = STEPS) -> DataFrame:
+    """(group, mean, cov) by minimum covariance determinant over all rows (group, x).
+
+    From each of three starts, a step keeps the `half` of a group's rows nearest by Mahalanobis
+    distance and estimates anew, which never raises the determinant; of the starts the one with the least
+    determinant counts. Every step is a grouped sum and a mergeable quantile
+    sketch, so no group is brought together. The scatter is made consistent with the normal distribution.
+    """
+    factor = consistency(half, len(STATS))
+    now = cut(_starts(keyed), "starts")
     for _ in range(steps):
-        far = keyed.join(bounded(now), "group").select("group", "x", _distance().alias("d2"))
-        limit = cut(far.groupBy("group").agg(F.percentile_approx("d2", half, 10000).alias("most")), "limit")
-        core = far.join(bounded(limit), "group").where("d2 <= most")
-        now = cut(_moments(core), "estimate")
-    return cut(names.join(bounded(now), "group").select("lang", "source", "mean", "precision"), "estimates")
+        far = keyed.join(bounded(now), "group").select("group", "start", "x", _distance().alias("d2"))
+        limit = cut(far.groupBy("group", "start").agg(F.percentile_approx("d2", half, 10000).alias("most")), "limit")
+        now = cut(_moments(far.join(bounded(limit), ["group", "start"]).where("d2 <= most"), ["group", "start"], factor), "estimate")
+    return now.groupBy("group").agg(F.min_by(F.struct("mean", "cov"), "det").alias("e")).select("group", "e.*")
 
 
-def judged(df: DataFrame, estimates: DataFrame, most: float, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """df (with STATS and x) with base_failed, d2 and kept added; a row of no estimated group is kept unless it fails the base."""
-    e = estimates.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "mean", "precision")
-    out = df.join(bounded(e), df[lang_col].eqNullSafe(F.col("__lang")) & df[source_col].eqNullSafe(F.col("__source")), "left")
-    out = out.withColumn("base_failed", base_failed()).withColumn("d2", _distance())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= most)).drop("__lang", "__source", "mean", "precision")
+def _shrunk(levels: list[tuple[Column, Column, Column]]) -> Column:
+    """Struct (mean, precision) of (n, mean, cov) from all rows down to a cell: each level counts with weight n against PRIOR rows of the one above."""
+    d = len(STATS)
+
+    @F.arrow_udf(StructType([StructField("mean", ArrayType(DoubleType())), StructField("precision", ArrayType(DoubleType()))]))
+    def of(*columns: pa.Array) -> pa.Array:
+        out = []
+        for row in zip(*(c.to_pylist() for c in columns)):
+            mean, cov = np.array(row[1]), np.array(row[2]).reshape(d, d)
+            for k in range(3, len(row), 3):
+                w = row[k] / (row[k] + PRIOR)
+                m, c = np.array(row[k + 1]), np.array(row[k + 2]).reshape(d, d)
+                cov = w * c + (1 - w) * cov + w * (1 - w) * np.outer(m - mean, m - mean)
+                mean = w * m + (1 - w) * mean
+            out.append({"mean": mean.tolist(), "precision": np.linalg.inv(cov).ravel().tolist()})
+        return pa.array(out, pa.struct([("mean", pa.list_(pa.float64())), ("precision", pa.list_(pa.float64()))]))
+
+    return of(*[c for level in levels for c in level])
+
 
+def estimate(passing: DataFrame, half: float = HALF, level: float = LEVEL) -> DataFrame:
+    """(lang, source, mean, precision, most) from the passing rows (lang, source, x): robust estimates of each cell of language and source.
 
-#: Squared distance from which a document is rejected. Generous: chi-squared with 5 degrees is below 37 for all but one in a million.
-MOST = 60.0
+    Estimates are made of cells, languages and all rows; a cell's is drawn towards its language's, and that towards the one of all, the more the fewer rows it has.
+    most: the squared distance beyond which a row is an outlier. It is the chi-squared quantile of `level`; where
+    a language's own median distance is larger than the chi-squared one, it is larger in proportion.
+    """
+    d = len(STATS)
+    names = [F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("all")]
+    keyed = cut(passing.select(F.explode(F.array(*names)).alias("group"), "x"), "vectors")
+    found = cut(mcd(keyed, half).join(bounded(cut(keyed.groupBy("group").agg(F.count("*").alias("n")), "sizes")), "group"), "mcd")
+    cells = passing.groupBy("lang", "source").agg(F.count("*").alias("rows"))
+    parts = []
+    for k, name in enumerate(reversed(names)):
+        mine = found.select(F.col("group").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("mean").alias(f"m{k}"), F.col("cov").alias(f"c{k}"))
+        cells = cells.join(bounded(mine), name == F.col(f"g{k}"))
+        parts.append((F.col(f"n{k}"), F.col(f"m{k}"), F.col(f"c{k}")))
+    cells = cut(cells.select("lang", "source", _shrunk(parts).alias("e")).select("lang", "source", "e.*"), "cells")
+    lang, source = F.col("lang").alias("__lang"), F.col("source").alias("__source")
+    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    far = passing.select("lang", "source", "x").join(bounded(cells.select(lang, source, "mean", "precision")), same)
+    spread = cut(far.groupBy("lang").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("middle")), "spread")
+    most = chi_quantile(level, d, above=True) * F.greatest(F.lit(1.0), F.col("middle") / chi_quantile(0.5, d))
+    return cut(cells.join(bounded(spread.withColumnRenamed("lang", "__lang")), F.col("lang").eqNullSafe(F.col("__lang"))).select("lang", "source", "mean", "precision", most.alias("most")), "estimates")
+
+
+def judged(df: DataFrame, estimates: DataFrame) -> DataFrame:
+    """df (lang, source, STATS, x and others) with base_failed, d2 and kept added; a row of no estimated cell is kept unless it fails the base."""
+    e = estimates.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "mean", "precision", "most")
+    out = df.join(bounded(e), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+    out = out.withColumn("base_failed", base_failed()).withColumn("d2", _distance())
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("most"), F.lit(True))).drop("__lang", "__source", "mean", "precision", "most")
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", most: float = MOST) -> DataFrame:
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id, STATS, base_failed, d2, kept) for every row of df, over whole texts.
 
-    Null text: no words, fails the base. Null language or source: a group like others. Repeated rows come back each.
+    Null text: no words, fails the base. Null language or source: a cell like others. Repeated rows come back each.
     Other columns are not read. Empty table: no rows.
     """
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), stats(F.col(text_col)).alias("s"))
     rows = cut(rows.select("id", "lang", "source", "s.*").withColumn("x", vector()), "stats")
-    return judged(rows, estimate(rows.where(~base_failed())), most).drop("lang", "source", "x").withColumnRenamed("id", id_col)
+    return judged(rows, estimate(rows.where(~base_failed()))).drop("lang", "source", "x").withColumnRenamed("id", id_col)
 
 
-def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", most: float = MOST) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of df that quality() keeps, with its columns. Texts are read twice rather than shuffled: the estimates are a small lookup."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), stats(F.col(text_col)).alias("s")).select("lang", "source", "s.*")
     rows = cut(rows.where(~base_failed()).select("lang", "source", vector().alias("x")), "stats")
     columns = F.struct(*[F.col(c) for c in df.columns]).alias("row")
     again = df.select(columns, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), stats(F.col(text_col)).alias("s")).select("row", "lang", "source", "s.*").withColumn("x", vector())
-    return judged(again, estimate(rows), most).where("kept").select("row.*")
+    return judged(again, estimate(rows)).where("kept").select("row.*")

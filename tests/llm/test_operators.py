@@ -297,6 +297,28 @@ def test_quality_outliers(spark):
     assert kept == {k for k, v in r.items() if v["kept"]}
 
 
+def test_mcd_brute_force(spark):
+    """The least determinant over all halves of 14 rows, by trying each; the estimate reaches it."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    x = np.array([[rng.gauss(0, 0.05) for _ in range(5)] for _ in range(9)] + [[rng.gauss(8, 2) for _ in range(5)] for _ in range(5)])
+    factor, floor = quality.consistency(0.5, 5), np.diag(np.square(quality.TOLERANCE))
+    least = min(np.linalg.slogdet(factor * np.cov(x[list(c)].T, bias=True) + floor)[1] for c in itertools.combinations(range(14), 7))
+    df = spark.createDataFrame([("g", r.tolist()) for r in x] + [("one", x[0].tolist())], "group string, x array<double>")
+    r = got(quality.mcd(df), "group")
+    assert np.linalg.slogdet(np.array(r["g"]["cov"]).reshape(5, 5))[1] <= least + 0.1
+    assert abs(np.array(r["g"]["mean"])).max() < 0.2 and r["one"]["mean"] == pytest.approx(x[0].tolist())
+
+
+def test_chi_squared():
+    assert quality.chi_quantile(0.5, 5) == pytest.approx(4.3515, abs=1e-3) and quality.chi_quantile(1e-6, 5, above=True) == pytest.approx(35.89, abs=0.05)
+    assert quality.chi_squared(4.3515, 7) == pytest.approx(0.2614, abs=2e-3)
+
+
 @pytest.mark.parametrize("n", [75, 123])
 def test_quality_large_outlier_groups(spark, n):
     """A third, or 45 %, of a cell's rows are junk."""

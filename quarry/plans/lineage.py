@@ -31,6 +31,12 @@ def cut(df: DataFrame, label: str = "cut", partition_by: str | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was written under a path of the shared folder and is no longer read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most `rows` rows, else as it is (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quarry.llm.text import small_batches, utf8
+from quarry.llm.text import carried, small_batches, unpacked, utf8
+from quarry.plans.lineage import bounded, cut
 
 #: Fixed by the contract: words are runs of digits, letters a-z and all bytes of other characters.
 _DELIMITERS = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+#: The same words as a pattern, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a block, from which shifts and buckets are looked up.
 BLOCK = 2
 
@@ -89,49 +93,66 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: i
         yield block
 
 
-def find_items(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_windows: int = 100_000) -> DataFrame:
-    """df with n_words, n_hit (words inside an occurrence of a window), items (sorted ids as strings) and contaminated added.
+def hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_windows: int = 100_000) -> DataFrame:
+    """(digest, n_hit, items) of each different text of df in which a window occurs; digest is the binary md5 of the text.
 
     The benchmark is the stated query set. Its windows are searched in blocks of
-    block_windows, each broadcast as Wu-Manber tables and run against every document;
-    documents are neither shuffled nor grouped.
-
-    Null text has no words. A benchmark text of fewer than `size` words is one window; null or without words, none.
-    A null item id marks hits but is not listed. Repeated rows and items change nothing. Columns named like the added ones are replaced. Empty tables work.
+    block_windows: a block is broadcast as Wu-Manber tables, run against every document, and taken
+    down again before the next, so one block is the most that a worker holds. Only what is found is written.
     """
-    small_batches(df.sparkSession)
-    kind = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))])
-    arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    spark = df.sparkSession
+    small_batches(spark)
+    kind = StructType([StructField("spans", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))])
+    arrow = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
     def finder(tables) -> Column:
         @F.arrow_udf(kind)
         def find(texts: pa.Array) -> pa.Array:
-            out = []
-            for t in texts:
-                words = item_words(t.as_py())
-                spans, items = search(words, tables.value)
-                out.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
-            return pa.array(out, arrow)
-
-        return find(utf8(F.col(text_col)))
-
-    sc = df.sparkSession.sparkContext
-    names = []
-    found = {}
+            found = [search(item_words(t.as_py()), tables.value) for t in texts]
+            return pa.array([{"spans": spans, "items": sorted(items)} for spans, items in found], arrow)
+
+        # a filter on what it finds would otherwise be pushed below, with a second pass over the texts
+        return find.asNondeterministic()(utf8(F.col(text_col)))
+
+    parts = []
     for block in _blocks(benchmark, item_col, item_text_col, size, block_windows):
-        names.append(f"__found{len(names)}")
-        found[names[-1]] = finder(sc.broadcast(build(block)))
-    if not names:
-        names, found = ["__found0"], {"__found0": finder(sc.broadcast([]))}
-    out = df.withColumns(found)
-    spans = F.flatten(F.array(*[F.col(f"{n}.spans") for n in names]))
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int")), lambda i: F.struct(F.get(spans, i * 2).alias("s"), F.get(spans, i * 2 + 1).alias("e"))))
+        tables = spark.sparkContext.broadcast(build(block))
+        part = df.select(text_digest(text_col).alias("digest"), finder(tables).alias("f")).where(F.size("f.spans") > 0)
+        parts.append(cut(part.select("digest", "f.*"), "found"))
+        tables.destroy()
+    if not parts:
+        return spark.createDataFrame([], "digest binary, n_hit long, items array<string>")
+    found = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    spans = F.col("spans")
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int") - 1), lambda i: F.struct(F.get(spans, i * 2).alias("s"), F.get(spans, i * 2 + 1).alias("e"))))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     merged = F.aggregate(
-        F.filter(pairs, lambda p: p["s"].isNotNull()),
+        pairs,
         start,
         lambda a, p: F.struct(F.greatest(a["end"], p["e"]).alias("end"), (a["hit"] + F.greatest(F.lit(0), p["e"] - F.greatest(a["end"], p["s"]))).cast("long").alias("hit")),
     )
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
-    out = out.withColumns({"n_words": F.col("__found0.n_words"), "n_hit": merged["hit"], "items": items}).withColumn("contaminated", F.col("n_hit") > 0)
-    return out.drop(*names)
+    return cut(found.select("digest", merged["hit"].alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items")), "hits")
+
+
+def text_digest(text_col: str) -> Column:
+    """Binary md5 of a text; null is empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def find_items(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_windows: int = 100_000) -> DataFrame:
+    """df with n_words, n_hit (words inside an occurrence of a window), items (sorted ids as strings) and contaminated added.
+
+    Null text has no words. A benchmark text of fewer than `size` words is one window; null or without words, none.
+    A null item id marks hits but is not listed. Repeated rows and items change nothing. Columns named like the added ones are replaced. Empty tables work.
+    """
+    found = hits(df, benchmark, text_col, item_col, item_text_col, size, block_windows)
+    rows = df.select(carried(df), text_digest(text_col).alias("digest"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = rows.join(bounded(found), "digest", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return rows.select(*unpacked(df, {"n_words": F.col("n_words"), "n_hit": n_hit, "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": n_hit > 0}))
+
+
+def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
+    """The rows of df in which no window of the benchmark occurs, with its columns."""
+    found = hits(df, benchmark, text_col, item_col, item_text_col, size).select(F.col("digest"))
+    return df.select(carried(df), text_digest(text_col).alias("digest")).join(bounded(found), "digest", "left_anti").select("row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.text import n_words
@@ -33,29 +33,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
     return ranked.withColumn("target", F.least("cap", F.col("weight") * level)).drop("at", "cap", "weight")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
-    """Return (id, size, source_size, target, taken) for every row; the rows are those of df.
+def _with_key(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
+    """(key, h): a source's name that is never null, and a document's hash, of its id or, without one, of its text."""
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.coalesce(F.col(text_col), F.lit("")))))
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
+    return key.alias("key"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h")
 
-    A source takes each document whole floor(target / size of source) times, and once
-    more those whose hash lies below its threshold. The threshold is found from sums of
-    words by hash bucket: the first level over all rows, each next one over the rows of
-    the boundary bucket only, until that holds one document. The document on the
-    boundary is taken if that brings the source nearer its target.
 
-    Null text: size 0. Null source: a source of its own, last. Repeated rows share a
-    hash and are taken together. Other columns are not read. Empty table: no rows.
+def thresholds(base: DataFrame, weights: tuple[int, ...], share: float, max_repeat: int) -> DataFrame:
+    """(key, source_size, target, whole, used, stop) of each source of base (source, key, size, h).
+
+    A source takes each document `whole` times, and once more those whose first `used` hash bits are below
+    `stop`. It is found from sums of words by hash bucket: the first level over all rows, each next one over
+    the rows of the boundary bucket only, until that holds one document. The document on the
+    boundary is taken if that brings the source nearer its target.
     """
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
-    base = cut(
-        df.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("key"),
-            n_words(F.col(text_col)).alias("size"),
-            F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-        ),
-        "mix",
-    )
     sizes = base.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = cut(source_targets(sizes, weights, share, max_repeat).withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
@@ -75,8 +67,34 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             break
     # a document at or below the last prefix is taken once more, or only below it
     stop = F.col("prefix") + F.when(F.col("left") * 2 >= F.col("words"), 1).otherwise(0)
-    lookup = plan.select("key", "source_size", "target", "whole").join(edge.select("key", stop.alias("stop")), "key", "left")
-    more = F.when(F.shiftright("h", HASH_BITS - used) < F.col("stop"), 1).otherwise(0)
-    return base.join(bounded(lookup), "key").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + more)).cast("long").alias("taken"), (F.col("whole") + more).cast("int").alias("copies")
-    )
+    found = plan.select("key", "source_size", "target", "whole", F.lit(used).alias("used")).join(edge.select("key", stop.alias("stop")), "key", "left")
+    return cut(found, "thresholds")
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when(F.expr(f"shiftright(h, {HASH_BITS} - used)") < F.col("stop"), 1).otherwise(0)).cast("int")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
+    """Return (id, size, source_size, target, taken, copies) for every row; the rows are those of df.
+
+    A source takes each document whole floor(target / size of source) times, and once
+    more those whose hash lies below its threshold (see thresholds).
+
+    Null text: size 0. Null source: a source of its own, last. Rows of one id share a hash and are taken together, and so
+    are rows without id of one text. Other columns are not read. Empty table: no rows.
+    """
+    key, h = _with_key(df, id_col, text_col, source_col)
+    base = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key, n_words(F.col(text_col)).alias("size"), h), "mix")
+    found = thresholds(base, weights, share, max_repeat)
+    taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return base.join(bounded(found), "key").withColumn("copies", _copies()).select(F.col("id").alias(id_col), "size", "source_size", "target", taken, "copies")
+
+
+def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
+    """The rows of df, each as often as mix() takes it, with its columns. Sources are looked up in the scan: no text is shuffled."""
+    key, h = _with_key(df, id_col, text_col, source_col)
+    base = cut(df.select(F.col(source_col).alias("source"), key, n_words(F.col(text_col)).alias("size"), h), "mix")
+    found = thresholds(base, weights, share, max_repeat)
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), key, h).join(bounded(found), "key")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), _copies()))).select("row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the contracts: a word is a run outside space and U+0009 to U+000D.
@@ -32,3 +32,13 @@ def n_words(text: Column) -> Column:
 def utf8(text: Column) -> Column:
     """The text's bytes; null is empty. bytes.split() and bytes.lower() then follow WORD and A-Z exactly."""
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def carried(df: DataFrame) -> Column:
+    """A row of df as one struct `row`, so that none of its columns can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, added: dict[str, Column]) -> list[Column]:
+    """The columns of df out of `row`, and the added ones, which replace those of the same name."""
+    return [F.col("row")[c].alias(c) for c in df.columns if c not in added] + [c.alias(n) for n, c in added.items()]

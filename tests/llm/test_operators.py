@@ -228,7 +228,22 @@ def test_shards(docs, rows, spark):
     for r in found:
         if r["doc_id"] >= 132:
             groups.setdefault(r["doc_id"] // 3, set()).add(r["shard"])
-    assert sum(len(v) > 1 for v in groups.values()) <= 30
+    assert all(len(v) == 1 for v in groups.values())
+    again = sharding.shard(many.repartition(7), shards=6).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_shards_whole_groups(spark):
+    """Groups of up to a shard's size stay whole though they fill half of all shards; the largest one is cut at shard ends only."""
+    sizes = [45, 40, 38, 30, 22, 20, 17, 9, 5, 5, 4, 3, 2, 2]
+    rows = [(1000 * k + i, f"text {k}") for k, n in enumerate(sizes) for i in range(n)] + [(10**6 + i, f"own {i}") for i in range(240)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect()
+    check_shards(found, len(rows), 10)
+    homes = {}
+    for r in found:
+        if r["doc_id"] < 10**6:
+            homes.setdefault(r["doc_id"] // 1000, set()).add(r["shard"])
+    assert all(len(homes[k]) == 1 for k, n in enumerate(sizes) if n <= 48)
 
 
 def test_shards_odd(odd, empty):
@@ -250,12 +265,16 @@ def test_lines(docs, rows):
 
 
 def test_lines_levels(spark):
-    runs = linededup.LineRuns(spark, 3, fanout=2)
-    for batch in ([1, 2], [1, 2, 4], [1, 3], [1, 4], [4, 5]):
-        runs.add(spark.createDataFrame([(x,) for x in batch], "h long"))
-    assert {r[0] for r in runs.frequent().collect()} == {1, 4}
-    assert len(runs.levels) > 2 and runs.full
-    runs.close()
+    with linededup.LineRuns(spark, 3, fanout=2) as runs:
+        for batch in ([1, 2], [1, 2, 4], [1, 3], [1, 4], [4, 5]):
+            runs.add(spark.createDataFrame([(x, x) for x in batch], "h long, g long"))
+        assert {r[0] for r in runs.frequent().collect()} == {1, 4}
+        assert len(runs.levels) > 2 and runs.full
+        counts = spark.table(runs.levels[-1][0])
+        plan = runs.unseen(counts)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+        names = [*runs.full, *(n for level in runs.levels for n in level)]
+    assert not any(spark.catalog.tableExists(n) for n in names)
 
 
 def test_lines_odd(odd, empty):

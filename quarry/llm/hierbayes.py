@@ -80,20 +80,25 @@ def evidence(text: Column, models: list[tuple[np.ndarray, float]], spark) -> Col
     return of(utf8(text))
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, targets: tuple[str, ...]) -> list[tuple[np.ndarray, float]]:
-    """One model for each target column (0 or 1) of labels, fitted on at most SAMPLE_ROWS labelled rows, chosen by hash."""
-    known = labels.where(" and ".join(f"{t} is not null" for t in targets)).groupBy(F.col(id_col).alias("__id")).agg(*[F.max(t).alias(f"__{t}") for t in targets])
-    n = known.count()
-    part = F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / max(n, 1)))
-    chosen = known.where(part).limit(SAMPLE_ROWS)
-    rows = df.select(F.col(id_col), F.col(text_col)).join(bounded(chosen), F.col(id_col) == F.col("__id")).select(feature_list(F.col(text_col)).alias("f"), *[f"__{t}" for t in targets])
-    table = cut(rows, "sample").orderBy(F.xxhash64("f")).limit(SAMPLE_ROWS).toArrow()
+def known_labels(labels: DataFrame, id_col: str, targets: tuple[str, ...]) -> DataFrame:
+    """(id, targets) of the documents with all labels; of repeated ones the larger counts."""
+    known = labels.where(F.col(id_col).isNotNull()).where(" and ".join(f"{t} is not null" for t in targets))
+    return cut(known.groupBy(F.col(id_col).alias("id")).agg(*[F.max(t).alias(t) for t in targets]), "labels")
+
+
+def learn(df: DataFrame, known: DataFrame, id_col: str, text_col: str, targets: tuple[str, ...]) -> list[tuple[np.ndarray, float]]:
+    """One model for each target column (0 or 1) of known, fitted on at most SAMPLE_ROWS labelled rows, those of least hash."""
+    lot = F.xxhash64("id", F.lit(3))
+    share = min(1.0, 1.5 * SAMPLE_ROWS / max(known.count(), 1))
+    chosen = known.where(F.pmod(lot, F.lit(1 << 20)) < int((1 << 20) * share)).orderBy(F.pmod(lot, F.lit(1 << 20)), "id").limit(SAMPLE_ROWS)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(cut(chosen, "chosen")), "id").select("id", feature_list(F.col("text")).alias("f"), *targets)
+    table = cut(rows, "sample").orderBy(lot, F.xxhash64("f")).limit(SAMPLE_ROWS).toArrow()
     if not len(table):
         return [(np.zeros(BUCKETS), 0.0) for _ in targets]
     lists = table["f"].combine_chunks()
     at = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(table), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-    return [fit(at, row, table[f"__{t}"].to_numpy().astype(float)) for t in targets]
+    return [fit(at, row, table[t].to_numpy().astype(float)) for t in targets]
 
 
 def _logit(p: Column) -> Column:
@@ -111,22 +116,26 @@ def _shrink(sites: DataFrame, prior: Column, weight: str = "n") -> float:
     return float(min(max(base / between - 1, 1.0), 1000.0))
 
 
-def posteriors(rows: DataFrame, col: str) -> DataFrame:
-    """(host, path, host_rate, path_rate) from rows (host, path, `col`: a probability).
+def sites(rows: DataFrame, col: str) -> tuple[DataFrame, float, float, float]:
+    """Sums of each path (host, path, n, good, host_n, host_good) of rows (host, path, `col`: 0 to 1), the overall rate, and the prior strengths of hosts and paths.
 
-    A host's mean is shrunk towards the global mean, a path's towards its host's, so a
+    A host's mean is drawn towards the overall one, a path's towards its host's, so a
     sparse site follows its parent. Sums by path come first; those by host and in all are made from them.
     """
     paths = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(col).alias("good")), "paths")
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
     overall = (good or 0.0) / n if n else 0.5
-    strength = _shrink(hosts, F.lit(overall))
-    hosts = cut(hosts.select(F.col("host").alias("h"), ((F.col("good") + strength * overall) / (F.col("n") + strength)).alias("host_rate")), "host_rates")
-    joined = cut(paths.join(bounded(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h"), "path_rates")
-    strength = _shrink(joined, F.col("host_rate"))
-    rate = (F.col("good") + strength * F.col("host_rate")) / (F.col("n") + strength)
-    return joined.select("host", "path", "host_rate", rate.alias("path_rate"), F.lit(overall).alias("overall"))
+    strong = _shrink(hosts, F.lit(overall))
+    mine = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
+    found = cut(paths.join(bounded(mine), F.col("host").eqNullSafe(F.col("h"))).drop("h"), "sites")
+    return found, overall, strong, _shrink(found, (F.col("host_good") + strong * overall) / (F.col("host_n") + strong))
+
+
+def _rates(overall: float, host_strength: float, path_strength: float, own: Column) -> tuple[Column, Column]:
+    """(host rate, path rate) for a document whose own value is left out, so that its evidence does not count twice."""
+    host = (F.col("host_good") - own + host_strength * overall) / (F.col("host_n") - 1 + host_strength)
+    return host, (F.col("good") - own + path_strength * host) / (F.col("n") - 1 + path_strength)
 
 
 def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +143,8 @@ def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
 
     quality_doc is the document classifier's probability, host_quality and path_quality the shrunk site
     rates, quality the posterior from the document's evidence under its path's rate;
-    toxic likewise. kept: quality at least 0.5 and toxic below 0.5. Statistics cover all rows.
+    toxic likewise. kept: quality at least 0.5 and toxic below 0.5. Site sums cover all rows: labels where there are
+    any, else the classifier's probability; a document's own part is left out of the rates that it is judged by.
 
     Null text is empty. Null hosts and paths are sites of their own. Labels with nulls are not learned from; of repeated labels the larger counts.
     Without labels everything is 0.5 and kept is false. Repeated rows come back each. Empty table: no rows.
@@ -142,14 +152,21 @@ def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     spark = df.sparkSession
     small_batches(spark)
     targets = ("quality", "toxic")
-    models = learn(df, labels, id_col, text_col, targets)
-    rows = cut(df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), evidence(F.col(text_col), models, spark).alias("z")), "evidence")
+    known = known_labels(labels, id_col, targets)
+    models = learn(df, known, id_col, text_col, targets)
+    rows = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), evidence(F.col(text_col), models, spark).alias("z"))
+    rows = cut(rows, "evidence")
+    rows = rows.join(bounded(known), "id", "left").select("id", "host", "path", "z", *[F.col(t).alias(f"{t}_label") for t in targets])
     for i, t in enumerate(targets):
         rows = rows.withColumn(f"{t}_doc", 1 / (1 + F.exp(-F.get("z", F.lit(i)))))
+        rows = rows.withColumn(f"{t}_own", F.coalesce(F.col(f"{t}_label").cast("double"), F.col(f"{t}_doc")))
+    rows = cut(rows, "values")
     for t in targets:
-        sites = posteriors(rows, f"{t}_doc").select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("host_rate").alias(f"host_{t}"), F.col("path_rate").alias(f"path_{t}"), "overall")
-        rows = rows.join(bounded(sites), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-        logit = _logit(F.col(f"{t}_doc")) + _logit(F.col(f"path_{t}")) - _logit(F.col("overall"))
-        rows = rows.withColumn(t, 1 / (1 + F.exp(-logit))).drop("h", "p", "overall")
+        found, overall, host_strength, path_strength = sites(rows, f"{t}_own")
+        rows = rows.join(bounded(found.withColumnsRenamed({"host": "h", "path": "p"})), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+        host_rate, path_rate = _rates(overall, host_strength, path_strength, F.col(f"{t}_own"))
+        rows = rows.withColumns({f"host_{t}": host_rate, f"path_{t}": path_rate})
+        logit = _logit(F.col(f"{t}_doc")) + _logit(F.col(f"path_{t}")) - _logit(F.lit(overall))
+        rows = rows.withColumn(t, 1 / (1 + F.exp(-logit))).drop("h", "p", "n", "good", "host_n", "host_good")
     kept = (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)
     return rows.select(F.col("id").alias(id_col), "quality_doc", "host_quality", "path_quality", "quality", "toxic", kept.alias("kept"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quarry.llm.text import small_batches
-from quarry.plans.lineage import cut
+from quarry.plans.lineage import bounded, cut
 
 #: Hash functions of a filter, cells for each n-gram, and the largest filter (cells): 128 MB for 64 languages, the bound of what is broadcast.
 HASHES, CELLS_PER_GRAM, MOST_CELLS = 3, 12, 1 << 24
@@ -85,10 +85,10 @@ def gram_counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 class Filter:
     """Languages and their bit-sliced Bloom filter: row c of `cells` has bit l of its word l // 64 set if language l set cell c."""
 
-    def __init__(self, langs: list[str], bits: int, cells: np.ndarray):
+    def __init__(self, langs: list[str], bits: int, cells: np.ndarray, false: np.ndarray | None = None):
         self.langs, self.bits, self.cells = langs, bits, cells
-        #: Chance that an n-gram that a language does not have looks as if it had.
-        self.false = np.array([self._has(cells, i).mean() ** HASHES for i in range(len(langs))])
+        #: Chance that an n-gram that a language does not have looks as if it had. It takes a pass over all cells, once.
+        self.false = false if false is not None else np.array([self._has(cells, i).mean() ** HASHES for i in range(len(langs))])
 
     @staticmethod
     def _has(masks: np.ndarray, i: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     counts = cut(gram_counts(train, text_col, lang_col), "grams")
     sizes = cut(train.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("docs")), "sizes")
     least = F.greatest(F.ceil(F.col("docs") * share), F.least(F.col("docs"), F.lit(2)))
-    common = counts.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(F.col("n") >= least).select("lang", "gram")
+    common = counts.join(bounded(sizes), F.col("lang") == F.col("l")).where(F.col("n") >= least).select("lang", "gram")
     common = cut(common, "common")
     langs = [r[0] for r in common.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
@@ -130,7 +130,7 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
             for c in cells_of(grams, bits):
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(at // 64), pa.array(np.left_shift(np.uint64(1), (at % 64).astype(np.uint64)).astype(np.int64))], ["cell", "word", "mask"])
 
-    placed = common.join(F.broadcast(number), F.col("lang") == F.col("l")).select("gram", "at").mapInArrow(place, "cell long, word long, mask long")
+    placed = common.join(bounded(number), F.col("lang") == F.col("l")).select("gram", "at").mapInArrow(place, "cell long, word long, mask long")
     table = placed.groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
     cells = np.zeros((1 << bits, (len(langs) + 63) // 64), np.uint64)
     cells[table["cell"].to_numpy(), table["word"].to_numpy()] = table["mask"].to_numpy().astype(np.uint64)
@@ -142,7 +142,7 @@ def predict(text: Column, found: Filter | None, spark) -> Column:
 
     Null, or no letters, or nothing learned: `und`, 0. Letters but no known n-gram: the first language, 0.
     """
-    known = spark.sparkContext.broadcast(found and (found.langs, found.bits, found.cells))
+    known = spark.sparkContext.broadcast(found and (found.langs, found.bits, found.cells, found.false))
 
     @F.arrow_udf(StructType([StructField("lang", StringType()), StructField("score", DoubleType())]))
     def of(texts: pa.Array) -> pa.Array:

@@ -46,28 +46,35 @@ def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
-#: Arguments of the tool that op7_link_tool_calls reads into each question.
-ANSWER_TOOL: dict[str, toolchat.Schema] = {
-    "answer": {"prompt": {"type": "string", "required": True, "minLength": 1, "maxLength": 300}, "turn": {"type": "integer", "required": True, "minimum": 0, "maximum": 5}}
+#: Arguments of the tools that op7_link_tool_calls writes calls of.
+TOOLS: dict[str, toolchat.Schema] = {
+    "answer": {"prompt": {"type": "string", "required": True, "minLength": 1, "maxLength": 300}, "turn": {"type": "integer", "required": True, "minimum": 0, "maximum": 5}},
+    "count": {"n": {"type": "integer", "required": True, "maximum": 200}},
 }
 
 
+def tool_messages(turns: DataFrame) -> DataFrame:
+    """conversations (conv_id, turn, role, text) as tool messages in JSON.
+
+    A user's turn t calls the tool `answer` under the identifier t mod 6 (so turns 6 and 7 repeat one) and needs the result of turn t - 2; every
+    third conversation calls `count` in the same message too, under t + 100, with arguments given as a string. An assistant's turn t is the result of call t - 1, in
+    every fourth conversation of call t + 1, which comes later or never. Other turns stay plain.
+    """
+    t, number = F.col("turn"), lambda x: x.cast("string")
+    answer = F.struct(F.col("text").alias("prompt"), t)
+    one = F.struct(number(t % 6).alias("id"), F.lit("answer").alias("name"), answer.alias("arguments"), number(t - 2).alias("after"))
+    function = lambda name, arguments: F.struct(F.lit(name).alias("name"), F.to_json(arguments).alias("arguments"))
+    entry = lambda id_, f, after: F.struct(id_.alias("id"), f.alias("function"), after.alias("after"))
+    two = F.array(entry(number(t % 6), function("answer", answer), number(t - 2)), entry(number(t + 100), function("count", F.struct(F.length("text").alias("n"))), F.lit(None).cast("string")))
+    result = F.struct(number(F.when(F.col("conv_id") % 4 == 0, t + 1).otherwise(t - 1)).alias("tool_call_id"), F.col("text").alias("content"))
+    called = F.when(F.col("conv_id") % 3 == 0, F.to_json(F.struct(two.alias("tool_calls")))).otherwise(F.to_json(one))
+    return turns.select("conv_id", "turn", "role", F.when(F.col("role") == "user", called).when(F.col("role") == "assistant", F.to_json(result)).otherwise(F.col("text")).alias("text"))
+
+
 def op7_link_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of `conversations` as a canonical message. A user's turn is read as a call of the tool `answer`, an assistant's as the result of the call before it."""
+    """Each message of `conversations`, written as tool calls and results by tool_messages, read back, linked, ordered and serialised."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    asks, answers = F.col("role") == "user", F.col("role") == "assistant"
-    of = F.when(asks, F.col("turn")).when(answers, F.col("turn") - 1)
-    prompt = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn")))
-    messages = turns.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.when(~asks, F.col("text")).alias("content"),
-        F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), of).alias("call_id"),
-        F.when(asks, F.lit("answer")).alias("name"),
-        F.when(asks, prompt).alias("arguments"),
-    )
-    return toolchat.link_calls(messages, ANSWER_TOOL)
+    return toolchat.link_calls(toolchat.parse_messages(tool_messages(turns)), TOOLS)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,30 +124,43 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN cum < need OR cum - size < need AND (need - (cum - size)) * 2 >= size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c""",
     "op7_link_tool_calls": r"""
-WITH m AS (
-  SELECT conv_id, turn, role, text,
-         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-         CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS of_turn
-  FROM conversations),
-calls AS (SELECT conv_id, of_turn, min(turn) AS call_turn FROM m WHERE kind = 'call' GROUP BY ALL),
-results AS (SELECT conv_id, of_turn, count(*) AS results FROM m WHERE kind = 'result' GROUP BY ALL),
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, 0 AS part, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         CASE role WHEN 'user' THEN turn % 6 WHEN 'assistant' THEN CASE WHEN conv_id % 4 = 0 THEN turn + 1 ELSE turn - 1 END END AS id,
+         'answer' AS name, CASE role WHEN 'user' THEN turn - 2 END AS after
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, turn, 1, role, text, 'call', turn + 100, 'count', NULL FROM conversations WHERE role = 'user' AND conv_id % 3 = 0),
+results AS (SELECT conv_id, id, min(turn) AS result_turn FROM m WHERE kind = 'result' GROUP BY ALL),
+calls AS (
+  SELECT c.*, r.result_turn FROM (SELECT conv_id, id, min((turn, part, after)) AS f FROM m WHERE kind = 'call' GROUP BY ALL) c LEFT JOIN results r USING (conv_id, id)),
+k AS (SELECT conv_id, id, f[1] AS turn, f[2] AS part, f[3] AS after, result_turn FROM calls),
+-- every call that a call waits for, directly or not, and how many steps lie between
+chain AS (
+  SELECT conv_id, id, id AS up, 0 AS far FROM k
+  UNION
+  SELECT c.conv_id, c.id, p.id, c.far + CASE WHEN p.result_turn IS NULL THEN 1 ELSE 2 END
+  FROM chain c JOIN k x ON x.conv_id = c.conv_id AND x.id = c.up JOIN k p ON p.conv_id = x.conv_id AND p.id = x.after WHERE c.far < 100),
+asked AS (
+  SELECT c.conv_id, c.id, k.turn, c.far AS step FROM chain c JOIN k ON k.conv_id = c.conv_id AND k.id = c.up
+  UNION ALL
+  SELECT c.conv_id, c.id, p.result_turn, c.far + 2 FROM chain c JOIN k x ON x.conv_id = c.conv_id AND x.id = c.up JOIN k p ON p.conv_id = x.conv_id AND p.id = x.after WHERE p.result_turn IS NOT NULL),
+placed AS (SELECT conv_id, id, max((turn, step)) AS spot FROM asked GROUP BY ALL),
 j AS (
-  SELECT m.*, c.call_turn, r.results, 'call-' || m.conv_id || '-' || m.of_turn AS call_id
-  FROM m LEFT JOIN calls c ON c.conv_id = m.conv_id AND c.of_turn = m.of_turn
-  LEFT JOIN results r ON r.conv_id = m.conv_id AND r.of_turn = m.of_turn)
-SELECT conv_id, turn, kind, call_id,
-       CASE kind WHEN 'call' THEN results IS NOT NULL WHEN 'result' THEN call_turn IS NOT NULL END AS linked,
-       CASE WHEN kind = 'call' THEN concat_ws(',',
-         CASE WHEN text IS NULL THEN 'prompt:required' END,
-         CASE WHEN length(text) < 1 THEN 'prompt:minLength' END,
-         CASE WHEN length(text) > 300 THEN 'prompt:maxLength' END,
-         CASE WHEN turn < 0 THEN 'turn:minimum' END, CASE WHEN turn > 5 THEN 'turn:maximum' END) END AS errors,
-       CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN greatest(turn, call_turn) ELSE turn END AS order_turn,
-       CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS order_step,
-       CASE kind
-         WHEN 'call' THEN '{"role":"user","tool_call":{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"answer"}}'
-         WHEN 'result' THEN '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":"tool","tool_call_id":"' || call_id || '"}'
-         ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || '}' END AS json
+  SELECT m.*, k.turn AS call_turn, k.result_turn, p.spot, m.kind = 'call' AND (m.turn <> k.turn OR m.part <> k.part) AS repeated
+  FROM m LEFT JOIN k ON k.conv_id = m.conv_id AND k.id = m.id LEFT JOIN placed p ON p.conv_id = m.conv_id AND p.id = m.id)
+SELECT conv_id, turn, part, kind, CAST(id AS VARCHAR) AS call_id,
+       CASE WHEN repeated THEN false WHEN kind = 'call' THEN result_turn IS NOT NULL WHEN kind = 'result' THEN call_turn IS NOT NULL END AS linked,
+       CASE WHEN kind = 'call' THEN concat_ws(',', CASE WHEN repeated THEN 'id:repeated' END,
+         CASE WHEN name = 'count' AND text IS NULL THEN 'n:required' WHEN name = 'count' AND length(text) > 200 THEN 'n:maximum' END,
+         CASE WHEN name = 'answer' AND text IS NULL THEN 'prompt:required' WHEN name = 'answer' AND length(text) < 1 THEN 'prompt:minLength' WHEN name = 'answer' AND length(text) > 300 THEN 'prompt:maxLength' END,
+         CASE WHEN name = 'answer' AND turn < 0 THEN 'turn:minimum' WHEN name = 'answer' AND turn > 5 THEN 'turn:maximum' END) END AS errors,
+       CASE WHEN kind = 'call' AND NOT repeated THEN spot[1] WHEN kind = 'result' AND spot IS NOT NULL THEN greatest((turn, 0), (spot[1], spot[2] + 1))[1] ELSE turn END AS order_turn,
+       CASE WHEN kind = 'call' AND NOT repeated THEN spot[2] WHEN kind = 'result' AND spot IS NOT NULL THEN greatest((turn, 0), (spot[1], spot[2] + 1))[2] ELSE 0 END AS order_step,
+       CASE WHEN kind = 'call' AND name = 'count' THEN '{"role":"user","tool_call":{"arguments":{' || coalesce('"n":' || length(text), '') || '},"id":"' || id || '","name":"count"}}'
+            WHEN kind = 'call' THEN '{"role":"user","tool_call":{"arguments":{' || coalesce('"prompt":' || to_json(text) || ',', '') || '"turn":' || turn || '},"id":"' || id || '","name":"answer"}}'
+            WHEN kind = 'result' THEN '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":"tool","tool_call_id":"' || id || '"}'
+            ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' END AS json
 FROM j""",
     "op4_drop_repeated_lines": r"""
 WITH lines AS (

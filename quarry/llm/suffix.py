@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quarry.llm import bitfilter
-from quarry.llm.text import small_batches, utf8
-from quarry.plans.lineage import bounded, cut
+from quarry.llm.text import carried, small_batches, unpacked, utf8
+from quarry.plans.lineage import bounded, cut, lookup
 
 #: Length of the strings, and of the anchor in each of them by which equal ones meet.
 LENGTH, ANCHOR = 100, 32
@@ -34,7 +34,7 @@ def suffix_array(text: list[int]) -> list[int]:
     group when the one behind its prefix has been placed. No names are given and no recursion is needed.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    order = np.argsort(np.asarray(text), kind="stable").tolist()  # a radix sort
     where = [0] * n  # place of a suffix in order
     group = [0] * n  # first place of a suffix's group, its name
     size = [0] * n  # by first place
@@ -204,38 +204,79 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return h[at[start]], start, np.diff(np.r_[start, n]), at[start] - start
 
 
+def _hashes(data: bytes) -> list[np.ndarray]:
+    """Anchor hashes of a text, at most two of each chunk's equal ones, which tell that a hash repeats."""
+    out = []
+    for offset in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
+        h, n = np.unique(anchors(data[offset : offset + CHUNK + LENGTH - 1])[0], return_counts=True)
+        out.append(np.repeat(h, np.minimum(n, 2)))
+    return out
+
+
 def _repeated_filter(docs: DataFrame) -> np.ndarray:
     """Bit filter of the anchor hashes that occur twice or more in docs (column data)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(x.as_py())[0] for x in batch.column(0)]
+            found = [h for x in batch.column(0) for h in _hashes(x.as_py())]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(h, np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
     return bitfilter.repeated(docs.select("data").mapInArrow(count, "h long, n long"))
 
 
-_PIECE = "doc long, m long, h long, p long, start int, windows int, anchor int, bytes binary"
+_PIECE = "doc long, m long, h long, p binary, start int, windows int, anchor int, bytes binary"
+#: Windows whose anchors are looked for at a time, so that the arrays of a very long text stay bounded.
+CHUNK = 1 << 21
+
+
+def _cut_out(data: bytes, wanted) -> Iterator[tuple]:
+    """(h, start, windows, anchor, bytes) of the pieces whose anchor is wanted; bytes is None for windows that repeat the piece just before.
+
+    In a run of one byte, or of a short period, each piece equals the one before it: such pieces are given as one stretch of
+    windows that start earlier, so the run costs no more than its length.
+    """
+    last, stretch = None, None
+    for offset in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
+        h, start, windows, place = anchors(data[offset : offset + CHUNK + LENGTH - 1])
+        ok = wanted(h)
+        for k, s, w, a in zip(h[ok].view(np.int64).tolist(), (start[ok] + offset).tolist(), windows[ok].tolist(), place[ok].tolist()):
+            piece = data[s : s + w + LENGTH - 1]
+            if last is not None and last[0] == k and last[1] == piece:
+                if stretch and stretch[1] == s:
+                    stretch = (stretch[0], s + w)
+                else:
+                    if stretch:
+                        yield None, stretch[0], stretch[1] - stretch[0], 0, None
+                    stretch = (s, s + w)
+            else:
+                last = (k, piece)
+                yield k, s, w, a, piece
+    if stretch:
+        yield None, stretch[0], stretch[1] - stretch[0], 0, None
 
 
 def _pieces(docs: DataFrame, known) -> DataFrame:
-    """Pieces of docs (doc, m, data) whose anchor passes the filter; p is the XXH64 of the bytes."""
+    """Pieces of docs (doc, m, data) whose anchor passes the filter; p is the XXH3 (128 bits) of the bytes. Rows without bytes are windows that start earlier in the document."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        names = ["doc", "m", "h", "p", "start", "windows", "anchor", "bytes"]
+        cols: list[list] = [[] for _ in names]
+        size = 0
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for doc, m, data in zip(*(c.to_pylist() for c in batch.columns)):
-                h, start, windows, place = anchors(data)
-                ok = bitfilter.passes(known.value, h)
-                for k, s, w, a in zip(h[ok].view(np.int64).tolist(), start[ok].tolist(), windows[ok].tolist(), place[ok].tolist()):
-                    piece = data[s : s + w + LENGTH - 1]
-                    for col, x in zip(cols, (doc, m, k, xxhash.xxh64_intdigest(piece) - (1 << 63), s, w, a, piece)):
+            for doc, m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for k, s, w, a, piece in _cut_out(data.as_py(), lambda h: bitfilter.passes(known.value, h)):
+                    digest = None if piece is None else xxhash.xxh3_128_digest(piece)
+                    for col, x in zip(cols, (doc, m, k, digest, s, w, a, piece)):
                         col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "m", "h", "p", "start", "windows", "anchor", "bytes"])
+                    size += len(piece or b"")
+                    if size > ARRAY_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                        cols, size = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
     return docs.select("doc", "m", "data").mapInArrow(cut_out, _PIECE)
 
@@ -282,14 +323,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     its windows are grouped one by one.
     """
     known = docs.sparkSession.sparkContext.broadcast(_repeated_filter(docs))
-    pieces = cut(_pieces(docs, known), "pieces")
+    cut_out = cut(_pieces(docs, known), "pieces")
+    pieces, within = cut_out.where("bytes is not null"), cut_out.where("bytes is null")
     place = F.struct("doc", "m", "start")
     kinds = cut(pieces.groupBy("h", "p").agg(F.min(place).alias("first"), F.count("*").alias("n")), "kinds")
-    again = pieces.select("doc", "m", "h", "p", "start", "windows").join(kinds.where("n > 1").select("h", "p", "first"), ["h", "p"]).where(place != F.col("first"))
-    spans = again.select("doc", "m", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("windows") + LENGTH - 1).cast("long").alias("e"))
+    again = lookup(pieces.select("doc", "m", "h", "p", "start", "windows"), kinds.where("n > 1").select("h", "p", "first"), ["h", "p"]).where(place != F.col("first"))
+    whole = lambda rows: rows.select("doc", "m", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("windows") + LENGTH - 1).cast("long").alias("e"))
+    spans = whole(again).unionByName(whole(within))
     several = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     firsts = kinds.join(bounded(several), "h").select("h", "p", "first", "kinds")
-    mixed = cut(pieces.join(firsts, ["h", "p"]).where(place == F.col("first")).select("h", "kinds", "doc", "m", "start", "windows", "anchor", "bytes"), "mixed")
+    mixed = cut(lookup(pieces, cut(firsts, "firsts"), ["h", "p"]).where(place == F.col("first")).select("h", "kinds", "doc", "m", "start", "windows", "anchor", "bytes"), "mixed")
     groups = mixed.where(F.col("kinds") <= GROUP_PIECES).groupBy("h").agg(F.collect_list(F.struct("bytes", "doc", "m", "start", "windows", "anchor")).alias("pieces"))
     spans = spans.unionByName(groups.select(F.explode(_group_spans(F.col("pieces"))).alias("x")).select("x.*"))
     single = mixed.where(F.col("kinds") > GROUP_PIECES).select("doc", "m", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))
@@ -309,17 +352,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share an id only are ordered by a hash of their text. Columns named like the added ones are replaced. Empty table: no rows.
     """
     small_batches(df.sparkSession)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    names = df.select(doc.alias("doc"), F.xxhash64(text).alias("m"), F.md5(text).alias("digest"), F.octet_length(text).cast("long").alias("e"))
-    names = cut(names, "names")
-    firsts = names.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    copies = cut(names.join(firsts, "digest").where(F.col("doc") > F.col("first")).select("doc", "m", "e").distinct(), "copies")
-    docs = df.select(doc.alias("doc"), F.xxhash64(text).alias("m"), utf8(F.col(text_col)).alias("data"))
+    m = F.xxhash64(text).alias("m")
+    names = cut(df.select(doc, m, F.unhex(F.md5(text)).alias("digest"), F.octet_length(text).cast("long").alias("e")), "names")
+    firsts = cut(names.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("digest", "first"), "firsts")
+    copies = cut(lookup(names, firsts, "digest").where(F.col("doc") > F.col("first")).select("doc", "m", "e").distinct(), "copies")
+    docs = df.select(doc, m, utf8(F.col(text_col)).alias("data"))
     spans = repeated_spans(docs.join(bounded(copies.select("doc", "m")), ["doc", "m"], "left_anti"))
     spans = spans.unionByName(copies.where(F.col("e") >= LENGTH).select("doc", "m", F.lit(0).cast("long").alias("s"), "e"))
-    spans = spans.groupBy(F.col("doc").alias("__doc"), F.col("m").alias("__m")).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
-    joined = df.join(spans.hint("shuffle_hash"), (doc == F.col("__doc")) & (F.xxhash64(text) == F.col("__m")), "left")
+    spans = spans.groupBy("doc", "m").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    joined = df.select(carried(df), doc, m, utf8(F.col(text_col)).alias("data")).join(spans.hint("shuffle_hash"), ["doc", "m"], "left")
 
     kind = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())])
 
@@ -336,6 +379,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append({"n_removed": sum(e - s for s, e in runs), "n_spans": len(runs), "kept_sha256": digest.hexdigest()})
         return pa.array(out, pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return joined.withColumn("__kept", keep(utf8(F.col(text_col)), F.col("__spans"))).withColumns(
-        {"n_bytes": F.octet_length(text).cast("long"), "n_removed": F.col("__kept.n_removed"), "n_spans": F.col("__kept.n_spans"), "kept_sha256": F.col("__kept.kept_sha256")}
-    ).drop("__doc", "__m", "__spans", "__kept")
+    rows = joined.select("row", F.octet_length("data").cast("long").alias("n_bytes"), keep(F.col("data"), F.col("spans")).alias("kept"))
+    return rows.select(*unpacked(df, {"n_bytes": F.col("n_bytes"), **{c: F.col(f"kept.{c}") for c in ("n_removed", "n_spans", "kept_sha256")}}))

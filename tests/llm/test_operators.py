@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table, and on odd rows and an empty table."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
@@ -422,6 +423,25 @@ def test_tool_calls(spark):
     assert toolchat.link_calls(toolchat.parse_messages(df.limit(0)), schema).count() == 0
 
 
+def test_tool_chains(spark):
+    """Chains over several calls, several calls in a message, arguments in a string, repeated identifiers, circles and clashing columns."""
+    call = lambda i, after=None: json.dumps({"id": i, "name": "f", "arguments": '{"x": 1}', "after": after})
+    raw = [
+        (1, 1, call("d", "c")), (1, 2, call("c", "b")), (1, 3, call("b", "a")), (1, 4, call("a")),
+        (1, 9, json.dumps({"tool_call_id": "a", "content": "late"})),
+        (2, 1, json.dumps({"tool_calls": [{"id": "p", "function": {"name": "f", "arguments": '{"x": 1}'}}, {"id": "q", "function": {"name": "f", "arguments": "no json"}}]})),
+        (2, 2, call("p")),
+        (3, 1, call("u", "v")), (3, 5, call("v", "u")), (3, 7, call("w", "none")),
+    ]
+    df = spark.createDataFrame([(c, t, "assistant", x, 1, "y") for c, t, x in raw], "conv_id long, turn long, role string, text string, v int, c string")
+    r = {(x["conv_id"], x["turn"], x["part"]): x for x in toolchat.link_calls(toolchat.parse_messages(df), {"f": {"x": {"type": "integer"}}}).collect()}
+    at = {k: (x["order_turn"], x["order_step"]) for k, x in r.items()}
+    assert (at[1, 4, 0], at[1, 9, 0], at[1, 3, 0], at[1, 2, 0], at[1, 1, 0]) == ((4, 0), (9, 0), (9, 2), (9, 3), (9, 4))
+    assert r[2, 1, 0]["errors"] == "" and r[2, 1, 1]["errors"] == "arguments:type" and r[2, 2, 0]["errors"] == "id:repeated"
+    assert r[2, 1, 0]["json"] == '{"role":"assistant","tool_call":{"arguments":{"x":1},"id":"p","name":"f"}}'
+    assert at[3, 7, 0] == (7, 0) and at[3, 1, 0] == (1, 0) and at[3, 5, 0] == (5, 0) and len(r) == 11
+
+
 # --- 8 ---
 
 
@@ -501,12 +521,17 @@ def test_suffixes_odd(odd, empty):
 # --- 10 ---
 
 
-def test_posteriors(spark):
+def test_sites(spark):
+    """Rates against the formulas in plain numbers, and a document's own value left out."""
     rows = [("big", "big/a", 1.0)] * 80 + [("big", "big/a", 0.0)] * 20 + [("bad", "bad/a", 0.0)] * 90 + [("bad", "bad/b", 1.0)] * 2 + [(None, None, 1.0)]
-    got_ = {r["path"]: r for r in hierbayes.posteriors(spark.createDataFrame(rows, "host string, path string, p double"), "p").collect()}
-    assert got_["big/a"]["path_rate"] > 0.7 and got_["bad/a"]["path_rate"] < 0.1
-    assert got_["bad/a"]["path_rate"] < got_["bad/b"]["path_rate"] < 1.0
-    assert 0.4 < got_[None]["host_rate"] < 1.0
+    found, overall, strong, weak = hierbayes.sites(spark.createDataFrame(rows, "host string, path string, p double"), "p")
+    assert overall == pytest.approx(83 / 193)
+    rated = found.withColumn("own", F.when(F.col("path") == "bad/b", 1.0).otherwise(0.0)).withColumn("r", F.struct(*hierbayes._rates(overall, strong, weak, F.col("own"))))
+    got_ = {r["path"]: r["r"][1] for r in rated.collect()}
+    host = lambda good, n: (good + strong * overall) / (n + strong)
+    path = lambda good, n, h: (good + weak * h) / (n + weak)
+    assert got_["big/a"] == pytest.approx(path(80, 99, host(80, 99))) and got_["bad/a"] == pytest.approx(path(0, 89, host(2, 91)))
+    assert got_["bad/b"] == pytest.approx(path(1, 1, host(1, 91))) and got_[None] == pytest.approx(path(1, 0, host(1, 0)))
 
 
 def test_classifier(spark):

@@ -9,7 +9,6 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.functions.json import SPACE
 
@@ -267,42 +266,57 @@ def check(edits: list[dict]) -> list[dict]:
     return edits
 
 
+def _edited(text: str | None, edits: list[dict]) -> dict:
+    """The JSON text after the edits, how many did not fit, and its spelling without them."""
+    if text is None:
+        return {"json": None, "refused": 0, "plain": None}
+    value, refused = json.loads(text), 0
+    plain = _dumps(value)
+    for e in edits:
+        if value is None and e["op"] != "set-at":
+            continue
+        try:
+            value = OPS[e["op"]](value, e)
+        except (Refused, KeyError, TypeError, AttributeError):
+            refused += 1
+    return {"json": _dumps(value), "refused": refused, "plain": plain}
+
+
+_EDITED = "struct<json:string,refused:bigint,plain:string>"
+_EDITED_ARROW = pa.struct([("json", pa.string()), ("refused", pa.int64()), ("plain", pa.string())])
+
+
 def apply_edits(text: Column, edits: list[dict]) -> Column:
-    """Struct (json, refused): the JSON text after the edits in order, and how many did not fit. Null and JSON null pass through."""
+    """Struct (json, refused, plain): the JSON text after the edits in order, how many did not fit, and the text in the same spelling without them. Null and JSON null pass through."""
     edits = check(edits)
 
-    @F.arrow_udf(StructType([StructField("json", StringType()), StructField("refused", LongType())]))
+    @F.arrow_udf(_EDITED)
     def of(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            if t is None:
-                out.append({"json": None, "refused": 0})
-                continue
-            value, refused = json.loads(t), 0
-            for e in edits:
-                if value is None and e["op"] != "set-at":
-                    continue
-                try:
-                    value = OPS[e["op"]](value, e)
-                except (Refused, KeyError, TypeError, AttributeError):
-                    refused += 1
-            out.append({"json": _dumps(value), "refused": refused})
-        return pa.array(out, pa.struct([("json", pa.string()), ("refused", pa.int64())]))
+        return pa.array([_edited(t, edits) for t in texts.to_pylist()], _EDITED_ARROW)
+
+    return of.asNondeterministic()(text)
 
-    return of(text)
+
+def apply_by_format(text: Column, fmt: Column, edits: dict[str, list[dict]]) -> Column:
+    """The same struct with each row's edits chosen by its format; rows of other formats stay."""
+    edits = {f: check(e) for f, e in edits.items()}
+
+    @F.arrow_udf(_EDITED)
+    def of(texts: pa.Array, formats: pa.Array) -> pa.Array:
+        return pa.array([_edited(t, edits.get(f, [])) for t, f in zip(texts.to_pylist(), formats.to_pylist())], _EDITED_ARROW)
+
+    return of.asNondeterministic()(text, fmt)
 
 
 def redact_json(text: Column, enabled: str | list[str] | None = None) -> Column:
     """Struct (json, matches): the JSON text with personal data replaced in every string value, keys untouched."""
-    from quarry.operators.pii import PATTERNS, enabled_names
+    from quarry.operators.pii import Finder, enabled_names
 
     names = enabled_names(enabled)
-    rules = [(n, PATTERNS[n][0], PATTERNS[n][1]) for n in names]
 
-    @F.arrow_udf(StructType([StructField("json", StringType()), StructField("matches", LongType())]))
+    @F.arrow_udf("struct<json:string,matches:bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        compiled = [(n, re.compile(p, re.ASCII), token) for n, p, token in rules]
-        out = []
+        find, out = Finder(names), []
         for t in texts.to_pylist():
             if t is None:
                 out.append({"json": None, "matches": 0})
@@ -311,27 +325,11 @@ def redact_json(text: Column, enabled: str | list[str] | None = None) -> Column:
 
             def change(s: str) -> str:
                 nonlocal count
-                for n, p, token in compiled:
-
-                    def one(m: re.Match, n=n, token=token) -> str:
-                        nonlocal count
-                        if n == "cc" and not _luhn(m[0]):
-                            return m[0]
-                        count += 1
-                        return token
-
-                    s = p.sub(one, s)
+                s, n = find.redact(s)
+                count += n
                 return s
 
             out.append({"json": _dumps(_on_strings(json.loads(t), change)), "matches": count})
         return pa.array(out, pa.struct([("json", pa.string()), ("matches", pa.int64())]))
 
-    return of(text)
-
-
-def _luhn(match: str) -> bool:
-    digits = [int(c) for c in match if c.isdigit()]
-    if not 13 <= len(digits) <= 19:
-        return False
-    doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))]
-    return sum(doubled) % 10 == 0
+    return of.asNondeterministic()(text)

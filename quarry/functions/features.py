@@ -5,91 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.json import elements, is_object, json_type, key, minified, strict_variant, text_of, top_keys, trimmed, utf16_length
-
-#: Roles of the strict chat format, and the formats' names.
-CHAT_ROLES = ("system", "user", "assistant", "tool", "function")
-CHAT_FORMATS = ("openai-chat", "openai-chat-loose", "sharegpt")
-TURNS = "array<struct<role:string,content:string>>"
-
-
-def _string(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
-
-
-def _is(v: Column, name: str, kind: str) -> Column:
-    return F.coalesce(json_type(key(v, name)) == kind, F.lit(False))
-
-
-def _has(v: Column, name: str) -> Column:
-    return key(v, name).isNotNull()
-
-
-def _all(v: Column, name: str, test) -> Column:
-    items = elements(key(v, name))
-    return F.coalesce((F.size(items) > 0) & F.forall(items, lambda m: F.coalesce(test(m), F.lit(False))), F.lit(False))
-
-
-def detect_format(v: Column) -> Column:
-    """The row format of a variant; the first that fits of openai-chat, openai-chat-loose, sharegpt, preference-pair, alpaca, completion, text, qa, object. array and unknown for what is no object."""
-    strict = _all(v, "messages", lambda m: is_object(m) & _is(m, "role", "string") & _string(m, "$.role").isin(*CHAT_ROLES) & _has(m, "content"))
-    loose = _all(v, "messages", lambda m: is_object(m) & _has(m, "role") & _has(m, "content"))
-    share = _all(v, "conversations", lambda m: is_object(m) & (_has(m, "from") | _has(m, "role")) & (_has(m, "value") | _has(m, "content")))
-    alpaca = _is(v, "instruction", "string") & (_is(v, "output", "string") | _is(v, "response", "string"))
-    qa = (_is(v, "question", "string") | _is(v, "q", "string")) & (_is(v, "answer", "string") | _is(v, "a", "string"))
-    few = F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) <= 3
-    return (
-        F.when(elements(v).isNotNull(), "array")
-        .when(~is_object(v), "unknown")
-        .when(strict, "openai-chat")
-        .when(loose, "openai-chat-loose")
-        .when(share, "sharegpt")
-        .when(_has(v, "chosen") & _has(v, "rejected"), "preference-pair")
-        .when(alpaca, "alpaca")
-        .when(_is(v, "prompt", "string") & _is(v, "completion", "string"), "completion")
-        .when(_is(v, "text", "string") & few, "text")
-        .when(qa, "qa")
-        .otherwise("object")
-    )
-
-
-def stringify_content(c: Column) -> Column:
-    """Text of a message content: strings as they are, parts of an array joined by line ends, null empty, other values as JSON."""
-    part = lambda p: F.coalesce(text_of(p), text_of(key(p, "text")), text_of(key(p, "content")), F.lit(""))
-    return (
-        F.when(c.isNull() | F.is_variant_null(c), "")
-        .when(json_type(c) == "string", _string(c, "$"))
-        .when(elements(c).isNotNull(), F.array_join(F.transform(elements(c), part), "\n"))
-        .otherwise(F.to_json(c))
-    )
-
-
-def _filled(v: Column, *names: str) -> Column:
-    """The first of the keys that is neither missing nor null."""
-    return F.coalesce(*[F.when(~F.is_variant_null(key(v, n)), key(v, n)) for n in names])
-
-
-def _truthy(v: Column) -> Column:
-    kind, text = json_type(v), _string(v, "$")
-    return F.coalesce(~((kind == "null") | ((kind == "string") & (text == "")) | ((kind == "boolean") & (text == "false")) | (kind.isin("integer", "number") & (F.try_variant_get(v, "$", "double") == 0))), F.lit(False))
-
-
-def extract_turns(v: Column) -> Column:
-    """Turns (role, content) of a chat-like variant; empty for others."""
-    turn = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
-    role = lambda m, *names: F.coalesce(F.try_variant_get(_filled(m, *names), "$", "string"), F.lit("unknown"))
-    messages = F.transform(elements(key(v, "messages")), lambda m: turn(role(m, "role"), stringify_content(_filled(m, "content"))))
-    conversations = F.transform(elements(key(v, "conversations")), lambda m: turn(role(m, "role", "from"), stringify_content(_filled(m, "content", "value"))))
-    extra = F.when(_truthy(key(v, "input")), F.concat(F.lit("\n\n"), _string(v, "$.input"))).otherwise("")
-    alpaca = F.array(turn(F.lit("user"), F.concat(_string(v, "$.instruction"), extra)), turn(F.lit("assistant"), F.try_variant_get(_filled(v, "output", "response"), "$", "string")))
-    completion = F.array(turn(F.lit("user"), _string(v, "$.prompt")), turn(F.lit("assistant"), _string(v, "$.completion")))
-    found = (
-        F.when(messages.isNotNull(), messages)
-        .when(conversations.isNotNull(), conversations)
-        .when(_is(v, "instruction", "string") & (_is(v, "output", "string") | _is(v, "response", "string")), alpaca)
-        .when(_is(v, "prompt", "string") & _is(v, "completion", "string"), completion)
-    )
-    return F.coalesce(F.when(is_object(v), found), F.array().cast(TURNS)).cast(TURNS)
+from quarry.functions.json import minified, strict_variant, top_keys, trimmed, utf16_length
+from quarry.functions.rowscan import CHAT_FORMATS, scanned
+from quarry.functions.trees import string_leaves
 
 
 def est_tok(text: Column) -> Column:
@@ -121,16 +39,19 @@ def row_tokens() -> Column:
 
 
 def rows_table(df: DataFrame, raw_col: str = "raw", id_col: str = "row_id") -> DataFrame:
-    """The rows table of JSON texts: v, error, json, turns, fmt, char_count, tokens, top_keys, and annotation columns where df has none. Other columns pass through."""
-    out = df.withColumnsRenamed({raw_col: "raw", id_col: "row_id"}).withColumn("v", strict_variant(F.col("raw")))
-    out = out.withColumn("error", F.col("v").isNull())
+    """The rows table of JSON texts: v, error, json, turns, fmt, form_issues, char_count, tokens, top_keys, and annotation columns where df has none. Other columns pass through.
+
+    Format, turns and what is odd about them come from one Arrow pass (functions.rowscan); the other columns are expressions, and what is not used is not computed.
+    """
+    out = df.withColumnsRenamed({raw_col: "raw", id_col: "row_id"}).withColumn("__s", scanned(F.col("raw")))
+    out = out.withColumns({"error": F.col("__s.error"), "fmt": F.col("__s.fmt"), "turns": F.col("__s.turns"), "form_issues": F.col("__s.issues")}).drop("__s")
+    plain = minified(F.col("raw"))
     out = out.withColumns(
         {
-            "json": F.when(~F.col("error"), minified(F.col("raw"))),
-            "turns": extract_turns(F.col("v")),
-            "fmt": F.when(F.col("error"), "parse-error").otherwise(detect_format(F.col("v"))),
-            "char_count": F.coalesce(utf16_length(F.when(F.col("error"), F.col("raw")).otherwise(minified(F.col("raw")))), F.lit(0)).cast("long"),
-            "top_keys": F.when(is_object(F.col("v")), top_keys(F.col("raw"))).otherwise(F.array().cast("array<string>")),
+            "v": strict_variant(F.col("raw")),
+            "json": F.when(~F.col("error"), plain),
+            "char_count": F.coalesce(utf16_length(F.when(F.col("error"), F.col("raw")).otherwise(plain)), F.lit(0)).cast("long"),
+            "top_keys": F.when(F.col("error"), F.array().cast("array<string>")).otherwise(top_keys(F.col("raw"))),
         }
     )
     out = out.withColumn("tokens", estimate_tokens(F.col("char_count")))
@@ -161,27 +82,11 @@ def stratum_key(kind: str) -> Column:
     raise ValueError(f"no stratum {kind!r}: review, role or tag")
 
 
-def string_leaves(v: Column, depth: int = 4) -> Column:
-    """Strings at any place of a variant down to `depth` containers, in array and key order; a deeper one is not seen."""
-    none = F.array().cast("array<string>")
-    if depth < 0:
-        return none
-    inner = lambda x: string_leaves(x, depth - 1)
-    if depth == 0:
-        return F.when(json_type(v) == "string", F.array(_string(v, "$"))).otherwise(none)
-    values = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
-    return (
-        F.when(elements(v).isNotNull(), F.flatten(F.transform(elements(v), inner)))
-        .when(is_object(v), F.flatten(F.transform(values, inner)))
-        .when(json_type(v) == "string", F.array(_string(v, "$")))
-        .otherwise(none)
-    )
-
-
 def row_chunks() -> Column:
-    """Texts to compare of a row: raw text of an error row, contents of non-empty turns, else all non-empty strings."""
+    """Texts to compare of a row: raw text of an error row, contents of non-empty turns, else all non-empty strings, at any depth."""
     turns = F.transform("turns", lambda t: t["content"])
-    found = F.when(F.col("error"), F.array("raw")).when(F.size("turns") > 0, turns).otherwise(string_leaves(F.col("v")))
+    plain = ~F.col("error") & (F.size("turns") == 0)
+    found = F.when(F.col("error"), F.array("raw")).when(F.size("turns") > 0, turns).otherwise(string_leaves(F.when(plain, F.col("raw"))))
     return F.filter(found, lambda s: s != "")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.features import row_tokens
+from quarry.plans.lineage import running_sum
 
 
 def profile(rows: DataFrame) -> DataFrame:
@@ -25,12 +26,11 @@ def summarize(values: DataFrame, col: str, by: list[str] | None = None) -> DataF
     """count, min, max, mean, sum, p50, p90, p99 of a column, for each group of `by`.
 
     A percentile p is the value at place floor(p n) of the sorted values, the last at most. It is
-    read off counts of distinct values, so only those are sorted. No values: zeros.
+    read off counts of distinct values: these are sorted in ranges, and running counts go on from range to range, so no task sorts all. No values: zeros.
     """
     by = by or []
     counts = values.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("x")).agg(F.count("*").alias("c"))
-    run = Window.partitionBy(*by).orderBy("x")
-    steps = counts.withColumn("cum", F.sum("c").over(run)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    steps = running_sum(counts, by, "x", "c")
     at = lambda p: F.min(F.when(F.col("cum") > F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1), F.col("x")))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return steps.groupBy(*by).agg(

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.features import norm, row_chunks, row_text
 from quarry.functions.json import utf16_length
 from quarry.functions.signature import hamming64, simhash64
 from quarry.operators.aggregates import profile
-from quarry.operators.dedup import bands
+from quarry.operators.dedup import keys_of, slices
 from quarry.plans.lineage import cut
 
-#: Chunks (rows) and characters up to which one side is broadcast for containment.
-SMALL_CHUNKS, SMALL_CHARS = 20_000, 20_000_000
+#: Bytes of an anchor, and sizes of the windows in which anchors are chosen: a text is looked for by the largest that it holds.
+GRAM, WINDOWS = 8, (8, 16, 32, 64)
 
 
 def exact_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -29,40 +31,86 @@ def _chunks(rows: DataFrame, least: int) -> DataFrame:
     return found.where(utf16_length(F.col("c")) >= least)
 
 
-def _anchored(short: DataFrame, long: DataFrame, words: int) -> DataFrame:
-    """(s, l) ids of chunks where short's text is inside long's, by runs of whole words: a run of the short one, chosen by least hash, must be in the long one."""
-    split = lambda df, i: df.select(F.col("id").alias(i), F.col("c").alias(f"{i}_text"), F.split("c", " ").alias("w"))
-    run = lambda at: F.xxhash64(F.array_join(F.slice("w", at, words), " "))
-    places = lambda n: F.sequence(F.lit(1), n)
-    inner = F.size("w") - words - 1  # runs without the first and last word, which may be cut
-    one = split(short, "s").where(inner >= 1).select("s", "s_text", F.array_min(F.transform(places(inner), lambda i: run(i + 1))).alias("run"))
-    all_ = split(long, "l").where(F.size("w") >= words).select("l", "l_text", F.explode(F.array_distinct(F.transform(places(F.size("w") - words + 1), run))).alias("run"))
-    return one.join(all_, "run").where(F.contains("l_text", "s_text")).select("s", "l")
+def _hashes(data: bytes) -> np.ndarray:
+    """Hashes of all runs of GRAM bytes."""
+    x = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), GRAM).copy().view(np.uint64).ravel()
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
-def leakage_exact(a: DataFrame, b: DataFrame, min_len: int = 64, words: int = 6) -> DataFrame:
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    step = 1
+    while step * 2 <= width:
+        h = np.minimum(h[:-step], h[step:])
+        step *= 2
+    return np.minimum(h[: step - width], h[width - step :]) if width > step else h
+
+
+def _anchors(text: Column, windows: list[int]) -> Column:
+    """Array of (window, anchor): for each window size that fits, the least GRAM-byte hash of every window of so many bytes of a text. A text inside another has its anchors there too."""
+
+    @F.arrow_udf("array<struct<window:int,anchor:bigint>>")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            data, found = t.encode("utf-8", "surrogatepass"), []
+            if len(data) >= GRAM:
+                h = _hashes(data)
+                for w in windows:
+                    if len(data) >= w:
+                        found += [{"window": w, "anchor": a} for a in np.unique(_least(h, w - GRAM + 1)).view(np.int64).tolist()]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("window", pa.int32()), ("anchor", pa.int64())])))
+
+    return of(text)
+
+
+def _window(size: Column) -> Column:
+    """The largest window size that a text of so many bytes holds."""
+    out = F.lit(WINDOWS[0])
+    for w in WINDOWS[1:]:
+        out = F.when(size >= w, F.lit(w)).otherwise(out)
+    return out
+
+
+def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, l): ids of texts (id, c, size; distinct, GRAM bytes up) where short's is inside long's.
+
+    A short text is looked for under one of its anchors, the one that fewest long texts have, among
+    the windows of its own size. Only ids and hashes are joined for that, and texts only for the candidates left.
+    """
+    used = [r[0] for r in short.select(_window(F.col("size")).alias("w")).distinct().collect()]
+    if not used:
+        return short.select(F.col("id").alias("s"), F.col("id").alias("l"))
+    post = lambda df: df.select("id", "size", F.explode(_anchors(F.col("c"), used)).alias("a")).select("id", "size", "a.window", "a.anchor")
+    there = cut(post(long), "anchors")
+    counts = there.groupBy("window", "anchor").agg(F.count("*").alias("n"))
+    mine = cut(post(short).where(F.col("window") == _window(F.col("size"))), "own_anchors")
+    rare = mine.join(counts, ["window", "anchor"]).groupBy("id").agg(F.min(F.struct("n", "window", "anchor")).alias("r"), F.count("*").alias("found"))
+    # a text is inside only where all of its anchors occur somewhere
+    whole = mine.groupBy("id").agg(F.count("*").alias("all"))
+    rare = cut(rare.join(whole, "id").where("found = all").select(F.col("id").alias("s"), "r.window", "r.anchor"), "rare")
+    pairs = rare.join(there.select(F.col("id").alias("l"), "window", "anchor"), ["window", "anchor"]).select("s", "l")
+    pairs = pairs.join(short.select(F.col("id").alias("s"), F.col("c").alias("s_text")), "s").join(long.select(F.col("id").alias("l"), F.col("c").alias("l_text")), "l")
+    return pairs.where(F.contains("l_text", "s_text")).select("s", "l")
+
+
+def leakage_exact(a: DataFrame, b: DataFrame, min_len: int = 64) -> DataFrame:
     """(row_id) of rows of b with a normalised chunk (8 characters up) that contains, or is inside, a chunk of a (min_len up).
 
-    If all chunks of a are counted to fit a broadcast, they are compared with each chunk of b. Otherwise
-    a hash of a run of whole words leads to candidates in both directions; chunks with too few words for that are
-    compared with the other side's short list by broadcast after the same count.
+    Both directions go through anchors, at any size: nothing is broadcast and no side is compared with all of the other.
     """
-    left = cut(_chunks(a, min_len).select("c").distinct().select(F.xxhash64("c").alias("id"), "c"), "chunks_a")
+
+    def texts(rows: DataFrame, name: str) -> DataFrame:
+        found = rows.select("c").distinct().select(F.unhex(F.md5("c")).alias("id"), "c", F.octet_length("c").alias("size"))
+        return cut(found, name)
+
+    left = texts(_chunks(a, min_len), "texts_a")
     right = cut(_chunks(b, 8).select("row_id", "c"), "chunks_b")
-    ids = cut(right.select("c").distinct().select(F.xxhash64("c").alias("id"), "c"), "texts_b")
-    n, chars = left.agg(F.count("*"), F.sum(F.length("c"))).first()
-    if n <= SMALL_CHUNKS and (chars or 0) <= SMALL_CHARS:
-        x = F.broadcast(left.select(F.col("c").alias("x")))
-        hits = ids.join(x, F.contains("c", "x") | F.contains("x", "c"), "left_semi").select("id")
-    else:
-        hits = _anchored(left, ids, words).select(F.col("l").alias("id")).unionByName(_anchored(ids, left, words).select(F.col("s").alias("id")))
-        short = lambda df: df.where(F.size(F.split("c", " ")) < words + 2)
-        few = F.broadcast(short(left).select(F.col("c").alias("x")))
-        hits = hits.unionByName(ids.join(few, F.contains("c", "x"), "left_semi").select("id"))
-        tiny = cut(short(ids), "short")
-        inside = left.select(F.col("c").alias("x")).join(F.broadcast(tiny), F.contains("x", "c")).select("id")
-        hits = hits.unionByName(inside)
-    return right.withColumn("id", F.xxhash64("c")).join(hits.distinct(), "id", "left_semi").select("row_id").distinct()
+    ids = texts(right, "texts_b")
+    hits = _inside(left, ids).select(F.col("l").alias("id")).unionByName(_inside(ids, left).select(F.col("s").alias("id")))
+    return right.select("row_id", F.unhex(F.md5("c")).alias("id")).join(hits.distinct(), "id", "left_semi").select("row_id").distinct()
 
 
 def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4) -> DataFrame:
@@ -72,11 +120,12 @@ def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4) -> DataFrame:
         text = rows.where("not deleted").select("row_id", row_text().alias("t")).where(utf16_length(F.col("t")) >= 16)
         return cut(text.select("row_id", simhash64(F.col("t")).alias("sig")), "signatures")
 
-    x = signed(a).groupBy("sig").agg(F.min("row_id").alias("match_a"))
+    x = cut(signed(a).groupBy("sig").agg(F.min("row_id").alias("match_a")), "sigs_a")
     y = signed(b)
-    left = x.select(F.col("sig").alias("x"), "match_a", F.explode(bands(F.col("sig"), max_hamming)).alias("k"))
-    right = y.select("sig").distinct().select("sig", F.explode(bands(F.col("sig"), max_hamming)).alias("k"))
-    near = right.join(left, "k").where(hamming64(F.col("sig"), F.col("x")) <= max_hamming).groupBy("sig").agg(F.min("match_a").alias("match_a"))
+    shape = slices(x.count() + y.count(), max_hamming)
+    keyed = lambda df, *cols: df.select(*cols, F.explode(keys_of(F.col("sig"), *shape)).alias("k")).select(*cols, "k.key", "k.bits")
+    left = keyed(x, "sig", "match_a").withColumnRenamed("sig", "x")
+    near = keyed(y.select("sig").distinct(), "sig").join(left, ["key", "bits"]).where(hamming64(F.col("sig"), F.col("x")) <= max_hamming).groupBy("sig").agg(F.min("match_a").alias("match_a"))
     return y.join(near, "sig").select("row_id", "match_a")
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.features import row_assistant_text, row_text
 from quarry.functions.json import utf16_length
-from quarry.functions.signature import hamming64, simhash64
+from quarry.functions.signature import simhash64
 from quarry.operators.graph import connected_components
-from quarry.plans.lineage import cut
+from quarry.plans.lineage import cut, lookup
 
-#: Most differing bits that the band index is used for.
-MOST_BITS = 10
+#: Bits of a signature, and members of a list that are compared in one task.
+BITS, BLOCK = 64, 4096
 
 
 def exact_dedup(rows: DataFrame, key: Column | str | None = None) -> DataFrame:
@@ -21,26 +26,73 @@ def exact_dedup(rows: DataFrame, key: Column | str | None = None) -> DataFrame:
     Keys are compared by SHA-256, so texts are not shuffled.
     """
     key = row_text() if key is None else F.col(key) if isinstance(key, str) else key
-    keyed = rows.where("not deleted").select("row_id", key.alias("k")).where("k <> ''").select("row_id", F.sha2("k", 256).alias("k"))
+    keyed = rows.where("not deleted").select("row_id", key.alias("k")).where("k <> ''").select("row_id", F.unhex(F.sha2("k", 256)).alias("k"))
+    keyed = cut(keyed, "keys")
     groups = keyed.groupBy("k").agg(F.min("row_id").alias("cluster"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(groups, "k").select("row_id", "cluster")
+    return lookup(keyed, cut(groups.select("k", "cluster"), "groups"), "k").select("row_id", "cluster")
+
 
+def slices(n: int, most: int) -> tuple[int, int]:
+    """(parts, kept): parts that a signature is cut into, and how many of them a key holds; signatures that differ in at most `most` bits agree on parts - most.
 
-def bands(sig: Column, most: int) -> Column:
-    """Array of (band, bits): most + 1 slices of a signature. Signatures that differ in at most `most` bits agree on one."""
-    if not 0 <= most <= MOST_BITS:
-        raise ValueError(f"near duplicates by bands need 0 to {MOST_BITS} differing bits, not {most}")
-    n = most + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(sig, 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]).alias("bits")) for i in range(n)])
+    More parts make longer keys, and more of them. The choice costs least for n signatures: its postings, and the pairs that
+    share a key by chance. Whatever it is, every pair within `most` bits shares a key. (1, 0) is one key for all.
+    """
+    best = (n * n / 2, 1, 0)
+    for parts in range(most + 1, min(BITS, most + 10) + 1):
+        kept = parts - most
+        keys = comb(parts, kept)
+        if keys <= 3000:
+            best = min(best, (keys * (20 * n + n * n / 2 / 2 ** (BITS // parts * kept)), parts, kept))
+    return best[1:]
+
+
+def keys_of(sig: Column, parts: int, kept: int) -> Column:
+    """Array of (key, bits): every choice of `kept` of the parts of a signature."""
+    if not kept:
+        return F.array(F.struct(F.lit(0).alias("key"), F.lit(0).cast("long").alias("bits")))
+    edges = [BITS * i // parts for i in range(parts + 1)]
+    out = []
+    for k, chosen in enumerate(combinations(range(parts), kept)):
+        mask = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen)
+        out.append(F.struct(F.lit(k).alias("key"), sig.bitwiseAND(F.lit(mask - (1 << BITS) if mask >> 63 else mask)).alias("bits")))
+    return F.array(*out)
+
+
+def _linked(lists: Column, most: int) -> Column:
+    """Edges that connect the members of each list that differ in at most `most` bits: one for each newly reached member, not one for each pair."""
+
+    @F.arrow_udf("array<struct<src:bigint,dst:bigint>>")
+    def of(members: pa.Array) -> pa.Array:
+        out = []
+        for sigs in members:
+            left, found = np.unique(np.array(sigs.as_py(), np.int64)).view(np.uint64), []
+            while len(left):
+                todo, left = [left[0]], left[1:]
+                while todo and len(left):
+                    at = todo.pop()
+                    near = np.bitwise_count(left ^ at) <= most
+                    todo.extend(left[near])
+                    found += [{"src": int(at.view(np.int64)), "dst": int(x)} for x in left[near].view(np.int64)]
+                    left = left[~near]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64())])))
+
+    return of(lists)
 
 
 def similar_signatures(sigs: DataFrame, most: int) -> DataFrame:
-    """(src, dst) of distinct signatures (column sig) that differ in at most `most` bits."""
-    posted = sigs.select("sig", F.explode(bands(F.col("sig"), most)).alias("b")).select("sig", "b.band", "b.bits")
-    other = posted.withColumnRenamed("sig", "dst")
-    pairs = posted.withColumnRenamed("sig", "src").join(other, ["band", "bits"]).where("src < dst")
-    return pairs.where(hamming64(F.col("src"), F.col("dst")) <= most).select("src", "dst").distinct()
+    """(src, dst) edges that connect the distinct signatures (column sig) that differ in at most `most` (0 to 64) bits.
+
+    Signatures meet under the keys that they share. A list of over BLOCK members is dealt into blocks, and each pair
+    of its blocks is compared in a task, so no list is too large and no pair is left out.
+    """
+    posted = cut(sigs.select("sig", F.explode(keys_of(F.col("sig"), *slices(sigs.count(), most))).alias("k")).select("sig", "k.key", "k.bits"), "posted")
+    counts = cut(posted.groupBy("key", "bits").agg(F.count("*").alias("n")).where("n > 1").select("key", "bits", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "counts")
+    rows = lookup(posted, counts, ["key", "bits"]).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lists = rows.groupBy("key", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list("sig").alias("members"))
+    return lists.where(F.size("members") > 1).select(F.explode(_linked(F.col("members"), most)).alias("e")).select("e.src", "e.dst").distinct()
 
 
 def near_dedup(rows: DataFrame, text: Column | str | None = None, max_hamming: int = 6) -> DataFrame:
@@ -52,11 +104,13 @@ def near_dedup(rows: DataFrame, text: Column | str | None = None, max_hamming: i
     texts = rows.where("not deleted").select("row_id", text.alias("t")).where(utf16_length(F.col("t")) >= 16)
     signed = cut(texts.select("row_id", simhash64(F.col("t")).alias("sig")), "signatures")
     nodes = signed.groupBy("sig").agg(F.min("row_id").alias("first"), F.count("*").alias("n"))
-    found = connected_components(similar_signatures(nodes.select("sig"), max_hamming))
+    nodes = cut(nodes, "nodes")
+    found = connected_components(cut(similar_signatures(nodes.select("sig"), max_hamming), "links"))
     named = nodes.join(found, nodes.sig == found.node, "left").select("sig", "first", "n", F.coalesce("component", "sig").alias("root"))
     named = cut(named, "named")
     clusters = named.groupBy("root").agg(F.min("first").alias("cluster"), F.sum("n").alias("size")).where("size > 1")
-    return signed.join(named.join(clusters, "root").select("sig", "cluster"), "sig").select("row_id", "cluster")
+    near = cut(lookup(named, cut(clusters, "clusters"), "root").select("sig", "cluster"), "near")
+    return lookup(signed, near, "sig").select("row_id", "cluster")
 
 
 def dup_clusters(rows: DataFrame, mode: str, max_hamming: int = 6) -> DataFrame:

@@ -6,37 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.edits import apply_edits
-from quarry.functions.json import json_type, unquoted
+from quarry.functions.trees import difference_rows, node_rows, string_rows
 
 
-def explode_nodes(rows: DataFrame, depth: int = 8) -> DataFrame:
-    """(row_id, path, parent, key, type, size, value) of every node of v (columns row_id, v) down to `depth` containers.
+def explode_nodes(rows: DataFrame, depth: int | None = None) -> DataFrame:
+    """(row_id, path, parent, key, type, size, value) of every node of v (columns row_id, v), at any depth, or down to `depth` containers.
 
     Paths read $.a[0]["b c"]. size: children of a container; value: JSON of a leaf.
     """
-    spark = rows.sparkSession
-    level = rows.where("v is not null").select("row_id", F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), "v")
-    levels = [level]
-    for _ in range(depth):
-        inner = spark.sql(
-            "SELECT n.row_id, n.path AS parent, n.path AS base, e.pos AS pos, e.key AS name, e.value AS v FROM {level} AS n, LATERAL variant_explode(n.v) AS e",
-            level=levels[-1],
-        )
-        step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(unquoted(F.col("name")))
-        levels.append(inner.select("row_id", F.concat("base", step).alias("path"), "parent", F.coalesce("name", F.col("pos").cast("string")).alias("key"), "v"))
-    nodes = levels[0]
-    for x in levels[1:]:
-        nodes = nodes.unionByName(x)
-    kind = json_type(F.col("v"))
-    size = F.when(kind == "array", F.size(F.try_variant_get("v", "$", "array<variant>"))).when(kind == "object", F.size(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))))
-    return nodes.select("row_id", "path", "parent", "key", kind.alias("type"), size.alias("size"), F.when(~kind.isin("array", "object"), F.to_json("v")).alias("value"))
-
-
-def string_leaf_paths(rows: DataFrame, depth: int = 8) -> DataFrame:
-    """(row_id, path, text) of string values of the rows without turns."""
-    plain = rows.where((F.size("turns") == 0) & ~F.col("error")).select("row_id", "v")
-    nodes = explode_nodes(plain, depth).where("type = 'string'")
-    return nodes.select("row_id", "path", F.try_variant_get(F.try_parse_json("value"), "$", "string").alias("text"))
+    return node_rows(rows.where("v is not null").select("row_id", F.to_json("v").alias("text")), depth)
+
+
+def string_leaf_paths(rows: DataFrame) -> DataFrame:
+    """(row_id, path, text) of string values of the rows without turns, at any depth."""
+    plain = rows.where((F.size("turns") == 0) & ~F.col("error"))
+    return string_rows(plain.select("row_id", F.col("json").alias("text")))
 
 
 def get_path(v: Column, path: str) -> Column:
@@ -49,24 +33,15 @@ def edit(rows: DataFrame, edits: list[dict], json_col: str = "json") -> DataFram
     return rows.withColumn("__e", apply_edits(F.col(json_col), edits)).withColumns({"edited": F.col("__e.json"), "refused": F.col("__e.refused")}).drop("__e")
 
 
-def diff_json(pairs: DataFrame, depth: int = 8) -> DataFrame:
-    """(row_id, path, kind, from, to) for columns row_id, a, b (variants): change, add or remove.
+def diff_json(pairs: DataFrame) -> DataFrame:
+    """(row_id, path, kind, from, to) for columns row_id, a, b (variants): change, add or remove, at any depth.
 
-    A change of type is one change, nothing below it is listed; arrays are compared by index.
+    A change of type is one change, nothing below it is listed; arrays are compared by index. Both sides are walked together, so nothing is shuffled.
     """
-    side = lambda c, s: explode_nodes(pairs.select("row_id", F.col(c).alias("v")), depth).select("row_id", "path", F.col("parent").alias(f"{s}_parent"), F.col("type").alias(f"{s}_type"), F.col("value").alias(f"{s}_value"))
-    both = side("a", "x").join(side("b", "y"), ["row_id", "path"], "full_outer")
-    is_box = lambda t: F.col(t).isin("array", "object")
-    shared = both.where(is_box("x_type") & (F.col("x_type") == F.col("y_type"))).select("row_id", F.col("path").alias("up"))
-    found = both.withColumn("up", F.coalesce("x_parent", "y_parent"))
-    found = found.where("up is null").unionByName(found.where("up is not null").join(shared, ["row_id", "up"], "left_semi").select(*found.columns))
-    kind = F.when(F.col("x_type").isNull(), "add").when(F.col("y_type").isNull(), "remove").when((F.col("x_type") != F.col("y_type")) | (~is_box("x_type") & ~F.col("x_value").eqNullSafe(F.col("y_value"))), "change")
-    out = found.select("row_id", "path", kind.alias("kind"), "x_type", "y_type", "x_value", "y_value").where("kind is not null")
-    show = lambda s: F.coalesce(f"{s}_value", F.when(F.col(f"{s}_type").isNotNull(), F.concat(F.lit("<"), F.col(f"{s}_type"), F.lit(">"))))
-    return out.select("row_id", "path", "kind", show("x").alias("from"), show("y").alias("to"))
-
-
-def row_diff(rows: DataFrame, loaded: DataFrame, depth: int = 8) -> DataFrame:
+    return difference_rows(pairs.select("row_id", F.to_json("a").alias("a"), F.to_json("b").alias("b")))
+
+
+def row_diff(rows: DataFrame, loaded: DataFrame) -> DataFrame:
     """diff_json of dirty rows against the loaded snapshot (row_id, v)."""
     pairs = rows.where("dirty").select("row_id", F.col("v").alias("b")).join(loaded.select("row_id", F.col("v").alias("a")), "row_id")
-    return diff_json(pairs, depth)
+    return diff_json(pairs)

@@ -5,58 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.features import CHAT_FORMATS, row_tokens
-from quarry.functions.json import json_type, key, text_of, trimmed
-
-#: Severity of each code.
-SEVERITY = {
-    "parse-error": "error",
-    "empty-turns": "error",
-    "empty-content": "warn",
-    "consecutive-role": "warn",
-    "no-assistant": "warn",
-    "pref-empty": "error",
-    "pref-equal": "warn",
-    "empty-instruction": "error",
-    "empty-output": "error",
-    "very-short": "warn",
-}
-
-
-def _issue(code: str, at: Column | None = None) -> Column:
-    return F.struct(F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("sev"), (at if at is not None else F.lit(None)).cast("int").alias("turn"))
-
-
-def _blank(v: Column) -> Column:
-    """Missing, null, false, zero, or text of white space only."""
-    kind = json_type(v)
-    text = F.try_variant_get(v, "$", "string")
-    return F.coalesce((kind == "null") | ((kind == "boolean") & (text == "false")) | (kind.isin("integer", "number") & (F.try_variant_get(v, "$", "double") == 0)) | ((kind == "string") & (trimmed(text) == "")), F.lit(True))
-
-
-def _falsy(v: Column) -> Column:
-    return F.coalesce(_blank(v) & ((json_type(v) != "string") | (F.try_variant_get(v, "$", "string") == "")), F.lit(True))
+from quarry.functions.features import row_tokens
+from quarry.functions.rowscan import ISSUES, SEVERITY
 
 
 def issues() -> Column:
-    """Array of (code, sev, turn) of a row of the rows table."""
-    v, turns = F.col("v"), F.col("turns")
-    places = F.sequence(F.lit(0), F.size(turns) - 1)
-    blank = F.transform(F.filter(places, lambda i: trimmed(F.get(turns, i)["content"]) == ""), lambda i: _issue("empty-content", i))
-    same = lambda i: (i > 0) & (F.get(turns, i)["role"] == F.get(turns, i - 1)["role"]) & F.get(turns, i)["role"].isin("user", "assistant", "human", "gpt")
-    repeat = F.transform(F.filter(places, same), lambda i: _issue("consecutive-role", i))
-    one = lambda code, test: F.when(F.coalesce(test, F.lit(False)), F.array(_issue(code))).otherwise(F.array().cast("array<struct<code:string,sev:string,turn:int>>"))
-    none = F.array().cast("array<struct<code:string,sev:string,turn:int>>")
-    assistant = F.exists(turns, lambda t: t["role"].isin("assistant", "gpt"))
-    chosen, rejected = key(v, "chosen"), key(v, "rejected")
-    out = F.coalesce(*[F.when(~F.is_variant_null(key(v, n)), key(v, n)) for n in ("output", "response")])
-    by_format = (
-        F.when(F.col("fmt").isin(*CHAT_FORMATS), F.when(F.size(turns) > 0, F.concat(blank, repeat, one("no-assistant", ~assistant))).otherwise(F.array(_issue("empty-turns"))))
-        .when(F.col("fmt") == "preference-pair", F.concat(one("pref-empty", _falsy(chosen) | _falsy(rejected)), one("pref-equal", trimmed(text_of(chosen)) == trimmed(text_of(rejected)))))
-        .when(F.col("fmt") == "alpaca", F.concat(one("empty-instruction", _blank(key(v, "instruction"))), one("empty-output", _blank(out))))
-        .otherwise(none)
-    )
-    return F.when(F.col("error"), F.array(_issue("parse-error"))).otherwise(F.concat(by_format, one("very-short", row_tokens() < 5)))
+    """Array of (code, sev, turn) of a row of the rows table: what its format gave rise to, and `very-short`."""
+    short = F.array(F.struct(F.lit("very-short").alias("code"), F.lit(SEVERITY["very-short"]).alias("sev"), F.lit(None).cast("int").alias("turn")))
+    return F.when(~F.col("error") & (row_tokens() < 5), F.concat("form_issues", short)).otherwise(F.col("form_issues")).cast(ISSUES)
 
 
 def lint(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +31,18 @@ PRESETS: dict[str, tuple[str, ...]] = {
 }
 
 
-def java_pattern(pattern: str) -> str:
-    r"""The pattern with \b as an ASCII word border: Java's own also sees accented letters."""
-    w = "[A-Za-z0-9_]"
-    return pattern.replace(r"\b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+#: What a text must hold for a pattern to be tried on it: a cheap test, which no match can do without.
+_NEEDS: dict[str, re.Pattern] = {
+    "email": re.compile("@"),
+    "phone": re.compile(r"\d[\d -]{8}", re.ASCII),
+    "ipv4": re.compile(r"\d\.\d", re.ASCII),
+    "ipv6": re.compile(r"[A-Fa-f0-9]:"),
+    "cc": re.compile(r"\d[ -]?\d", re.ASCII),
+    "ssn": re.compile(r"\d-\d", re.ASCII),
+    "apikey": re.compile(r"sk[-_]|AIza|ghp_|xox|AKIA"),
+    "jwt": re.compile("eyJ"),
+    "url": re.compile("://"),
+}
 
 
 def enabled_names(enabled: str | list[str] | None) -> list[str]:
@@ -42,73 +53,78 @@ def enabled_names(enabled: str | list[str] | None) -> list[str]:
     return [n for n in PATTERNS if n in chosen]
 
 
-def luhn_ok(match: Column) -> Column:
+def luhn_ok(match: str) -> bool:
     """13 to 19 digits, without spaces and hyphens, that pass the Luhn check."""
-    digits = F.regexp_replace(match, "[ -]", "")
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+    digits = [int(c) for c in match if c.isdigit()]
+    doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))]
+    return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+
 
+class Finder:
+    """The enabled patterns, compiled with ASCII classes and borders; card numbers must pass the Luhn check."""
 
-def matches(text: Column, name: str) -> Column:
-    """Array of the matches of one pattern in a text; empty for null."""
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(java_pattern(PATTERNS[name][0])), F.lit(0)), F.array().cast("array<string>"))
-    return F.filter(found, luhn_ok) if name == "cc" else found
+    def __init__(self, enabled: str | list[str] | None = None):
+        self.rules = [(n, _NEEDS[n], re.compile(PATTERNS[n][0], re.ASCII), PATTERNS[n][1]) for n in enabled_names(enabled)]
 
+    def find(self, text: str) -> list[tuple[str, int, int, str]]:
+        """(id, start, end, match) over all patterns, each on its own, so that overlaps are reported; offsets in characters from 0."""
+        return [(n, m.start(), m.end(), m[0]) for n, need, p, _ in self.rules if need.search(text) for m in p.finditer(text) if n != "cc" or luhn_ok(m[0])]
 
-def _named(name: str):
-    return lambda m: F.struct(F.lit(name).alias("id"), m.alias("match"))
+    def redact(self, text: str) -> tuple[str, int]:
+        """The text with matches replaced where they stand, pattern after pattern, and how many were."""
+        count = 0
+        for n, need, p, token in self.rules:
+            if need.search(text):
 
+                def one(m: re.Match, n=n, token=token) -> str:
+                    nonlocal count
+                    if n == "cc" and not luhn_ok(m[0]):
+                        return m[0]
+                    count += 1
+                    return token
 
-def _placer(name: str, text: Column):
-    """Step of an aggregate over a pattern's matches: the next one is looked up behind the last."""
+                text = p.sub(one, text)
+        return text, count
 
-    def step(a: Column, m: Column) -> Column:
-        start = F.call_function("locate", m, text, a["at"] + 1) - 1
-        end = start + F.length(m)
-        hit = F.struct(F.lit(name).alias("id"), start.alias("start"), end.alias("end"), m.alias("match"))
-        return F.struct(end.alias("at"), F.concat(a["found"], F.array(hit)).alias("found"))
 
-    return step
+def scan_positions(text: Column, enabled: str | list[str] | None = None) -> Column:
+    """Array of (id, start, end, match) with 0-based character offsets, in one Arrow pass; empty for null."""
+    names = enabled_names(enabled)
+    kind = pa.list_(pa.struct([("id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("match", pa.string())]))
+
+    @F.arrow_udf("array<struct<id:string,start:int,end:int,match:string>>")
+    def of(texts: pa.Array) -> pa.Array:
+        find = Finder(names).find
+        return pa.array([[] if t is None else [dict(zip(("id", "start", "end", "match"), x)) for x in find(t)] for t in texts.to_pylist()], kind)
+
+    # a filter on what it finds would otherwise be pushed below, with a second pass over the texts
+    return of.asNondeterministic()(text)
 
 
 def scan(text: Column, enabled: str | list[str] | None = None) -> Column:
     """Array of (id, match) over all enabled patterns, each on its own, so that overlaps are reported."""
-    parts = [F.transform(matches(text, n), _named(n)) for n in enabled_names(enabled)]
-    return F.concat(*parts)
+    return F.transform(scan_positions(text, enabled), lambda x: F.struct(x["id"].alias("id"), x["match"].alias("match")))
 
 
-def scan_positions(text: Column, enabled: str | list[str] | None = None) -> Column:
-    """Array of (id, start, end, match) with 0-based character offsets.
+def redacted(text: Column, enabled: str | list[str] | None = None) -> Column:
+    """Struct (text, matches): the text with matches replaced where they stand, pattern after pattern, and their number; null stays null.
 
-    A pattern's matches do not overlap, so each is looked up behind the one before it; card
-    numbers are checked after they are placed.
+    With phone on, card and social security numbers are phones by the time that their patterns are tried.
     """
-    parts = []
-    for n in enabled_names(enabled):
-        every = F.coalesce(F.regexp_extract_all(text, F.lit(java_pattern(PATTERNS[n][0])), F.lit(0)), F.array().cast("array<string>"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<id:string,start:int,end:int,match:string>>").alias("found"))
-        placed = F.aggregate(every, start, _placer(n, text))["found"]
-        parts.append(F.filter(placed, lambda x: luhn_ok(x["match"])) if n == "cc" else placed)
-    return F.concat(*parts)
+    names = enabled_names(enabled)
 
+    @F.arrow_udf("struct<text:string,matches:bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        change = Finder(names).redact
+        out = [{"text": None, "matches": 0} if t is None else dict(zip(("text", "matches"), change(t))) for t in texts.to_pylist()]
+        return pa.array(out, pa.struct([("text", pa.string()), ("matches", pa.int64())]))
 
-def redact(text: Column, enabled: str | list[str] | None = None) -> Column:
-    """text with matches replaced, pattern after pattern: with phone on, card and social security numbers are phones by then."""
-    for name in enabled_names(enabled):
-        pattern, token = PATTERNS[name]
-        if name == "cc":
-            text = F.aggregate(F.array_distinct(matches(text, "cc")), text, lambda t, m: F.replace(t, m, F.lit(PATTERNS["cc"][1])))
-        else:
-            text = F.regexp_replace(text, java_pattern(pattern), token)
-    return text
+    return of.asNondeterministic()(text)
 
 
-def redact_count(text: Column, enabled: str | list[str] | None = None) -> Column:
-    """Matches that redact() replaces."""
-    total = F.lit(0).cast("long")
-    for name in enabled_names(enabled):
-        total = total + F.size(matches(text, name))
-        text = redact(text, [name])
-    return total
+def redact(text: Column, enabled: str | list[str] | None = None) -> Column:
+    """text with matches replaced; see redacted."""
+    return redacted(text, enabled)["text"]
 
 
 def pii_rows(rows: DataFrame, enabled: str | list[str] | None = None) -> DataFrame:
@@ -144,6 +160,5 @@ def redact_rows(rows: DataFrame, enabled: str | list[str] | None = None) -> Data
     """(row_id, before, after, matches) of the live rows in which something is redacted, over row text or raw text."""
     from quarry.functions.features import row_text
 
-    text = row_text()
-    found = rows.where("not deleted").select("row_id", text.alias("before"), redact(text, enabled).alias("after"), redact_count(text, enabled).alias("matches"))
-    return found.where("matches > 0")
+    found = rows.where("not deleted").select("row_id", row_text().alias("before")).withColumn("r", redacted(F.col("before"), enabled))
+    return found.select("row_id", "before", F.col("r.text").alias("after"), "r.matches").where("matches > 0")

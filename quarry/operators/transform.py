@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.edits import apply_edits, check, redact_json
+from quarry.functions.edits import apply_by_format, apply_edits, check, redact_json
 
 #: The format that each conversion reads.
 CONVERSIONS = {"sharegpt-to-openai": ("sharegpt",), "openai-to-sharegpt": ("openai-chat", "openai-chat-loose"), "alpaca-to-openai": ("alpaca",), "completion-to-openai": ("completion",)}
@@ -15,21 +15,22 @@ CONVERSIONS = {"sharegpt-to-openai": ("sharegpt",), "openai-to-sharegpt": ("open
 PIPELINE_TAG, PIPELINE_VERSION = "quarry-pipeline", 1
 
 
-def convert(rows: DataFrame, direction: str) -> DataFrame:
-    """(row_id, fmt, before, after) of the live rows in the direction's format. `any-to-openai` takes each row by its own format."""
+def _directions(direction: str) -> dict[str, str]:
+    """The conversion of each format that a direction reads; `any-to-openai` takes each row by its own format."""
     names = [d for d in CONVERSIONS if d.endswith("to-openai")] if direction == "any-to-openai" else [direction]
-    live = rows.where("not deleted and not error")
-    out = None
-    for d in names:
-        part = live.where(F.col("fmt").isin(*CONVERSIONS[d])).select("row_id", "fmt", F.col("json").alias("before"), apply_edits(F.col("json"), [{"op": d}])["json"].alias("after"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return {fmt: d for d in names for fmt in CONVERSIONS[d]}
+
+
+def convert(rows: DataFrame, direction: str) -> DataFrame:
+    """(row_id, fmt, before, after) of the live rows in the direction's formats, in one pass."""
+    by = _directions(direction)
+    live = rows.where("not deleted and not error").where(F.col("fmt").isin(*by)).select("row_id", "fmt", F.col("json").alias("before"))
+    return live.select("*", apply_by_format(F.col("before"), F.col("fmt"), {f: [{"op": d}] for f, d in by.items()})["json"].alias("after"))
 
 
 def convert_counts(rows: DataFrame, direction: str) -> DataFrame:
     """(converted, skipped) over live rows."""
-    names = [f for d, fs in CONVERSIONS.items() if d == direction or direction == "any-to-openai" and d.endswith("to-openai") for f in fs]
-    fits = F.col("fmt").isin(*names)
+    fits = F.col("fmt").isin(*_directions(direction))
     return rows.where("not deleted").agg(F.count_if(fits).alias("converted"), F.count_if(~fits).alias("skipped"))
 
 
@@ -49,10 +50,9 @@ def write_pipeline(ops: list[dict], tag: str = PIPELINE_TAG) -> str:
 def apply_ops(rows: DataFrame, ops: list[dict]) -> DataFrame:
     """(row_id, before, after, changed, failed) of the live rows that are no error rows."""
     live = rows.where("not deleted and not error").select("row_id", F.col("json").alias("before"))
-    # an edit of nothing gives both sides the same spelling
-    out = live.withColumns({"__b": apply_edits(F.col("before"), []), "__a": apply_edits(F.col("before"), ops)})
-    failed = F.col("__a.refused") > 0
-    return out.select("row_id", "before", F.when(failed, F.col("before")).otherwise(F.col("__a.json")).alias("after"), (~failed & (F.col("__a.json") != F.col("__b.json"))).alias("changed"), failed.alias("failed"))
+    out = live.withColumn("e", apply_edits(F.col("before"), ops))
+    failed = F.col("e.refused") > 0
+    return out.select("row_id", "before", F.when(failed, F.col("before")).otherwise(F.col("e.json")).alias("after"), (~failed & (F.col("e.json") != F.col("e.plain"))).alias("changed"), failed.alias("failed"))
 
 
 def dry_run(rows: DataFrame, ops: list[dict], limit: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -70,9 +70,9 @@ def apply_all(rows: DataFrame, ops: list[dict]) -> DataFrame:
 
 def redact_all(rows: DataFrame, enabled: str | list[str] | None = None) -> DataFrame:
     """(row_id, before, after, matches) of the live rows in which something is redacted: string values of the JSON, the raw text of error rows."""
-    from quarry.operators.pii import redact, redact_count
+    from quarry.operators.pii import redacted
 
     live = rows.where("not deleted")
     good = live.where("not error").select("row_id", F.col("json").alias("before"), redact_json(F.col("json"), enabled).alias("r")).select("row_id", "before", F.col("r.json").alias("after"), "r.matches")
-    bad = live.where("error").select("row_id", F.col("raw").alias("before"), redact(F.col("raw"), enabled).alias("after"), redact_count(F.col("raw"), enabled).alias("matches"))
+    bad = live.where("error").select("row_id", F.col("raw").alias("before"), redacted(F.col("raw"), enabled).alias("r")).select("row_id", "before", F.col("r.text").alias("after"), "r.matches")
     return good.unionByName(bad).where("matches > 0")

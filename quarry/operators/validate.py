@@ -1,13 +1,15 @@
-"""JSON Schema checks, compiled to one expression over a variant."""
+"""JSON Schema checks: the schema is data, read along each value."""
 
 from __future__ import annotations
 
-import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.json import elements, is_object, json_type, utf16_length
+from quarry.functions.rowscan import dumps, parse
 
 #: Ready-made schemas.
 SCHEMAS: dict[str, dict] = {
@@ -37,98 +39,110 @@ SCHEMAS: dict[str, dict] = {
         "properties": {"instruction": {"type": "string", "minLength": 1}, "input": {"type": "string"}, "output": {"type": "string", "minLength": 1}},
     },
 }
-_FOUND = "array<struct<path:string,msg:string>>"
-
-
-def _none() -> Column:
-    return F.array().cast(_FOUND)
-
-
-def _when(test: Column, path: Column, msg: str | Column) -> Column:
-    msg = F.lit(msg) if isinstance(msg, str) else msg
-    return F.when(F.coalesce(test, F.lit(False)), F.array(F.struct(path.alias("path"), msg.alias("msg"))).cast(_FOUND)).otherwise(_none())
+def _canonical(value) -> str:
+    """JSON with sorted keys, numbers by value."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(_canonical, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{dumps(k)}:{_canonical(value[k])}" for k in sorted(value)) + "}"
+    return dumps(value)
 
 
-def _canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def _type(value) -> str:
+    """JSON type name; a number without fraction is an integer."""
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, (int, float)):
+        return "integer" if isinstance(value, int) or value.is_integer() else "number"
+    return {str: "string", list: "array", dict: "object"}.get(type(value), "null")
 
 
-def _is_type(v: Column, name: str) -> Column:
-    return json_type(v).isin("integer", "number") if name == "number" else json_type(v) == name
+def _fits(kind: str, name: str) -> bool:
+    return kind == name or name == "number" and kind == "integer"
 
 
-def errors(v: Column, schema: dict, path: Column | None = None) -> Column:
-    """Array of (path, msg) of what a present value breaks: const, enum, type, lengths, pattern, bounds, items, required, properties, allOf, anyOf, oneOf.
+def _pattern(text: str) -> re.Pattern | None:
+    try:
+        return re.compile(text)
+    except re.error:
+        return None
+
+
+def _limits(value, kind: str, schema: dict) -> Iterator[str]:
+    """Messages of broken lengths, patterns, bounds and numbers of items."""
+    if kind == "string":
+        size = len(value.encode("utf-16-le", "surrogatepass")) // 2
+        for name, broken in (("minLength", size.__lt__), ("maxLength", size.__gt__)):
+            if schema.get(name) is not None and broken(schema[name]):
+                yield f"{name} {schema[name]}"
+        if schema.get("pattern") and (p := _pattern(schema["pattern"])) and not p.search(value):
+            yield "pattern mismatch"
+    elif kind in ("integer", "number"):
+        if schema.get("minimum") is not None and value < schema["minimum"]:
+            yield f"< minimum {schema['minimum']}"
+        if schema.get("maximum") is not None and value > schema["maximum"]:
+            yield f"> maximum {schema['maximum']}"
+    elif kind == "array":
+        if schema.get("minItems") is not None and len(value) < schema["minItems"]:
+            yield f"minItems {schema['minItems']}"
+        if schema.get("maxItems") is not None and len(value) > schema["maxItems"]:
+            yield f"maxItems {schema['maxItems']}"
+
+
+def broken_rules(value, schema: dict, path: str = "$") -> list[tuple[str, str]]:
+    """(path, msg) of what a present value breaks: const, enum, type, lengths, pattern, bounds, items, required, properties, allOf, anyOf, oneOf.
 
     An invalid pattern is ignored. Own keys only count as present.
     """
-    path = F.lit("$") if path is None else path
-    text = F.when(json_type(v) == "string", F.try_variant_get(v, "$", "string"))
-    number = F.when(json_type(v).isin("integer", "number"), F.try_variant_get(v, "$", "double"))
-    parts: list[Column] = []
-    if "const" in schema:
-        parts.append(_when(F.to_json(v) != _canonical(schema["const"]), path, f"expected const {json.dumps(schema['const'], separators=(',', ':'), ensure_ascii=False)}"))
-    if isinstance(schema.get("enum"), list):
-        parts.append(_when(~F.to_json(v).isin(*[_canonical(e) for e in schema["enum"]]), path, "not in enum"))
+    kind, out = _type(value), []
+    if "const" in schema and _canonical(value) != _canonical(schema["const"]):
+        out.append((path, f"expected const {dumps(schema['const'])}"))
+    if isinstance(schema.get("enum"), list) and _canonical(value) not in map(_canonical, schema["enum"]):
+        out.append((path, "not in enum"))
     if schema.get("type"):
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        fits = _is_type(v, names[0])
-        for n in names[1:]:
-            fits = fits | _is_type(v, n)
-        parts.append(_when(~fits, path, F.concat(F.lit(f"expected type {'|'.join(names)}, got "), json_type(v))))
-    if schema.get("minLength") is not None:
-        parts.append(_when(utf16_length(text) < schema["minLength"], path, f"minLength {schema['minLength']}"))
-    if schema.get("maxLength") is not None:
-        parts.append(_when(utf16_length(text) > schema["maxLength"], path, f"maxLength {schema['maxLength']}"))
-    if schema.get("pattern") and _valid(schema["pattern"]):
-        parts.append(_when(~text.rlike(schema["pattern"]), path, "pattern mismatch"))
-    if schema.get("minimum") is not None:
-        parts.append(_when(number < schema["minimum"], path, f"< minimum {schema['minimum']}"))
-    if schema.get("maximum") is not None:
-        parts.append(_when(number > schema["maximum"], path, f"> maximum {schema['maximum']}"))
-    if schema.get("minItems") is not None:
-        parts.append(_when(F.size(elements(v)) < schema["minItems"], path, f"minItems {schema['minItems']}"))
-    if schema.get("maxItems") is not None:
-        parts.append(_when(F.size(elements(v)) > schema["maxItems"], path, f"maxItems {schema['maxItems']}"))
-    items = schema.get("items")
-    if isinstance(items, dict):
-        place = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-        parts.append(F.coalesce(F.flatten(F.transform(elements(v), lambda x, i: errors(x, items, place(i)))), _none()))
-    elif isinstance(items, list):
-        for i, sub in enumerate(items):
-            parts.append(F.when(F.size(elements(v)) > i, errors(F.get(elements(v), F.lit(i)), sub, F.concat(path, F.lit(f"[{i}]")))).otherwise(_none()))
-    for k in schema.get("required") or ():
-        parts.append(_when(is_object(v) & F.try_variant_get(v, f"$['{k}']", "variant").isNull(), F.concat(path, F.lit(f".{k}")), "required"))
-    for k, sub in (schema.get("properties") or {}).items():
-        inner = F.try_variant_get(v, f"$['{k}']", "variant")
-        parts.append(F.when(is_object(v) & inner.isNotNull(), errors(inner, sub, F.concat(path, F.lit(f".{k}")))).otherwise(_none()))
-    for sub in schema.get("allOf") or ():
-        parts.append(errors(v, sub, path))
+        if not any(_fits(kind, n) for n in names):
+            out.append((path, f"expected type {'|'.join(names)}, got {kind}"))
+    out += [(path, msg) for msg in _limits(value, kind, schema)]
+    if kind == "array":
+        items = schema.get("items")
+        of = [items] * len(value) if isinstance(items, dict) else items or []
+        out += [e for i, (x, sub) in enumerate(zip(value, of)) for e in broken_rules(x, sub, f"{path}[{i}]")]
+    if kind == "object":
+        out += [(f"{path}.{k}", "required") for k in schema.get("required") or () if k not in value]
+        out += [e for k, sub in (schema.get("properties") or {}).items() if k in value for e in broken_rules(value[k], sub, f"{path}.{k}")]
+    out += [e for sub in schema.get("allOf") or () for e in broken_rules(value, sub, path)]
     for name in ("anyOf", "oneOf"):
         if isinstance(schema.get(name), list):
-            passed = F.lit(0)
-            for sub in schema[name]:
-                passed = passed + F.when(F.size(errors(v, sub, path)) == 0, 1).otherwise(0)
-            parts.append(_when(passed == 0, path, "anyOf failed") if name == "anyOf" else _when(passed != 1, path, F.concat(F.lit("oneOf matched "), passed.cast("string"))))
-    return F.concat(*parts) if parts else _none()
+            passed = sum(not broken_rules(value, sub, path) for sub in schema[name])
+            if name == "anyOf" and not passed:
+                out.append((path, "anyOf failed"))
+            if name == "oneOf" and passed != 1:
+                out.append((path, f"oneOf matched {passed}"))
+    return out
 
 
-def _valid(pattern: str) -> bool:
-    import re
+def errors(raw: Column, schema: dict) -> Column:
+    """Array of (path, msg) of what a JSON text breaks, in one Arrow pass; a text that is no JSON fails with `parse error`."""
 
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+    @F.arrow_udf("array<struct<path:string,msg:string>>")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            value, bad = parse(t)
+            found = [("$", "parse error")] if bad else broken_rules(value, schema)
+            out.append([{"path": p, "msg": m} for p, m in found])
+        return pa.array(out, pa.list_(pa.struct([("path", pa.string()), ("msg", pa.string())])))
+
+    return of.asNondeterministic()(raw)
 
 
 def validate(rows: DataFrame, schema: dict | str) -> DataFrame:
     """(row_id, errors) of the live rows that fail; an error row fails with `parse error`."""
     schema = SCHEMAS[schema] if isinstance(schema, str) else schema
-    parse = F.array(F.struct(F.lit("$").alias("path"), F.lit("parse error").alias("msg"))).cast(_FOUND)
-    found = F.when(F.col("error"), parse).otherwise(errors(F.col("v"), schema))
-    return rows.where("not deleted").select("row_id", found.alias("errors")).where(F.size("errors") > 0)
+    return rows.where("not deleted").select("row_id", errors(F.col("raw"), schema).alias("errors")).where(F.size("errors") > 0)
 
 
 def exclude_failures(rows: DataFrame, schema: dict | str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table (a few narrow columns) up to which it is broadcast.
@@ -87,3 +87,22 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
         .withColumn(name, pos + F.col("__offset"))
         .drop("__p", "__offset", "__at")
     )
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """df with cum, the sum of `value` up to each row in `order`, and n, that of all rows; both within each group of `by`.
+
+    Rows are dealt into ranges of (by, order); a range's sums of each group are few, and what lies in the ranges before is added to
+    the sum within one.
+    """
+    ranged = cut(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy(*by, "__range").agg(F.sum(value).alias("__sum"))
+    before, all_ = Window.partitionBy(*by).orderBy("__range"), Window.partitionBy(*by)  # one row a range
+    names = [F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]
+    parts = parts.select(*names, F.col("__range").alias("__part"), (F.sum("__sum").over(before) - F.col("__sum")).alias("__before"), F.sum("__sum").over(all_).alias("n"))
+    same = F.col("__range") == F.col("__part")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    run = Window.partitionBy("__range", *by).orderBy(order)
+    out = ranged.join(bounded(parts), same).withColumn("cum", F.col("__before") + F.sum(value).over(run))
+    return out.select(*df.columns, "n", "cum")

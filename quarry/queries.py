@@ -415,7 +415,7 @@ def pi4_redact_json(spark, sf_dir):
 @query(f"SELECT conv_id AS row_id, 'turn ' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ' (' || role || ')' AS field, len(regexp_extract_all(text, '{_EMAIL}')) AS n FROM conversations QUALIFY n > 0")
 def pi5_pii_by_field(spark, sf_dir):
     rows = chats(spark, sf_dir)
-    return pii.pii_fields(rows, jsonops.string_leaf_paths(rows, 2), ["email"]).groupBy("row_id", "field").agg(F.count("*").alias("n"))
+    return pii.pii_fields(rows, jsonops.string_leaf_paths(rows), ["email"]).groupBy("row_id", "field").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -480,7 +480,7 @@ def t15_dry_run(spark, sf_dir):
 
 @query("SELECT event_id AS row_id, '$' AS path, 'object' AS type, NULL AS value FROM events UNION ALL SELECT event_id, '$.k', 'integer', props::JSON->>'k' FROM events")
 def j1_explode_nodes(spark, sf_dir):
-    return jsonops.explode_nodes(events(spark, sf_dir), 1).select("row_id", "path", "type", "value")
+    return jsonops.explode_nodes(events(spark, sf_dir)).select("row_id", "path", "type", "value")
 
 
 @query("SELECT conv_id AS row_id, CAST(to_json(arg_min(text, turn)) AS VARCHAR) AS value FROM conversations GROUP BY conv_id")
@@ -493,7 +493,7 @@ def j9_diff_json(spark, sf_dir):
     rows = events(spark, sf_dir)
     k = F.try_variant_get("v", "$.k", "long")
     pairs = rows.select("row_id", F.col("v").alias("a"), F.try_parse_json(F.to_json(F.struct(F.least(k, F.lit(50)).alias("k"), F.lit(1).alias("n")))).alias("b"))
-    return jsonops.diff_json(pairs, 1)
+    return jsonops.diff_json(pairs)
 
 
 # --- hashes -------------------------------------------------------------------------

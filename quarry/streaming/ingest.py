@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,11 +15,27 @@ from quarry.operators.audit import pii_rows_light
 from quarry.operators.lint import issues
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of each stretch of a file that a task reads."""
+    at, n = None, 0
+    for batch in batches:
+        places = []
+        for where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n = n + 1 if where == at else 0
+            at = where
+            places.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["file", "start", "raw", "line"])
+
+
 def stream_read_jsonl(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Streaming rows table of the JSONL files of a folder: same rows as read_jsonl, without numbers across the stream; row_id is a hash of the file and line."""
+    """Streaming rows table of the JSONL files of a folder: same rows as read_jsonl, without numbers across the stream.
+
+    row_id is a hash of the file, the stretch of it that a task reads, and the line's number there, so equal lines have ids of their own.
+    """
     text = spark.readStream.options(lineSep="\n", **options).text(path)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r$", "").alias("raw")).where(~F.col("raw").rlike(f"^{SPACE}*$"))
-    return rows_table(lines.withColumn("row_id", F.xxhash64("file", "raw")))
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", r"\r$", "").alias("raw"))
+    lines = lines.mapInArrow(_numbered, "file string, start long, raw string, line long").where(~F.col("raw").rlike(f"^{SPACE}*$"))
+    return rows_table(lines.select("file", "raw", F.xxhash64("file", "start", "line").alias("row_id")))
 
 
 def row_findings(rows: DataFrame) -> DataFrame:

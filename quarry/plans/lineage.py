@@ -37,9 +37,11 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most `rows` rows, else as it is (a shuffled join follows)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str | None = None) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most `rows` rows, else with the join hint `otherwise` or as it is (a shuffled join follows)."""
+    if df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import features
 from quarry.functions.edits import redact_json
-from quarry.functions.signature import fnv1a, simhash64
+from quarry.functions.signature import fnv1a, hamming64, simhash64
 from quarry.operators import aggregates, annotate, audit, compare, dedup, filters, jsonops, lint, pii, split, transform, validate
 from quarry.plans.lineage import cut, shared_dir
 
@@ -64,6 +64,45 @@ def _objects(spark: SparkSession, sf_dir: str, name: str, id_col: str) -> DataFr
     return features.rows_table(df.select(F.col(id_col).cast("long").alias("row_id"), F.to_json(F.struct("*")).alias("raw")))
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, in one of sixteen forms by its id: every format, and most of the lint codes."""
+    text = lambda x: F.coalesce(F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), F.lit("null"))
+    t, lang, source, n = text(F.col("text")), text(F.col("lang")), text(F.col("source")), F.col("doc_id").cast("string")
+    raw = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        parts = [{"T": t, "L": lang, "S": source, "N": n}.get(p, F.lit(p)) for p in form.split("~")]
+        raw = F.when(F.col("doc_id") % len(_FORMS) == k, F.concat(*parts)).otherwise(raw)
+    return features.rows_table(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), raw.alias("raw")))
+
+
+#: JSON of each form; T, L, S, N between the marks are a document's text, language, source and id.
+_FORMS = (
+    '{"messages":[{"role":"user","content":~T~},{"role":"assistant","content":~L~}]}',
+    '{"messages":[{"role":"critic","content":null}]}',
+    '{"conversations":[{"from":"human","value":~T~},{"from":"human","value":~L~}]}',
+    '{"chosen":~T~,"rejected":~T~}',
+    '{"chosen":null,"rejected":"x"}',
+    '{"instruction":" ","output":~T~}',
+    '{"instruction":~L~,"output":"","response":~T~}',
+    '{"prompt":~L~,"completion":~T~}',
+    '{"text":~T~,"a":1,"b":2}',
+    '{"text":~T~,"a":1,"b":2,"c":3}',
+    '{"question":~L~,"a":~T~}',
+    "[~N~]",
+    "~N~",
+    '{"text":~L',
+    '{"messages":[{"role":"assistant","content":[{"text":~L~},~S~]}]}',
+    '{"messages":[]}',
+)
+_FORMATS = ("openai-chat", "openai-chat-loose", "sharegpt", "preference-pair", "preference-pair", "alpaca", "alpaca", "completion", "text", "object", "qa", "array", "unknown", "parse-error", "openai-chat", "object")
+_MIXED = f"SELECT doc_id AS row_id, doc_id % 16 AS form, ({list(_FORMATS)})[doc_id % 16 + 1] AS fmt, text, lang, source FROM documents"
+#: Lint codes of the forms: form, code, turn, and when.
+_CODES = (
+    (1, "empty-content", 0, "true"), (1, "no-assistant", None, "true"), (1, "very-short", None, "true"), (2, "consecutive-role", 1, "true"), (2, "no-assistant", None, "true"), (2, "empty-content", 0, "trim(text) = ''"),
+    (3, "pref-equal", None, "true"), (3, "pref-empty", None, "text = ''"), (4, "pref-empty", None, "true"), (5, "empty-instruction", None, "true"), (5, "empty-output", None, "trim(text) = ''"), (6, "empty-output", None, "true"),
+    (0, "empty-content", 0, "trim(text) = ''"), (11, "very-short", None, "true"), (12, "very-short", None, "true"), (13, "parse-error", None, "true"), (15, "very-short", None, "true"),
+)
+_LINT = " UNION ALL ".join(f"SELECT row_id, '{c}' AS code, CAST({'NULL' if t is None else t} AS INTEGER) AS turn FROM ({_MIXED}) WHERE form = {k} AND {w}" for k, c, t, w in _CODES)
 _DOC = "SELECT doc_id AS row_id, lang, source, text, '{\"text\":' || CAST(to_json(text) AS VARCHAR) || '}' AS json FROM documents"
 _CONV = "SELECT conv_id AS row_id, turn, role, text FROM conversations"
 _TOK = "CAST(ceil(length(text) / 4.0) AS BIGINT)"
@@ -77,10 +116,9 @@ def p1_item_metrics(spark, sf_dir):
     return documents(spark, sf_dir).select("row_id", "char_count", "tokens", F.size("top_keys").alias("n_keys"))
 
 
-@query("SELECT 'openai-chat' AS fmt, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'text', count(*) FROM documents UNION ALL SELECT 'object', count(*) FROM events")
+@query(f"SELECT row_id, fmt FROM ({_MIXED})")
 def p2_detect_format(spark, sf_dir):
-    parts = [f(spark, sf_dir).select("fmt") for f in (chats, documents, events)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("fmt").agg(F.count("*").alias("n"))
+    return mixed(spark, sf_dir).select("row_id", "fmt")
 
 
 @query("SELECT conv_id AS row_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_no, role, text AS content FROM conversations")
@@ -103,10 +141,24 @@ def p7_row_tokens(spark, sf_dir):
     return chats(spark, sf_dir).select("row_id", features.row_tokens().alias("row_tokens"))
 
 
-@query("SELECT conv_id AS row_id, count(*) FILTER (text <> '') AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns as leaves of objects twenty levels deep; every turn is a row."""
+    turns = _table(spark, sf_dir, "conversations")
+    inner = F.to_json(F.struct("role", "text"))
+    raw = F.concat(F.lit('{"a":[' * 10), inner, F.lit("]}" * 10))
+    return features.rows_table(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), raw.alias("raw")))
+
+
+_DEEP = "SELECT conv_id * 1000 + turn AS row_id, role, text FROM conversations"
+_DOWN = "$" + ".a[0]" * 10
+
+
+@query(f"SELECT conv_id AS row_id, count(*) FILTER (text <> '') AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id UNION ALL SELECT -row_id, CASE WHEN text = '' THEN 1 ELSE 2 END, length(role) + length(text) FROM ({_DEEP}) WHERE row_id > 0")
 def p8_row_chunks(spark, sf_dir):
+    """Chunks of chats, and of the turns as deep leaves (under negative ids)."""
     chunk = F.explode(features.row_chunks()).alias("c")
-    return chats(spark, sf_dir).select("row_id", chunk).groupBy("row_id").agg(F.count("*").alias("chunks"), F.sum(F.length("c")).alias("chars"))
+    deep = _deep(spark, sf_dir).where("row_id > 0").select(F.negative("row_id").alias("row_id"), chunk)
+    return chats(spark, sf_dir).select("row_id", chunk).unionByName(deep).groupBy("row_id").agg(F.count("*").alias("chunks"), F.sum(F.length("c")).alias("chars"))
 
 
 @query(
@@ -151,7 +203,9 @@ def f6_has_tags(spark, sf_dir):
     return documents(spark, sf_dir).where(filters.has_tags(["toxic"])).select("row_id")
 
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The operator's own patterns, quoted for SQL.
+_PII_SQL = {n: p.replace("'", "''") for n, (p, _) in pii.PATTERNS.items()}
+_EMAIL = _PII_SQL["email"]
 _DUP = "SELECT doc_id AS row_id FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1"
 
 
@@ -185,6 +239,20 @@ def w3_longest_rows(spark, sf_dir):
     return filters.longest_rows(documents(spark, sf_dir))
 
 
+def _sig_sql(source: str) -> str:
+    """SQL for (row_id, sig) of (row_id, t): FNV-1a of every token, bits by majority, the upper half from the token and an exclamation mark."""
+    return (
+        f"SELECT row_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS sig FROM (SELECT row_id, coalesce(sum(CASE WHEN s > 0 THEN (1::HUGEINT << i) ELSE 0 END), 0) AS u FROM ("
+        "SELECT row_id, i, sum(CASE WHEN ((CASE WHEN i < 32 THEN lo >> i ELSE hi >> (i - 32) END) & 1) = 1 THEN c ELSE -c END) AS s FROM ("
+        f"SELECT row_id, tok, count(*) AS c FROM (SELECT row_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS tok FROM ({source})) GROUP BY ALL) "
+        "JOIN (SELECT tok, lo, (xor(lo, 33) * 16777619) & 4294967295 AS hi FROM (SELECT tok, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS lo "
+        f"FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS tok FROM ({source})))) USING (tok), (SELECT unnest(range(64)) AS i) GROUP BY ALL) GROUP BY row_id)"
+    )
+
+
+_HAMMING = "bit_count(xor({a}, {b}))"
+
+
 # --- joins ------------------------------------------------------------------------
 
 
@@ -212,7 +280,15 @@ def jn2_leakage_exact(spark, sf_dir):
     return compare.leakage_exact(a, documents(spark, sf_dir))
 
 
-@query()
+_JSIG = _sig_sql("SELECT doc_id AS row_id, '{\"text\":' || CAST(to_json(text) AS VARCHAR) || '}' AS t FROM documents")
+
+
+@query(
+    f"WITH s AS ({_JSIG}), c AS (SELECT doc_id AS row_id, {_NORM} AS c FROM documents), "
+    "exact AS (SELECT DISTINCT b.row_id FROM c b JOIN c a ON b.row_id % 2 = 1 AND a.row_id % 2 = 0 AND length(b.c) >= 8 AND length(a.c) >= 64 AND (contains(b.c, a.c) OR contains(a.c, b.c))), "
+    "near AS (SELECT b.row_id, min(a.row_id) AS match_a FROM s b JOIN s a ON b.row_id % 2 = 1 AND a.row_id % 2 = 0 AND bit_count(xor(a.sig, b.sig)) <= 4 WHERE b.row_id NOT IN (SELECT row_id FROM exact) GROUP BY b.row_id) "
+    "SELECT row_id, 'exact' AS kind, NULL AS match_a FROM exact UNION ALL SELECT row_id, 'near', match_a FROM near"
+)
 def jn4_leakage(spark, sf_dir):
     return compare.leakage(*_halves(cut(documents(spark, sf_dir), "rows")))
 
@@ -293,17 +369,21 @@ def a6_role_counts(spark, sf_dir):
     return aggregates.role_counts(chats(spark, sf_dir))
 
 
-_CARD = r"\b(?:\d[ -]?){13,19}\b"
-_KEY = r"\b(?:sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{30,}|ghp_[A-Za-z0-9]{30,}|xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})\b"
-_URL = r"""\bhttps?:\/\/[^\s)\]\"'']+"""
 _LUHN = "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN (length(d) - 1 - i) % 2 = 1 THEN (2 * CAST(d[i + 1] AS INT)) // 10 + (2 * CAST(d[i + 1] AS INT)) % 10 ELSE CAST(d[i + 1] AS INT) END)) % 10 = 0"
 
 
+def _hits(text: str, source: str = _DOC) -> str:
+    """SQL for (row_id, id, match) of all patterns in a text; card numbers must pass the Luhn check."""
+    plain = [f"SELECT row_id, '{n}' AS id, unnest(regexp_extract_all({text}, '{p}')) AS match FROM ({source})" for n, p in _PII_SQL.items() if n != "cc"]
+    cards = f"SELECT row_id, unnest(regexp_extract_all({text}, '{_PII_SQL['cc']}')) AS match FROM ({source})"
+    return " UNION ALL ".join([*plain, f"SELECT row_id, 'cc', match FROM (SELECT row_id, match, regexp_replace(match, '[ -]', '', 'g') AS d FROM ({cards})) WHERE {_LUHN}"])
+
+
+_HITS = _hits("json")
+
+
 @query(
-    "WITH docs AS (" + _DOC + "), hits AS (" + " UNION ALL ".join(
-        f"SELECT row_id, unnest(regexp_extract_all(json, '{p}')) AS match FROM docs"
-        for p in (_EMAIL, r"(?:\+?\d[\d -]{8,}\d)", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b(?:[A-Fa-f0-9]{1,4}:){2,7}[A-Fa-f0-9]{1,4}\b", r"\b\d{3}-\d{2}-\d{4}\b", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b", _KEY, _URL)
-    ) + f" UNION ALL SELECT row_id, match FROM (SELECT row_id, match, regexp_replace(match, '[ -]', '', 'g') AS d FROM (SELECT row_id, unnest(regexp_extract_all(json, '{_CARD}')) AS match FROM docs)) WHERE {_LUHN}), "
+    f"WITH hits AS ({_hits('json')}), docs AS ({_DOC}), "
     "t AS (SELECT count(*) AS total, 0 AS parse_err, 0 AS lint_err_rows, count(*) FILTER (length(json) <= 16) AS lint_rows FROM docs), "
     "p AS (SELECT count(DISTINCT row_id) AS pii_rows, count(*) AS pii_matches FROM hits), "
     "u AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS dup_rows, count(*) AS dup_clusters FROM (SELECT count(*) AS n FROM documents GROUP BY text) WHERE n > 1), "
@@ -314,30 +394,17 @@ def a9_run_audit(spark, sf_dir):
     return audit.audit(documents(spark, sf_dir))["summary"]
 
 
-@query(
-    "WITH t AS (SELECT conv_id, bool_or(role = 'assistant') AS ok FROM conversations GROUP BY conv_id), c AS (SELECT role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, conv_id FROM conversations) "
-    "SELECT * FROM (SELECT 'no-assistant' AS code, 'warn' AS sev, count(*) AS issues, count(*) AS rows FROM t WHERE NOT ok "
-    "UNION ALL SELECT 'empty-content', 'warn', count(*), count(DISTINCT conv_id) FROM c WHERE trim(text) = '' "
-    "UNION ALL SELECT 'consecutive-role', 'warn', count(*), count(DISTINCT conv_id) FROM c WHERE role = before AND role IN ('user', 'assistant')) WHERE issues > 0"
-)
-def a11_lint_counts(spark, sf_dir):
-    return lint.lint_counts(lint.lint(chats(spark, sf_dir)))
+_SEV = "CASE WHEN code IN (" + ", ".join(f"'{c}'" for c, v in lint.SEVERITY.items() if v == "error") + ") THEN 'error' ELSE 'warn' END"
 
 
-_PII_SQL = {
-    "email": _EMAIL,
-    "phone": r"(?:\+?\d[\d -]{8,}\d)",
-    "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    "ipv6": r"\b(?:[A-Fa-f0-9]{1,4}:){2,7}[A-Fa-f0-9]{1,4}\b",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b",
-}
-_HITS = " UNION ALL ".join(f"SELECT row_id, '{n}' AS id, unnest(regexp_extract_all(json, '{p}')) AS match FROM ({_DOC})" for n, p in _PII_SQL.items())
+@query(f"SELECT code, {_SEV} AS sev, count(*) AS issues, count(DISTINCT row_id) AS rows FROM ({_LINT}) GROUP BY code")
+def a11_lint_counts(spark, sf_dir):
+    return lint.lint_counts(lint.lint(mixed(spark, sf_dir)))
 
 
 @query(f"SELECT id, count(*) AS matches, count(DISTINCT row_id) AS rows FROM ({_HITS}) GROUP BY id")
 def a12_pii_counts(spark, sf_dir):
-    return pii.pii_counts(pii.pii_rows(documents(spark, sf_dir), list(_PII_SQL)))
+    return pii.pii_counts(pii.pii_rows(documents(spark, sf_dir)))
 
 
 @query("SELECT coalesce(CASE WHEN l.quality = 1 THEN 'approve' WHEN l.doc_id IS NOT NULL THEN 'reject' END, 'none') AS review, count(*) AS n FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
@@ -366,7 +433,11 @@ def dd1_exact_dedup(spark, sf_dir):
     return dedup.exact_dedup(documents(spark, sf_dir))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE s AS ({_JSIG}), n AS (SELECT sig, min(row_id) AS first, count(*) AS n FROM s GROUP BY sig), e AS (SELECT a.sig AS a, b.sig AS b FROM n a JOIN n b ON bit_count(xor(a.sig, b.sig)) <= 6), "
+    "reach AS (SELECT sig AS a, sig AS b FROM n UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), k AS (SELECT r.a AS sig, min(n.first) AS cluster, sum(n.n) AS size FROM reach r JOIN n ON n.sig = r.b GROUP BY r.a) "
+    "SELECT s.row_id, k.cluster FROM s JOIN k USING (sig) WHERE size > 1"
+)
 def dd2_near_dedup(spark, sf_dir):
     return dedup.near_dedup(documents(spark, sf_dir), "json", 6)
 
@@ -393,39 +464,56 @@ def dd5_dedup_delete(spark, sf_dir):
 
 @query(f"SELECT row_id, id, match, count(*) AS n FROM ({_HITS}) GROUP BY ALL")
 def pi1_scan(spark, sf_dir):
-    return pii.pii_rows(documents(spark, sf_dir), list(_PII_SQL)).groupBy("row_id", "id", "match").agg(F.count("*").alias("n"))
+    return pii.pii_rows(documents(spark, sf_dir)).groupBy("row_id", "id", "match").agg(F.count("*").alias("n"))
 
 
-_REDACT = "text"
+#: Pattern after pattern. Every card number holds a phone number, and phones go first, so no card is left when its pattern is tried.
+_REDACT, _REDACTED = "text", []
 for _n, _p in _PII_SQL.items():
-    _REDACT = f"regexp_replace({_REDACT}, '{_p}', '{pii.PATTERNS[_n][1]}', 'g')"
+    if _n != "cc":
+        _REDACTED.append(f"len(regexp_extract_all({_REDACT}, '{_p}'))")
+        _REDACT = f"regexp_replace({_REDACT}, '{_p}', '{pii.PATTERNS[_n][1]}', 'g')"
 
 
 @query(f"SELECT doc_id AS row_id, md5({_REDACT}) AS redacted_md5 FROM documents")
 def pi3_redact(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("row_id"), F.md5(pii.redact(F.col("text"), list(_PII_SQL))).alias("redacted_md5"))
+    return docs.select(F.col("doc_id").alias("row_id"), F.md5(pii.redact(F.col("text"))).alias("redacted_md5"))
 
 
 @query(f"SELECT doc_id AS row_id, md5('{{\"text\":' || CAST(to_json({_REDACT}) AS VARCHAR) || '}}') AS redacted_md5 FROM documents")
 def pi4_redact_json(spark, sf_dir):
-    return documents(spark, sf_dir).select("row_id", F.md5(redact_json(F.col("json"), list(_PII_SQL))["json"]).alias("redacted_md5"))
+    return documents(spark, sf_dir).select("row_id", F.md5(redact_json(F.col("json"))["json"]).alias("redacted_md5"))
+
 
+_FIELDS = f"SELECT row_id, '$.text' AS field, id, match FROM ({_hits('text')}) UNION ALL SELECT row_id, 'turn ' || n || ' (' || role || ')', id, match FROM (SELECT row_id % 1000000000 AS row_id, row_id // 1000000000 AS n, role, id, match FROM ({_hits('text', 'SELECT conv_id + turn * 1000000000 AS row_id, text FROM conversations')}) h JOIN (SELECT conv_id + turn * 1000000000 AS row_id, role FROM conversations) USING (row_id))"
 
-@query(f"SELECT conv_id AS row_id, 'turn ' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ' (' || role || ')' AS field, len(regexp_extract_all(text, '{_EMAIL}')) AS n FROM conversations QUALIFY n > 0")
+
+@query(f"SELECT row_id, field, id, count(*) AS n, CAST(sum(length(match)) AS BIGINT) AS chars FROM ({_FIELDS}) GROUP BY ALL")
 def pi5_pii_by_field(spark, sf_dir):
-    rows = chats(spark, sf_dir)
-    return pii.pii_fields(rows, jsonops.string_leaf_paths(rows), ["email"]).groupBy("row_id", "field").agg(F.count("*").alias("n"))
+    """Personal data of documents by path, and of conversations by turn."""
+    parts = [pii.pii_fields(rows, jsonops.string_leaf_paths(rows)) for rows in (documents(spark, sf_dir), chats(spark, sf_dir))]
+    return parts[0].unionByName(parts[1]).groupBy("row_id", "field", "id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
-@query(
-    "WITH c AS (SELECT conv_id, turn, row_number() OVER w - 1 AS i, role, text, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
-    "SELECT conv_id AS row_id, 'no-assistant' AS code, CAST(NULL AS INTEGER) AS turn FROM c GROUP BY conv_id HAVING NOT bool_or(role = 'assistant') "
-    "UNION ALL SELECT conv_id, 'empty-content', CAST(i AS INTEGER) FROM c WHERE trim(text) = '' "
-    "UNION ALL SELECT conv_id, 'consecutive-role', CAST(i AS INTEGER) FROM c WHERE role = before AND role IN ('user', 'assistant')"
-)
+@query(f"SELECT doc_id AS row_id, {' + '.join(_REDACTED)} AS matches, md5('{{\"text\":' || CAST(to_json({_REDACT}) AS VARCHAR) || '}}') AS after_md5 FROM documents WHERE {' + '.join(_REDACTED)} > 0")
+def pi8_redact_all(spark, sf_dir):
+    return transform.redact_all(documents(spark, sf_dir)).select("row_id", "matches", F.md5("after").alias("after_md5"))
+
+
+@query(f"SELECT row_id, id, count(*) AS n, CAST(sum(length(match)) AS BIGINT) AS chars FROM ({_HITS}) GROUP BY ALL")
+def pi9_redacted_report(spark, sf_dir):
+    return pii.redacted_report(pii.pii_rows(documents(spark, sf_dir))).groupBy("row_id", "id").agg(F.count("*").alias("n"), F.sum("len").alias("chars"))
+
+
+@query(f"SELECT row_id, code, turn FROM ({_LINT})")
 def l1_lint_rows(spark, sf_dir):
-    return lint.lint(chats(spark, sf_dir)).select("row_id", F.explode("issues").alias("i")).select("row_id", "i.code", "i.turn")
+    return lint.lint(mixed(spark, sf_dir)).select("row_id", F.explode("issues").alias("i")).select("row_id", "i.code", "i.turn")
+
+
+@query(f"SELECT d.row_id, count(code) > 0 AS excluded FROM ({_MIXED}) d LEFT JOIN (SELECT row_id, code FROM ({_LINT}) WHERE {_SEV} = 'error') USING (row_id) GROUP BY d.row_id")
+def l3_exclude_lint_errors(spark, sf_dir):
+    return lint.exclude_lint_errors(mixed(spark, sf_dir)).select("row_id", "excluded")
 
 
 _SCHEMA = {"type": "object", "required": ["c_name", "c_phone"], "properties": {"c_nationkey": {"type": "integer", "maximum": 20}, "c_mktsegment": {"enum": ["BUILDING", "HOUSEHOLD"]}, "c_name": {"type": "string", "pattern": "7$"}}}
@@ -478,9 +566,14 @@ def t15_dry_run(spark, sf_dir):
 # --- JSON trees ---------------------------------------------------------------------
 
 
-@query("SELECT event_id AS row_id, '$' AS path, 'object' AS type, NULL AS value FROM events UNION ALL SELECT event_id, '$.k', 'integer', props::JSON->>'k' FROM events")
+_LEVELS = " UNION ALL ".join(f"SELECT row_id, '{'$' + '.a[0]' * (k // 2) + '.a' * (k % 2)}' AS path, '{('object', 'array')[k % 2]}' AS type, NULL AS value FROM ({_DEEP})" for k in range(21))
+
+
+@query(f"SELECT event_id AS row_id, '$' AS path, 'object' AS type, NULL AS value FROM events UNION ALL SELECT event_id, '$.k', 'integer', props::JSON->>'k' FROM events UNION ALL SELECT -1 - row_id, path, type, value FROM ({_LEVELS} UNION ALL SELECT row_id, '{_DOWN}.role', 'string', CAST(to_json(role) AS VARCHAR) FROM ({_DEEP}) UNION ALL SELECT row_id, '{_DOWN}.text', 'string', CAST(to_json(text) AS VARCHAR) FROM ({_DEEP}))")
 def j1_explode_nodes(spark, sf_dir):
-    return jsonops.explode_nodes(events(spark, sf_dir)).select("row_id", "path", "type", "value")
+    """Nodes of the events' properties, and of the turns as deep leaves (under negative ids)."""
+    deep = jsonops.explode_nodes(_deep(spark, sf_dir)).withColumn("row_id", -1 - F.col("row_id"))
+    return jsonops.explode_nodes(events(spark, sf_dir)).unionByName(deep).select("row_id", "path", "type", "value")
 
 
 @query("SELECT conv_id AS row_id, CAST(to_json(arg_min(text, turn)) AS VARCHAR) AS value FROM conversations GROUP BY conv_id")
@@ -488,18 +581,29 @@ def j2_get_path(spark, sf_dir):
     return chats(spark, sf_dir).select("row_id", jsonops.get_path(F.col("v"), "$.messages[0].content").alias("value"))
 
 
-@query("SELECT event_id AS row_id, '$.n' AS path, 'add' AS kind, CAST(NULL AS VARCHAR) AS \"from\", '1' AS \"to\" FROM events UNION ALL SELECT event_id, '$.k', 'change', props::JSON->>'k', '50' FROM events WHERE (props::JSON->>'k')::INT > 50")
+@query(f"SELECT event_id AS row_id, '$.n' AS path, 'add' AS kind, CAST(NULL AS VARCHAR) AS \"from\", '1' AS \"to\" FROM events UNION ALL SELECT event_id, '$.k', 'change', props::JSON->>'k', '50' FROM events WHERE (props::JSON->>'k')::INT > 50 UNION ALL SELECT -1 - row_id, '{_DOWN}.text', 'change', CAST(to_json(text) AS VARCHAR), '\"\"' FROM ({_DEEP}) WHERE text <> '' UNION ALL SELECT -1 - row_id, '{_DOWN}.role', 'remove', CAST(to_json(role) AS VARCHAR), NULL FROM ({_DEEP})")
 def j9_diff_json(spark, sf_dir):
+    """Differences of the events' properties, and of the turns as deep leaves (under negative ids)."""
     rows = events(spark, sf_dir)
     k = F.try_variant_get("v", "$.k", "long")
     pairs = rows.select("row_id", F.col("v").alias("a"), F.try_parse_json(F.to_json(F.struct(F.least(k, F.lit(50)).alias("k"), F.lit(1).alias("n")))).alias("b"))
-    return jsonops.diff_json(pairs)
+    other = F.parse_json(F.lit('{"a":[' * 10 + '{"text":""}' + "]}" * 10))
+    deep = _deep(spark, sf_dir).select((-1 - F.col("row_id")).alias("row_id"), F.col("v").alias("a"), other.alias("b"))
+    return jsonops.diff_json(pairs.unionByName(deep))
+
+
+@query(f"SELECT d.doc_id AS row_id, '$.text' AS path, 'change' AS kind, md5(CAST(to_json(text) AS VARCHAR)) AS from_md5, '\"\"' AS \"to\" FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 1 AND text <> ''")
+def j10_row_diff(spark, sf_dir):
+    loaded = documents(spark, sf_dir)
+    edits = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id"), F.lit('{"text":""}').alias("raw"))
+    now = features.rows_table(annotate.replace_rows(loaded, edits))
+    return jsonops.row_diff(now, loaded).select("row_id", "path", "kind", F.md5("from").alias("from_md5"), "to")
 
 
 # --- hashes -------------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT d.doc_id AS row_id, coalesce(sig, 0) AS sig FROM documents d LEFT JOIN ({_sig_sql('SELECT doc_id AS row_id, text AS t FROM documents')}) s ON s.row_id = d.doc_id")
 def c1_simhash64(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), simhash64(F.col("text")).alias("sig"))
 
@@ -509,6 +613,17 @@ def c2_fnv1a(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), fnv1a(F.concat("lang", "source")).alias("h"))
 
 
+@query("SELECT doc_id AS row_id, bit_count(xor(doc_id * 2654435761, n_chars * 40503)) AS bits FROM documents")
+def c3_hamming64(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("row_id"), hamming64(F.col("doc_id") * 2654435761, F.col("n_chars") * 40503).cast("long").alias("bits"))
+
+
+@query(f"SELECT row_id, CASE WHEN length(json) > 120 THEN json[:120] || '…' ELSE json END AS text FROM ({_DOC})")
+def c6_truncated(spark, sf_dir):
+    return documents(spark, sf_dir).select("row_id", features.truncated(F.col("json")).alias("text"))
+
+
 @query(f"SELECT doc_id AS row_id, md5({_NORM}) AS norm_md5 FROM documents")
 def c4_norm(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.md5(features.norm(F.col("text"))).alias("norm_md5"))
@@ -578,13 +693,17 @@ def an4_approve_clean(spark, sf_dir):
 # --- files and streams --------------------------------------------------------------------
 
 
+def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON lines; every tenth is broken."""
+    return _table(spark, sf_dir, "documents").select(F.concat(F.to_json(F.struct("doc_id", "text")), F.when(F.col("doc_id") % 10 == 3, " junk").otherwise("")).alias("value"))
+
+
 def _as_jsonl(spark: SparkSession, sf_dir: str) -> str:
-    """The documents written as JSONL, with a broken line for each one that holds no space."""
+    """Where the documents are written as JSON lines."""
     import uuid
 
     path = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.to_json(F.struct("doc_id", "text")), F.when(F.col("doc_id") % 10 == 3, " junk").otherwise("")).alias("value"))
-    docs.write.text(path)
+    _jsonl(spark, sf_dir).write.text(path)
     return path
 
 
@@ -723,17 +842,82 @@ def s10_write_splits(spark, sf_dir):
     return spark.read.text(path).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents")
+@query("SELECT count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
 def s2_read_json(spark, sf_dir):
-    """The documents' ids written as one JSON array for each language, and read back."""
+    """The documents written as JSON arrays of up to 500, and read back."""
     import uuid
 
     from quarry.sources.files import read_json
 
     path = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
-    arrays = _table(spark, sf_dir, "documents").groupBy("lang").agg(F.to_json(F.collect_list(F.struct("doc_id"))).alias("value"))
-    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return read_json(spark, path).agg(F.count("*").alias("rows"), F.sum(F.try_variant_get("v", "$.doc_id", "long")).alias("ids"))
+    _arrays(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(path)
+    return read_json(spark, path).agg(F.count("*").alias("rows"), F.sum(F.try_variant_get("v", "$.doc_id", "long")).alias("ids"), F.sum(F.length(F.try_variant_get("v", "$.text", "string"))).alias("chars"))
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _table(spark, sf_dir, "documents").groupBy(F.expr("doc_id div 500").alias("block"))
+    return blocks.agg(F.to_json(F.collect_list(F.struct("doc_id", "text"))).alias("value")).select("value")
+
+
+@query("SELECT kind AS folder, count(*) AS rows, count(*) FILTER (bad) AS errors, CAST(sum(CASE WHEN bad THEN 0 ELSE doc_id END) AS BIGINT) AS ids FROM (SELECT 'arrays' AS kind, doc_id, false AS bad FROM documents UNION ALL SELECT 'lines', doc_id, doc_id % 10 = 3 FROM documents) GROUP BY kind")
+def s3_read_auto(spark, sf_dir):
+    """A folder of files with lines and of files with whole arrays, each read by its kind."""
+    import uuid
+
+    from quarry.sources.files import read_auto
+
+    path = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    _arrays(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
+    _jsonl(spark, sf_dir).write.text(f"{path}/lines")
+    return read_auto(spark, path).groupBy("folder").agg(F.count("*").alias("rows"), F.count_if("error").alias("errors"), F.sum(F.coalesce(F.try_variant_get("v", "$.doc_id", "long"), F.lit(0))).alias("ids"))
+
+
+@query("SELECT lang || '.txt' AS file, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def s4_read_many(spark, sf_dir):
+    """Files of several folders (a language each), read in one go."""
+    import uuid
+
+    from quarry.sources.files import read_many
+
+    path = f"{shared_dir(spark)}/folders-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "documents").select("lang", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("lang").text(path)
+    rows = read_many(spark, path).withColumn("file", F.concat(F.regexp_extract("folder", r"lang=([^/]*)", 1), F.lit(".txt")))
+    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.sum(F.length(F.try_variant_get("v", "$.text", "string"))).alias("chars"))
+
+
+@query("SELECT CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN '[' ELSE '' END || md5('{\"text\":' || CAST(to_json(text) AS VARCHAR) || '}') || CASE WHEN doc_id = (SELECT max(doc_id) FROM documents) THEN ']' ELSE ',' END AS line FROM documents")
+def s8_save(spark, sf_dir):
+    """The documents saved as one JSON array; its lines, with each row's JSON hashed."""
+    import uuid
+
+    from quarry.sources.files import save
+
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    save(documents(spark, sf_dir), path, "array")
+    line = F.col("value")
+    first, last = F.when(line.startswith("["), "[").otherwise(""), F.right(line, F.lit(1))
+    return spark.read.text(path).select(F.concat(first, F.md5(F.regexp_replace(F.left(line, F.length(line) - 1), r"^\[", "")), last).alias("line"))
+
+
+@query(f"SELECT row_id, field, id, count(*) AS n, CAST(sum(length(match)) AS BIGINT) AS chars FROM (SELECT row_id, '$.text' AS field, id, match FROM ({_hits('text')})) GROUP BY ALL")
+def s11_write_audit_report(spark, sf_dir):
+    """Personal data in the written report: place and length, without the matched text."""
+    import uuid
+
+    from quarry.sources.files import write_audit_report
+
+    path, rows = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}", cut(documents(spark, sf_dir), "rows")
+    write_audit_report(audit.audit(rows), path, rows)
+    report = spark.read.json(f"{path}/pii")
+    return report.drop("match").groupBy("row_id", "field", "id").agg(F.count("*").alias("n"), F.sum("len").alias("chars"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, lang || '.jsonl' AS file, doc_id AS file_idx FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) + row_number() OVER (ORDER BY doc_id) - 1, lang || '.jsonl', doc_id FROM documents WHERE doc_id % 2 = 1")
+def so1_union_files(spark, sf_dir):
+    from quarry.sources.files import union_files
+
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.concat("lang", F.lit(".jsonl")).alias("file"), F.lit("").alias("folder"), F.col("doc_id").alias("file_idx"), F.to_json(F.struct("text")).alias("raw"))
+    return union_files(*_halves(rows)).select("row_id", "file", "file_idx")
 
 
 @query(f"SELECT lang || '.jsonl' AS file, count(*) AS rows, count(*) AS ok, 0 AS errors, 0 AS deleted, CAST(sum(length(json)) AS BIGINT) AS chars, CAST(floor(sum(length(json)) / 4.0 + 0.5) AS BIGINT) AS tokens FROM ({_DOC}) GROUP BY lang")
@@ -749,3 +933,66 @@ def s7_merge_projects(spark, sf_dir):
 
     names = _table(spark, sf_dir, "documents").select(F.col("lang").alias("project_id"), F.col("lang").alias("project")).distinct()
     return merge_projects(names.where("project_id = 'en'"), names).select("project")
+
+
+# --- histories, modes and states ---------------------------------------------------------------
+
+
+@query(
+    "SELECT CAST(50 + (SELECT count(*) FROM documents WHERE lang = 'en') % 10 + i AS BIGINT) AS score, (DATE '2024-01-01' + CAST(i AS INTEGER))::TIMESTAMP AS ran_at, (SELECT count(*) FROM documents) AS lint_n FROM (SELECT unnest(range(12)) AS i) WHERE i >= 2"
+)
+def a10_score_history(spark, sf_dir):
+    """Twelve scores of the documents, of which the last ten stay."""
+    import uuid
+
+    path, docs = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}", _table(spark, sf_dir, "documents")
+    one = cut(docs.agg((50 + F.count_if(F.col("lang") == "en") % 10).alias("base"), F.count("*").alias("lint_rows"), F.lit(0).alias("pii_matches"), F.lit(0).alias("dup_clusters")), "one")
+    for i in range(12):
+        audit.push_score(one.withColumn("score", F.col("base") + i), path, f"2024-01-{i + 1:02d}")
+    return audit.score_history(spark.read.parquet(path)).select("score", "ran_at", "lint_n")
+
+
+@query(
+    "WITH t AS (SELECT conv_id AS row_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS t FROM conversations GROUP BY conv_id) "
+    "SELECT row_id, min(row_id) OVER (PARTITION BY t) AS cluster FROM t WHERE t <> '' QUALIFY count(*) OVER (PARTITION BY t) > 1 UNION ALL SELECT -1 - doc_id, -1 - max(doc_id) OVER (PARTITION BY text) FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1"
+)
+def dd3_dup_modes(spark, sf_dir):
+    """Duplicates by the default mode of chats, and of plain rows (under negative ids)."""
+    rows, chat = documents(spark, sf_dir).withColumn("row_id", -1 - F.col("row_id")), chats(spark, sf_dir)
+    return dedup.dup_clusters(chat, dedup.default_mode("openai-chat")).unionByName(dedup.dup_clusters(rows, dedup.default_mode("text")))
+
+
+@query("SELECT d.doc_id AS row_id, md5('{\"text\":' || CAST(to_json(CASE WHEN contains(text, 'tion') THEN regexp_replace(text, '([a-z]+)tion', '<\\1>', 'g') ELSE text END) AS VARCHAR) || '}') AS raw_md5, regexp_matches(text, '[a-z]+tion') AS dirty FROM documents d")
+def t16_apply_all(spark, sf_dir):
+    done = transform.apply_all(documents(spark, sf_dir), [{"op": "regex-replace", "pattern": "([a-z]+)tion", "replacement": "<$1>"}])
+    return done.select("row_id", F.md5("raw").alias("raw_md5"), "dirty")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with the toxic ones emptied."""
+    edits = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id"), F.lit('{"text":""}').alias("raw"))
+    return annotate.replace_rows(documents(spark, sf_dir), edits)
+
+
+@query("SELECT count(*) FILTER (toxic = 1 AND coalesce(quality, 1) <> 0) AS edited, count(*) FILTER (quality = 0) AS deleted FROM documents LEFT JOIN labels USING (doc_id)")
+def an6_dirty_counts(spark, sf_dir):
+    gone = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("row_id"), F.lit(True).alias("gone"))
+    rows = _edited(spark, sf_dir).join(gone, "row_id", "left").withColumn("deleted", F.coalesce("gone", F.lit(False)))
+    return aggregates.dirty_counts(rows)
+
+
+@query(f"SELECT row_id, md5(json) AS raw_md5, false AS dirty FROM ({_DOC})")
+def an7_reset_rows(spark, sf_dir):
+    back = annotate.reset_rows(_edited(spark, sf_dir), documents(spark, sf_dir))
+    return back.select("row_id", F.md5("raw").alias("raw_md5"), "dirty")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS total, true AS fits, false AS fits_other")
+def h2_audit_cache(spark, sf_dir):
+    """An audit written with its guard: usable for the same rows, and not for others."""
+    import uuid
+
+    path, rows = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}", cut(documents(spark, sf_dir), "rows")
+    audit.save_audit(audit.audit(rows), rows, path)
+    same, other = audit.load_audit(rows, path), audit.load_audit(rows.where("row_id > 0"), path)
+    return same["summary"].select("total", F.lit(True).alias("fits"), F.lit(other is not None).alias("fits_other"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.features import rows_table
 from quarry.functions.json import SPACE, json_type, strict_variant, utf16_length
-from quarry.plans.lineage import cut, global_rank
+from quarry.plans.lineage import bounded, cut, global_rank, running_sum
 
 #: Suffixes that are read, and the size from which a .jsonl file is always read by lines.
 SUFFIXES, LINE_MODE_BYTES = ("json", "jsonl", "txt", "log"), 10 * 1024 * 1024
@@ -34,7 +34,7 @@ def _lines(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     text = text.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", r"\r$", "").alias("raw"))
     ranked = global_rank(text, [F.col("__path"), F.col("__block"), F.col("__at")], "__n")
     first = ranked.groupBy("__path").agg(F.min("__n").alias("__first"))
-    placed = ranked.join(F.broadcast(first), "__path").withColumn("file_idx", F.col("__n") - F.col("__first"))
+    placed = ranked.join(bounded(first), "__path").withColumn("file_idx", F.col("__n") - F.col("__first"))
     return placed.where(~_blank(F.col("raw"))).select("__path", "file_idx", "raw")
 
 
@@ -144,8 +144,13 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.select("split", F.coalesce("json", "raw").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
-def write_audit_report(found: dict[str, DataFrame], path: str) -> None:
-    """Write an audit as JSON tables; personal data come with ids only, without the matched text."""
+def write_audit_report(found: dict[str, DataFrame], path: str, rows: DataFrame | None = None) -> None:
+    """Write an audit as JSON tables. Personal data come without the matched text: with the rows table, as (row_id, field, id, start, end, len), else as ids only."""
+    from quarry.operators.jsonops import string_leaf_paths
+    from quarry.operators.pii import pii_fields, redacted_report
+
+    if rows is not None:
+        found = {**found, "pii": redacted_report(pii_fields(rows, string_leaf_paths(rows)))}
     for name, df in found.items():
         (df.drop("match") if "match" in df.columns else df).write.mode("overwrite").json(f"{path}/{name}")
 
@@ -154,6 +159,8 @@ def write_audit_report(found: dict[str, DataFrame], path: str) -> None:
 
 #: Tag and version of the bundle form; pass another tag to read files of other makers.
 BUNDLE_TAG, BUNDLE_VERSION = "quarry-bundle", 1
+#: Characters of a dataset file's part.
+PART_CHARS = 1 << 26
 _FILE = "struct<name:string,folder:string,ext:string,sizeBytes:bigint,content:string>"
 _BUNDLE = f"format string, schemaVersion bigint, exportedAt bigint, projects array<struct<id:string,name:string,createdAt:bigint,updatedAt:bigint,files:array<{_FILE}>>>"
 
@@ -182,23 +189,47 @@ def bundle_rows(files: DataFrame) -> DataFrame:
     return _numbered(_exploded(d.where(whole)).unionByName(lines.select("__path", F.col("file_idx").cast("long").alias("file_idx"), "raw")))
 
 
-def files_of(rows: DataFrame, project_id: Column, project: Column) -> DataFrame:
-    """Bundle files (project_id, project, ..., content) of a rows table: live rows as JSONL, in order, one content a file."""
+def _part_of(size: str, most: int) -> Column:
+    """Number of the part of about `most` that a row with a running sum (cum) of `size` falls in."""
+    return F.floor((F.col("cum") - F.col(size)) / most).cast("int")
+
+
+def files_of(rows: DataFrame, project_id: Column, project: Column, part_chars: int = PART_CHARS) -> DataFrame:
+    """Bundle files (project_id, project, ..., content) of a rows table: live rows as JSONL, in order.
+
+    A file of more than part_chars is cut into parts, so that no content outgrows a task: name.jsonl, name.part1.jsonl and so on.
+    """
     line = F.when(F.col("error"), F.col("raw")).otherwise(F.col("json"))
     live = rows.where("not deleted").select(project_id.alias("project_id"), project.alias("project"), "file", F.coalesce("folder", F.lit("")).alias("folder"), "row_id", line.alias("line"))
+    live = cut(live.withColumn("chars", F.length("line").cast("long")), "lines")
+    by = ["project_id", "folder", "file"]
+    sums = running_sum(live.select(*by, "row_id", "chars"), by, "row_id", "chars").select("row_id", *by, _part_of("chars", part_chars).alias("part"))
+    same = live["row_id"] == F.col("r")
+    for k, c in enumerate(by):
+        same = same & live[c].eqNullSafe(F.col(f"b{k}"))
+    placed = live.join(sums.select(F.col("row_id").alias("r"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(by)], "part"), same)
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "line"))), lambda x: x["line"]), "\n")
-    files = live.groupBy("project_id", "project", "folder", "file").agg(content.alias("content"))
+    files = placed.groupBy("project_id", "project", "folder", "file", "part").agg(content.alias("content"))
     ext = F.when(F.lower("file").endswith(".jsonl"), "jsonl").otherwise("json")
-    return files.select("project_id", "project", F.lit(None).cast("long").alias("created_at"), F.col("file").alias("name"), "folder", ext.alias("ext"), utf16_length(F.col("content")).alias("size_bytes"), "content")
+    name = F.when(F.col("part") == 0, F.col("file")).otherwise(F.regexp_replace("file", r"^(.*?)(\.[^.]*)?$", F.concat(F.lit("$1.part"), F.col("part").cast("string"), F.lit("$2"))))
+    return files.select("project_id", "project", F.lit(None).cast("long").alias("created_at"), name.alias("name"), "folder", ext.alias("ext"), utf16_length(F.col("content")).alias("size_bytes"), "content")
+
 
+def write_bundle(files: DataFrame, path: str, exported_at: int, tag: str = BUNDLE_TAG, together: bool = False, document_chars: int = 4 * PART_CHARS) -> None:
+    """Write bundle documents, each a file of its own and a valid bundle: for each project, or all projects together.
 
-def write_bundle(files: DataFrame, path: str, exported_at: int, tag: str = BUNDLE_TAG) -> None:
-    """Write one bundle document, a file of its own, for each project; dataset files without content are left out."""
+    What is larger than document_chars goes into several documents. Dataset files without content are left out.
+    """
     file = F.struct("name", "folder", "ext", F.col("size_bytes").alias("sizeBytes"), "content")
-    projects = files.where("content is not null").groupBy("project_id", "project", "created_at").agg(F.array_sort(F.collect_list(file)).alias("files"))
+    kept = cut(files.where("content is not null").withColumn("place", F.struct("project_id", "folder", "name")), "files")
+    by = [] if together else ["project_id"]
+    sums = running_sum(kept.select(*by, "place", "size_bytes"), by, "place", "size_bytes").select(F.col("place").alias("at"), _part_of("size_bytes", document_chars).alias("part"))
+    placed = kept.join(sums, kept.place == sums["at"])
+    projects = placed.groupBy("part", "project_id", "project", "created_at").agg(F.array_sort(F.collect_list(file)).alias("files"))
     body = F.struct(F.col("project_id").alias("id"), F.col("project").alias("name"), F.col("created_at").alias("createdAt"), F.lit(exported_at).cast("long").alias("updatedAt"), "files")
-    doc = F.struct(F.lit(tag).alias("format"), F.lit(BUNDLE_VERSION).alias("schemaVersion"), F.lit(exported_at).cast("long").alias("exportedAt"), F.array(body).alias("projects"))
-    projects.select(F.to_json(doc).alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+    documents = projects.groupBy("part", *by).agg(F.array_sort(F.collect_list(body)).alias("projects"))
+    doc = F.struct(F.lit(tag).alias("format"), F.lit(BUNDLE_VERSION).alias("schemaVersion"), F.lit(exported_at).cast("long").alias("exportedAt"), "projects")
+    documents.select(F.to_json(doc).alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def merge_projects(existing: DataFrame, incoming: DataFrame, rename: bool = True) -> DataFrame:

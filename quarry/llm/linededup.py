@@ -124,7 +124,7 @@ def drop_frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     drop = lookup(at, frequent, KEY).groupBy("digest").agg(F.collect_set("pos").alias("drop"))
     split = F.split(F.coalesce(F.col("row")[text_col], F.lit("")), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce("drop", F.array().cast("array<int>")))
-    joined = df.select(carried(df), digest.alias("digest")).join(bounded(cut(drop, "drop")).hint("shuffle_hash"), "digest", "left").withColumn("left", left)
+    joined = df.select(carried(df), digest.alias("digest")).join(bounded(cut(drop, "drop"), otherwise="shuffle_hash"), "digest", "left").withColumn("left", left)
     added = {
         "n_lines": F.size(split).cast("long"),
         "n_dropped": (F.size(split) - F.size("left")).cast("long"),

@@ -170,13 +170,15 @@ def mcd(keyed: DataFrame, half: float = HALF, steps: int = STEPS) -> DataFrame:
     """(group, mean, cov) by minimum covariance determinant over all rows (group, x).
 
     From each of three starts, a step keeps the `half` of a group's rows nearest by Mahalanobis
-    distance and estimates anew, which never raises the determinant; of the starts the one with the least
-    determinant counts. Every step is a grouped sum and a mergeable quantile
+    distance and estimates anew, which never raises the determinant; after two steps the start with the least
+    determinant goes on alone. Every step is a grouped sum and a mergeable quantile
     sketch, so no group is brought together. The scatter is made consistent with the normal distribution.
     """
     factor = consistency(half, len(STATS))
     now = cut(_starts(keyed), "starts")
-    for _ in range(steps):
+    for k in range(steps):
+        if k == 2:
+            now = cut(now.groupBy("group").agg(F.min_by(F.struct("start", "mean", "precision"), "det").alias("e")).select("group", "e.*"), "best")
         far = keyed.join(bounded(now), "group").select("group", "start", "x", _distance().alias("d2"))
         limit = cut(far.groupBy("group", "start").agg(F.percentile_approx("d2", half, 10000).alias("most")), "limit")
         now = cut(_moments(far.join(bounded(limit), ["group", "start"]).where("d2 <= most"), ["group", "start"], factor), "estimate")

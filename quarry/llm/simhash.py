@@ -367,7 +367,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # rows travel as one struct, so no column of df can clash
     carried = df.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
     match = F.col("key.id").eqNullSafe(F.col("id")) & F.col("key.digest").eqNullSafe(F.col("digest"))
-    kept = carried.join(bounded(gone).hint("shuffle_hash"), match, "left_anti").select("row.*")
+    kept = carried.join(bounded(gone, otherwise="shuffle_hash"), match, "left_anti").select("row.*")
     # rows that repeat with id and text, and stay, are brought together: one of each is left
     once = gone.where("keep")
     if once.isEmpty():

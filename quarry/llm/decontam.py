@@ -149,7 +149,7 @@ def find_items(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     rows = df.select(carried(df), text_digest(text_col).alias("digest"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
     rows = rows.join(bounded(found), "digest", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.select(*unpacked(df, {"n_words": F.col("n_words"), "n_hit": n_hit, "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": n_hit > 0}))
+    return unpacked(rows, df, {"n_words": F.col("n_words"), "n_hit": n_hit, "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": n_hit > 0})
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:

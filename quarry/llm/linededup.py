@@ -130,4 +130,4 @@ def drop_frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         "n_dropped": (F.size(split) - F.size("left")).cast("long"),
         "kept_text": F.array_join(F.transform("left", lambda i: F.get(split, i)), "\n"),
     }
-    return joined.select(*unpacked(df, added))
+    return unpacked(joined, df, added)

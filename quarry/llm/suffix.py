@@ -380,4 +380,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.array(out, pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
     rows = joined.select("row", F.octet_length("data").cast("long").alias("n_bytes"), keep(F.col("data"), F.col("spans")).alias("kept"))
-    return rows.select(*unpacked(df, {"n_bytes": F.col("n_bytes"), **{c: F.col(f"kept.{c}") for c in ("n_removed", "n_spans", "kept_sha256")}}))
+    return unpacked(rows, df, {"n_bytes": F.col("n_bytes"), **{c: F.col(f"kept.{c}") for c in ("n_removed", "n_spans", "kept_sha256")}})

@@ -39,6 +39,8 @@ def carried(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
-def unpacked(df: DataFrame, added: dict[str, Column]) -> list[Column]:
-    """The columns of df out of `row`, and the added ones, which replace those of the same name."""
-    return [F.col("row")[c].alias(c) for c in df.columns if c not in added] + [c.alias(n) for n, c in added.items()]
+def unpacked(rows: DataFrame, df: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """rows (with the struct `row` of df's rows) as the columns of df and the added ones, which replace those of the same name."""
+    fields = [F.col("row")[c].alias(c) for c in df.columns if c not in added] + [c.alias(n) for n, c in added.items()]
+    # one struct and its star: as single columns, an alias `row` would shadow the struct
+    return rows.select(F.struct(*fields).alias("all")).select("all.*")

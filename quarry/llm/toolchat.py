@@ -69,7 +69,7 @@ def parse_messages(df: DataFrame, text_col: str = "text") -> DataFrame:
         "arguments": F.when(call, arguments),
         "after": F.when(call, get(F.col("c"), "$.after")),
     }
-    return rows.select(*unpacked(df, added))
+    return unpacked(rows, df, added)
 
 
 def call_order(calls: DataFrame) -> DataFrame:

@@ -8,15 +8,13 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from quarry.llm.text import carried, small_batches, unpacked, utf8
 from quarry.plans.lineage import bounded, cut
 
 #: Fixed by the contract: words are runs of digits, letters a-z and all bytes of other characters.
 _DELIMITERS = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
-#: The same words as a pattern, before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a block, from which shifts and buckets are looked up.
 BLOCK = 2
 
@@ -146,7 +144,12 @@ def find_items(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     A null item id marks hits but is not listed. Repeated rows and items change nothing. Columns named like the added ones are replaced. Empty tables work.
     """
     found = hits(df, benchmark, text_col, item_col, item_text_col, size, block_windows)
-    rows = df.select(carried(df), text_digest(text_col).alias("digest"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+
+    @F.arrow_udf(LongType())
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(item_words(t.as_py())) for t in texts], pa.int64())
+
+    rows = df.select(carried(df), text_digest(text_col).alias("digest"), count(utf8(F.col(text_col))).alias("n_words"))
     rows = rows.join(bounded(found), "digest", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return unpacked(rows, df, {"n_words": F.col("n_words"), "n_hit": n_hit, "items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": n_hit > 0})

@@ -55,6 +55,13 @@ def test_mix(docs, rows):
     assert {k: v["taken"] for k, v in got(mixing.mix(docs.repartition(5))).items()} == {k: v["taken"] for k, v in r.items()}
 
 
+def test_take(docs):
+    """Rows come as often as mix() says."""
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, max_repeat=2).collect()}
+    taken = Counter(r["doc_id"] for r in mixing.take(docs, max_repeat=2).collect())
+    assert {k: n for k, n in copies.items() if n} == taken and max(copies.values()) > 0
+
+
 def test_mix_odd(odd, empty):
     assert mixing.mix(odd).count() == odd.count()
     assert mixing.mix(empty).count() == 0
@@ -395,6 +402,27 @@ def test_language_odd(odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_brute_force(docs, rows):
+    """Shares of each document's trigrams in the exact sets of the languages: same winners and, but for chance hits of the filter, same scores."""
+    import math
+
+    learned = [(t, lang) for i, t, lang, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and lang]
+    known = {}
+    for lang in {x for _, x in learned}:
+        mine = [set(langid.trigrams(t).tolist()) for t, x in learned if x == lang]
+        seen = Counter(g for s in mine for g in s)
+        least = max(math.ceil(len(mine) * 0.02), min(len(mine), 2))
+        known[lang] = {g for g, n in seen.items() if n >= least}
+    r = got(langid.identify(docs))
+    for i, t, *_ in rows:
+        grams = langid.trigrams(t).tolist()
+        if grams:
+            share = {x: sum(g in k for g in grams) / len(grams) for x, k in sorted(known.items())}
+            best = max(share, key=share.get)
+            assert r[i]["lang_pred"] == best
+            assert abs(r[i]["score"] - share[best] / sum(share.values())) < 0.05
+
+
 # --- 7 ---
 
 

@@ -74,9 +74,10 @@ def pack(groups: DataFrame, quota: list[int], rounds: int = 12) -> tuple[DataFra
         taken = mine if taken is None else taken.unionByName(mine)
         used = [u + x for u, x in zip(used, _sums(marked.where("in"), "want", shards, F.col("n")))]
         pending = marked.where("not in")
-        if pending.isEmpty():
+        room = [max(0, q - u) for q, u in zip(quota, used)]
+        if pending.where(F.col("n") <= max(room)).isEmpty():
             break
-        room = list(accumulate(max(0, q - u) for q, u in zip(quota, used)))
+        room = list(accumulate(room))
         lot = F.pmod(F.xxhash64("digest", F.lit(~r)), F.lit(max(room[-1], 1)))
         pending = pending.select("digest", "n", F.size(F.filter(F.array(*[F.lit(x) for x in room[:-1]]), lambda x: x <= lot)).alias("want"))
     return taken, used

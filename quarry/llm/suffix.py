@@ -205,9 +205,11 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _hashes(data: bytes) -> list[np.ndarray]:
-    """Anchor hashes of a text, at most two of each chunk's equal ones, which tell that a hash repeats."""
+    """Anchor hashes of a text; of a long one's chunks at most two of equal ones, which tell that a hash repeats."""
+    if len(data) <= CHUNK:
+        return [anchors(data)[0]]
     out = []
-    for offset in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
+    for offset in range(0, len(data) - LENGTH + 1, CHUNK):
         h, n = np.unique(anchors(data[offset : offset + CHUNK + LENGTH - 1])[0], return_counts=True)
         out.append(np.repeat(h, np.minimum(n, 2)))
     return out
@@ -225,60 +227,88 @@ def _repeated_filter(docs: DataFrame) -> np.ndarray:
     return bitfilter.repeated(docs.select("data").mapInArrow(count, "h long, n long"))
 
 
-_PIECE = "doc long, m long, h long, p binary, start int, windows int, anchor int, bytes binary"
 #: Windows whose anchors are looked for at a time, so that the arrays of a very long text stay bounded.
 CHUNK = 1 << 21
 
 
-def _cut_out(data: bytes, wanted) -> Iterator[tuple]:
-    """(h, start, windows, anchor, bytes) of the pieces whose anchor is wanted; bytes is None for windows that repeat the piece just before.
+def _cut_out(data: bytes, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, stretches) of a text: rows (h, start, windows, anchor) of the pieces whose anchor is wanted, and (start, windows) of windows that repeat the piece just before.
 
     In a run of one byte, or of a short period, each piece equals the one before it: such pieces are given as one stretch of
     windows that start earlier, so the run costs no more than its length.
     """
-    last, stretch = None, None
+    parts = []
     for offset in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
         h, start, windows, place = anchors(data[offset : offset + CHUNK + LENGTH - 1])
         ok = wanted(h)
-        for k, s, w, a in zip(h[ok].view(np.int64).tolist(), (start[ok] + offset).tolist(), windows[ok].tolist(), place[ok].tolist()):
-            piece = data[s : s + w + LENGTH - 1]
-            if last is not None and last[0] == k and last[1] == piece:
-                if stretch and stretch[1] == s:
-                    stretch = (stretch[0], s + w)
-                else:
-                    if stretch:
-                        yield None, stretch[0], stretch[1] - stretch[0], 0, None
-                    stretch = (s, s + w)
-            else:
-                last = (k, piece)
-                yield k, s, w, a, piece
-    if stretch:
-        yield None, stretch[0], stretch[1] - stretch[0], 0, None
-
-
-def _pieces(docs: DataFrame, known) -> DataFrame:
-    """Pieces of docs (doc, m, data) whose anchor passes the filter; p is the XXH3 (128 bits) of the bytes. Rows without bytes are windows that start earlier in the document."""
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        names = ["doc", "m", "h", "p", "start", "windows", "anchor", "bytes"]
-        cols: list[list] = [[] for _ in names]
-        size = 0
+        parts.append(np.stack([h[ok].view(np.int64), start[ok] + offset, windows[ok], place[ok]], axis=1))
+    rows = np.concatenate(parts)
+    again = np.zeros(len(rows), bool)
+    for k in np.flatnonzero((rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 2] == rows[:-1, 2])) + 1:
+        s, t, size = rows[k - 1, 1], rows[k, 1], rows[k, 2] + LENGTH - 1
+        again[k] = data[s : s + size] == data[t : t + size]
+    if not again.any():
+        return rows, np.empty((0, 2), np.int64)
+    start, end = rows[again, 1], rows[again, 1] + rows[again, 2]
+    new = np.flatnonzero(np.r_[True, start[1:] != end[:-1]])
+    return rows[~again], np.stack([start[new], end[np.r_[new[1:], len(end)] - 1] - start[new]], axis=1)
+
+
+def _passes(known):
+    return lambda h: bitfilter.passes(known.value, h)
+
+
+def _named_pieces(docs: DataFrame, known) -> DataFrame:
+    """(doc, m, h, p, start, windows) of the pieces of docs (doc, m, data) whose anchor passes the filter; p is the XXH3 (128 bits) of the bytes, null for stretches."""
+    names, kinds = ["doc", "m", "h", "p", "start", "windows"], (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            for doc, m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = data.as_py()
+                rows, stretches = _cut_out(data, _passes(known))
+                n = len(rows)
+                if not n:
+                    continue
+                ends = (rows[:, 1] + rows[:, 2] + LENGTH - 1).tolist()
+                p = [xxh3_128_digest(data[s:e]) for s, e in zip(rows[:, 1].tolist(), ends)] + [None] * len(stretches)
+                places = np.concatenate([rows[:, 1:3], stretches])
+                h = np.r_[rows[:, 0], np.zeros(len(stretches), np.int64)]
+                columns = np.full(len(h), doc), np.full(len(h), m), h, p, places[:, 0], places[:, 1]
+                held.append([pa.array(c, t) for c, t in zip(columns, kinds)])
+                if sum(len(c[0]) for c in held) > 50_000:
+                    yield joined()
+            if held:
+                yield joined()
+
+    held: list[list[pa.Array]] = []
+
+    def joined() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names)
+        held.clear()
+        return out
+
+    return docs.select("doc", "m", "data").mapInArrow(of, "doc long, m long, h long, p binary, start int, windows int")
+
+
+def _piece_bytes(docs: DataFrame, known) -> DataFrame:
+    """(doc, m, start, windows, anchor, bytes) of the same pieces."""
+    names, kinds = ["doc", "m", "start", "windows", "anchor", "bytes"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                for k, s, w, a, piece in _cut_out(data.as_py(), lambda h: bitfilter.passes(known.value, h)):
-                    digest = None if piece is None else xxhash.xxh3_128_digest(piece)
-                    for col, x in zip(cols, (doc, m, k, digest, s, w, a, piece)):
-                        col.append(x)
-                    size += len(piece or b"")
-                    if size > ARRAY_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
-                        cols, size = [[] for _ in names], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                data = data.as_py()
+                rows, _ = _cut_out(data, _passes(known))
+                for k in range(0, len(rows), 5000):
+                    part = rows[k : k + 5000]
+                    pieces = [data[s : s + w + LENGTH - 1] for s, w in part[:, 1:3].tolist()]
+                    columns = np.full(len(part), doc), np.full(len(part), m), part[:, 1], part[:, 2], part[:, 3], pieces
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return docs.select("doc", "m", "data").mapInArrow(cut_out, _PIECE)
+    return docs.select("doc", "m", "data").mapInArrow(of, "doc long, m long, start int, windows int, anchor int, bytes binary")
 
 
 _SPAN = StructType([StructField("doc", LongType()), StructField("m", LongType()), StructField("s", LongType()), StructField("e", LongType())])
@@ -317,22 +347,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, m, s, e) of bytes covered by windows that start earlier, for docs (doc, m, data) of different data.
 
     1. Anchor hashes are counted; a filter of fixed size keeps the repeated ones. 2. Their
-    pieces are cut out. Equal pieces of an anchor are one, at its first place; every
-    other place is a repeat as a whole. 3. The different pieces of an anchor go through a
+    pieces are named by a digest of their bytes. Equal pieces of an anchor are one, at its first place; every
+    other place is a repeat as a whole. 3. Only the first places of anchors with different pieces are cut out with their bytes; those of an anchor go through a
     suffix array together. An anchor with over GROUP_PIECES different pieces is not brought together:
     its windows are grouped one by one.
     """
-    known = docs.sparkSession.sparkContext.broadcast(_repeated_filter(docs))
-    cut_out = cut(_pieces(docs, known), "pieces")
-    pieces, within = cut_out.where("bytes is not null"), cut_out.where("bytes is null")
+    sc = docs.sparkSession.sparkContext
+    known = sc.broadcast(_repeated_filter(docs))
+    named = cut(_named_pieces(docs, known), "pieces")
+    pieces, within = named.where("p is not null"), named.where("p is null")
     place = F.struct("doc", "m", "start")
     kinds = cut(pieces.groupBy("h", "p").agg(F.min(place).alias("first"), F.count("*").alias("n")), "kinds")
-    again = lookup(pieces.select("doc", "m", "h", "p", "start", "windows"), kinds.where("n > 1").select("h", "p", "first"), ["h", "p"]).where(place != F.col("first"))
+    again = lookup(pieces, kinds.where("n > 1").select("h", "p", "first"), ["h", "p"]).where(place != F.col("first"))
     whole = lambda rows: rows.select("doc", "m", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("windows") + LENGTH - 1).cast("long").alias("e"))
     spans = whole(again).unionByName(whole(within))
     several = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    firsts = kinds.join(bounded(several), "h").select("h", "p", "first", "kinds")
-    mixed = cut(lookup(pieces, cut(firsts, "firsts"), ["h", "p"]).where(place == F.col("first")).select("h", "kinds", "doc", "m", "start", "windows", "anchor", "bytes"), "mixed")
+    firsts = cut(lookup(kinds.select("h", "first"), several, "h").select("first.*", "h", "kinds"), "firsts")
+    mixed_anchors = sc.broadcast(bitfilter.repeated(several.select("h", F.lit(2).cast("long").alias("n"))))
+    # a first place is one row on either side, so no key is hot
+    mixed = cut(_piece_bytes(docs, mixed_anchors).join(firsts, ["doc", "m", "start"]).select("h", "kinds", "doc", "m", "start", "windows", "anchor", "bytes"), "mixed")
     groups = mixed.where(F.col("kinds") <= GROUP_PIECES).groupBy("h").agg(F.collect_list(F.struct("bytes", "doc", "m", "start", "windows", "anchor")).alias("pieces"))
     spans = spans.unionByName(groups.select(F.explode(_group_spans(F.col("pieces"))).alias("x")).select("x.*"))
     single = mixed.where(F.col("kinds") > GROUP_PIECES).select("doc", "m", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))

@@ -44,17 +44,16 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str | None = N
     return df.hint(otherwise) if otherwise else df
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], small: int = BROADCAST_ROWS) -> DataFrame:
     """rows inner-joined by equal keys with a table that holds each key once, however skewed the keys of rows are.
 
-    A table counted to be small is broadcast. Of a larger one, the part of the keys that hold over
+    A table counted to have at most `small` rows is broadcast. Of a larger one, the part of the keys that hold over
     1 / BROADCAST_ROWS of rows (so at most BROADCAST_ROWS keys) is broadcast, and only the rest is shuffled.
     Both sides are read more than once: give written tables.
     """
     keys = [key] if isinstance(key, str) else key
-    small = bounded(table)
-    if small is not table:
-        return rows.join(small, keys)
+    if small and (near := bounded(table, small)) is not table:
+        return rows.join(near, keys)
     least = max(1000, rows.count() // BROADCAST_ROWS)
     hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > least).select(*keys), "hot")
     cold = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys)

@@ -358,11 +358,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pieces, within = named.where("p is not null"), named.where("p is null")
     place = F.struct("doc", "m", "start")
     kinds = cut(pieces.groupBy("h", "p").agg(F.min(place).alias("first"), F.count("*").alias("n")), "kinds")
-    again = lookup(pieces, kinds.where("n > 1").select("h", "p", "first"), ["h", "p"]).where(place != F.col("first"))
+    again = lookup(pieces, kinds.where("n > 1").select("h", "p", "first"), ["h", "p"], small=0).where(place != F.col("first"))
     whole = lambda rows: rows.select("doc", "m", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("windows") + LENGTH - 1).cast("long").alias("e"))
     spans = whole(again).unionByName(whole(within))
     several = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    firsts = cut(lookup(kinds.select("h", "first"), several, "h").select("first.*", "h", "kinds"), "firsts")
+    firsts = cut(lookup(kinds.select("h", "first"), several, "h", small=0).select("first.*", "h", "kinds"), "firsts")
     mixed_anchors = sc.broadcast(bitfilter.repeated(several.select("h", F.lit(2).cast("long").alias("n"))))
     # a first place is one row on either side, so no key is hot
     mixed = cut(_piece_bytes(docs, mixed_anchors).join(firsts, ["doc", "m", "start"]).select("h", "kinds", "doc", "m", "start", "windows", "anchor", "bytes"), "mixed")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, hierbayes, langid, linededup, mixing, quality, sharding, simhash, suffix, toolchat
+from quarry.llm import decontam, divergence, hierbayes, langid, linededup, merkle, mixing, quality, search, sharding, simhash, suffix, toolchat
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,23 @@ def op10_quality_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierbayes.classify(_documents(spark, sf_dir), labels, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op11_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root of each document's Merkle tree and of its edited text's, and how alike the trees are."""
+    found = merkle.fingerprints(_documents(spark, sf_dir))
+    sha = F.sha2("edited", 256).alias("edited_sha256")
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), sha, F.col("tree.root").alias("fingerprint"), F.col("edited_tree.root").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op12_rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return search.rank(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that set each apart."""
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query opN_<name>."""
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
@@ -194,4 +211,56 @@ its AS (SELECT id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM
 SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
        sha256(coalesce(i.s, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN cover c ON c.id = w.id LEFT JOIN its i ON i.id = w.id WHERE w.side = 'd'""",
+    "op11_fingerprint_documents": r"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id, md5(coalesce(text, ''))) AS rn FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY rn), first_value(t) OVER (ORDER BY rn)) AS nt FROM o),
+e AS (SELECT *, substr(t, 1, length(t) - length(t) // 4) || substr(nt, 1, length(t) // 4) AS et FROM n),
+texts AS (SELECT rn, 0 AS k, t AS x FROM e UNION ALL SELECT rn, 1, et FROM e UNION ALL SELECT rn, 2, nt FROM e),
+p AS (SELECT rn, k, list_transform(regexp_extract_all(x, '[^.!?|\n]{1,200}[.!?|\n]*|[.!?|\n]+'), lambda y: md5(y)) AS p FROM texts),
+b AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: substr(p[i], 1, 1) IN ('0', '8') OR i = len(p)) AS ends FROM p),
+s AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda i: md5(array_to_string(p[coalesce(ends[i - 1], 0) + 1:ends[i]], ''))) AS s FROM b),
+r AS (SELECT rn, k, md5(array_to_string(s, '')) AS root, list_distinct(list_concat(['r' || md5(array_to_string(s, ''))], list_transform(s, lambda y: 's' || y), p)) AS nodes FROM s)
+SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.et) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint,
+       CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.nodes, b.nodes)) / (len(a.nodes) + len(b.nodes)) END AS near_edited,
+       CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.nodes, c.nodes)) / (len(a.nodes) + len(c.nodes)) END AS near_next
+FROM e JOIN r a ON a.rn = e.rn AND a.k = 0 JOIN r b ON b.rn = e.rn AND b.k = 1 JOIN r c ON c.rn = e.rn AND c.k = 2""",
+    "op12_rank_documents": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (
+  SELECT qn, item_id, t, count(*) AS times FROM (
+    SELECT row_number() OVER () AS qn, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL),
+g AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+tf AS (SELECT rn, t, count(*) AS tf FROM (SELECT rn, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * g.n + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY t, g.n),
+i AS (SELECT tf.rn, tf.t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * g.n) // g.l)) AS i FROM tf JOIN d ON d.rn = tf.rn, g),
+s AS (SELECT q.qn, q.item_id, i.rn, CAST(sum(q.times * w.w * i.i) AS BIGINT) AS score FROM q JOIN w ON w.t = q.t JOIN i ON i.t = q.t GROUP BY ALL),
+r AS (SELECT s.*, d.doc_id, row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id) AS rank FROM s JOIN d ON d.rn = s.rn WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_audit_sources": r"""
+WITH w AS (
+  SELECT rn, lang, source, unnest(terms) AS t FROM (
+    SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents)),
+k AS (SELECT lang, t, count(*) AS ln FROM w GROUP BY ALL HAVING count(DISTINCT rn) >= 10),
+v AS (SELECT lang, count(*) AS v, CAST(sum(ln) AS BIGINT) AS total FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.t, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.t = w.t GROUP BY ALL),
+g AS (
+  SELECT x.lang, x.source, coalesce(v.v, 0) AS v, coalesce(v.total, 0) AS total, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0) AS n
+  FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) x LEFT JOIN v ON v.lang = x.lang),
+p AS (
+  SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p, 1 + (1000000000 * (k.ln + 2)) // (g.total + 2 * g.v) AS q
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.t = y.t AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', t, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }

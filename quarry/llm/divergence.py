@@ -7,7 +7,9 @@ import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,185 +17,176 @@ from pyspark.sql import functions as F
 from quarry.llm.text import small_batches, utf8
 from quarry.plans.lineage import bounded, cut
 
-#: Fixed by the contract: terms are runs of letters a-z and all bytes of other characters.
-_DELIMITERS = bytes(i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+#: Fixed by the contract: terms are runs of letters, of which only A-Z are lower-cased, and of all bytes of other characters. 0 is no term.
+_LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 #: Fixed by the contract: added to each count, and the scale of the shares.
 PRIOR, SCALE = 2, 1_000_000_000
-#: Bytes of terms and postings that a block holds before it is spilled as a run, those of a piece of a run, and runs that are merged at once.
-BLOCK_BYTES, PIECE_BYTES, FAN = 64 << 20, 16 << 10, 4096
-#: A piece of a run: consecutive terms of a language with their postings. sizes: how many of the postings (source, docs, n) each term has.
-_PIECE = "shard int, run long, lang string, first string, last string, terms array<string>, sizes array<int>, sources array<string>, docs array<long>, counts array<long>"
+#: Bytes of postings that a block holds before it is spilled as a run, postings of a piece of a run, those that a merge gathers before it puts out what is complete, and runs that are merged at once.
+BLOCK_BYTES, PIECE, GATHER, FAN = 64 << 20, 1024, 1 << 17, 4096
+#: A piece of a run: consecutive terms with their postings. Keys are a language and a term with a zero between; sizes: how many of the postings (source, docs, n) each has.
+_PIECES = "shard int, run long, first string, keys array<string>, sizes array<int>, sources array<string>, docs array<long>, counts array<long>"
+_READ = ["first", "keys", "sizes", "sources", "docs", "counts"]
 _COUNTS = "lang string, term string, source string, n long, lang_n long"
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) terms of a text."""
-    return text.lower().translate(_DELIMITERS).split()
-
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
-    fields = [f.strip().split(" ") for f in schema.split(",")]
-    return pa.schema([(n, pa.list_(kinds[t[6:-1]]) if t.startswith("array") else kinds[t]) for n, t in fields])
-
-
-class _Block:
-    """Postings of the documents seen since the last spill: lang -> term -> {source: [docs, n]}."""
-
-    def __init__(self) -> None:
-        self.terms: dict[str, dict[bytes, dict[str, list[int]]]] = {}
-        self.bytes = 0
-
-    def add(self, lang: str, source: str, words: list[bytes]) -> None:
-        counts: dict[bytes, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        terms = self.terms.setdefault(lang, {})
-        for w, n in counts.items():
-            postings = terms.get(w)
-            if postings is None:
-                postings = terms[w] = {}
-                self.bytes += len(w) + 300
-            seen = postings.get(source)
-            if seen is None:
-                postings[source] = [1, n]
-                self.bytes += 120
-            else:
-                seen[0] += 1
-                seen[1] += n
-
-
-def _pieces(entries: Iterator[tuple], run: int, shard: int) -> Iterator[tuple]:
-    """Rows of _PIECE from term-sorted entries (lang, term, postings) of one shard, each of one language and about PIECE_BYTES."""
-    terms: list[str] = []
-    sizes: list[int] = []
-    flat: list[tuple[str, int, int]] = []
-    of, held = None, 0
-    for lang, term, postings in entries:
-        if terms and (lang != of or held > PIECE_BYTES):
-            yield (shard, run, of, terms[0], terms[-1], terms, sizes, [s for s, _, _ in flat], [d for _, d, _ in flat], [n for _, _, n in flat])
-            terms, sizes, flat, held = [], [], [], 0
-        of = lang
-        terms.append(term)
-        sizes.append(len(postings))
-        flat.extend((s, d, n) for s, (d, n) in postings.items())
-        held += len(term) + 40 * len(postings)
-    if terms:
-        yield (shard, run, of, terms[0], terms[-1], terms, sizes, [s for s, _, _ in flat], [d for _, d, _ in flat], [n for _, _, n in flat])
-
-
-def _rows(rows: Iterator[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most `most` rows."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+def word_counts(texts: pa.Array, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(group, term, documents, occurrences) of a batch of binary texts, each of which belongs to a group (a number)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    letters = _LETTERS[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data is not None else np.empty(0, np.uint8)
+    begin = offsets[:-1] - offsets[0]
+    inside = letters != 0
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    full = begin[begin < len(letters)]
+    start[full] = inside[full]
+    at = np.flatnonzero(start)
+    ends = np.append((np.cumsum(inside) - 1)[at], inside.sum()).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters[inside])).dictionary_encode()
+    size = max(len(words.dictionary), 1)
+    doc = np.searchsorted(begin, at, side="right") - 1
+    seen, times = np.unique(doc * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    key = groups[seen // size] * size + seen % size
+    order = np.argsort(key, kind="stable")
+    found, first = np.unique(key[order], return_index=True)
+    docs = np.diff(np.append(first, len(order)))
+    n = np.add.reduceat(times[order], first) if len(found) else np.empty(0, np.int64)
+    return found // size, words.dictionary.take(pa.array(found % size)), docs, n
+
+
+def combined(tables: list[pa.Table]) -> pa.Table:
+    """Postings (key, source, docs, n) with those of one key and source added up, in order of key and source."""
+    sums = pa.concat_tables(tables).group_by(["key", "source"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+    return sums.rename_columns(["key", "source", "docs", "n"]).sort_by([("key", "ascending"), ("source", "ascending")]).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table[name].combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def pieces_of(table: pa.Table, run: int, shard_of: np.ndarray, codes: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
+    """Rows of _PIECES of a run (sorted postings; codes: place of each one's key in keys; shard_of: each key's shard). A piece ends with a term."""
+    order = np.argsort(shard_of[codes], kind="stable")
+    codes = codes[order]
+    term = np.flatnonzero(np.diff(codes, prepend=-1))  # where each term's postings begin
+    shard = shard_of[codes[term]]
+    begin = term[np.searchsorted(shard, shard)]  # where each term's shard begins
+    piece = np.flatnonzero(np.diff(shard.astype(np.int64) * (len(codes) + 1) + (term - begin) // PIECE, prepend=-1))  # first term of each piece
+    of_terms = pa.array(np.append(piece, len(term)), pa.int32())
+    of_postings = pa.array(np.append(term[piece], len(codes)), pa.int32())
+    names = keys.take(pa.array(codes[term]))
+    sizes = pa.array(np.diff(np.append(term, len(codes))), pa.int32())
+    rows = table.take(pa.array(order))
+    lists = [pa.ListArray.from_arrays(of_terms, names), pa.ListArray.from_arrays(of_terms, sizes), *(pa.ListArray.from_arrays(of_postings, _column(rows, c)) for c in ("source", "docs", "n"))]
+    columns = [pa.array(shard[piece], pa.int32()), pa.array(np.full(len(piece), run), pa.int64()), names.take(pa.array(piece)), *lists]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "run", *_READ])
+
+
+def _in_rows(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)
 
 
 def runs(df: DataFrame, shards: int, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Term-sorted runs (_PIECE) of the texts of df: each task indexes its documents into a block, and spills that whenever it is full and at the end.
+    """Term-sorted runs (_PIECES) of the texts of df: each task indexes its documents into a block, and spills that whenever it is full and at the end.
 
     A run is dealt into hash shards by language and term. A null text has no terms; null languages and sources are ''.
     """
-    schema = _arrow(_PIECE)
-
-    def spill(block: _Block, run: int) -> Iterator[tuple]:
-        order: list[list[tuple]] = [[] for _ in range(shards)]
-        for lang, terms in block.terms.items():
-            seed = zlib.crc32(lang.encode())
-            for term, postings in terms.items():
-                order[zlib.crc32(term, seed) % shards].append((lang, term.decode(), postings))
-        for shard, entries in enumerate(order):
-            # code points order as UTF-8 bytes do
-            entries.sort(key=lambda e: e[:2])
-            yield from _pieces(iter(entries), run, shard)
+
+    def spill(block: list[pa.Table], run: int) -> Iterator[pa.RecordBatch]:
+        table = combined(block)
+        coded = _column(table, "key").dictionary_encode()
+        shard_of = np.fromiter((zlib.crc32(k.encode()) % shards for k in coded.dictionary.to_pylist()), np.int64)
+        yield from _in_rows(pieces_of(table, run, shard_of, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary), 256)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, run = _Block(), TaskContext.get().partitionId() << 24
+        block, held, run = [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
-            langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for text, lang, source in zip(batch.column(0), langs, sources):
-                block.add(lang, source, terms_of(text.as_py()))
-                if block.bytes > block_bytes:
-                    yield from _rows(spill(block, run), schema, 256)
-                    block, run = _Block(), run + 1
-        yield from _rows(spill(block, run), schema, 256)
+            places: dict[tuple[str, str], int] = {}
+            groups = np.array([places.setdefault(g, len(places)) for g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], np.int64)
+            group, terms, docs, n = word_counts(batch.column(0), groups)
+            if not len(group):
+                continue
+            langs, sources = (pa.array([g[k] for g in places]).take(pa.array(group)) for k in (0, 1))
+            table = pa.table({"key": pc.binary_join_element_wise(langs, terms, "\0"), "source": sources, "docs": pa.array(docs, pa.int64()), "n": pa.array(n, pa.int64())})
+            block.append(table)
+            held += table.nbytes
+            if held > block_bytes:
+                yield from spill(block, run)
+                block, held, run = [], 0, run + 1
+        if block:
+            yield from spill(block, run)
 
     named = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return df.select(utf8(F.col(text_col)).alias("text"), named(lang_col).alias("lang"), named(source_col).alias("source")).mapInArrow(index, _PIECE)
-
-
-def _entries(rows: Iterator[tuple]) -> Iterator[tuple[str, str, str, int, int]]:
-    """Heap merge of pieces that arrive by (lang, first term): (lang, term, source, docs, n) in order of language and term.
-
-    A piece is opened when the merge gets to its first term, so of each run one piece is open at a time.
-    """
-    heap: list[tuple] = []
-    opened = 0
-
-    def step(upto: tuple[str, str] | None) -> Iterator[tuple]:
-        while heap and (upto is None or heap[0][:2] < upto):
-            lang, term, number, at, base, piece = heap[0]
-            size = piece[1][at]
-            for k in range(base, base + size):
-                yield lang, term, piece[2][k], piece[3][k], piece[4][k]
-            if at + 1 < len(piece[0]):
-                heapq.heapreplace(heap, (lang, piece[0][at + 1], number, at + 1, base + size, piece))
-            else:
-                heapq.heappop(heap)
-
-    for lang, first, *piece in rows:
-        yield from step((lang, first))
-        heapq.heappush(heap, (lang, first, opened, 0, 0, piece))
-        opened += 1
-    yield from step(None)
+    return df.select(utf8(F.col(text_col)).alias("text"), named(lang_col).alias("lang"), named(source_col).alias("source")).mapInArrow(index, _PIECES)
 
 
-def _merged(entries: Iterator[tuple]) -> Iterator[tuple[str, str, dict[str, list[int]]]]:
-    """(lang, term, {source: [docs, n]}) of sorted entries: the postings of one term at a time."""
-    now, postings = None, {}
-    for lang, term, source, docs, n in entries:
-        if (lang, term) != now:
-            if now:
-                yield *now, postings
-            now, postings = (lang, term), {}
-        seen = postings.setdefault(source, [0, 0])
-        seen[0] += docs
-        seen[1] += n
-    if now:
-        yield *now, postings
+def _postings(keys: pa.Array, sizes: pa.Array, sources: pa.Array, docs: pa.Array, n: pa.Array) -> pa.Table:
+    return pa.table({"key": keys.take(pa.array(np.repeat(np.arange(len(keys)), sizes.to_numpy(zero_copy_only=False)))), "source": sources, "docs": docs, "n": n})
 
 
-def _sorted_pieces(pieces: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    return pieces.repartition(parts, *keys).sortWithinPartitions(*keys, "lang", "first")
+def merged(pieces: Iterator[tuple], gather: int = GATHER) -> Iterator[pa.Table]:
+    """Heap merge of pieces (first, keys, sizes, sources, docs, counts) that arrive by their first key: sorted postings, added up, no key in two tables.
 
-
-def _groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """(key, rows behind it) of sorted rows whose first `keys` columns are the key; take a group's rows before the next."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-    for key, group in groupby(rows, lambda r: r[:keys]):
-        yield key, (r[keys:] for r in group)
-
-
-_READ = ["lang", "first", "terms", "sizes", "sources", "docs", "counts"]
+    Open pieces wait in a heap by their last key. Whenever about `gather` postings are open, what lies before the next piece's first
+    key is complete: pieces that end before it leave the heap whole, and of the others that part. So of each run little more than one piece is open at a time.
+    """
+    heap: list[tuple[str, int, pa.Table]] = []
+    held, count, limit = 0, 0, gather
+
+    def complete(bound: str | None) -> list[pa.Table]:
+        out = []
+        while heap and (bound is None or heap[0][0] < bound):
+            out.append(heapq.heappop(heap)[2])
+        for i, (last, number, table) in enumerate(heap):  # the rest keeps its last key, so the heap keeps its order
+            ready = pc.sum(pc.less(table["key"], bound)).as_py()
+            out.append(table.slice(0, ready))
+            heap[i] = last, number, table.slice(ready)
+        return out
+
+    for first, *columns in pieces:
+        if held > limit:
+            ready = complete(first)
+            size = sum(t.num_rows for t in ready)
+            if size:
+                yield combined(ready)
+            held -= size
+            limit = max(gather, 2 * held)
+        table = _postings(*columns)
+        heapq.heappush(heap, (columns[0][-1].as_py(), count, table))
+        held += table.num_rows
+        count += 1
+    if heap:
+        yield combined(complete(None))
+
+
+def _arrived(batches: Iterator[pa.RecordBatch], skip: int = 0) -> Iterator[tuple]:
+    """Pieces of batches whose columns are _READ behind `skip` others: the first key as text, the lists as Arrow arrays."""
+    for batch in batches:
+        lists = [batch.column(skip + k) for k in range(1, 6)]
+        for i, first in enumerate(batch.column(skip).to_pylist()):
+            yield first, *(c[i].values for c in lists)
 
 
 def merge_runs(pieces: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
     """The pieces with at most `fan` runs left: `fan` runs of a shard are merged into one, in as many rounds as it takes."""
-    schema = _arrow(_PIECE)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard, run), rows in _groups_of(batches, 2):
-            yield from _rows(_pieces(_merged(_entries(rows)), run, shard), schema, 256)
+        def ranges() -> Iterator[tuple[tuple, tuple]]:
+            for batch in batches:
+                names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                yield from zip(names, _arrived(iter([batch]), 2))
+
+        for (shard, run), group in groupby(ranges(), lambda r: r[0]):
+            for table in merged(r[1] for r in group):
+                coded = _column(table, "key").dictionary_encode()
+                yield from _in_rows(pieces_of(table, run, np.full(len(coded.dictionary), shard), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary), 256)
 
     while (n := pieces.select("run").distinct().count()) > fan:
         names = cut(pieces.groupBy("run").agg(F.count("*").alias("n")).select("run", F.pmod(F.xxhash64("run"), F.lit(-(-n // (fan // 2)))).alias("next")), "names")
-        grouped = pieces.join(bounded(names), "run").drop("run").withColumnRenamed("next", "run")
-        pieces = cut(_sorted_pieces(grouped.select("shard", "run", *_READ), ["shard", "run"], parts).mapInArrow(merge, _PIECE), "runs")
+        grouped = pieces.join(bounded(names), "run").drop("run").withColumnRenamed("next", "run").select("shard", "run", *_READ)
+        pieces = cut(grouped.repartition(parts, "shard", "run").sortWithinPartitions("shard", "run", "first").mapInArrow(merge, _PIECES), "runs")
     return pieces
 
 
@@ -201,22 +194,28 @@ def frequencies(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """(lang, term, source, n, lang_n): occurrences of each term found in at least min_docs documents of its language, by source (above 0 only) and in the whole language."""
     spark = df.sparkSession
     small_batches(spark)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = _arrow(_COUNTS)
-    pieces = merge_runs(cut(runs(df, shards, text_col, lang_col, source_col, block_bytes), "runs"), shards, fan)
-
-    def kept(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for lang, term, postings in _merged(_entries(rows)):
-            if sum(d for d, _ in postings.values()) >= min_docs:
-                total = sum(n for _, n in postings.values())
-                for source, (_, n) in postings.items():
-                    yield lang, term, source, n, total
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = merge_runs(cut(runs(df, 8 * parts, text_col, lang_col, source_col, block_bytes), "runs"), parts, fan)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups_of(batches, 1):
-            yield from _rows(kept(rows), schema, 4096)
-
-    return cut(_sorted_pieces(pieces.select("shard", *_READ), ["shard"], shards).mapInArrow(merge, _COUNTS), "frequencies")
+        for table in merged(_arrived(batches)):
+            coded = _column(table, "key").dictionary_encode()
+            codes, n = coded.indices.to_numpy(zero_copy_only=False), table["n"].to_numpy()
+            begin = np.flatnonzero(np.diff(codes, prepend=-1))
+            kept = np.add.reduceat(table["docs"].to_numpy(), begin) >= min_docs
+            sizes = np.diff(np.append(begin, len(codes)))
+            at = pa.array(np.flatnonzero(np.repeat(kept, sizes)))
+            if not len(at):
+                continue
+            names = [k.rpartition("\0") for k in coded.dictionary.take(pa.array(np.flatnonzero(kept))).to_pylist()]
+            times = sizes[kept]
+            lang, term = (pa.array([x[k] for x in names]).take(pa.array(np.repeat(np.arange(len(names)), times))) for k in (0, 2))
+            total = pa.array(np.repeat(np.add.reduceat(n, begin)[kept], times), pa.int64())
+            rows = table.take(at)
+            yield from _in_rows(pa.RecordBatch.from_arrays([lang, term, _column(rows, "source"), _column(rows, "n"), total], ["lang", "term", "source", "n", "lang_n"]), 8192)
+
+    sorted_ = pieces.select("shard", *_READ).repartition(parts, "shard").drop("shard").sortWithinPartitions("first")
+    return cut(sorted_.mapInArrow(merge, _COUNTS), "frequencies")
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:

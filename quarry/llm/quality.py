@@ -14,11 +14,12 @@ from quarry.llm.text import small_batches, utf8
 from quarry.plans.lineage import bounded, cut
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Standard deviations that are added to each transformed statistic's own: differences of that size mean nothing. Several
-#: statistics are zero in most documents, so the core of half of them has no spread there and its matrix could not be inverted.
-TOLERANCE = (0.9, 0.12, 0.06, 0.12, 0.12)
-#: Share of the rows in the core, concentration steps, and the rows of a language's estimate that count in that of one of its cells.
-HALF, STEPS, PRIOR = 0.5, 4, 100
+#: Standard deviation that is added to each coordinate's own. It is far below theirs, and only lets a matrix of fewer rows than coordinates, or of equal ones, be inverted.
+FLOOR = 1e-3
+#: Share of the rows in the core; concentration steps end once no determinant's logarithm moves by more than SETTLED, MOST_STEPS at the latest.
+HALF, SETTLED, MOST_STEPS = 0.5, 1e-2, 40
+#: Rows of a language's estimate that count in that of one of its cells, and the most that the cell's own counts: many near copies may leave it hardly any spread.
+PRIOR, OWN = 100, 0.75
 #: Chance that a document of a normal population is rejected.
 LEVEL = 1e-9
 
@@ -83,10 +84,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
 
 
-def vector() -> Column:
-    """The transformed statistics, near-normal for prose."""
+def vector(digest: Column) -> Column:
+    """The transformed statistics, near-normal for prose.
+
+    Counts are whole numbers, and most documents have the same, none, of several of them. A fraction is added to each, uniform from 0 to 1 and drawn from
+    the text's digest, so that a statistic spreads by its own resolution at least, and no estimate of spread is zero. A repeated window has some six words, so these are counted by six.
+    """
+    part = lambda k: F.pmod(F.shiftrightunsigned(digest, 12 * k), F.lit(1 << 12)) / (1 << 12)
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return F.array(F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.sqrt(F.col("n_symbols") / n), F.sqrt(F.col("n_dup_lines") / n * 10), F.sqrt(F.col("n_repeat_words") / n))
+    of = lambda count, k: F.sqrt((count + part(k)) / n)
+    return F.array(F.log(n + part(0)), F.log((F.greatest(F.col("word_chars"), F.lit(1)) + part(1)) / n), of(F.col("n_symbols"), 2), of(F.col("n_dup_lines"), 3), of(F.col("n_repeat_words") / 6, 4))
 
 
 def _distance() -> Column:
@@ -110,7 +117,7 @@ def consistency(half: float, d: int) -> float:
 
 
 def _matrices(n: Column, sums: Column, products: Column, factor: float) -> Column:
-    """Struct (mean, cov, precision, det) from a group's sums: cov is the scatter times `factor`, plus TOLERANCE squared; det its determinant's logarithm."""
+    """Struct (mean, cov, precision, det) from a group's sums: cov is the scatter times `factor`, plus FLOOR squared; det its determinant's logarithm."""
     d = len(STATS)
 
     @F.arrow_udf(_ESTIMATE)
@@ -121,7 +128,7 @@ def _matrices(n: Column, sums: Column, products: Column, factor: float) -> Colum
             cov = np.zeros((d, d))
             cov[np.triu_indices(d)] = np.array(b) / c
             cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov = factor * cov + np.diag(np.square(TOLERANCE))
+            cov = factor * cov + FLOOR**2 * np.eye(d)
             out.append({"mean": mean.tolist(), "cov": cov.ravel().tolist(), "precision": np.linalg.inv(cov).ravel().tolist(), "det": float(np.linalg.slogdet(cov)[1])})
         return pa.array(out, _ESTIMATES)
 
@@ -147,7 +154,7 @@ def _starts(keyed: DataFrame) -> DataFrame:
     middle = lambda x: F.percentile_approx(x, 0.5, 1000)
     medians = cut(keyed.groupBy("group").agg(F.array(*[middle(F.get("x", F.lit(i))) for i in range(d)]).alias("mean")), "medians")
     off = [middle(F.abs(F.get("x", F.lit(i)) - F.get("mean", F.lit(i)))) for i in range(d)]
-    scale = F.array(*[F.sqrt(F.pow(m * 1.4826, F.lit(2.0)) + TOLERANCE[i] ** 2) for i, m in enumerate(off)])
+    scale = F.array(*[F.sqrt(F.pow(m * 1.4826, F.lit(2.0)) + FLOOR**2) for m in off])
     scales = cut(keyed.join(bounded(medians), "group").groupBy("group").agg(F.first("mean").alias("mean"), scale.alias("scale")), "scales")
     z = F.transform("x", lambda v, i: (v - F.get("mean", i)) / F.get("scale", i))
     length = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))
@@ -159,34 +166,39 @@ def _starts(keyed: DataFrame) -> DataFrame:
     def precision(cov: pa.Array, scale: pa.Array, start: pa.Array) -> pa.Array:
         out = []
         for c, s, k in zip(cov.to_pylist(), scale.to_pylist(), start.to_pylist()):
-            shape = np.eye(d) if k == 0 else np.array(c).reshape(d, d) - np.diag(np.square(TOLERANCE)) + 0.01 * np.eye(d)
+            shape = np.eye(d) if k == 0 else np.array(c).reshape(d, d) - FLOOR**2 * np.eye(d) + 0.01 * np.eye(d)
             out.append(np.linalg.inv(np.outer(s, s) * shape).ravel().tolist())
         return pa.array(out, pa.list_(pa.float64()))
 
     return shapes.select("group", "start", "cov").join(bounded(scales), "group").select("group", "start", "mean", precision(F.col("cov"), F.col("scale"), F.col("start")).alias("precision"))
 
 
-def mcd(keyed: DataFrame, half: float = HALF, steps: int = STEPS) -> DataFrame:
+def mcd(keyed: DataFrame, half: float = HALF) -> DataFrame:
     """(group, mean, cov) by minimum covariance determinant over all rows (group, x).
 
     From each of three starts, a step keeps the `half` of a group's rows nearest by Mahalanobis
     distance and estimates anew, which never raises the determinant; after two steps the start with the least
-    determinant goes on alone. Every step is a grouped sum and a mergeable quantile
+    determinant goes on alone, until the determinants stay. Every step is a grouped sum and a mergeable quantile
     sketch, so no group is brought together. The scatter is made consistent with the normal distribution.
     """
     factor = consistency(half, len(STATS))
     now = cut(_starts(keyed), "starts")
-    for k in range(steps):
+    for k in range(MOST_STEPS):
         if k == 2:
-            now = cut(now.groupBy("group").agg(F.min_by(F.struct("start", "mean", "precision"), "det").alias("e")).select("group", "e.*"), "best")
-        far = keyed.join(bounded(now), "group").select("group", "start", "x", _distance().alias("d2"))
+            now = cut(now.groupBy("group").agg(F.min_by(F.struct("start", "mean", "precision", "cov", "det"), "det").alias("e")).select("group", "e.*"), "best")
+        far = keyed.join(bounded(now.select("group", "start", "mean", "precision")), "group").select("group", "start", "x", _distance().alias("d2"))
         limit = cut(far.groupBy("group", "start").agg(F.percentile_approx("d2", half, 10000).alias("most")), "limit")
-        now = cut(_moments(far.join(bounded(limit), ["group", "start"]).where("d2 <= most"), ["group", "start"], factor), "estimate")
+        last, now = now, cut(_moments(far.join(bounded(limit), ["group", "start"]).where("d2 <= most"), ["group", "start"], factor), "estimate")
+        if k >= 2:
+            before = last.select("group", F.col("det").alias("before"))
+            moved = now.join(bounded(before), "group").agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0]
+            if moved is None or moved <= SETTLED:
+                break
     return now.groupBy("group").agg(F.min_by(F.struct("mean", "cov"), "det").alias("e")).select("group", "e.*")
 
 
 def _shrunk(levels: list[tuple[Column, Column, Column]]) -> Column:
-    """Struct (mean, precision) of (n, mean, cov) from all rows down to a cell: each level counts with weight n against PRIOR rows of the one above."""
+    """Struct (mean, precision) of (n, mean, cov) from all rows down to a cell: each level counts with weight n against PRIOR rows of the one above, OWN at most."""
     d = len(STATS)
 
     @F.arrow_udf(StructType([StructField("mean", ArrayType(DoubleType())), StructField("precision", ArrayType(DoubleType()))]))
@@ -195,7 +207,7 @@ def _shrunk(levels: list[tuple[Column, Column, Column]]) -> Column:
         for row in zip(*(c.to_pylist() for c in columns)):
             mean, cov = np.array(row[1]), np.array(row[2]).reshape(d, d)
             for k in range(3, len(row), 3):
-                w = row[k] / (row[k] + PRIOR)
+                w = min(row[k] / (row[k] + PRIOR), OWN)
                 m, c = np.array(row[k + 1]), np.array(row[k + 2]).reshape(d, d)
                 cov = w * c + (1 - w) * cov + w * (1 - w) * np.outer(m - mean, m - mean)
                 mean = w * m + (1 - w) * mean
@@ -208,11 +220,13 @@ def _shrunk(levels: list[tuple[Column, Column, Column]]) -> Column:
 def estimate(passing: DataFrame, half: float = HALF, level: float = LEVEL) -> DataFrame:
     """(lang, source, mean, precision, most) from the passing rows (lang, source, x): robust estimates of each cell of language and source.
 
+    Equal vectors of a cell are those of copies, and count once.
     Estimates are made of cells, languages and all rows; a cell's is drawn towards its language's, and that towards the one of all, the more the fewer rows it has.
     most: the squared distance beyond which a row is an outlier. It is the chi-squared quantile of `level`; where
     a language's own median distance is larger than the chi-squared one, it is larger in proportion.
     """
     d = len(STATS)
+    passing = cut(passing.select("lang", "source", "x").distinct(), "passing")
     names = [F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("all")]
     keyed = cut(passing.select(F.explode(F.array(*names)).alias("group"), "x"), "vectors")
     found = cut(mcd(keyed, half).join(bounded(cut(keyed.groupBy("group").agg(F.count("*").alias("n")), "sizes")), "group"), "mcd")
@@ -246,16 +260,17 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Other columns are not read. Empty table: no rows.
     """
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), stats(F.col(text_col)).alias("s"))
-    rows = cut(rows.select("id", "lang", "source", "s.*").withColumn("x", vector()), "stats")
+    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("digest"), stats(F.col(text_col)).alias("s"))
+    rows = cut(rows.select("id", "lang", "source", "digest", "s.*").withColumn("x", vector(F.col("digest"))).drop("digest"), "stats")
     return judged(rows, estimate(rows.where(~base_failed()))).drop("lang", "source", "x").withColumnRenamed("id", id_col)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of df that quality() keeps, with its columns. Texts are read twice rather than shuffled: the estimates are a small lookup."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), stats(F.col(text_col)).alias("s")).select("lang", "source", "s.*")
-    rows = cut(rows.where(~base_failed()).select("lang", "source", vector().alias("x")), "stats")
+    named = [F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("digest"), stats(F.col(text_col)).alias("s")]
+    rows = df.select(*named).select("lang", "source", "digest", "s.*")
+    rows = cut(rows.where(~base_failed()).select("lang", "source", vector(F.col("digest")).alias("x")), "stats")
     columns = F.struct(*[F.col(c) for c in df.columns]).alias("row")
-    again = df.select(columns, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), stats(F.col(text_col)).alias("s")).select("row", "lang", "source", "s.*").withColumn("x", vector())
+    again = df.select(columns, *named).select("row", "lang", "source", "digest", "s.*").withColumn("x", vector(F.col("digest")))
     return judged(again, estimate(rows)).where("kept").select("row.*")

@@ -1,4 +1,4 @@
-"""Edits of JSON text at any depth, order-preserving: one Arrow pass for a list of edits given as data."""
+"""Edits of JSON text: each edit is an expression over the text; order and spelling of what it leaves stay."""
 
 from __future__ import annotations
 
@@ -6,161 +6,225 @@ import json
 import re
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.json import SPACE
+from quarry.functions.json import trimmed
+from quarry.functions.jsontext import PIECE, alone, array_of, bound, dumps, elements, entry, first, is_array, is_object, is_string, member, members, object_of, on_strings, put, quoted, unquoted, without
 
 #: Roles of one chat form in the other.
 TO_CHAT = {"human": "user", "gpt": "assistant", "system": "system", "tool": "tool"}
 TO_SHARE = {"user": "human", "assistant": "gpt", "system": "system", "tool": "tool"}
-_EDGES = re.compile(f"^{SPACE}+|{SPACE}+$")
+#: An ASCII word border, as patterns of the web have it.
+BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
+#: An edit: the new text, or null where it does not fit.
+Edit = Callable[[Column, dict], Column]
 
-def _dumps(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
+# --- patterns ---
 
-def _strip(text: str) -> str:
-    return _EDGES.sub("", text)
 
+def translated(pattern: str, flags: str = "g", replacement: str = "") -> tuple[str, str]:
+    """A pattern and its replacement as regexp_replace takes them, under flags of g, i, m, s (without g: the first match only). In the replacement $$, $&, $1 and $<name> are special, a backslash is not."""
+    if set(flags) - set("gimsu"):
+        raise ValueError(f"flags {flags!r} cannot be translated")
+    compiled = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
+    shift = 0 if "g" in flags else 2
 
-def _on_strings(value, change: Callable[[str], str]):
-    """value with every string value changed; keys stay."""
-    if isinstance(value, str):
-        return change(value)
-    if isinstance(value, list):
-        return [_on_strings(x, change) for x in value]
-    if isinstance(value, dict):
-        return {k: _on_strings(x, change) for k, x in value.items()}
-    return value
+    def escape(m: re.Match) -> str:
+        if m[0] == r"\b":
+            return BORDER
+        return f"\\{int(m[0][1:]) + shift}" if m[0][1:].isdigit() and m[0] != r"\0" else m[0]
 
+    def reference(m: re.Match) -> str:
+        if m[0] == "$$":
+            return r"\$"
+        if m[0] == "$&":
+            return "$2" if shift else "$0"
+        if m[1]:
+            return f"${{{m[1]}}}" if m[1] in compiled.groupindex else ""
+        if m[2]:
+            number = m[2] if int(m[2]) <= compiled.groups else m[2][0]
+            if 0 < int(number) <= compiled.groups:
+                return f"${int(number) + shift}" + (f"\\{m[2][1:]}" if len(m[2]) > len(number) else "")
+        return m[0].replace("\\", r"\\").replace("$", r"\$")
 
-def replacer(pattern: str, flags: str = "g", replacement: str = "") -> Callable[[str], str]:
-    """Replacement of a pattern under flags of g, i, m, s (without g: the first match only). In the replacement $$, $&, $1 and $<name> are special, a backslash is not."""
-    if set(flags) - set("gimsu"):
-        raise ValueError(f"flags {flags!r} cannot be translated")
-    bits = re.ASCII
-    for f, bit in (("i", re.I), ("m", re.M), ("s", re.S)):
-        bits |= bit if f in flags else 0
-    compiled = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern), bits)
-    special = re.compile(r"\$(?:\$|&|<(\w+)>|(\d{1,2}))")
-
-    def expand(m: re.Match) -> str:
-        def one(s: re.Match) -> str:
-            if s[0] == "$$":
-                return "$"
-            if s[0] == "$&":
-                return m[0]
-            if s[1]:
-                return m.groupdict().get(s[1]) or ""
-            return (m[int(s[2])] or "") if int(s[2]) <= compiled.groups else s[0]
-
-        return special.sub(one, replacement)
-
-    return lambda text: compiled.sub(expand, text, count=0 if "g" in flags else 1)
-
-
-def _has_turns(v) -> bool:
-    if not isinstance(v, dict):
-        return False
-    if isinstance(v.get("messages"), list):
-        return bool(v["messages"])
-    if isinstance(v.get("conversations"), list):
-        return bool(v["conversations"])
-    text = lambda k: isinstance(v.get(k), str)
-    return text("instruction") and (text("output") or text("response")) or text("prompt") and text("completion")
-
-
-def _each_turn(v, change: Callable[[dict, str], dict | None]):
-    """v with change(turn, form) applied to its turns; None drops a turn."""
-    if not isinstance(v, dict):
-        return v
-    out = dict(v)
-    for form in ("messages", "conversations"):
-        if isinstance(out.get(form), list):
-            turns = [change(t, form) if isinstance(t, dict) else t for t in out[form]]
-            out[form] = [t for t in turns if t is not None]
-    return out
+    java = re.sub(r"\\(?:[1-9]\d?|.)", escape, pattern, flags=re.S)
+    inline = "".join(f for f in "ims" if f in flags)
+    java = (f"(?{inline})" if inline else "") + java
+    if shift:  # the text in front of the first match is matched, too
+        java = rf"\A((?s:.*?))({java})"
+    into = re.sub(r"\$(?:\$|&|<(\w+)>|(\d{1,2}))|[\\$]", reference, replacement)
+    return java, ("$1" if shift else "") + into
 
 
-def _first(turn: dict, *keys: str):
-    return next((turn[k] for k in keys if turn.get(k) is not None), None)
+def replacer(pattern: str, flags: str = "g", replacement: str = "") -> Callable[[Column], Column]:
+    """Replacement of a pattern in a string; see translated."""
+    java, into = translated(pattern, flags, replacement)
+    return lambda s: F.regexp_replace(s, F.lit(java), F.lit(into))
 
 
-def _regex_replace(v, edit):
-    change, scope = replacer(edit["pattern"], edit.get("flags", "g"), edit.get("replacement", "")), edit.get("scope", "all")
-    if not _has_turns(v):
-        return _on_strings(v, change) if isinstance(v, (dict, list)) else v
-    wanted = {scope, {"user": "human", "assistant": "gpt"}.get(scope)}
+def _trim(s: Column) -> Column:
+    return trimmed(F.regexp_replace(F.regexp_replace(s, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+
+
+# --- turns ---
+
+
+def _turns(m: Column, form: str) -> Column:
+    """The elements of an array of turns under a key; null if there is none."""
+    return elements(member(m, form))
+
+
+def _on_turns(m: Column, change: Callable[[Column, str], Column]) -> Column:
+    """Members with change(members of a turn, form) in place of the members of the turns in them; null drops a turn. Other values stay."""
+
+    def one(form: str) -> Callable[[Column], Column]:
+        def turn(t: Column) -> Column:
+            return F.when(is_object(t), bound(members(t), lambda m: bound(change(m, form), lambda n: F.when(n == m, t).otherwise(object_of(n))))).otherwise(t)
 
-    def turn(t: dict, form: str) -> dict:
-        if form == "conversations" and isinstance(v.get("messages"), list):
-            return t
-        role = t.get("role") if form == "messages" else t.get("role") or t.get("from")
-        at = "content" if form == "messages" or "value" not in t else "value"
-        fits = scope == "all" or (role == scope if form == "messages" else role in wanted)
-        return {**t, at: change(t[at])} if fits and isinstance(t.get(at), str) else t
+        def of(m: Column) -> Column:
+            kept = lambda items: F.filter(F.transform(items, turn), lambda t: t.isNotNull())
+            return bound(_turns(m, form), lambda items: F.when(items.isNotNull(), put(m, form, array_of(kept(items)))).otherwise(m))
 
-    return _each_turn(v, turn)
+        return of
 
+    return bound(bound(m, one("messages")), one("conversations"))
 
-def _rename_key(v, edit):
-    if not isinstance(v, dict) or edit["from"] not in v or edit["from"] == edit["to"]:
-        return v
-    return {k: x for k, x in {**v, edit["to"]: v[edit["from"]]}.items() if k != edit["from"]}
 
+def _each_turn(text: Column, change: Callable[[Column, str], Column]) -> Column:
+    """An object's text with its turns changed; other text stays."""
+    return F.when(is_object(text), bound(members(text), lambda m: object_of(_on_turns(m, change)))).otherwise(text)
 
-def _drop_empty_turns(v, edit):
-    def turn(t: dict, form: str):
-        value = t.get("content") if form == "messages" else _first(t, "value", "content")
-        full = _strip(value) if isinstance(value, str) else value not in (None, False, 0)
-        return t if full else None
 
-    return _each_turn(v, turn)
+def _has_turns(m: Column) -> Column:
+    """Whether members make a chat: non-empty messages, else conversations, or the strings of the two forms with one answer."""
+    text = lambda k: is_string(member(m, k))
+    pairs = text("instruction") & (text("output") | text("response")) | text("prompt") & text("completion")
+    full = lambda form: member(m, form) != "[]"
+    return F.when(is_array(member(m, "messages")), full("messages")).when(is_array(member(m, "conversations")), full("conversations")).otherwise(pairs)
 
 
-def _lowercase_roles(v, edit):
+def _set(m: Column, key: Column, value: Column) -> Column:
+    return F.transform(m, lambda e: F.when(e["key"] == key, F.struct(e["key"].alias("key"), e["name"].alias("name"), value.alias("value"))).otherwise(e))
+
+
+def _regex_replace(text: Column, edit: dict) -> Column:
+    change, scope = replacer(edit["pattern"], edit.get("flags", "g"), edit.get("replacement", "")), edit.get("scope", "all")
+    wanted = {scope, {"user": "human", "assistant": "gpt"}.get(scope, scope)}
+
+    def in_turns(chat: Column) -> Column:
+        def turn(m: Column, form: str) -> Column:
+            if form == "messages":
+                at, role = F.lit("content"), unquoted(member(m, "role"))
+                fits = F.lit(True) if scope == "all" else role == scope
+            else:
+                said = member(m, "role")
+                role = unquoted(F.when(~said.isin("null", '""'), said).otherwise(member(m, "from")))
+                at = F.when(F.exists(m, lambda e: e["key"] == "value"), "value").otherwise("content")
+                fits = ~F.coalesce(is_array(member(chat, "messages")), F.lit(False)) & (F.lit(True) if scope == "all" else role.isin(*wanted))
+            return F.when(F.coalesce(fits, F.lit(False)), bound(unquoted(member(m, at)), lambda s: bound(change(s), lambda n: F.when(n != s, _set(m, at, quoted(n))).otherwise(m)))).otherwise(m)
+
+        return object_of(_on_turns(chat, turn))
+
+    # a text without these words is no chat, and need not be taken apart to know it
+    named = F.rlike(text, F.lit('"(messages|conversations|instruction|prompt)"')) | F.contains(text, F.lit("\\u"))
+    chat = F.when(is_object(text) & named, bound(members(text), lambda m: F.when(_has_turns(m), in_turns(m))))
+    whole = F.when(is_array(text) | is_object(text), on_strings(text, change)).otherwise(text)
+    return F.coalesce(chat, whole)
+
+
+def _drop_empty_turns(text: Column, edit: dict) -> Column:
+    def turn(m: Column, form: str) -> Column:
+        value = member(m, "content") if form == "messages" else first(m, "value", "content")
+        full = lambda raw: F.when(is_string(raw), trimmed(unquoted(raw)) != "").otherwise(~raw.isin("null", "false") & ~raw.rlike(r"^-?0+(\.0+)?([eE].*)?$"))
+        return F.when(bound(value, lambda raw: F.coalesce(full(raw), F.lit(False))), m)
+
+    return _each_turn(text, turn)
+
+
+def _lowercase_roles(text: Column, edit: dict) -> Column:
     keys = {"messages": ("role",), "conversations": ("from", "role")}
-    return _each_turn(v, lambda t, form: {k: str(x).lower() if k in keys[form] and x else x for k, x in t.items()})
+
+    def turn(m: Column, form: str) -> Column:
+        for key in keys[form]:
+            raw = member(m, key)
+            m = F.when(is_string(raw) & (F.lower(raw) != raw), _set(m, F.lit(key), quoted(F.lower(unquoted(raw))))).otherwise(m)
+        return m
+
+    return _each_turn(text, turn)
 
 
-def _trim(text: str) -> str:
-    return _strip(re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)))
+def _drop_system(text: Column, edit: dict) -> Column:
+    role = lambda m, form: unquoted(member(m, "role") if form == "messages" else first(m, "from", "role"))
+    return _each_turn(text, lambda m, form: F.when(F.coalesce(role(m, form) == "system", F.lit(False)), None).otherwise(m))
 
 
-def _to_chat(v, edit):
-    def role(t: dict) -> str:
-        return next((TO_CHAT[t[k]] for k in ("from", "role") if t.get(k) in TO_CHAT), None) or _first(t, "role", "from") or "user"
+# --- conversions ---
 
-    turns = [{"role": role(t), "content": x if isinstance(x := _first(t, "value", "content"), str) else _dumps(x)} for t in v["conversations"]]
-    return {**{k: x for k, x in v.items() if k != "conversations"}, "messages": turns}
 
+def _said(raw: Column) -> Column:
+    """A content as the text of a JSON string; what is no string, as the text of its JSON."""
+    return F.when(is_string(raw), raw).otherwise(quoted(F.coalesce(raw, F.lit("null"))))
 
-def _to_share(v, edit):
-    turns = [{"from": TO_SHARE.get(t.get("role"), t.get("role")), "value": x if isinstance(x := t.get("content"), str) else _dumps(x)} for t in v["messages"]]
-    return {**{k: x for k, x in v.items() if k != "messages"}, "conversations": turns}
 
+def _named(raw: Column, names: dict[str, str]) -> Column:
+    """The other form's name of a role, as JSON; null for other roles."""
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, dumps(v))]), unquoted(raw))
 
-def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else _dumps(value)
 
+def _converted(text: Column, source: str, target: str, turn: Callable[[Column], Column]) -> Column:
+    """text with the array under `source` as `target`, its turns as turn(members); null where that is no array of objects."""
 
-def _pair(user: str, assistant: str) -> dict:
-    return {"messages": [{"role": "user", "content": user}, {"role": "assistant", "content": assistant}]}
+    def of(m: Column) -> Column:
+        items = _turns(m, source)
+        fine = lambda x: F.when(F.forall(x, is_object), array_of(F.transform(x, lambda t: bound(members(t), turn))))
+        return bound(bound(items, fine), lambda turns: F.when(turns.isNotNull(), object_of(put(without(m, source), target, turns))))
 
+    return bound(members(text), of)
 
-def _alpaca_to_chat(v, edit):
-    extra = v.get("input")
-    return _pair(_text(v.get("instruction")) + (f"\n\n{_text(extra)}" if extra else ""), _text(_first(v, "output", "response")))
 
+def _pair(one: str, raw_one: Column, two: str, raw_two: Column) -> Column:
+    return F.concat(F.lit(f'{{"{one}":'), raw_one, F.lit(f',"{two}":'), raw_two, F.lit("}"))
 
-class Refused(Exception):
-    """An edit does not fit the value."""
 
+def _to_chat(text: Column, edit: dict) -> Column:
+    role = lambda m: F.coalesce(_named(member(m, "from"), TO_CHAT), _named(member(m, "role"), TO_CHAT), first(m, "role", "from"), F.lit('"user"'))
+    return _converted(text, "conversations", "messages", lambda m: _pair("role", role(m), "content", _said(first(m, "value", "content"))))
 
-def _steps(path: str) -> list[str | int]:
+
+def _to_share(text: Column, edit: dict) -> Column:
+    role = lambda m: F.coalesce(_named(member(m, "role"), TO_SHARE), member(m, "role"), F.lit("null"))
+    return _converted(text, "messages", "conversations", lambda m: _pair("from", role(m), "value", _said(member(m, "content"))))
+
+
+def _plain(raw: Column) -> Column:
+    """A value as text: nothing for null, a string's own, else its JSON."""
+    return F.when(is_string(raw), unquoted(raw)).otherwise(F.coalesce(F.nullif(raw, F.lit("null")), F.lit("")))
+
+
+def _dialogue(user: Column, assistant: Column) -> Column:
+    return F.concat(F.lit('{"messages":['), _pair("role", F.lit('"user"'), "content", quoted(user)), F.lit(","), _pair("role", F.lit('"assistant"'), "content", quoted(assistant)), F.lit("]}"))
+
+
+def _alpaca_to_chat(text: Column, edit: dict) -> Column:
+    def of(m: Column) -> Column:
+        extra = member(m, "input")
+        more = F.when(extra.isNull() | extra.isin("null", "false", '""', "0"), "").otherwise(F.concat(F.lit("\n\n"), _plain(extra)))
+        return _dialogue(F.concat(_plain(member(m, "instruction")), more), _plain(first(m, "output", "response")))
+
+    return bound(members(text), lambda m: F.when(m.isNotNull(), of(m)))
+
+
+def _completion_to_chat(text: Column, edit: dict) -> Column:
+    return bound(members(text), lambda m: F.when(m.isNotNull(), _dialogue(_plain(member(m, "prompt")), _plain(member(m, "completion")))))
+
+
+# --- paths ---
+
+
+def steps(path: str) -> list[str | int]:
     """Keys and indexes of a path like $.a[0]["b c"]."""
     out: list[str | int] = []
     at = 1
@@ -174,81 +238,82 @@ def _steps(path: str) -> list[str | int]:
     return out
 
 
-def _at(value, steps: list[str | int], change: Callable):
-    """value with change(part) in place of the part at steps."""
-    if not steps:
-        return change(value)
-    step, rest = steps[0], steps[1:]
-    if isinstance(value, list) and isinstance(step, int) and step < len(value):
-        return [_at(x, rest, change) if i == step else x for i, x in enumerate(value)]
-    if isinstance(value, dict) and step in value:
-        return {k: _at(x, rest, change) if k == step else x for k, x in value.items()}
-    raise Refused
+def _at(text: Column, way: list[str | int], change: Callable[[Column], Column]) -> Column:
+    """text with change(part) in place of the part at the end of the way; null where there is no such part, or change gives null."""
+    if not way:
+        return change(text)
+    step, rest = way[0], way[1:]
+    if isinstance(step, int):
+        inner = lambda x: bound(_at(F.get(x, F.lit(step)), rest, change), lambda n: F.when(n.isNotNull(), array_of(F.transform(x, lambda v, i: F.when(i == step, n).otherwise(v)))))
+        return bound(elements(text), lambda x: F.when(F.size(x) > step, inner(x)))
+    inner = lambda m: bound(_at(member(m, step), rest, change), lambda n: F.when(n.isNotNull(), object_of(put(m, step, n))))
+    return bound(members(text), lambda m: F.when(F.exists(m, lambda e: e["key"] == step), inner(m)))
+
+
+def _has(m: Column, key: str) -> Column:
+    return F.exists(m, lambda e: e["key"] == key)
 
 
-def _rename_at(v, edit):
-    *up, last = _steps(edit["path"])
+def _rename_at(text: Column, edit: dict) -> Column:
+    way, key = steps(edit["path"]), edit["key"]
+    if not way or isinstance(way[-1], int):
+        return F.lit(None).cast("string")
+    named = lambda e: F.when(e["key"] == way[-1], entry(key, e["value"])).otherwise(e)
+    return _at(text, way[:-1], lambda box: bound(members(box), lambda m: F.when(_has(m, way[-1]) & ~_has(m, key), object_of(F.transform(m, named)))))
 
-    def change(box):
-        if not isinstance(box, dict) or last not in box or edit["key"] in box:
-            raise Refused
-        return {edit["key"] if k == last else k: x for k, x in box.items()}
 
-    return _at(v, up, change)
+def _remove_at(text: Column, edit: dict) -> Column:
+    way = steps(edit["path"])
+    if not way:
+        return F.lit(None).cast("string")
+    last = way[-1]
 
+    def change(box: Column) -> Column:
+        if isinstance(last, int):
+            return bound(elements(box), lambda x: F.when(F.size(x) > last, array_of(F.filter(x, lambda v, i: i != last))))
+        return bound(members(box), lambda m: F.when(_has(m, last), object_of(without(m, last))))
 
-def _remove_at(v, edit):
-    steps = _steps(edit["path"])
-    if not steps:
-        raise Refused
+    return _at(text, way[:-1], change)
 
-    def change(box):
-        if isinstance(box, list) and isinstance(steps[-1], int) and steps[-1] < len(box):
-            return [x for i, x in enumerate(box) if i != steps[-1]]
-        if isinstance(box, dict) and steps[-1] in box:
-            return {k: x for k, x in box.items() if k != steps[-1]}
-        raise Refused
 
-    return _at(v, steps[:-1], change)
+def _append_item(text: Column, edit: dict) -> Column:
+    return _at(text, steps(edit["path"]), lambda box: bound(elements(box), lambda x: F.when(x.isNotNull(), array_of(F.concat(x, F.array(F.lit("null")))))))
 
 
-def _append_item(v, edit):
-    def change(box):
-        if not isinstance(box, list):
-            raise Refused
-        return [*box, None]
+def _add_key(text: Column, edit: dict) -> Column:
+    key = edit["key"]
+    return _at(text, steps(edit["path"]), lambda box: bound(members(box), lambda m: F.when(~_has(m, key), object_of(put(m, key, F.lit("null"))))))
 
-    return _at(v, _steps(edit["path"]), change)
 
+# --- keys ---
 
-def _add_key(v, edit):
-    def change(box):
-        if not isinstance(box, dict) or edit["key"] in box:
-            raise Refused
-        return {**box, edit["key"]: None}
 
-    return _at(v, _steps(edit["path"]), change)
+def _on_members(change: Callable[[Column, dict], Column]) -> Edit:
+    """An edit of an object's members; other values stay, and an object that the change leaves alone keeps its text."""
+    return lambda text, edit: F.when(is_object(text), bound(members(text), lambda m: bound(change(m, edit), lambda n: F.when(n == m, text).otherwise(object_of(n))))).otherwise(text)
 
 
-def _on_object(change: Callable) -> Callable:
-    return lambda v, edit: change(v, edit) if isinstance(v, dict) else v
+def _rename_key(m: Column, edit: dict) -> Column:
+    if edit["from"] == edit["to"]:
+        return m
+    return F.when(_has(m, edit["from"]), without(put(m, edit["to"], member(m, edit["from"])), edit["from"])).otherwise(m)
 
 
 #: What an edit {"op": name, ...} does.
-OPS: dict[str, Callable] = {
+OPS: dict[str, Edit] = {
     "regex-replace": _regex_replace,
-    "set-key": _on_object(lambda v, e: {**v, e["key"]: e["value"]}),
-    "remove-key": _on_object(lambda v, e: {k: x for k, x in v.items() if k != e["key"]}),
-    "rename-key": _rename_key,
+    "set-key": _on_members(lambda m, e: put(m, e["key"], F.lit(dumps(e["value"])))),
+    "remove-key": _on_members(lambda m, e: without(m, e["key"])),
+    "rename-key": _on_members(_rename_key),
     "drop-empty-turns": _drop_empty_turns,
     "lowercase-roles": _lowercase_roles,
-    "trim-whitespace": lambda v, e: _on_strings(v, _trim),
-    "drop-system": lambda v, e: _each_turn(v, lambda t, form: None if (t.get("role") if form == "messages" else _first(t, "from", "role")) == "system" else t),
+    "trim-whitespace": lambda text, e: on_strings(text, _trim),
+    "drop-system": _drop_system,
     "sharegpt-to-openai": _to_chat,
     "openai-to-sharegpt": _to_share,
     "alpaca-to-openai": _alpaca_to_chat,
-    "completion-to-openai": lambda v, e: _pair(_text(v.get("prompt")), _text(v.get("completion"))),
-    "set-at": lambda v, e: _at(v, _steps(e["path"]), lambda _: e["value"]),
+    "completion-to-openai": _completion_to_chat,
+    "set-at": lambda text, e: _at(text, steps(e["path"]), lambda _: F.lit(dumps(e["value"]))),
     "rename-at": _rename_at,
     "remove-at": _remove_at,
     "append-item": _append_item,
@@ -257,79 +322,48 @@ OPS: dict[str, Callable] = {
 
 
 def check(edits: list[dict]) -> list[dict]:
-    """The edits, if all are known and their patterns can be translated."""
+    """The edits, if all are known and their patterns and paths can be read."""
     for e in edits:
         if e.get("op") not in OPS:
             raise ValueError(f"no edit {e.get('op')!r}")
         if e["op"] == "regex-replace":
-            replacer(e["pattern"], e.get("flags", "g"), e.get("replacement", ""))
+            translated(e["pattern"], e.get("flags", "g"), e.get("replacement", ""))
+        if "path" in e:
+            steps(e["path"])
     return edits
 
 
-def _edited(text: str | None, edits: list[dict]) -> dict:
-    """The JSON text after the edits, how many did not fit, and its spelling without them."""
-    if text is None:
-        return {"json": None, "refused": 0, "plain": None}
-    value, refused = json.loads(text), 0
-    plain = _dumps(value)
-    for e in edits:
-        if value is None and e["op"] != "set-at":
-            continue
-        try:
-            value = OPS[e["op"]](value, e)
-        except (Refused, KeyError, TypeError, AttributeError):
-            refused += 1
-    return {"json": _dumps(value), "refused": refused, "plain": plain}
-
-
-_EDITED = "struct<json:string,refused:bigint,plain:string>"
-_EDITED_ARROW = pa.struct([("json", pa.string()), ("refused", pa.int64()), ("plain", pa.string())])
+def edited(text: Column, edit: dict) -> Column:
+    """The JSON text after one edit; null where it does not fit. Null and JSON null pass through (but set-at)."""
+    value = OPS[check([edit])[0]["op"]](text, edit)
+    return value if edit["op"] == "set-at" else F.when(text == "null", text).otherwise(value)
 
 
-def apply_edits(text: Column, edits: list[dict]) -> Column:
-    """Struct (json, refused, plain): the JSON text after the edits in order, how many did not fit, and the text in the same spelling without them. Null and JSON null pass through."""
-    edits = check(edits)
+def apply_edits(df: DataFrame, json_col: str, edits: list[dict], into: str = "edited") -> DataFrame:
+    """df with `into` added, a struct (json, refused, plain) of a column of minified JSON texts: the text after the edits in order, how many did not fit, and the text without them.
 
-    @F.arrow_udf(_EDITED)
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([_edited(t, edits) for t in texts.to_pylist()], _EDITED_ARROW)
-
-    return of.asNondeterministic()(text)
-
-
-def apply_by_format(text: Column, fmt: Column, edits: dict[str, list[dict]]) -> Column:
-    """The same struct with each row's edits chosen by its format; rows of other formats stay."""
-    edits = {f: check(e) for f, e in edits.items()}
+    What an edit leaves keeps its order and spelling. Edits of strings take any depth; the others
+    refuse a text that Spark's JSON reader refuses (over 1,000 levels), which then stays as it is.
+    """
+    none = F.lit(0).cast("long")
+    out = df.withColumn(into, F.struct(F.col(json_col).alias("json"), none.alias("refused"), F.col(json_col).alias("plain")))
+    now = F.col(into)
+    for e in check(edits):  # a projection for each edit keeps the expressions small
+        out = out.withColumn("__edited", alone(edited(now["json"], e)))
+        refused = F.when(F.col("__edited").isNull() & now["json"].isNotNull(), 1).otherwise(0)
+        out = out.withColumn(into, F.struct(F.coalesce("__edited", now["json"]).alias("json"), (now["refused"] + refused).cast("long").alias("refused"), now["plain"].alias("plain"))).drop("__edited")
+    return out
 
-    @F.arrow_udf(_EDITED)
-    def of(texts: pa.Array, formats: pa.Array) -> pa.Array:
-        return pa.array([_edited(t, edits.get(f, [])) for t, f in zip(texts.to_pylist(), formats.to_pylist())], _EDITED_ARROW)
 
-    return of.asNondeterministic()(text, fmt)
+def redact_json(text: Column, enabled: str | list[str] | None = None) -> Column:
+    """Struct (json, matches): the JSON text with personal data replaced in every string value, at any depth, keys untouched."""
+    from quarry.operators.pii import redacted_inside
 
+    def one(p: Column) -> Column:
+        value = is_string(p) & ~F.endswith(p, F.lit(":"))
+        found = lambda s: bound(redacted_inside(s, enabled), lambda r: F.struct(F.when(r["matches"] > 0, quoted(r["text"])).otherwise(p).alias("piece"), r["matches"].alias("n")))
+        return F.when(value, bound(unquoted(p), found)).otherwise(F.struct(p.alias("piece"), F.lit(0).cast("long").alias("n")))
 
-def redact_json(text: Column, enabled: str | list[str] | None = None) -> Column:
-    """Struct (json, matches): the JSON text with personal data replaced in every string value, keys untouched."""
-    from quarry.operators.pii import Finder, enabled_names
-
-    names = enabled_names(enabled)
-
-    @F.arrow_udf("struct<json:string,matches:bigint>")
-    def of(texts: pa.Array) -> pa.Array:
-        find, out = Finder(names), []
-        for t in texts.to_pylist():
-            if t is None:
-                out.append({"json": None, "matches": 0})
-                continue
-            count = 0
-
-            def change(s: str) -> str:
-                nonlocal count
-                s, n = find.redact(s)
-                count += n
-                return s
-
-            out.append({"json": _dumps(_on_strings(json.loads(t), change)), "matches": count})
-        return pa.array(out, pa.struct([("json", pa.string()), ("matches", pa.int64())]))
-
-    return of.asNondeterministic()(text)
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(PIECE)), one)
+    total = lambda ps: F.coalesce(F.aggregate(ps, F.lit(0).cast("long"), lambda n, p: n + p["n"]), F.lit(0)).cast("long")
+    return alone(bound(pieces, lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: p["piece"]), "").alias("json"), total(ps).alias("matches"))))

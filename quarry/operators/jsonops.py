@@ -30,7 +30,7 @@ def get_path(v: Column, path: str) -> Column:
 
 def edit(rows: DataFrame, edits: list[dict], json_col: str = "json") -> DataFrame:
     """rows with `edited` (JSON after the edits) and `refused` (number of edits that did not fit) added; see functions.edits."""
-    return rows.withColumn("__e", apply_edits(F.col(json_col), edits)).withColumns({"edited": F.col("__e.json"), "refused": F.col("__e.refused")}).drop("__e")
+    return apply_edits(rows, json_col, edits, "__e").withColumns({"edited": F.col("__e.json"), "refused": F.col("__e.refused")}).drop("__e")
 
 
 def diff_json(pairs: DataFrame) -> DataFrame:

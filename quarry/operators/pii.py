@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.edits import BORDER
+from quarry.functions.jsontext import alone, bound
+
 #: Name, pattern and replacement, in the order in which redaction applies them.
 PATTERNS: dict[str, tuple[str, str]] = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
@@ -60,31 +64,9 @@ def luhn_ok(match: str) -> bool:
     return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
 
 
-class Finder:
-    """The enabled patterns, compiled with ASCII classes and borders; card numbers must pass the Luhn check."""
-
-    def __init__(self, enabled: str | list[str] | None = None):
-        self.rules = [(n, _NEEDS[n], re.compile(PATTERNS[n][0], re.ASCII), PATTERNS[n][1]) for n in enabled_names(enabled)]
-
-    def find(self, text: str) -> list[tuple[str, int, int, str]]:
-        """(id, start, end, match) over all patterns, each on its own, so that overlaps are reported; offsets in characters from 0."""
-        return [(n, m.start(), m.end(), m[0]) for n, need, p, _ in self.rules if need.search(text) for m in p.finditer(text) if n != "cc" or luhn_ok(m[0])]
-
-    def redact(self, text: str) -> tuple[str, int]:
-        """The text with matches replaced where they stand, pattern after pattern, and how many were."""
-        count = 0
-        for n, need, p, token in self.rules:
-            if need.search(text):
-
-                def one(m: re.Match, n=n, token=token) -> str:
-                    nonlocal count
-                    if n == "cc" and not luhn_ok(m[0]):
-                        return m[0]
-                    count += 1
-                    return token
-
-                text = p.sub(one, text)
-        return text, count
+def _find(rules: list[tuple], text: str) -> list[tuple[str, int, int, str]]:
+    """(id, start, end, match) over the rules' patterns, each on its own, so that overlaps are reported; offsets in characters from 0."""
+    return [(n, m.start(), m.end(), m[0]) for n, need, p in rules if need.search(text) for m in p.finditer(text) if n != "cc" or luhn_ok(m[0])]
 
 
 def scan_positions(text: Column, enabled: str | list[str] | None = None) -> Column:
@@ -94,8 +76,8 @@ def scan_positions(text: Column, enabled: str | list[str] | None = None) -> Colu
 
     @F.arrow_udf("array<struct<id:string,start:int,end:int,match:string>>")
     def of(texts: pa.Array) -> pa.Array:
-        find = Finder(names).find
-        return pa.array([[] if t is None else [dict(zip(("id", "start", "end", "match"), x)) for x in find(t)] for t in texts.to_pylist()], kind)
+        rules = [(n, _NEEDS[n], re.compile(PATTERNS[n][0], re.ASCII)) for n in names]
+        return pa.array([[] if t is None else [dict(zip(("id", "start", "end", "match"), x)) for x in _find(rules, t)] for t in texts.to_pylist()], kind)
 
     # a filter on what it finds would otherwise be pushed below, with a second pass over the texts
     return of.asNondeterministic()(text)
@@ -106,20 +88,56 @@ def scan(text: Column, enabled: str | list[str] | None = None) -> Column:
     return F.transform(scan_positions(text, enabled), lambda x: F.struct(x["id"].alias("id"), x["match"].alias("match")))
 
 
+def _java(name: str) -> str:
+    """A pattern with borders between ASCII words, as scanning has them."""
+    return PATTERNS[name][0].replace(r"\b", BORDER)
+
+
+def _needed(text: Column, name: str) -> Column:
+    """Whether a text holds what a match cannot do without: a cheap test before a pattern is tried."""
+    marks = {"email": ["@"], "apikey": ["sk-", "sk_", "AIza", "ghp_", "xox", "AKIA"], "jwt": ["eyJ"], "url": ["://"]}.get(name)
+    if marks is None:
+        return text.rlike(_NEEDS[name].pattern)
+    out = F.contains(text, F.lit(marks[0]))
+    for mark in marks[1:]:
+        out = out | F.contains(text, F.lit(mark))
+    return out
+
+
+def _changed(name: str) -> Callable[[Column], Column]:
+    """A struct (text, matches) after one pattern: its matches are replaced, of card numbers those that pass the Luhn check."""
+    pattern, token = _java(name), PATTERNS[name][1]
+    # candidates have 13 to 19 digits; what lies between comes as single characters
+    valid = lambda p: (F.length(p) >= 13) & F.call_function("luhn_check", F.regexp_replace(p, "[ -]", ""))
+
+    def cards(text: Column) -> Column:
+        of = lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: F.when(valid(p), token).otherwise(p)), "").alias("text"), F.size(F.filter(ps, valid)).cast("long").alias("n"))
+        return F.when(text.rlike(pattern), bound(F.regexp_extract_all(text, F.lit(f"({pattern}|(?s:.))")), of))
+
+    def plain(text: Column) -> Column:
+        return bound(F.regexp_count(text, F.lit(pattern)), lambda n: F.when(n > 0, F.struct(F.regexp_replace(text, pattern, token).alias("text"), n.cast("long").alias("n"))))
+
+    def of(s: Column) -> Column:
+        found = F.when(_needed(s["text"], name), (cards if name == "cc" else plain)(s["text"]))
+        return bound(found, lambda f: F.when(f.isNull(), s).otherwise(F.struct(f["text"].alias("text"), (s["matches"] + f["n"]).alias("matches"))))
+
+    return of
+
+
+def redacted_inside(text: Column, enabled: str | list[str] | None = None) -> Column:
+    """redacted() for use inside a lambda."""
+    state = F.struct(text.alias("text"), F.lit(0).cast("long").alias("matches"))
+    for name in enabled_names(enabled):
+        state = bound(state, _changed(name))
+    return state
+
+
 def redacted(text: Column, enabled: str | list[str] | None = None) -> Column:
     """Struct (text, matches): the text with matches replaced where they stand, pattern after pattern, and their number; null stays null.
 
     With phone on, card and social security numbers are phones by the time that their patterns are tried.
     """
-    names = enabled_names(enabled)
-
-    @F.arrow_udf("struct<text:string,matches:bigint>")
-    def of(texts: pa.Array) -> pa.Array:
-        change = Finder(names).redact
-        out = [{"text": None, "matches": 0} if t is None else dict(zip(("text", "matches"), change(t))) for t in texts.to_pylist()]
-        return pa.array(out, pa.struct([("text", pa.string()), ("matches", pa.int64())]))
-
-    return of.asNondeterministic()(text)
+    return alone(redacted_inside(text, enabled))
 
 
 def redact(text: Column, enabled: str | list[str] | None = None) -> Column:

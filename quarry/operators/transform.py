@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.edits import apply_by_format, apply_edits, check, redact_json
+from quarry.functions.edits import apply_edits, check, edited, redact_json
+from quarry.functions.jsontext import alone
 
 #: The format that each conversion reads.
 CONVERSIONS = {"sharegpt-to-openai": ("sharegpt",), "openai-to-sharegpt": ("openai-chat", "openai-chat-loose"), "alpaca-to-openai": ("alpaca",), "completion-to-openai": ("completion",)}
@@ -25,7 +26,8 @@ def convert(rows: DataFrame, direction: str) -> DataFrame:
     """(row_id, fmt, before, after) of the live rows in the direction's formats, in one pass."""
     by = _directions(direction)
     live = rows.where("not deleted and not error").where(F.col("fmt").isin(*by)).select("row_id", "fmt", F.col("json").alias("before"))
-    return live.select("*", apply_by_format(F.col("before"), F.col("fmt"), {f: [{"op": d}] for f, d in by.items()})["json"].alias("after"))
+    after = F.coalesce(*[F.when(F.col("fmt") == f, edited(F.col("before"), {"op": d})) for f, d in by.items()], F.col("before"))
+    return live.select("*", alone(after).alias("after"))
 
 
 def convert_counts(rows: DataFrame, direction: str) -> DataFrame:
@@ -50,7 +52,7 @@ def write_pipeline(ops: list[dict], tag: str = PIPELINE_TAG) -> str:
 def apply_ops(rows: DataFrame, ops: list[dict]) -> DataFrame:
     """(row_id, before, after, changed, failed) of the live rows that are no error rows."""
     live = rows.where("not deleted and not error").select("row_id", F.col("json").alias("before"))
-    out = live.withColumn("e", apply_edits(F.col("before"), ops))
+    out = apply_edits(live, "before", ops, "e")
     failed = F.col("e.refused") > 0
     return out.select("row_id", "before", F.when(failed, F.col("before")).otherwise(F.col("e.json")).alias("after"), (~failed & (F.col("e.json") != F.col("e.plain"))).alias("changed"), failed.alias("failed"))
 

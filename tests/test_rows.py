@@ -118,7 +118,7 @@ def test_pii(spark):
         assert text[r["start"] : r["end"]] == r["match"]
     assert [r["id"] for r in found] == ["email", "phone", "phone", "phone", "ipv4", "cc", "ssn", "apikey"]
     assert df.select(pii.redact(F.col("t"), ["cc", "ssn"])).first()[0] == text.replace("4111 1111 1111 1111 ", "<CC>").replace("123-45-6789", "<SSN>")
-    left = df.select(pii.scan(pii.redact(F.col("t")))).first()[0]
+    left = df.select(pii.redact(F.col("t")).alias("t")).select(pii.scan(F.col("t"))).first()[0]
     assert left == []
     kept = df.select(edits.redact_json(F.to_json(F.struct("t")), "strict").alias("r")).first()["r"]
     assert kept["matches"] == 6 and "<PHONE>" in kept["json"] and "<APIKEY>" in kept["json"]
@@ -150,7 +150,7 @@ def test_patterns_need_their_guard():
 
 def apply(spark, text, ops):
     df = spark.createDataFrame([(text,)], "j string")
-    return df.select(edits.apply_edits(F.col("j"), ops).alias("e")).select("e.*").first()
+    return edits.apply_edits(df, "j", ops).select("edited.*").first()
 
 
 @pytest.mark.parametrize(
@@ -175,7 +175,68 @@ def apply(spark, text, ops):
     ],
 )
 def test_edits(spark, before, ops, after):
-    assert tuple(apply(spark, before, ops)) == (after, 0)
+    assert tuple(apply(spark, before, ops)) == (after, 0, before)
+
+
+@pytest.mark.parametrize(
+    ("before", "ops", "after"),
+    [
+        ('{"a":1.50,"b":[1e400,12345678901234567890123,{"z":"t","y":-0.0}]}', [{"op": "set-key", "key": "b2", "value": "x"}, {"op": "remove-key", "key": "none"}], '{"a":1.50,"b":[1e400,12345678901234567890123,{"z":"t","y":-0.0}],"b2":"x"}'),
+        ('{"k [":["]x","[a","\\"[b"],"k2":"]"}', [{"op": "rename-key", "from": "k2", "to": "z"}], '{"k [":["]x","[a","\\"[b"],"z":"]"}'),
+        ('{"é":{"k":"a"},"a":"\\u00e9a"}', [{"op": "regex-replace", "pattern": "a", "replacement": "b"}], '{"é":{"k":"b"},"a":"éb"}'),
+        ('{"t":"a1 b22"}', [{"op": "regex-replace", "pattern": "([a-z])(\\d+)", "replacement": "$2$1$3$$", "flags": "g"}], '{"t":"1a$3$ 22b$3$"}'),
+        ('{"t":"ab xyxy"}', [{"op": "regex-replace", "pattern": "(x)(y)\\1", "replacement": "<$2>", "flags": ""}], '{"t":"ab <y>y"}'),
+        ('{"t":"éa a_ a"}', [{"op": "regex-replace", "pattern": "\\ba\\b", "replacement": "Z"}], '{"t":"éZ a_ Z"}'),
+        ('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"a","n":1},5]}', [{"op": "regex-replace", "pattern": "a", "replacement": "b", "scope": "assistant"}], '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b","n":1},5]}'),
+        ('{"messages":[],"t":"a"}', [{"op": "regex-replace", "pattern": "a", "replacement": "b", "scope": "user"}], '{"messages":[],"t":"b"}'),
+        ('{"messages":[{"content":0},{"content":"x"},{"content":null},{"content":[]}]}', [{"op": "drop-empty-turns"}], '{"messages":[{"content":"x"},{"content":[]}]}'),
+        ('{"conversations":[{"from":"SYSTEM","value":"s"},{"from":"Human","value":"u"}]}', [{"op": "lowercase-roles"}, {"op": "drop-system"}], '{"conversations":[{"from":"human","value":"u"}]}'),
+        ('{"messages":[{"role":"user","content":null},{"role":"tool","content":[1]},{"content":"q"}],"k":{}}', [{"op": "openai-to-sharegpt"}], '{"k":{},"conversations":[{"from":"human","value":"null"},{"from":"tool","value":"[1]"},{"from":null,"value":"q"}]}'),
+        ('"a"', [{"op": "set-key", "key": "k", "value": 1}, {"op": "regex-replace", "pattern": "a", "replacement": "b"}], '"a"'),
+        ("null", [{"op": "remove-key", "key": "k"}, {"op": "set-at", "path": "$", "value": {"a": 1}}], '{"a":1}'),
+        ('{"a":1,"a":2,"b":3}', [{"op": "remove-key", "key": "b"}], '{"a":2}'),
+    ],
+)
+def test_edits_keep_the_rest(spark, before, ops, after):
+    """Order, numbers and escapes of what is not edited; scopes, references, odd turns and values that are no objects."""
+    assert tuple(apply(spark, before, ops)) == (after, 0, before)
+
+
+def test_edits_of_long_strings(spark):
+    long = "word \\n é " * 3000
+    before, key = f'{{"messages":[{{"role":"user","content":"{long}"}}],"{"k" * 500}":1}}', "k" * 500
+    assert apply(spark, before, [{"op": "openai-to-sharegpt"}])["json"] == f'{{"{key}":1,"conversations":[{{"from":"human","value":"{long}"}}]}}'
+
+
+def test_edits_never_crash(spark):
+    """Deep values and long numbers: strings are edited at any depth; edits that would take such a value apart refuse it, and it stays."""
+    deep, digits = "[" * 5000 + '"a"' + "]" * 5000, "9" * 5000
+    for text, changed in ((f'{{"x":{deep}}}', f'{{"x":{deep}}}'.replace('"a"', '"b"')), (f'{{"x":{digits},"y":"a"}}', f'{{"x":{digits},"y":"b"}}'), ('{"x":1e400,"y":"a"}', '{"x":1e400,"y":"b"}')):
+        assert tuple(apply(spark, text, [{"op": "trim-whitespace"}])) == (text, 0, text)
+        one = apply(spark, text, [{"op": "set-key", "key": "z", "value": 1}])
+        assert tuple(one)[:2] in ((text[:-1] + ',"z":1}', 0), (text, 1))
+        assert apply(spark, text, [{"op": "remove-at", "path": "$.none"}])["refused"] == 1
+        found = apply(spark, text, [{"op": "regex-replace", "pattern": "a", "replacement": "b"}])
+        assert tuple(found)[:2] in ((changed, 0), (text, 1))
+    assert tuple(apply(spark, '{"x":1e400}', [{"op": "set-key", "key": "z", "value": 1}]))[:2] == ('{"x":1e400,"z":1}', 0)
+    one = spark.createDataFrame([(f'{{"x":{deep}}}'.replace('"a"', '"me@a.org"'),)], "j string").select(edits.redact_json(F.col("j")).alias("r")).first()["r"]
+    assert one["matches"] == 1 and "<EMAIL>" in one["json"]
+    many = spark.createDataFrame([(None,), ('{"a":[1]}',), ("[1,2]",), ("5",)], "j string")
+    many = edits.apply_edits(many, "j", [{"op": "remove-at", "path": "$.a[0]"}, {"op": "append-item", "path": "$.a"}]).select("edited.*")
+    assert [tuple(r)[:2] for r in many.collect()] == [(None, 0), ('{"a":[null]}', 0), ("[1,2]", 2), ("5", 2)]
+
+
+def test_edits_and_redaction_run_in_the_jvm(spark):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    df = spark.createDataFrame([("{}",)], "j string")
+    with contextlib.redirect_stdout(out):
+        for op in edits.OPS:
+            edits.apply_edits(df, "j", [{"op": op, "path": "$.a", "key": "k", "value": 1, "from": "a", "to": "b", "pattern": "x"}]).explain()
+        df.select(edits.redact_json(F.col("j")), pii.redact(F.col("j"))).explain()
+    assert "Python" not in out.getvalue() and "Arrow" not in out.getvalue()
 
 
 def test_refused_edits(spark):
@@ -203,7 +264,7 @@ def test_nodes_and_diff(spark):
     pairs = df.select("row_id", F.parse_json("p").alias("a"), F.parse_json("q").alias("b"))
     paths = {r["path"]: r["type"] for r in jsonops.explode_nodes(pairs.select("row_id", F.col("a").alias("v")), 4).collect()}
     assert paths == {"$": "object", "$.a": "array", "$.a[0]": "integer", "$.a[1]": "object", '$.a[1]["b c"]': "string", "$.t": "integer"}
-    got = {(r["path"], r["kind"]) for r in jsonops.diff_json(pairs, 4).collect()}
+    got = {(r["path"], r["kind"]) for r in jsonops.diff_json(pairs).collect()}
     assert got == {('$.a[1]["b c"]', "change"), ("$.a[2]", "add"), ("$.t", "change"), ("$.n", "add")}
     assert pairs.select(jsonops.get_path(F.col("a"), '$.a[1]["b c"]')).first()[0] == '"x"'
 

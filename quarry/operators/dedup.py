@@ -18,6 +18,8 @@ from quarry.plans.lineage import cut, lookup
 
 #: Bits of a signature, and members of a list that are compared in one task.
 BITS, BLOCK = 64, 4096
+#: Pairs a signature that may share a key by chance.
+CHANCE = 20
 
 
 def exact_dedup(rows: DataFrame, key: Column | str | None = None) -> DataFrame:
@@ -35,16 +37,18 @@ def exact_dedup(rows: DataFrame, key: Column | str | None = None) -> DataFrame:
 def slices(n: int, most: int) -> tuple[int, int]:
     """(parts, kept): parts that a signature is cut into, and how many of them a key holds; signatures that differ in at most `most` bits agree on parts - most.
 
-    More parts make longer keys, and more of them. The choice costs least for n signatures: its postings, and the pairs that
-    share a key by chance. Whatever it is, every pair within `most` bits shares a key. (1, 0) is one key for all.
+    More parts make longer keys, and more of them. Among the choices that let at most CHANCE pairs a signature share a key by chance
+    the one with fewest keys is taken; where none does, the one that costs least in postings and such pairs. Whatever it is, every pair within `most` bits shares a key. (1, 0) is one key for all.
     """
-    best = (n * n / 2, 1, 0)
+    found = [((n * n / 2), n / 2, 1, 1, 0)]
     for parts in range(most + 1, min(BITS, most + 10) + 1):
         kept = parts - most
         keys = comb(parts, kept)
         if keys <= 3000:
-            best = min(best, (keys * (20 * n + n * n / 2 / 2 ** (BITS // parts * kept)), parts, kept))
-    return best[1:]
+            pairs = keys * n / 2 / 2 ** (BITS // parts * kept)
+            found.append((n * (20 * keys + pairs), pairs, keys, parts, kept))
+    few = [f for f in found if f[1] <= CHANCE]
+    return min(few, key=lambda f: f[2])[3:] if few else min(found)[3:]
 
 
 def keys_of(sig: Column, parts: int, kept: int) -> Column:
@@ -128,13 +132,13 @@ def default_mode(dominant: str) -> str:
 def pick_keepers(rows: DataFrame, clusters: DataFrame, keep: str = "first") -> DataFrame:
     """(row_id, cluster, keeper): the first, last, longest or shortest row (by row text) of each cluster is kept, the earliest of equals.
 
-    The keeper is an aggregate, so a large cluster is not brought together.
+    The keeper is an aggregate and comes back by a lookup, so a large cluster is not brought together.
     """
     size = utf16_length(row_text())
     by = {"first": F.negative("row_id"), "last": F.col("row_id"), "longest": F.col("size"), "shortest": F.negative("size")}[keep]
-    sized = clusters.join(rows.select("row_id", size.alias("size")), "row_id")
+    sized = cut(clusters.join(rows.select("row_id", size.alias("size")), "row_id"), "sized")
     best = sized.groupBy("cluster").agg(F.max(F.struct(by.alias("by"), F.negative("row_id").alias("r"))).alias("b")).select("cluster", F.negative("b.r").alias("kept"))
-    return sized.join(best, "cluster").select("row_id", "cluster", (F.col("row_id") == F.col("kept")).alias("keeper"))
+    return lookup(sized, cut(best, "keepers"), "cluster").select("row_id", "cluster", (F.col("row_id") == F.col("kept")).alias("keeper"))
 
 
 def dedup_resolve(rows: DataFrame, clusters: DataFrame, action: str, keep: str = "first") -> DataFrame:

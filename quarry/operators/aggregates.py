@@ -29,7 +29,12 @@ def summarize(values: DataFrame, col: str, by: list[str] | None = None) -> DataF
     read off counts of distinct values: these are sorted in ranges, and running counts go on from range to range, so no task sorts all. No values: zeros.
     """
     by = by or []
-    counts = values.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("x")).agg(F.count("*").alias("c"))
+    return summarize_counts(values.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("x")).agg(F.count("*").alias("c")), by)
+
+
+def summarize_counts(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same from counts of distinct values (columns x and c)."""
+    by = by or []
     steps = running_sum(counts, by, "x", "c")
     at = lambda p: F.min(F.when(F.col("cum") > F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1), F.col("x")))
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -32,27 +32,36 @@ def undo(log: DataFrame, levels: int = 1) -> DataFrame:
 
 
 def state(rows: DataFrame, log: DataFrame, upto: int | None = None) -> DataFrame:
-    """Rows with review, excluded, deleted, tags and dirty as of operation `upto` (all by default).
+    """Rows as of operation `upto` of the log (all by default): review, excluded, deleted, tags, dirty, and raw where rows have it.
 
-    The latest change of a field wins; of a tag, its last entry decides, and tags stand in the order in which they were put on.
+    A row's entries are gathered and replayed in order: the latest change of a field wins, a tag goes behind the others when it is put on a row
+    without it. Where rows have the columns of a rows table, these are made anew from the text.
     """
+    from quarry.functions.features import rows_table
+
     log = log if upto is None else log.where(F.col("seq") <= upto)
-    last = lambda field: F.max(F.when(F.col("field") == field, F.struct("seq", "value"))).alias(field)
-    plain = log.groupBy(F.col("row_id").alias("__id")).agg(*[last(f) for f in ("review", "excluded", "deleted", "raw")])
-    tags = log.where(F.col("field").isin("tag+", "tag-")).groupBy(F.col("row_id").alias("__id"), "value").agg(F.max(F.struct("seq", "field")).alias("l"), F.min("seq").alias("first"))
-    names = tags.groupBy("__id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("l.field") == "tag+", F.struct("first", "value")))), lambda t: t["value"]).alias("__put"),
-        F.collect_list(F.when(F.col("l.field") == "tag-", F.col("value"))).alias("__off"),
-    )
-    out = rows.join(plain.withColumnsRenamed({f: f"__{f}" for f in ("review", "excluded", "deleted", "raw")}), F.col("row_id") == F.col("__id"), "left").drop("__id")
-    out = out.join(names, F.col("row_id") == F.col("__id"), "left").drop("__id")
-    none = F.array().cast("array<string>")
-    out = out.withColumn("review", F.when(F.col("__review").isNotNull(), F.col("__review.value")).otherwise(F.col("review")))
-    for f in ("excluded", "deleted"):
-        out = out.withColumn(f, F.coalesce(F.col(f"__{f}.value").cast("boolean"), F.col(f)))
-    out = out.withColumn("tags", F.array_union(F.array_except("tags", F.coalesce("__off", none)), F.coalesce("__put", none)))
-    out = out.withColumn("dirty", F.col("dirty") | F.col("__raw").isNotNull())
-    return out.drop("__review", "__excluded", "__deleted", "__raw", "__put", "__off")
+    entry = F.struct("seq", "field", "value")
+    kept = log.groupBy(F.col("row_id").alias("__id")).agg(F.array_sort(F.collect_list(entry)).alias("__log"))
+    out = rows.join(kept, F.col("row_id") == F.col("__id"), "left").drop("__id")
+    entries = F.coalesce("__log", F.array().cast("array<struct<seq:bigint,field:string,value:string>>"))
+    of = lambda field: F.filter(entries, lambda e: e["field"] == field)
+    last = lambda field: F.try_element_at(of(field), F.lit(-1))["value"]
+
+    def replayed(tags: Column, e: Column) -> Column:
+        put = F.when(F.array_contains(tags, e["value"]), tags).otherwise(F.concat(tags, F.array(e["value"])))
+        return F.when(e["field"] == "tag+", put).when(e["field"] == "tag-", F.array_remove(tags, e["value"])).otherwise(tags)
+
+    changed = {
+        "review": F.when(F.size(of("review")) > 0, last("review")).otherwise(F.col("review")),
+        "excluded": F.coalesce(last("excluded").cast("boolean"), F.col("excluded")),
+        "deleted": F.coalesce(last("deleted").cast("boolean"), F.col("deleted")),
+        "tags": F.aggregate(entries, F.col("tags"), replayed),
+        "dirty": F.col("dirty") | (F.size(of("raw")) > 0),
+    }
+    if "raw" in rows.columns:
+        changed["raw"] = F.coalesce(last("raw"), F.col("raw"))
+    out = out.withColumns(changed).drop("__log")
+    return rows_table(out) if {"raw", "json", "fmt"} <= set(rows.columns) else out
 
 
 def flag_rejected(rows: DataFrame, flag: str = "excluded") -> DataFrame:
@@ -70,23 +79,25 @@ def approve_clean(rows: DataFrame, *findings: DataFrame) -> DataFrame:
 
 
 def replace_rows(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """The source columns (row_id, raw, dirty) with edits (row_id, raw) applied: valid JSON replaces a row's text; other edits are refused.
+    """The source columns (row_id, raw, dirty) with edits (row_id, raw, and seq where there is an order) applied: valid JSON replaces a row's text; other edits are refused.
 
-    Build the rows table anew from the result.
+    Of several edits of a row the last by seq counts, without seq the greatest text. Build the rows table anew from the result.
     """
     from quarry.functions.json import strict_variant
 
-    good = edits.where(strict_variant(F.col("raw")).isNotNull()).select(F.col("row_id").alias("__id"), F.col("raw").alias("__new"))
+    order = F.col("seq") if "seq" in edits.columns else F.col("raw")
+    good = edits.where(strict_variant(F.col("raw")).isNotNull()).groupBy(F.col("row_id").alias("__id")).agg(F.max_by("raw", order).alias("__new"))
     out = rows.select("row_id", "raw", "dirty").join(good, F.col("row_id") == F.col("__id"), "left")
     return out.select("row_id", F.coalesce("__new", "raw").alias("raw"), (F.col("dirty") | F.col("__new").isNotNull()).alias("dirty"))
 
 
 def add_rows(rows: DataFrame, new: DataFrame) -> DataFrame:
-    """(row_id, raw, dirty) with new texts (column raw) appended under the next ids, dirty."""
+    """(row_id, raw, dirty) with new texts (column raw) appended under the next ids, dirty: in order of their column seq, without one as they arrive."""
     from quarry.plans.lineage import global_rank
 
     last = rows.agg(F.coalesce(F.max("row_id"), F.lit(-1)).alias("last"))
-    placed = global_rank(new.select("raw"), [F.col("raw")], "at").crossJoin(F.broadcast(last))
+    seq = F.col("seq") if "seq" in new.columns else F.monotonically_increasing_id()
+    placed = global_rank(new.select("raw", seq.alias("__seq")), [F.col("__seq"), F.col("raw")], "at").crossJoin(F.broadcast(last))
     return rows.select("row_id", "raw", "dirty").unionByName(placed.select((F.col("last") + 1 + F.col("at")).alias("row_id"), "raw", F.lit(True).alias("dirty")))
 
 

@@ -70,15 +70,25 @@ def save_audit(found: dict[str, DataFrame], rows: DataFrame, path: str) -> None:
 
 
 def guard(rows: DataFrame) -> DataFrame:
-    """(file, live) of a rows table; file is null where it has no such column."""
+    """(file, live, mark) of a rows table; file is null where it has no such column. mark: sum of the hashes of the live rows' ids and texts, so any edit changes it."""
     file = F.col("file") if "file" in rows.columns else F.lit(None).cast("string")
-    return rows.where("not deleted").groupBy(file.alias("file")).agg(F.count("*").alias("live"))
+    mark = F.sum(F.xxhash64("row_id", "raw").cast("decimal(38,0)"))
+    return rows.where("not deleted").groupBy(file.alias("file")).agg(F.count("*").alias("live"), mark.alias("mark"))
+
+
+def audit_status(rows: DataFrame, path: str) -> DataFrame:
+    """(fits, stale) of a saved audit: whether file names and live counts still match, and whether a text, or what is live, has changed since."""
+    old, now = rows.sparkSession.read.parquet(f"{path}/guard"), guard(rows)
+    old = old.select(*[F.col(c).alias(f"__{c}") for c in old.columns])
+    both = now.join(old, F.col("file").eqNullSafe(F.col("__file")), "full_outer")
+    same = lambda c: F.coalesce(F.col(c) == F.col(f"__{c}"), F.lit(False))
+    return both.agg(F.coalesce(F.bool_and(same("live")), F.lit(True)).alias("fits"), F.coalesce(F.bool_or(~(same("live") & same("mark"))), F.lit(False)).alias("stale"))
 
 
 def load_audit(rows: DataFrame, path: str) -> dict[str, DataFrame] | None:
-    """A saved audit if file names and live counts still match, else None."""
+    """A saved audit if file names and live counts still match, else None. With it comes its `status` (fits, stale): texts may have changed."""
     spark = rows.sparkSession
-    old, now = spark.read.parquet(f"{path}/guard"), guard(rows)
-    if old.exceptAll(now).limit(1).count() or now.exceptAll(old).limit(1).count():
+    status = cut(audit_status(rows, path), "status")
+    if not status.first().fits:
         return None
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("profile", "tokens", "lint", "pii", "dups", "summary")}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in ("profile", "tokens", "lint", "pii", "dups", "summary")} | {"status": status}

@@ -996,3 +996,105 @@ def h2_audit_cache(spark, sf_dir):
     audit.save_audit(audit.audit(rows), rows, path)
     same, other = audit.load_audit(rows, path), audit.load_audit(rows.where("row_id > 0"), path)
     return same["summary"].select("total", F.lit(True).alias("fits"), F.lit(other is not None).alias("fits_other"))
+
+
+# --- versions, tags in order, audits that are kept up ------------------------------------------
+
+
+@query("SELECT d.doc_id AS row_id, CASE WHEN l.doc_id IS NULL THEN '' ELSE CASE WHEN toxic = 1 THEN 'b,a' ELSE 'a,b' END || CASE WHEN quality = 1 THEN ',c' ELSE '' END END AS tags FROM documents d LEFT JOIN labels l USING (doc_id)")
+def an2_tags_in_order(spark, sf_dir):
+    """Tags put on, taken off, put on again and toggled twice: they stand in the order in which they were last put on."""
+    rows = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), "quality", "toxic")
+    parts = [annotate.change(rows, 1, "tag+", "a"), annotate.change(rows, 2, "tag+", "b"), annotate.change(rows.where("toxic = 1"), 3, "tag-", "a"), annotate.change(rows, 4, "tag+", "a")]
+    log = parts[0]
+    for part in parts[1:]:
+        log = log.unionByName(part)
+    plain = _plain(spark, sf_dir)
+    for seq, which in ((5, "quality = 1"), (6, "quality = 0"), (7, "quality = 0")):
+        now = annotate.state(plain, log).join(rows.where(which).select("row_id"), "row_id", "left_semi")
+        log = cut(log.unionByName(annotate.toggle_tag(now, seq, "c")), "log")
+    return annotate.state(plain, log).select("row_id", F.array_join("tags", ",").alias("tags"))
+
+
+def _store(spark: SparkSession, sf_dir: str, rows: DataFrame):
+    """A row store of rows with one operation: the texts of toxic documents emptied."""
+    import uuid
+
+    from quarry.operators.versions import RowStore
+
+    store = RowStore.create(rows, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id"))
+    store.apply(annotate.change(toxic, 0, "raw", '{"text":""}'))
+    return store
+
+
+@query(
+    f"WITH v AS (SELECT d.row_id, lang, json AS raw0, CASE WHEN toxic = 1 THEN '{{\"text\":\"\"}}' ELSE json END AS raw1, toxic, quality FROM ({_DOC}) d LEFT JOIN labels l ON l.doc_id = d.row_id) "
+    "SELECT row_id, md5(raw0) AS raw0_md5, md5(CASE WHEN lang = 'de' THEN '{\"de\":1}' ELSE raw1 END) AS raw3_md5, CASE WHEN lang = 'de' THEN 'object' ELSE 'text' END AS fmt3, "
+    "md5(raw1) AS raw_md5, 'text' AS fmt, coalesce(toxic = 1, false) AS dirty, CASE WHEN quality = 0 THEN 'bad' ELSE '' END AS tag FROM v"
+)
+def h1_versions_of_texts(spark, sf_dir):
+    """Texts of the first version, of the third, and after its undo; tags of the second stay."""
+    rows = documents(spark, sf_dir).withColumns({"tags": F.array().cast("array<string>"), "review": F.lit(None).cast("string")})
+    store = _store(spark, sf_dir, rows)
+    low = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("row_id"))
+    store.apply(annotate.change(low, 0, "tag+", "bad"))
+    third = store.apply(annotate.change(rows.where("lang = 'de'"), 0, "raw", '{"de":1}'))
+    before = store.rows(third).select("row_id", F.md5("raw").alias("raw3_md5"), F.col("fmt").alias("fmt3"))
+    store.undo(1)
+    now = store.rows().select("row_id", F.md5("raw").alias("raw_md5"), "fmt", "dirty", F.array_join("tags", ",").alias("tag"))
+    return store.stored(0).select("row_id", F.md5("raw").alias("raw0_md5")).join(cut(before, "before"), "row_id").join(now, "row_id")
+
+
+def _audit_sql(source: str, bad: str) -> str:
+    """SQL of the audit's summary over source (row_id, json) of text rows; `bad` are error rows."""
+    return (
+        f"WITH docs AS ({source}), hits AS ({_hits('json', source)}), "
+        f"t AS (SELECT count(*) AS total, count(*) FILTER ({bad}) AS parse_err, count(*) FILTER ({bad}) AS lint_err_rows, count(*) FILTER ({bad} OR length(json) <= 16) AS lint_rows FROM docs), "
+        "p AS (SELECT count(DISTINCT row_id) AS pii_rows, count(*) AS pii_matches FROM hits), "
+        "u AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS dup_rows, count(*) AS dup_clusters FROM (SELECT count(*) AS n FROM docs GROUP BY json) WHERE n > 1), "
+        "s AS (SELECT *, 'text' AS dominant, (total - parse_err) / total AS dominant_share FROM t, p, u), "
+        "r AS (SELECT *, CAST(floor(100 * (0.40::DOUBLE * dominant_share + 0.15::DOUBLE * (1 - parse_err / total) + 0.15::DOUBLE * (1 - lint_err_rows / total) + 0.15::DOUBLE * (1 - pii_rows / total) + 0.15::DOUBLE * (1 - dup_rows / total)) + 0.5) AS BIGINT) AS score FROM s) "
+        "SELECT *, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'bad' END AS tier FROM r"
+    )
+
+
+_EMPTIED = f"SELECT row_id, CASE WHEN toxic = 1 THEN '{{\"text\":\"\"}}' ELSE json END AS json FROM ({_DOC}) d LEFT JOIN labels l ON l.doc_id = d.row_id"
+
+
+@query(f"SELECT *, true AS fits, true AS stale, (SELECT count(*) FROM labels WHERE toxic = 1) AS counted FROM ({_audit_sql(_EMPTIED, 'false')})")
+def h2_stale_and_refreshed(spark, sf_dir):
+    """An edit that keeps the number of rows makes the audit stale; the refreshed one, which counts only changed rows anew, is that of all rows."""
+    import uuid
+
+    from quarry.operators.upkeep import AuditView
+
+    path, rows = f"{shared_dir(spark)}/view-{uuid.uuid4().hex}", cut(documents(spark, sf_dir), "rows")
+    audit.guard(rows).write.parquet(f"{path}/guard")
+    view = AuditView.create(rows, path)
+    store = _store(spark, sf_dir, rows)
+    now = store.rows()
+    status = audit.audit_status(now, path)
+    view.refresh(now.join(F.broadcast(store.changed(0)), "row_id", "left_semi"), store.version)
+    counted = spark.read.parquet(f"{path}/rows/00000001").agg(F.count("*").alias("counted"))
+    return view.summary().crossJoin(F.broadcast(status)).crossJoin(F.broadcast(counted))
+
+
+_ARRIVED = f"SELECT row_id, json || CASE WHEN row_id % 10 = 3 THEN ' junk' ELSE '' END AS json FROM ({_DOC})"
+
+
+@query(_audit_sql(_ARRIVED, "row_id % 10 = 3"))
+def st3_running_audit(spark, sf_dir):
+    """The audit of a stream that stops and goes on as files arrive: duplicates across batches, the dominant format and the score."""
+    import uuid
+
+    from quarry.operators import upkeep
+    from quarry.streaming.ingest import running_audit, running_counters, stream_read_jsonl
+
+    root = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.concat(F.to_json(F.struct("text")), F.when(F.col("doc_id") % 10 == 3, " junk").otherwise("")).alias("value"))
+    for k in range(3):
+        lines.where(F.pmod("doc_id", F.lit(3)) == k).select("value").write.mode("append").text(f"{root}/in")
+        running_audit(stream_read_jsonl(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return upkeep.summary(running_counters(spark, f"{root}/out"))

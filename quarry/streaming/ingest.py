@@ -52,3 +52,24 @@ def audit_on_arrival(rows: DataFrame, path: str, checkpoint: str) -> StreamingQu
         batch.groupBy("fmt").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/formats/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_audit(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the counters of the audit of all rows that have come in, and write those that a micro-batch changes under path, by its number; runs over what is there and ends.
+
+    The state of the stream is keyed by counter: totals, formats, numbers of tokens and the digest of each text, so duplicates are found across
+    batches and restarts. It holds one number a key, in the checkpoint. A batch that is run again overwrites its own output.
+    """
+    from quarry.operators.upkeep import contributions, counters
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counted = counters(contributions(rows))
+    return counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_counters(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, value, n): the latest value of each counter of running_audit; feed it to upkeep.summary."""
+    written = spark.read.parquet(path)
+    return written.groupBy("kind", "value").agg(F.max_by("n", "batch").alias("n"))

@@ -1098,3 +1098,35 @@ def st3_running_audit(spark, sf_dir):
         lines.where(F.pmod("doc_id", F.lit(3)) == k).select("value").write.mode("append").text(f"{root}/in")
         running_audit(stream_read_jsonl(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return upkeep.summary(running_counters(spark, f"{root}/out"))
+
+
+# --- places of lines and elements ----------------------------------------------------------------
+
+
+@query(
+    "WITH f AS (SELECT *, lpad(CAST(doc_id % 64 AS VARCHAR), 2, '0') AS b, '{\"doc_id\":' || doc_id || ',\"text\":' || CAST(to_json(text) AS VARCHAR) || '}' AS raw FROM documents) "
+    "SELECT row_number() OVER (ORDER BY b, doc_id) - 1 AS row_id, CAST(sum(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY b ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS file_idx, md5(raw) AS raw_md5, b AS bucket FROM f"
+)
+def s1_places(spark, sf_dir):
+    """Numbers of lines across files and within them, blank lines counted in the latter, of the documents in 64 files."""
+    import uuid
+
+    from quarry.sources.files import read_jsonl
+
+    path = f"{shared_dir(spark)}/places-{uuid.uuid4().hex}"
+    bucket = F.lpad((F.col("doc_id") % 64).cast("string"), 2, "0").alias("b")
+    lines = _table(spark, sf_dir, "documents").select("doc_id", bucket, F.concat(F.when(F.col("doc_id") % 5 == 0, "\n").otherwise(""), F.to_json(F.struct("doc_id", "text"))).alias("value"))
+    lines.repartition(64, "b").sortWithinPartitions("b", "doc_id").select("b", "value").write.partitionBy("b").text(path)
+    return read_jsonl(spark, path).select("row_id", "file_idx", F.md5("raw").alias("raw_md5"), F.regexp_extract("folder", "b=([0-9]+)", 1).alias("bucket"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, md5(json) AS raw_md5 FROM ({_DOC})")
+def s8_array_read_back(spark, sf_dir):
+    """The documents, saved as arrays of about a megabyte, and read again."""
+    import uuid
+
+    from quarry.sources.files import read_json, save
+
+    path = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    save(documents(spark, sf_dir), path, "array", part_chars=1 << 20)
+    return read_json(spark, path).select("row_id", F.md5("raw").alias("raw_md5"))

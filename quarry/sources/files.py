@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.features import rows_table
@@ -28,44 +31,85 @@ def _named(df: DataFrame, base: str | None = None) -> DataFrame:
     return df.withColumns({"file": F.regexp_extract(path, r"[^/]*$", 0), "folder": folder})
 
 
-def _lines(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """(__path, file_idx, raw) of the non-blank lines of text files; file_idx counts blank lines. One trailing carriage return is taken off."""
+#: Splits of files, or files, whose offsets are broadcast: one narrow row each.
+OFFSET_ROWS = 1_000_000
+
+
+def _text(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """(__path, __block, __at, raw) of text files: the split of the file, and an id that rises within it. One trailing carriage return is taken off."""
     text = spark.read.options(lineSep="\n", **options).text(paths)
-    text = text.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", r"\r$", "").alias("raw"))
-    ranked = global_rank(text, [F.col("__path"), F.col("__block"), F.col("__at")], "__n")
-    first = ranked.groupBy("__path").agg(F.min("__n").alias("__first"))
-    placed = ranked.join(bounded(first), "__path").withColumn("file_idx", F.col("__n") - F.col("__first"))
-    return placed.where(~_blank(F.col("raw"))).select("__path", "file_idx", "raw")
+    return text.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", r"\r$", "").alias("raw"))
+
+
+def _lines(spark: SparkSession, paths: list[str], **options) -> tuple[DataFrame, DataFrame]:
+    """(__path, file_idx, __nth, raw) of the non-blank lines of text files, and (__path, n): how many each file has. file_idx counts blank lines, __nth does not.
+
+    A first scan counts the lines of each split; the offsets of the splits are a lookup for a second scan, in which a line knows its place
+    in its split. So no text is shuffled or written. A scan that was cut up in another way than the first is an error.
+    """
+    text = _text(spark, paths, **options)
+    full = ~_blank(F.col("raw"))
+    splits = cut(text.groupBy("__path", "__block").agg(F.min("__at").alias("first"), F.count("*").alias("all"), F.count_if(full).alias("full")), "splits")
+    part = F.shiftright("first", 33)
+    in_file, in_task = Window.partitionBy("__path").orderBy("__block"), Window.partitionBy(part).orderBy("first")  # one row a split
+    offsets = splits.select(
+        F.col("__path").alias("p"), F.col("__block").alias("b"), "first", "all",
+        (F.sum("all").over(in_file) - F.col("all")).alias("lines"),
+        (F.sum("full").over(in_file) - F.col("full")).alias("before"),
+        (F.shiftleft(part, 33) + F.sum("full").over(in_task) - F.col("full")).alias("first_full"),
+    )
+    rows = text.where(full).withColumn("__full", F.monotonically_increasing_id())
+    rows = rows.join(bounded(cut(offsets, "offsets"), OFFSET_ROWS), (F.col("__path") == F.col("p")) & (F.col("__block") == F.col("b")), "left")
+    at = F.col("__at") - F.col("first")
+    checked = F.when((at >= 0) & (at < F.col("all")), F.col("lines") + at).otherwise(F.raise_error(F.lit("the files were cut up in another way, or changed, between two scans")).cast("long"))
+    placed = rows.select("__path", checked.alias("file_idx"), (F.col("before") + F.col("__full") - F.col("first_full")).alias("__nth"), "raw")
+    return placed, splits.groupBy("__path").agg(F.sum("full").alias("n"))
 
 
-def _numbered(df: DataFrame, base: str | None = None) -> DataFrame:
-    """Rows table of (__path, file_idx, raw) with row_id in order of path and place."""
-    ranked = global_rank(df.select("__path", "file_idx", "raw"), [F.col("__path"), F.col("file_idx")], "row_id")
-    return rows_table(_named(ranked, base).drop("__path"))
+def _numbered(placed: DataFrame, counts: DataFrame, base: str | None = None) -> DataFrame:
+    """Rows table of (__path, file_idx, __nth, raw) with row_id in order of path and place: the offset of the path, from the rows of each (__path, n), and the place in it."""
+    sums = cut(counts.select("__path", F.col("n").alias("rows")), "files")
+    offsets = running_sum(sums, [], "__path", "rows").select(F.col("__path").alias("p"), (F.col("cum") - F.col("rows")).alias("__offset"))
+    rows = placed.join(bounded(cut(offsets, "offsets"), OFFSET_ROWS), F.col("__path") == F.col("p"))
+    rows = rows.select("__path", "file_idx", (F.col("__offset") + F.col("__nth")).alias("row_id"), "raw")
+    return rows_table(_named(rows, base).drop("__path"))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows table of JSONL files. Lines that are no JSON stay as error rows; blank ones are skipped but counted in file_idx."""
-    return _numbered(_lines(spark, [path] if isinstance(path, str) else path))
+    return _numbered(*_lines(spark, [path] if isinstance(path, str) else path))
 
 
 def _documents(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    whole = spark.read.options(wholetext=True, **options).text(paths)
+    whole = spark.read.options(**options).text(paths, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("__path"), F.col("value").alias("text"), strict_variant(F.col("value")).alias("d"))
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """(__path, file_idx, raw) of whole JSON documents (__path, text, d): one row an element of an array, one for anything else."""
+    """(__path, file_idx, __nth, raw) of whole JSON documents (__path, text, d): one row an element of an array, one for anything else."""
     arrays = docs.where(F.try_variant_get("d", "$", "array<variant>").isNotNull())
     rows = arrays.select("__path", F.posexplode(F.try_variant_get("d", "$", "array<variant>")).alias("file_idx", "e"))
     rows = rows.select("__path", F.col("file_idx").cast("long").alias("file_idx"), F.to_json("e").alias("raw"))
     single = docs.where(F.try_variant_get("d", "$", "array<variant>").isNull())
-    return rows.unionByName(single.select("__path", F.lit(0).cast("long").alias("file_idx"), F.col("text").alias("raw")))
+    return rows.unionByName(single.select("__path", F.lit(0).cast("long").alias("file_idx"), F.col("text").alias("raw"))).withColumn("__nth", F.col("file_idx"))
+
+
+def _split_lines(texts: DataFrame) -> DataFrame:
+    """(__path, file_idx, __nth, raw) of the non-blank lines of texts (__path, text)."""
+    lines = F.transform(F.split("text", r"\r?\n"), lambda x, i: F.struct(i.cast("long").alias("file_idx"), x.alias("raw")))
+    full = texts.select("__path", F.posexplode(F.filter(lines, lambda x: ~_blank(x["raw"]))).alias("nth", "x"))
+    return full.select("__path", "x.file_idx", F.col("nth").cast("long").alias("__nth"), "x.raw")
+
+
+def _counts(placed: DataFrame) -> DataFrame:
+    """(__path, n) of placed rows."""
+    return placed.groupBy("__path").agg(F.count("*").alias("n"))
 
 
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows table of whole JSON documents: the elements of an array, else one row. A document is one task; elements come back with sorted keys."""
-    return _numbered(_exploded(_documents(spark, [path] if isinstance(path, str) else path)))
+    docs = _exploded(_documents(spark, [path] if isinstance(path, str) else path))
+    return _numbered(docs, _counts(docs))
 
 
 def read_auto(spark: SparkSession, path: str) -> DataFrame:
@@ -77,20 +121,20 @@ def read_auto(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=_GLOB).load(path).select("path", "length")
     large = [r[0] for r in found.where((F.col("length") > LINE_MODE_BYTES) & F.lower("path").endswith(".jsonl")).select("path").collect()]
     small = [r[0] for r in found.where(~((F.col("length") > LINE_MODE_BYTES) & F.lower("path").endswith(".jsonl"))).select("path").collect()]
-    parts = []
+    parts: list[tuple[DataFrame, DataFrame]] = []
     if small:
         docs = cut(_documents(spark, small).withColumn("whole", F.col("d").isNotNull() & (F.lower("__path").endswith(".json") | (json_type(F.col("d")) != "string"))).drop("d"), "files")
-        parts.append(_exploded(docs.where("whole").withColumn("d", strict_variant(F.col("text")))))
-        lines = docs.where("not whole").select("__path", F.posexplode(F.split("text", r"\r?\n")).alias("file_idx", "raw"))
-        parts.append(lines.where(~_blank(F.col("raw"))).select("__path", F.col("file_idx").cast("long").alias("file_idx"), "raw"))
+        for placed in (_exploded(docs.where("whole").withColumn("d", strict_variant(F.col("text")))), _split_lines(docs.where("not whole"))):
+            parts.append((placed, _counts(placed)))
     if large:
         parts.append(_lines(spark, large))
     if not parts:
-        return _numbered(spark.createDataFrame([], "__path string, file_idx long, raw string"), path)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _numbered(out, path)
+        none = spark.createDataFrame([], "__path string, file_idx long, __nth long, raw string")
+        return _numbered(none, _counts(none), path)
+    placed, counts = parts[0]
+    for p, c in parts[1:]:
+        placed, counts = placed.unionByName(p), counts.unionByName(c)
+    return _numbered(placed, counts, path)
 
 
 read_many = read_auto
@@ -125,8 +169,26 @@ def export(rows: DataFrame, path: str) -> None:
     export_lines(rows).orderBy("row_id").select("value").write.mode("overwrite").text(path)
 
 
-def save(rows: DataFrame, path: str, shape: str = "jsonl") -> None:
-    """Write live rows (excluded ones too): `jsonl`; `array`, a JSON array with null for error rows, one element a line and file part; `single`, the first row."""
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of a partition as the lines of one JSON array. The last value is held back until it is known to be the last."""
+    last = None
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        if values:
+            values[0] = values[0] if last is not None else "[" + values[0]
+            done = ([] if last is None else [last]) + values[:-1]
+            last = values[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([v + "," for v in done], pa.string())], ["value"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last + "]"])], ["value"])
+
+
+def save(rows: DataFrame, path: str, shape: str = "jsonl", part_chars: int | None = None) -> None:
+    """Write live rows (excluded ones too): `jsonl`; `array`, a JSON array with null for error rows, one element a line; `single`, the first row.
+
+    An array goes into one file, or into as many as it takes for about part_chars (PART_CHARS) characters each. Each is a JSON array of its own, of a
+    range of the rows, and read_json gives the rows of all of them in order.
+    """
     live = rows.where("not deleted")
     if shape == "jsonl":
         lines = live.select("row_id", F.when(F.col("error"), F.col("raw")).otherwise(F.col("json")).alias("value")).orderBy("row_id")
@@ -134,8 +196,9 @@ def save(rows: DataFrame, path: str, shape: str = "jsonl") -> None:
         lines = live.orderBy("row_id").limit(1).select("row_id", F.coalesce("json", "raw").alias("value"))
     else:
         body = live.select("row_id", F.coalesce("json", F.lit("null")).alias("value"))
-        ends = live.agg(F.min("row_id").alias("a"), F.max("row_id").alias("z"))
-        lines = body.join(F.broadcast(ends)).orderBy("row_id").select("row_id", F.concat(F.when(F.col("row_id") == F.col("a"), "[").otherwise(""), "value", F.when(F.col("row_id") == F.col("z"), "]").otherwise(",")).alias("value"))
+        chars = body.agg(F.sum(F.length("value").cast("long"))).first()[0] or 0
+        dealt = body.repartitionByRange(max(1, -(-chars // (part_chars or PART_CHARS))), "row_id")
+        lines = dealt.sortWithinPartitions("row_id").select("value").mapInArrow(_array_lines, "value string")
     lines.select("value").write.mode("overwrite").text(path)
 
 
@@ -185,8 +248,8 @@ def bundle_rows(files: DataFrame) -> DataFrame:
     """Rows table of a bundle's files, each an array, a single document or lines."""
     d = files.select(F.concat_ws("/", "project_id", "folder", "name").alias("__path"), F.col("content").alias("text"), strict_variant(F.col("content")).alias("d"))
     whole = F.col("d").isNotNull() & (F.lower("__path").endswith(".json") | (json_type(F.col("d")) != "string"))
-    lines = d.where(~F.coalesce(whole, F.lit(False))).select("__path", F.posexplode(F.split("text", r"\r?\n")).alias("file_idx", "raw")).where(~_blank(F.col("raw")))
-    return _numbered(_exploded(d.where(whole)).unionByName(lines.select("__path", F.col("file_idx").cast("long").alias("file_idx"), "raw")))
+    placed = _exploded(d.where(whole)).unionByName(_split_lines(d.where(~F.coalesce(whole, F.lit(False)))))
+    return _numbered(placed, _counts(placed))
 
 
 def _part_of(size: str, most: int) -> Column:

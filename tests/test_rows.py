@@ -415,6 +415,47 @@ def test_deep_trees(spark):
     assert found == []
 
 
+def by_md5(ids, seed=1):
+    import hashlib
+
+    return sorted(ids, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
+
+
+@pytest.mark.parametrize("few", [3, 10_000])
+def test_split_members(spark, few, monkeypatch):
+    """The members of parts and samples, by sorting; edges that are found in one round and in several."""
+    monkeypatch.setattr(split, "FEW", few)
+    rows = spark.range(500).select((F.col("id") * 7 - 100).alias("row_id"), (F.col("id") % 11 == 0).alias("deleted"), F.when(F.col("id") < 400, "hot").when(F.col("id") < 498, F.concat(F.lit("k"), (F.col("id") % 9).cast("string"))).alias("key"))
+    live = {r.row_id: r.key for r in rows.where("not deleted").collect()}
+    got = {r.row_id: r.split for r in split.split(rows, (0.7, 0.2, 0.1)).collect()}
+    order, n = by_md5(live), len(live)
+    a, b = int(n * 0.7 // 1.0), int(n * 0.7 // 1.0) + int(n * 0.2 // 1.0)
+    assert got == {i: "train" if k < a else "val" if k < b else "test" for k, i in enumerate(order)}
+    strat = {r.row_id: r.split for r in split.split_stratified(rows, "key").collect()}
+    want = {}
+    for key in set(live.values()):
+        mine = by_md5([i for i, x in live.items() if x == key])
+        a, b = int(len(mine) * 0.8), int(len(mine) * 0.8) + int(len(mine) * 0.1)
+        want |= {i: "train" if k < a else "val" if k < b else "test" for k, i in enumerate(mine)}
+    assert strat == want
+    for size in (0, 1, 77, n, n + 5):
+        assert {r.row_id for r in split.sample(rows, size).collect()} == set(order[:size])
+    none = rows.where("row_id < -1000")
+    assert split.split(none).count() == split.split_stratified(none, "key").count() == split.sample(none, 3).count() == 0
+    assert {r.split for r in split.split(rows, (1.0, 0.0)).collect()} == {"train"}
+
+
+def test_split_does_not_shuffle_rows(spark):
+    import contextlib
+    import io
+
+    rows, out = spark.range(100).select(F.col("id").alias("row_id"), F.lit(False).alias("deleted"), F.lit("x").alias("text")), io.StringIO()
+    with contextlib.redirect_stdout(out):
+        split.split(rows).explain()
+        split.sample(rows, 10).explain()
+    assert "Exchange" not in out.getvalue() and "Join" not in out.getvalue()
+
+
 def test_splits(spark):
     df = spark.range(101).select(F.col("id").alias("row_id"), F.lit(False).alias("deleted"), (F.col("id") % 3).cast("string").alias("k"))
     parts = split.split(df, seed=7)

@@ -64,16 +64,6 @@ def json_type(v: Column) -> Column:
     )
 
 
-def text_of(v: Column) -> Column:
-    """The string of a JSON string, else null."""
-    return F.when(json_type(v) == "string", F.try_variant_get(v, "$", "string"))
-
-
 def top_keys(raw: Column) -> Column:
     """Top-level keys of a JSON object text in order; empty for other text."""
     return F.coalesce(F.array_distinct(F.json_object_keys(raw)), F.array().cast("array<string>"))
-
-
-def unquoted(name: Column) -> Column:
-    """A key as a path step: .name, or ["..."] where it is no plain name."""
-    return F.when(name.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$"), F.concat(F.lit("."), name)).otherwise(F.concat(F.lit('["'), F.regexp_replace(name, r'(["\\])', r"\\$1"), F.lit('"]')))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,10 +15,12 @@ from quarry.functions.json import utf16_length
 from quarry.functions.signature import hamming64, simhash64
 from quarry.operators.aggregates import profile
 from quarry.operators.dedup import keys_of, slices
-from quarry.plans.lineage import cut
+from quarry.plans.lineage import bounded, cut
 
 #: Bytes of an anchor, and sizes of the windows in which anchors are chosen: a text is looked for by the largest that it holds.
 GRAM, WINDOWS = 8, (8, 16, 32, 64)
+#: Different chunks, and bytes of them, up to which a side is taken to every task; long texts of an anchor that one task takes.
+SMALL_TEXTS, SMALL_BYTES, ANCHOR_BLOCK = 20_000, 1 << 21, 1024
 
 
 def exact_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -79,27 +84,85 @@ def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
 
     A short text is looked for under one of its anchors, the one that fewest long texts have, among
     the windows of its own size. Only ids and hashes are joined for that, and texts only for the candidates left.
+    An anchor that over ANCHOR_BLOCK long texts have is dealt into blocks, so its candidates are the work of several tasks.
     """
     used = [r[0] for r in short.select(_window(F.col("size")).alias("w")).distinct().collect()]
     if not used:
         return short.select(F.col("id").alias("s"), F.col("id").alias("l"))
     post = lambda df: df.select("id", "size", F.explode(_anchors(F.col("c"), used)).alias("a")).select("id", "size", "a.window", "a.anchor")
-    there = cut(post(long), "anchors")
-    counts = there.groupBy("window", "anchor").agg(F.count("*").alias("n"))
     mine = cut(post(short).where(F.col("window") == _window(F.col("size"))), "own_anchors")
+    asked = cut(mine.select("window", "anchor").distinct(), "asked")
+    there = cut(post(long).join(bounded(asked), ["window", "anchor"], "left_semi"), "anchors")
+    counts = there.groupBy("window", "anchor").agg(F.count("*").alias("n"))
     rare = mine.join(counts, ["window", "anchor"]).groupBy("id").agg(F.min(F.struct("n", "window", "anchor")).alias("r"), F.count("*").alias("found"))
     # a text is inside only where all of its anchors occur somewhere
     whole = mine.groupBy("id").agg(F.count("*").alias("all"))
-    rare = cut(rare.join(whole, "id").where("found = all").select(F.col("id").alias("s"), "r.window", "r.anchor"), "rare")
-    pairs = rare.join(there.select(F.col("id").alias("l"), "window", "anchor"), ["window", "anchor"]).select("s", "l")
+    parts = F.ceil(F.col("r.n") / ANCHOR_BLOCK).cast("int").alias("parts")
+    rare = cut(rare.join(whole, "id").where("found = all").select(F.col("id").alias("s"), "r.window", "r.anchor", parts), "rare")
+    hot = cut(rare.where("parts > 1").select("window", "anchor", "parts").distinct(), "hot")
+    dealt = there.join(bounded(hot), ["window", "anchor"], "left").select(F.col("id").alias("l"), "window", "anchor", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("block"))
+    asking = rare.select("s", "window", "anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    pairs = asking.join(dealt, ["window", "anchor", "block"]).select("s", "l")
     pairs = pairs.join(short.select(F.col("id").alias("s"), F.col("c").alias("s_text")), "s").join(long.select(F.col("id").alias("l"), F.col("c").alias("l_text")), "l")
     return pairs.where(F.contains("l_text", "s_text")).select("s", "l")
 
 
+def _small(texts: DataFrame) -> list[str] | None:
+    """Distinct texts (a written table) if they are counted to be few and short enough to be taken to every task, else None."""
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return [r[0] for r in texts.select("c").collect()] if n <= SMALL_TEXTS and size <= SMALL_BYTES else None
+
+
+def _related(text: Column, small: list[str], all_of_them: bool) -> Column:
+    """Array of places in `small` of the texts that are inside a text, or that it is inside; only the first found, or all of them.
+
+    Hashes of the text's runs of GRAM bytes are looked up once for all small texts (one run of each); what they point to is compared directly.
+    """
+    data = [t.encode("utf-8", "surrogatepass") for t in small]
+    tiny = [i for i, d in enumerate(data) if len(d) < GRAM]
+    longest = max(map(len, data), default=0)
+
+    @F.arrow_udf("array<int>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        runs = [(i, _hashes(d)) for i, d in enumerate(data) if len(d) >= GRAM]
+        own: dict[int, list[int]] = {}
+        for i, h in runs:
+            own.setdefault(int(h.min()), []).append(i)
+        keys = np.array(sorted(own), np.uint64)
+        every = np.concatenate([h for _, h in runs] or [np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat([i for i, _ in runs], [len(h) for _, h in runs]).astype(np.int64)[order]
+
+        def one(t: str) -> list[int]:
+            d, found = t.encode("utf-8", "surrogatepass"), set()
+            near = list(tiny)
+            if len(d) >= GRAM and len(keys):
+                h = _hashes(d)
+                at = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+                for k in np.unique(h[at]).tolist():
+                    near += own[k]
+                if len(d) <= longest:
+                    near += np.unique(owner[np.searchsorted(every, h[0]) : np.searchsorted(every, h[0], "right")]).tolist()
+            elif len(d) < GRAM:
+                near = range(len(small))
+            for i in near:
+                if small[i] in t or t in small[i]:
+                    found.add(i)
+                    if not all_of_them:
+                        break
+            return sorted(found)
+
+        for texts in batches:
+            yield pa.array([one(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return of(text)
+
+
 def leakage_exact(a: DataFrame, b: DataFrame, min_len: int = 64) -> DataFrame:
     """(row_id) of rows of b with a normalised chunk (8 characters up) that contains, or is inside, a chunk of a (min_len up).
 
-    Both directions go through anchors, at any size: nothing is broadcast and no side is compared with all of the other.
+    A side that is counted to have at most SMALL_TEXTS different chunks of SMALL_BYTES in all is taken to every task and looked for in one
+    scan of the other side. Two larger sides meet through anchors, in both directions. The rows are the same either way.
     """
 
     def texts(rows: DataFrame, name: str) -> DataFrame:
@@ -108,9 +171,17 @@ def leakage_exact(a: DataFrame, b: DataFrame, min_len: int = 64) -> DataFrame:
 
     left = texts(_chunks(a, min_len), "texts_a")
     right = cut(_chunks(b, 8).select("row_id", "c"), "chunks_b")
+    if (small := _small(left)) is not None:
+        return right.where(F.size(_related(F.col("c"), small, False)) > 0).select("row_id").distinct()
     ids = texts(right, "texts_b")
-    hits = _inside(left, ids).select(F.col("l").alias("id")).unionByName(_inside(ids, left).select(F.col("s").alias("id")))
-    return right.select("row_id", F.unhex(F.md5("c")).alias("id")).join(hits.distinct(), "id", "left_semi").select("row_id").distinct()
+    if (small := _small(ids)) is not None:
+        hits = left.select(F.explode(_related(F.col("c"), small, True)).alias("i")).distinct()
+        digests = left.sparkSession.createDataFrame([(i, hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()) for i, t in enumerate(small)], "i int, id binary")
+        hits = hits.join(F.broadcast(digests), "i").select("id")
+    else:
+        hits = _inside(left, ids).select(F.col("l").alias("id")).unionByName(_inside(ids, left).select(F.col("s").alias("id")))
+    named = right.select("row_id", F.unhex(F.md5("c")).alias("id"))
+    return named.join(bounded(cut(hits.distinct(), "hits")), "id", "left_semi").select("row_id").distinct()
 
 
 def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4) -> DataFrame:

@@ -104,6 +104,29 @@ def test_summarize_rule(spark):
     assert aggregates.bucketize(spark.createDataFrame([], "x long"), "x", 4).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(12,2)"])
+def test_percentiles_are_exact(spark, kind, monkeypatch):
+    """Brackets by sketches, down to a handful of values: groups of one value, with a heavy value at a percentile, with NaN, without a name, and one that holds most rows."""
+    monkeypatch.setattr(aggregates, "FEW", 150)
+    monkeypatch.setattr(aggregates, "SKETCH", 16)
+    monkeypatch.setattr(aggregates, "MARGIN", 0.05)
+    rng = __import__("random").Random(5)
+    groups = {"big": [rng.randrange(-(10**6), 10**6) for _ in range(4000)], "one": [3], "same": [4] * 500, "edge": [4] * 250 + list(range(5, 255)), None: [rng.randrange(50) for _ in range(300)]}
+    if kind == "double":
+        groups["nan"] = [1.5, float("inf"), float("-inf")] * 10 + [float("nan")] * 20
+    made = [(g, str(v)) for g, vs in groups.items() for v in vs] + [("big", None), ("nulls", None)]
+    df = spark.createDataFrame(made, "g string, s string").select("g", F.col("s").cast(kind).alias("x"))
+    got = {r["g"]: r for r in aggregates.summarize(df, "x", ["g"]).collect()}
+    assert set(got) == set(groups)
+    plain = lambda v: "nan" if v != v else float(v)
+    for g, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (v != v, v if v == v else 0))
+        want = [vs[min(len(vs) - 1, int(p * len(vs)))] for p in (0.5, 0.9, 0.99)]
+        assert [plain(got[g][c]) for c in ("p50", "p90", "p99", "min", "max", "count")] == [plain(v) for v in (*want, vs[0], vs[-1], len(vs))]
+    every = aggregates.summarize(df.where("g = 'big'"), "x").first()
+    assert all(every[c] == got["big"][c] for c in ("p50", "p90", "p99", "sum", "mean"))
+
+
 def test_score(spark):
     one = spark.range(1)
     got = one.select(aggregates.quality_score(F.lit(1.0), F.lit(0.0), F.lit(0.5), F.lit(0.0), F.lit(1.0)), aggregates.score_tier(F.lit(80)), aggregates.score_tier(F.lit(60)), aggregates.score_tier(F.lit(59))).first()
@@ -396,6 +419,24 @@ def test_leakage(spark):
     assert kinds[0] == "exact"
 
 
+def test_leakage_by_either_strategy(spark, monkeypatch):
+    """A small side on either hand, or anchors: the same rows. Texts of one repeated character share one anchor, whose candidates go to several tasks."""
+    rng = __import__("random").Random(3)
+    line = lambda n: " ".join(rng.choice(("red", "green", "blue", "one", "two")) for _ in range(n))
+    a = [line(rng.randrange(4, 40)) for _ in range(25)] + ["z" * (64 + k) for k in range(15)]
+    b = [line(3) + " " + x + " end" for x in a[:12]] + [x[5:40].strip() for x in a[5:20]] + ["z" * k for k in range(60, 90, 3)] + [line(12) for _ in range(30)]
+    make = lambda ts: features.rows_table(spark.createDataFrame([(i, json.dumps({"text": t})) for i, t in enumerate(ts)], "row_id long, raw string"))
+    want = {i for i, t in enumerate(b) if len(t) >= 8 and any(len(x) >= 64 and (t in x or x in t) for x in a)}
+    assert 0 < len(want) < len(b)
+    monkeypatch.setattr(compare, "ANCHOR_BLOCK", 4)
+    for few, first, second in ((256, a, b), (0, a, b)):
+        monkeypatch.setattr(compare, "SMALL_TEXTS", few)
+        assert {r[0] for r in compare.leakage_exact(make(first), make(second)).collect()} == want
+    monkeypatch.setattr(compare, "SMALL_TEXTS", 30)  # the other side is the small one
+    few = b[:20]
+    assert {r[0] for r in compare.leakage_exact(make(a), make(few)).collect()} == {i for i in want if i < 20}
+
+
 def nested(depth, leaf):
     return '{"a":[' * depth + leaf + "]}" * depth
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.json import minified, strict_variant, top_keys, trimmed, utf16_length
+from quarry.functions.json import minified, strict_variant, top_keys, utf16_length
 from quarry.functions.rowscan import CHAT_FORMATS, scanned
 from quarry.functions.trees import string_leaves
 
@@ -108,7 +108,7 @@ def truncated(text: Column, most: int = 120) -> Column:
 
 
 def norm(text: Column) -> Column:
-    """Lower-cased text with runs of white space as one space, trimmed."""
+    """Lower-cased text with runs of white space as one space, trimmed. Single spaces, most of all white space, are left where they stand."""
     from quarry.functions.json import SPACE
 
-    return trimmed(F.regexp_replace(F.lower(text), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), f"{SPACE}{{2,}}|(?! ){SPACE}", " "))

@@ -32,8 +32,10 @@ def exact_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _chunks(rows: DataFrame, least: int) -> DataFrame:
-    found = rows.where("not deleted").select("row_id", F.explode(row_chunks()).alias("c")).select("row_id", norm(F.col("c")).alias("c"))
-    return found.where(utf16_length(F.col("c")) >= least)
+    chunks = rows.where("not deleted").select("row_id", F.explode(row_chunks()).alias("c"))
+    # inside the array a chunk is normalised once, however often the length looks at it
+    long_ones = F.filter(F.array(norm(F.col("c"))), lambda c: utf16_length(c) >= least)
+    return chunks.select("row_id", F.explode(long_ones).alias("c"))
 
 
 def _hashes(data: bytes) -> np.ndarray:

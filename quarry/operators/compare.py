@@ -14,7 +14,7 @@ from quarry.functions.features import norm, row_chunks, row_text
 from quarry.functions.json import utf16_length
 from quarry.functions.signature import hamming64, simhash64
 from quarry.operators.aggregates import profile
-from quarry.operators.dedup import keys_of, slices
+from quarry.operators.dedup import MIN_UNITS, keys_of, slices
 from quarry.plans.lineage import bounded, cut
 
 #: Bytes of an anchor, and sizes of the windows in which anchors are chosen: a text is looked for by the largest that it holds.
@@ -186,11 +186,11 @@ def leakage_exact(a: DataFrame, b: DataFrame, min_len: int = 64) -> DataFrame:
     return named.join(bounded(cut(hits.distinct(), "hits")), "id", "left_semi").select("row_id").distinct()
 
 
-def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4) -> DataFrame:
-    """(row_id, match_a): for rows of b the first row of a whose signature differs in at most max_hamming bits; texts of 16 units up on both sides."""
+def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4, min_units: int = MIN_UNITS) -> DataFrame:
+    """(row_id, match_a): for rows of b the first row of a whose signature differs in at most max_hamming bits; texts of min_units units up on both sides."""
 
     def signed(rows: DataFrame) -> DataFrame:
-        text = rows.where("not deleted").select("row_id", row_text().alias("t")).where(utf16_length(F.col("t")) >= 16)
+        text = rows.where("not deleted").select("row_id", row_text().alias("t")).where(utf16_length(F.col("t")) >= min_units)
         return cut(text.select("row_id", simhash64(F.col("t")).alias("sig")), "signatures")
 
     x = cut(signed(a).groupBy("sig").agg(F.min("row_id").alias("match_a")), "sigs_a")
@@ -202,10 +202,10 @@ def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4) -> DataFrame:
     return y.join(near, "sig").select("row_id", "match_a")
 
 
-def leakage(a: DataFrame, b: DataFrame, min_len: int = 64, max_hamming: int = 4) -> DataFrame:
+def leakage(a: DataFrame, b: DataFrame, min_len: int = 64, max_hamming: int = 4, min_units: int = MIN_UNITS) -> DataFrame:
     """(row_id, kind, match_a) of leaking rows of b: exact, or else near."""
     exact = cut(leakage_exact(a, b, min_len), "exact")
-    near = leakage_near(a, b, max_hamming).join(exact, "row_id", "left_anti")
+    near = leakage_near(a, b, max_hamming, min_units).join(exact, "row_id", "left_anti")
     return exact.select("row_id", F.lit("exact").alias("kind"), F.lit(None).cast("long").alias("match_a")).unionByName(near.select("row_id", F.lit("near").alias("kind"), "match_a"))
 
 

@@ -18,6 +18,8 @@ from quarry.plans.lineage import cut, lookup
 
 #: Bits of a signature, and members of a list that are compared in one task.
 BITS, BLOCK = 64, 4096
+#: UTF-16 units from which texts have near duplicates.
+MIN_UNITS = 16
 #: Pairs a signature that may share a key by chance.
 CHANCE = 20
 
@@ -99,13 +101,13 @@ def similar_signatures(sigs: DataFrame, most: int) -> DataFrame:
     return lists.where(F.size("members") > 1).select(F.explode(_linked(F.col("members"), most)).alias("e")).select("e.src", "e.dst").distinct()
 
 
-def near_dedup(rows: DataFrame, text: Column | str | None = None, max_hamming: int = 6) -> DataFrame:
-    """(row_id, cluster) of live rows in near-duplicate clusters of two or more: texts of 16 UTF-16 units at least, linked at max_hamming differing signature bits.
+def near_dedup(rows: DataFrame, text: Column | str | None = None, max_hamming: int = 6, min_units: int = MIN_UNITS) -> DataFrame:
+    """(row_id, cluster) of live rows in near-duplicate clusters of two or more: texts of min_units UTF-16 units at least, linked at max_hamming differing signature bits.
 
     Equal signatures are one node of the graph; cluster is the first row.
     """
     text = row_text() if text is None else F.col(text) if isinstance(text, str) else text
-    texts = rows.where("not deleted").select("row_id", text.alias("t")).where(utf16_length(F.col("t")) >= 16)
+    texts = rows.where("not deleted").select("row_id", text.alias("t")).where(utf16_length(F.col("t")) >= min_units)
     signed = cut(texts.select("row_id", simhash64(F.col("t")).alias("sig")), "signatures")
     nodes = signed.groupBy("sig").agg(F.min("row_id").alias("first"), F.count("*").alias("n"))
     nodes = cut(nodes, "nodes")

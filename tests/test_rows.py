@@ -547,3 +547,13 @@ def test_chunks_and_snippet(spark, rows):
     s = spark.range(1).select(features.snippet(F.lit("abcdef"), F.lit(2), F.lit(4), 1).alias("s")).first()["s"]
     assert tuple(s) == ("b", "cd", "e", True, True)
     assert spark.range(1).select(features.truncated(F.lit("x" * 121)), features.norm(F.lit("  A  b "))).first()[1] == "a b"
+
+
+def test_short_texts_are_near_from_a_length_on(spark):
+    """Rows below the usual 16 units have near duplicates where a caller says so; their queries' SQL knows no least length."""
+    make = lambda ts, at: features.rows_table(spark.createDataFrame([(at + 2 * i, json.dumps({"text": t}, separators=(",", ":"))) for i, t in enumerate(ts)], "row_id long, raw string"))
+    a, b = make(["A.", "some longer text"], 0), make(["A.", ""], 1)
+    assert compare.leakage_near(a, b).count() == 0
+    assert [tuple(r) for r in compare.leakage(a, b, min_units=11).collect()] == [(1, "near", 0)]
+    assert dedup.near_dedup(a.unionByName(b), "json", 0).count() == 0
+    assert {tuple(r) for r in dedup.near_dedup(a.unionByName(b), "json", 0, min_units=11).collect()} == {(0, 0), (1, 0)}

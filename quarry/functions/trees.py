@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.rowscan import dumps
+from quarry.functions.rowscan import STEP, dumps, sliced
 
 _PLAIN = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _MISSING = object()
-#: Rows of an Arrow batch that a pass gives back at most.
-BATCH = 10_000
+#: Rows of an Arrow batch that a pass gives back at most, and characters from which it is given back.
+BATCH, BATCH_CHARS = 10_000, 1 << 20
 
 
 class Number(str):
@@ -94,18 +94,20 @@ def string_leaves(text: Column) -> Column:
 
     @F.arrow_udf("array<string>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else strings(loads(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return sliced(texts, lambda ts: [None if t is None else strings(loads(t)) for t in ts], pa.list_(pa.string()))
 
     return of(text)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    size = 0
     for row in rows:
         held.append(row)
-        if len(held) >= BATCH:
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= BATCH or size >= BATCH_CHARS:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
@@ -117,8 +119,8 @@ def _walked(df: DataFrame, columns: list[tuple[str, str, pa.DataType]], walk) ->
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = pa.schema([("row_id", batch.schema.field(0).type), *[(n, t) for n, _, t in columns]])
-            texts = [c.to_pylist() for c in batch.columns]
-            yield from _batches(((row[0], *found) for row in zip(*texts) for found in walk(*row[1:])), schema)
+            slices = ([c.to_pylist() for c in batch.slice(i, STEP).columns] for i in range(0, batch.num_rows, STEP))
+            yield from _batches(((row[0], *found) for texts in slices for row in zip(*texts) for found in walk(*row[1:])), schema)
 
     return df.mapInArrow(of, ", ".join([f"row_id {id_type}", *[f"`{n}` {s}" for n, s, _ in columns]]))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.edits import BORDER
 from quarry.functions.jsontext import alone, bound
+from quarry.functions.rowscan import sliced
 
 #: Name, pattern and replacement, in the order in which redaction applies them.
 PATTERNS: dict[str, tuple[str, str]] = {
@@ -77,7 +78,8 @@ def scan_positions(text: Column, enabled: str | list[str] | None = None) -> Colu
     @F.arrow_udf("array<struct<id:string,start:int,end:int,match:string>>")
     def of(texts: pa.Array) -> pa.Array:
         rules = [(n, _NEEDS[n], re.compile(PATTERNS[n][0], re.ASCII)) for n in names]
-        return pa.array([[] if t is None else [dict(zip(("id", "start", "end", "match"), x)) for x in _find(rules, t)] for t in texts.to_pylist()], kind)
+        found = lambda t: [] if t is None else [dict(zip(("id", "start", "end", "match"), x)) for x in _find(rules, t)]
+        return sliced(texts, lambda ts: [found(t) for t in ts], kind)
 
     # a filter on what it finds would otherwise be pushed below, with a second pass over the texts
     return of.asNondeterministic()(text)

@@ -557,3 +557,19 @@ def test_short_texts_are_near_from_a_length_on(spark):
     assert [tuple(r) for r in compare.leakage(a, b, min_units=11).collect()] == [(1, "near", 0)]
     assert dedup.near_dedup(a.unionByName(b), "json", 0).count() == 0
     assert {tuple(r) for r in dedup.near_dedup(a.unionByName(b), "json", 0, min_units=11).collect()} == {(0, 0), (1, 0)}
+
+
+def test_arrow_passes_hold_few_values_at_a_time():
+    """Python objects of an Arrow pass are those of a slice, and batches that a walk gives back end by characters too."""
+    import pyarrow as pa
+
+    from quarry.functions import rowscan, trees
+
+    seen = []
+    texts = pa.array([None if i % 7 == 0 else str(i) for i in range(1000)])
+    got = rowscan.sliced(texts, lambda ts: seen.append(len(ts)) or [t and t + "!" for t in ts], pa.string())
+    assert got.to_pylist() == [t and t + "!" for t in texts.to_pylist()] and max(seen) == rowscan.STEP and sum(seen) == 1000
+    assert rowscan.sliced(texts[:0], list, pa.string()).to_pylist() == []
+    schema = pa.schema([("row_id", pa.int64()), ("text", pa.string())])
+    batches = list(trees._batches(((i, "x" * 600_000) for i in range(6)), schema))
+    assert [b.num_rows for b in batches] == [2, 2, 2] and [x for b in batches for x in b.column(0).to_pylist()] == list(range(6))

@@ -7,6 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,13 @@ from quarry.operators.graph import connected_components
 from quarry.plans.lineage import cut, lookup
 
 #: Bits of a signature, and members of a list that are compared in one task.
-BITS, BLOCK = 64, 4096
+BITS, BLOCK = 64, 16384
 #: UTF-16 units from which texts have near duplicates.
 MIN_UNITS = 16
 #: Pairs a signature that may share a key by chance.
 CHANCE = 20
+#: Comparisons in a list that take as long as one posting, and those that are made at a time.
+POSTING, CELLS = 1000, 1 << 18
 
 
 def exact_dedup(rows: DataFrame, key: Column | str | None = None) -> DataFrame:
@@ -36,21 +39,31 @@ def exact_dedup(rows: DataFrame, key: Column | str | None = None) -> DataFrame:
     return lookup(keyed, cut(groups.select("k", "cluster"), "groups"), "k").select("row_id", "cluster")
 
 
+def _choices(n: int, most: int) -> list[tuple[float, int, int, int]]:
+    """(pairs a signature that share a key by chance, keys, parts, kept) of the ways to cut n signatures so that every pair within `most` bits shares a key. (1, 0) is one key for all."""
+    found = [(n / 2, 1, 1, 0)]
+    for parts in range(most + 1, min(BITS, most + 10) + 1):
+        kept = parts - most
+        keys = comb(parts, kept)
+        if keys <= 3000:
+            found.append((keys * n / 2 / 2 ** (BITS // parts * kept), keys, parts, kept))
+    return found
+
+
 def slices(n: int, most: int) -> tuple[int, int]:
     """(parts, kept): parts that a signature is cut into, and how many of them a key holds; signatures that differ in at most `most` bits agree on parts - most.
 
     More parts make longer keys, and more of them. Among the choices that let at most CHANCE pairs a signature share a key by chance
-    the one with fewest keys is taken; where none does, the one that costs least in postings and such pairs. Whatever it is, every pair within `most` bits shares a key. (1, 0) is one key for all.
+    the one with fewest keys is taken; where none does, the one that costs least in postings and such pairs.
     """
-    found = [((n * n / 2), n / 2, 1, 1, 0)]
-    for parts in range(most + 1, min(BITS, most + 10) + 1):
-        kept = parts - most
-        keys = comb(parts, kept)
-        if keys <= 3000:
-            pairs = keys * n / 2 / 2 ** (BITS // parts * kept)
-            found.append((n * (20 * keys + pairs), pairs, keys, parts, kept))
-    few = [f for f in found if f[1] <= CHANCE]
-    return min(few, key=lambda f: f[2])[3:] if few else min(found)[3:]
+    found = _choices(n, most)
+    few = [f for f in found if f[0] <= CHANCE]
+    return (min(few, key=lambda f: f[1]) if few else min(found, key=lambda f: n / 2 if f[3] == 0 else 20 * f[1] + f[0]))[2:]
+
+
+def list_slices(n: int, most: int) -> tuple[int, int]:
+    """slices() for lists that are compared in a task and give no pair but those that link: there a posting costs as much as POSTING comparisons, so short keys, and few, cost least."""
+    return min(_choices(n, most), key=lambda f: POSTING * f[1] + f[0])[2:]
 
 
 def keys_of(sig: Column, parts: int, kept: int) -> Column:
@@ -65,24 +78,50 @@ def keys_of(sig: Column, parts: int, kept: int) -> Column:
     return F.array(*out)
 
 
+def _forest(sigs: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (ends, other ends) of distinct signatures within `most` bits that connect all that are connected: a few for each signature, not one for each pair.
+
+    Many signatures are compared with the rest at a time. Where few are near, all near pairs are taken; where many are, what the one with most of them reaches is
+    followed first, and is then compared no more.
+    """
+    left, out = sigs, []
+    while len(left) > 1:
+        rows = max(1, min(len(left), CELLS // len(left)))
+        near = np.bitwise_count(left[:rows, None] ^ left) <= most
+        near[:, :rows] = np.triu(near[:, :rows], 1)
+        each = near.sum(1)
+        if each.sum() <= 4 * rows:
+            i, j = np.nonzero(near)
+            out.append((left[i], left[j]))
+            left = left[rows:]
+            continue
+        at = each.argmax()
+        todo, left = left[at : at + 1], np.delete(left, at)
+        while len(todo) and len(left):
+            rows = max(1, CELLS // len(left))
+            part, todo = todo[:rows], todo[rows:]
+            near = np.bitwise_count(part[:, None] ^ left) <= most
+            hit = near.any(0)
+            if hit.any():
+                out.append((part[near[:, hit].argmax(0)], left[hit]))
+                todo, left = np.concatenate([todo, left[hit]]), left[~hit]
+    return out
+
+
 def _linked(lists: Column, most: int) -> Column:
-    """Edges that connect the members of each list that differ in at most `most` bits: one for each newly reached member, not one for each pair."""
+    """Edges that connect the members of each list that differ in at most `most` bits."""
 
     @F.arrow_udf("array<struct<src:bigint,dst:bigint>>")
     def of(members: pa.Array) -> pa.Array:
-        out = []
-        for sigs in members:
-            left, found = np.unique(np.array(sigs.as_py(), np.int64)).view(np.uint64), []
-            while len(left):
-                todo, left = [left[0]], left[1:]
-                while todo and len(left):
-                    at = todo.pop()
-                    near = np.bitwise_count(left ^ at) <= most
-                    todo.extend(left[near])
-                    found += [{"src": int(at.view(np.int64)), "dst": int(x)} for x in left[near].view(np.int64)]
-                    left = left[~near]
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64())])))
+        flat, ends = members.flatten().to_numpy(), np.cumsum(pc.list_value_length(members).to_numpy())
+        src, dst, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [0]
+        for sigs in np.split(flat, ends[:-1]):
+            found = _forest(np.unique(sigs).view(np.uint64), most)
+            src += [a for a, _ in found]
+            dst += [b for _, b in found]
+            counts.append(sum(len(a) for a, _ in found))
+        edges = pa.StructArray.from_arrays([pa.array(np.concatenate(side).view(np.int64)) for side in (src, dst)], ["src", "dst"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), edges)
 
     return of(lists)
 
@@ -93,7 +132,7 @@ def similar_signatures(sigs: DataFrame, most: int) -> DataFrame:
     Signatures meet under the keys that they share. A list of over BLOCK members is dealt into blocks, and each pair
     of its blocks is compared in a task, so no list is too large and no pair is left out.
     """
-    posted = cut(sigs.select("sig", F.explode(keys_of(F.col("sig"), *slices(sigs.count(), most))).alias("k")).select("sig", "k.key", "k.bits"), "posted")
+    posted = cut(sigs.select("sig", F.explode(keys_of(F.col("sig"), *list_slices(sigs.count(), most))).alias("k")).select("sig", "k.key", "k.bits"), "posted")
     counts = cut(posted.groupBy("key", "bits").agg(F.count("*").alias("n")).where("n > 1").select("key", "bits", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "counts")
     rows = lookup(posted, counts, ["key", "bits"]).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

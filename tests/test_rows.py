@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,6 +406,33 @@ def test_keys_grow_with_the_signatures():
         assert chance(2 * n, 4) < 3 * chance(n, 4) or chance(2 * n, 4) < 40 * n
 
 
+def test_lists_take_few_postings_and_few_edges(monkeypatch):
+    """Postings of a signature do not multiply with the signatures, and a list gives a forest of near pairs, whether few or many of its members are near."""
+    from math import comb
+
+    assert max(comb(*dedup.list_slices(n, 6)) for n in (40_000, 400_000, 2_500_000, 10_000_000)) <= 28
+    monkeypatch.setattr(dedup, "CELLS", 256)
+    rng = np.random.default_rng(3)
+    flipped = lambda base, bits: base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (len(base), bits), dtype=np.uint64), axis=1)
+    far = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    sets = far, flipped(np.repeat(far[:1], 150), 3), np.concatenate([far, flipped(far[:60], 5), flipped(np.repeat(far[:2], 90), 4)]), far[:1], far[:0]
+    for sigs in map(np.unique, sets):
+        pairs = [(a, b) for side in dedup._forest(sigs, 6) for a, b in zip(*side)]
+        assert all(0 < np.bitwise_count(a ^ b) <= 6 for a, b in pairs) and len(pairs) <= 5 * len(sigs)
+        near = np.bitwise_count(sigs[:, None] ^ sigs) <= 6
+        label, linked = np.arange(len(sigs)), np.eye(len(sigs), dtype=bool)
+        for a, b in np.searchsorted(sigs, np.array(pairs, np.uint64).reshape(-1, 2)):
+            linked[a, b] = linked[b, a] = True
+        reach = lambda m: np.array([np.where(m[i], label, len(sigs)).min() for i in range(len(sigs))], int)
+        found = []
+        for m in (near, linked):
+            label = np.arange(len(sigs))
+            while (step := reach(m)).tolist() != label.tolist():
+                label = step
+            found.append(label.tolist())
+        assert found[0] == found[1]
+
+
 def test_leakage(spark):
     words = [f"word{i}" for i in range(40)]
     passage = " ".join(words)

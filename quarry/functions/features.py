@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.json import minified, strict_variant, top_keys, utf16_length
-from quarry.functions.rowscan import CHAT_FORMATS, scanned
+from quarry.functions.rowscan import CHAT_FORMATS, bound_batches, scanned
 from quarry.functions.trees import string_leaves
 
 
@@ -42,7 +42,9 @@ def rows_table(df: DataFrame, raw_col: str = "raw", id_col: str = "row_id") -> D
     """The rows table of JSON texts: v, error, json, turns, fmt, form_issues, char_count, tokens, top_keys, and annotation columns where df has none. Other columns pass through.
 
     Format, turns and what is odd about them come from one Arrow pass (functions.rowscan); the other columns are expressions, and what is not used is not computed.
+    Arrow batches of the session are bound by bytes from here on.
     """
+    bound_batches(df.sparkSession)
     out = df.withColumnsRenamed({raw_col: "raw", id_col: "row_id"}).withColumn("__s", scanned(F.col("raw")))
     out = out.withColumns({"error": F.col("__s.error"), "fmt": F.col("__s.fmt"), "turns": F.col("__s.turns"), "form_issues": F.col("__s.issues")}).drop("__s")
     plain = minified(F.col("raw"))

@@ -601,3 +601,32 @@ def test_arrow_passes_hold_few_values_at_a_time():
     schema = pa.schema([("row_id", pa.int64()), ("text", pa.string())])
     batches = list(trees._batches(((i, "x" * 600_000) for i in range(6)), schema))
     assert [b.num_rows for b in batches] == [2, 2, 2] and [x for b in batches for x in b.column(0).to_pylist()] == list(range(6))
+
+
+def test_arrow_batches_of_rows_tables_end_by_bytes(spark, tmp_path):
+    """A worker holds a few MB of long rows at a time, in a table and in a stream; a bound that the session names stays."""
+    import pyarrow as pa
+
+    from quarry.functions.rowscan import BATCH_BYTES, bound_batches
+    from quarry.streaming.ingest import stream_read_jsonl
+
+    @F.arrow_udf("long")
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    long = F.to_json(F.struct(F.repeat(F.lit("x"), 100_000).alias("text")))
+    own = spark.newSession()
+    rows = features.rows_table(own.range(0, 200, 1, 1).select(F.col("id").alias("row_id"), long.alias("raw")))
+    assert rows.agg(F.max(held("raw"))).first()[0] < 2 * BATCH_BYTES
+    assert rows.where("fmt = 'text' and length(raw) > 100000").count() == 200
+
+    own = spark.newSession()
+    own.range(0, 200, 1, 1).select(long.alias("value")).write.text(f"{tmp_path}/in")
+    streamed = stream_read_jsonl(own, f"{tmp_path}/in").select("fmt", held("raw").alias("n"))
+    streamed.writeStream.option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start(f"{tmp_path}/out", "parquet").awaitTermination()
+    assert tuple(own.read.parquet(f"{tmp_path}/out").agg(F.count_if(F.col("fmt") == "text"), F.max("n") < 2 * BATCH_BYTES).first()) == (200, True)
+
+    own, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    own.conf.set(key, "1m")
+    bound_batches(own)
+    assert own.conf.get(key) == "1m"

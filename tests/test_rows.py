@@ -630,3 +630,21 @@ def test_arrow_batches_of_rows_tables_end_by_bytes(spark, tmp_path):
     own.conf.set(key, "1m")
     bound_batches(own)
     assert own.conf.get(key) == "1m"
+
+
+def test_walks_of_long_rows_get_batches_that_end_by_bytes(spark):
+    """What the audit report's walk over strings gets of a rows table at a time, and that it finds all of them."""
+    import pyarrow as pa
+
+    from quarry.functions.rowscan import BATCH_BYTES
+
+    def walk(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    own = spark.newSession()
+    long = F.to_json(F.struct(F.repeat(F.lit("x"), 100_000).alias("text"), F.lit("a@b.org").alias("by")))
+    rows = features.rows_table(own.range(0, 200, 1, 1).select(F.col("id").alias("row_id"), long.alias("raw")))
+    assert rows.select("row_id", "raw").mapInArrow(walk, "n long").agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    found = pii.redacted_report(pii.pii_fields(rows, jsonops.string_leaf_paths(rows)))
+    assert found.groupBy("field", "id", "len").count().collect() == [("$.by", "email", 7, 200)]

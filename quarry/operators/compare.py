@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,14 @@ from quarry.operators.aggregates import profile
 from quarry.operators.dedup import MIN_UNITS, keys_of, slices
 from quarry.plans.lineage import bounded, cut
 
-#: Bytes of an anchor, and sizes of the windows in which anchors are chosen: a text is looked for by the largest that it holds.
-GRAM, WINDOWS = 8, (8, 16, 32, 64)
-#: Different chunks, and bytes of them, up to which a side is taken to every task; long texts of an anchor that one task takes.
-SMALL_TEXTS, SMALL_BYTES, ANCHOR_BLOCK = 20_000, 1 << 21, 1024
+#: Bytes of the shortest text that is looked for by anchors. Sizes of the windows in which anchors are chosen, with the bytes of an anchor: a text has those of the largest window that it holds.
+GRAM, WINDOWS = 8, ((8, 8), (16, 8), (32, 16), (64, 32), (256, 32))
+#: Different chunks, and bytes of them, up to which a side is taken to every task; long texts of an anchor, and candidates of a text, that one task takes.
+SMALL_TEXTS, SMALL_BYTES, ANCHOR_BLOCK, CANDIDATES = 20_000, 1 << 21, 1024, 10_000
+#: Bits of the filter of short texts' anchors (2 MB), whatever the input; two are set for each. A fuller one lets more through and loses nothing.
+FILTER_BITS = 24
+#: Base of the sums by which a text's parts are compared with shorter texts, and pairs of texts up to which they are broadcast.
+BASE, FEW_PAIRS = 0x9E3779B97F4A7C15, 400_000
 
 
 def exact_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -31,18 +36,34 @@ def exact_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return hit.crossJoin(live.agg(F.count("*").alias("live"))).withColumn("share", F.when(F.col("live") > 0, F.col("overlap") / F.col("live")).otherwise(0.0))
 
 
-def _chunks(rows: DataFrame, least: int) -> DataFrame:
-    chunks = rows.where("not deleted").select("row_id", F.explode(row_chunks()).alias("c"))
-    # inside the array a chunk is normalised once, however often the length looks at it
-    long_ones = F.filter(F.array(norm(F.col("c"))), lambda c: utf16_length(c) >= least)
-    return chunks.select("row_id", F.explode(long_ones).alias("c"))
+def _chunks(least: int) -> Column:
+    """A row's normalised chunks of `least` characters up."""
+    # an array of them is made first, so a chunk is normalised once, however often the length looks at it
+    return F.filter(F.transform(row_chunks(), norm), lambda c: utf16_length(c) >= least)
 
 
-def _hashes(data: bytes) -> np.ndarray:
-    """Hashes of all runs of GRAM bytes."""
-    x = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), GRAM).copy().view(np.uint64).ravel()
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def _signature(min_units: int) -> Column:
+    """Signature of a row's text, null below min_units units."""
+    return F.when(utf16_length(row_text()) >= min_units, simhash64(row_text()))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """(row_id, k, c): the chunks of written rows (row_id, chunks), with their places."""
+    return rows.select("row_id", F.posexplode("chunks").alias("k", "c"))
+
+
+def _digest(text: Column | str) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
+    """Hashes of all runs of `gram` bytes (GRAM, or twice that, and so on)."""
+    mixed = lambda x: (m := (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) ^ (m >> np.uint64(29))
+    h, size = mixed(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), GRAM).copy().view(np.uint64).ravel()), GRAM
+    while size < gram:
+        h = mixed(h[:-size] * np.uint64(0xC2B2AE3D27D4EB4F) + h[size:])
+        size *= 2
+    return h
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -54,65 +75,145 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: step - width], h[width - step :]) if width > step else h
 
 
-def _anchors(text: Column, windows: list[int]) -> Column:
-    """Array of (window, anchor): for each window size that fits, the least GRAM-byte hash of every window of so many bytes of a text. A text inside another has its anchors there too."""
+def _powers(n: int) -> np.ndarray:
+    """1, BASE, BASE ** 2 and so on, modulo 2 ** 64."""
+    out = np.full(n + 1, BASE, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _sums(data: bytes, powers: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... bytes (and one), each times its power; modulo 2 ** 64."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=out[1:])
+    return out
+
+
+def _marked(text: Column) -> Column:
+    """Struct (total, anchors) of a text: its sum, and the least hash of each window of its size class. A text inside another of that class or above has its anchors there too."""
+    kind = pa.struct([("total", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<total:bigint,anchors:array<bigint>>")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        data = [t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+        powers = _powers(max(map(len, data), default=0))
+        for d in data:
+            fits = [(w, gram) for w, gram in WINDOWS if len(d) >= w]
+            own = np.unique(_least(_hashes(d, fits[-1][1]), fits[-1][0] - fits[-1][1] + 1)).view(np.int64).tolist() if fits else []
+            out.append({"total": int(_sums(d, powers)[-1:].view(np.int64)[0]), "anchors": own})
+        return pa.array(out, kind)
+
+    return of(text)
+
+
+def _marks(texts: DataFrame, name: str) -> DataFrame:
+    """(id, row_id, k, size, total, anchors) of the different texts, with a place of each; written."""
+    found = texts.select(_digest("c").alias("id"), "row_id", "k", F.octet_length("c").alias("size"), _marked(F.col("c")).alias("m"))
+    return cut(found.select("id", "row_id", "k", "size", "m.total", "m.anchors").dropDuplicates(["id"]), name)
+
 
-    @F.arrow_udf("array<struct<window:int,anchor:bigint>>")
+def _filter(anchors: DataFrame) -> np.ndarray:
+    """Filter of anchors (column anchor), in words of 64 bits. Spark makes its words; only those reach the driver."""
+    most = (1 << FILTER_BITS) - 1
+    bit = F.explode(F.array(F.col("anchor").bitwiseAND(most), F.shiftright("anchor", FILTER_BITS).bitwiseAND(most)))
+    words = anchors.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("mask")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _filtered(text: Column, bits: np.ndarray, grams: list[int]) -> Column:
+    """Array of the hashes of a text's runs of so many bytes that pass a filter."""
+    most = np.uint64((1 << FILTER_BITS) - 1)
+
+    @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             data, found = t.encode("utf-8", "surrogatepass"), []
-            if len(data) >= GRAM:
-                h = _hashes(data)
-                for w in windows:
-                    if len(data) >= w:
-                        found += [{"window": w, "anchor": a} for a in np.unique(_least(h, w - GRAM + 1)).view(np.int64).tolist()]
+            for gram in grams:
+                if len(data) >= gram:
+                    h = _hashes(data, gram)
+                    set_ = lambda h, bit: h[(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]  # noqa: B023, E731
+                    h = set_(h, h & most)
+                    found += np.unique(set_(h, h >> np.uint64(FILTER_BITS) & most)).view(np.int64).tolist()
             out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("window", pa.int32()), ("anchor", pa.int64())])))
+        return pa.array(out, pa.list_(pa.int64()))
 
     return of(text)
 
 
-def _window(size: Column) -> Column:
-    """The largest window size that a text of so many bytes holds."""
-    out = F.lit(WINDOWS[0])
-    for w in WINDOWS[1:]:
-        out = F.when(size >= w, F.lit(w)).otherwise(out)
-    return out
+def _holds(text: Column, wanted: Column) -> Column:
+    """Array of the ids of the wanted texts (id, size, total) that are inside a text.
 
+    The sums of all its parts of a size are compared at once; one whose sum is right is inside if the MD5 of the part is its id.
+    """
+
+    @F.arrow_udf("array<binary>")
+    def of(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        out, powers = [], _powers(0)
+        for t, each in zip(texts, wanted, strict=True):
+            data, found = t.as_py().encode("utf-8", "surrogatepass"), []
+            if len(powers) <= len(data):
+                powers = _powers(len(data))
+            sums = _sums(data, powers)
+            for x in each.as_py():
+                size, total = x["size"], np.uint64(x["total"] % (1 << 64))
+                if size <= len(data):
+                    at = np.flatnonzero(sums[size:] - sums[: len(sums) - size] == total * powers[: len(sums) - size])
+                    if any(hashlib.md5(data[i : i + size]).digest() == x["id"] for i in at.tolist()):
+                        found.append(x["id"])
+            out.append(found)
+        return pa.array(out, pa.list_(pa.binary()))
+
+    return of(text, wanted)
 
-def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(s, l): ids of texts (id, c, size; distinct, GRAM bytes up) where short's is inside long's.
 
-    A short text is looked for under one of its anchors, the one that fewest long texts have, among
-    the windows of its own size. Only ids and hashes are joined for that, and texts only for the candidates left.
-    An anchor that over ANCHOR_BLOCK long texts have is dealt into blocks, so its candidates are the work of several tasks.
+def _inside(short: DataFrame, long: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s, l): ids of texts (marks; GRAM bytes up) where short's is inside another, long's. texts: those of long, and others.
+
+    A short text is looked for under one of its anchors, the one that fewest long texts have. Long texts post the anchors of the largest window;
+    of the runs of bytes that are anchors of texts below it only those that pass a filter are posted. Only ids and hashes are joined for that. The
+    candidates left go to a long text as sizes, sums and digests, so a text is moved once at most, and not once a candidate.
+    An anchor that over ANCHOR_BLOCK long texts have is dealt into blocks, and so are over CANDIDATES candidates of a text.
     """
-    used = [r[0] for r in short.select(_window(F.col("size")).alias("w")).distinct().collect()]
-    if not used:
-        return short.select(F.col("id").alias("s"), F.col("id").alias("l"))
-    post = lambda df: df.select("id", "size", F.explode(_anchors(F.col("c"), used)).alias("a")).select("id", "size", "a.window", "a.anchor")
-    mine = cut(post(short).where(F.col("window") == _window(F.col("size"))), "own_anchors")
-    asked = cut(mine.select("window", "anchor").distinct(), "asked")
-    there = cut(post(long).join(bounded(asked), ["window", "anchor"], "left_semi"), "anchors")
-    counts = there.groupBy("window", "anchor").agg(F.count("*").alias("n"))
-    rare = mine.join(counts, ["window", "anchor"]).groupBy("id").agg(F.min(F.struct("n", "window", "anchor")).alias("r"), F.count("*").alias("found"))
+    least, edges = WINDOWS[-1][0], [w for w, _ in WINDOWS] + [1 << 62]
+    mine = lambda df: df.select("id", F.size("anchors").alias("all"), F.explode("anchors").alias("anchor"))
+    asked = cut(mine(short).select("anchor").distinct(), "asked")
+    posted = mine(long.where(F.col("size") >= least)).select("id", "anchor").join(bounded(asked), "anchor", "left_semi")
+    below = short.where((F.col("size") >= GRAM) & (F.col("size") < least))
+    used = below.agg(*[F.count_if((F.col("size") >= w) & (F.col("size") < end)) for w, end in zip(edges[:-2], edges[1:-1], strict=True)]).first()
+    if grams := sorted({gram for n, (_, gram) in zip(used, WINDOWS, strict=False) if n}):
+        seen = texts.select(_digest("c").alias("id"), F.explode(_filtered(F.col("c"), _filter(mine(below)), grams)).alias("anchor"))
+        seen = seen.join(bounded(asked), "anchor", "left_semi").join(bounded(long.select("id")), "id", "left_semi").select("id", "anchor")
+        posted = posted.unionByName(seen).distinct()
+    there = cut(posted, "anchors")
+    counts = cut(there.groupBy("anchor").agg(F.count("*").alias("n")), "counts")
     # a text is inside only where all of its anchors occur somewhere
-    whole = mine.groupBy("id").agg(F.count("*").alias("all"))
-    parts = F.ceil(F.col("r.n") / ANCHOR_BLOCK).cast("int").alias("parts")
-    rare = cut(rare.join(whole, "id").where("found = all").select(F.col("id").alias("s"), "r.window", "r.anchor", parts), "rare")
-    hot = cut(rare.where("parts > 1").select("window", "anchor", "parts").distinct(), "hot")
-    dealt = there.join(bounded(hot), ["window", "anchor"], "left").select(F.col("id").alias("l"), "window", "anchor", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("block"))
-    asking = rare.select("s", "window", "anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
-    pairs = asking.join(dealt, ["window", "anchor", "block"]).select("s", "l")
-    pairs = pairs.join(short.select(F.col("id").alias("s"), F.col("c").alias("s_text")), "s").join(long.select(F.col("id").alias("l"), F.col("c").alias("l_text")), "l")
-    return pairs.where(F.contains("l_text", "s_text")).select("s", "l")
+    rare = mine(short).join(bounded(counts), "anchor").groupBy("id", "all").agg(F.min(F.struct("n", "anchor")).alias("r"), F.count("*").alias("found")).where("found = all")
+    rare = cut(rare.select(F.col("id").alias("s"), "r.anchor", F.ceil(F.col("r.n") / ANCHOR_BLOCK).cast("int").alias("parts")), "rare")
+    hot = cut(rare.where("parts > 1").select("anchor", "parts").distinct(), "hot")
+    dealt = there.join(bounded(hot), "anchor", "left").select(F.col("id").alias("l"), "anchor", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("block"))
+    asking = rare.select("s", "anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    sizes = short.select(F.col("id").alias("s"), "size", "total")
+    places = long.select(F.col("id").alias("l"), "row_id", "k", F.col("size").alias("room"))
+    pairs = asking.join(sizes, "s").join(dealt, ["anchor", "block"]).join(places, "l").where("s <> l and size <= room")
+    pairs = cut(pairs.select("s", "size", "total", "l", "row_id", "k"), "pairs")
+    many = cut(pairs.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") > CANDIDATES).select("l", F.ceil(F.col("n") / CANDIDATES).cast("int").alias("parts")), "many")
+    block = F.pmod(F.xxhash64("s"), F.coalesce("parts", F.lit(1)))
+    lists = pairs.join(bounded(many), "l", "left").groupBy("l", "row_id", "k", block.alias("block")).agg(F.collect_list(F.struct(F.col("s").alias("id"), "size", "total")).alias("wanted"))
+    lists = cut(lists, "lists")
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        lists = F.broadcast(lists)
+    return texts.join(lists, ["row_id", "k"]).select("l", F.explode(_holds(F.col("c"), F.col("wanted"))).alias("s"))
 
 
 def _small(texts: DataFrame) -> list[str] | None:
-    """Distinct texts (a written table) if they are counted to be few and short enough to be taken to every task, else None."""
-    n, size = texts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return [r[0] for r in texts.select("c").collect()] if n <= SMALL_TEXTS and size <= SMALL_BYTES else None
+    """Different texts (column c of a written table) if they are counted to be few and short enough to be taken to every task, else None."""
+    sizes = texts.select(_digest("c").alias("id"), F.octet_length("c").alias("size")).distinct()
+    n, size = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return [r[0] for r in texts.select("c").distinct().collect()] if n <= SMALL_TEXTS and size <= SMALL_BYTES else None
 
 
 def _related(text: Column, small: list[str], all_of_them: bool) -> Column:
@@ -167,34 +268,42 @@ def leakage_exact(a: DataFrame, b: DataFrame, min_len: int = 64) -> DataFrame:
     scan of the other side. Two larger sides meet through anchors, in both directions. The rows are the same either way.
     """
 
-    def texts(rows: DataFrame, name: str) -> DataFrame:
-        found = rows.select("c").distinct().select(F.unhex(F.md5("c")).alias("id"), "c", F.octet_length("c").alias("size"))
-        return cut(found, name)
+    read = lambda rows, least, name: cut(rows.where("not deleted").select("row_id", _chunks(least).alias("chunks")), name)
+    return _exact(read(a, min_len, "chunks_a"), read(b, 8, "chunks_b"))
+
 
-    left = texts(_chunks(a, min_len), "texts_a")
-    right = cut(_chunks(b, 8).select("row_id", "c"), "chunks_b")
+def _exact(a: DataFrame, b: DataFrame) -> DataFrame:
+    """leakage_exact() of written rows (row_id, chunks)."""
+    left, right = _texts(a), _texts(b)
     if (small := _small(left)) is not None:
         return right.where(F.size(_related(F.col("c"), small, False)) > 0).select("row_id").distinct()
-    ids = texts(right, "texts_b")
-    if (small := _small(ids)) is not None:
+    if (small := _small(right)) is not None:
         hits = left.select(F.explode(_related(F.col("c"), small, True)).alias("i")).distinct()
         digests = left.sparkSession.createDataFrame([(i, hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()) for i, t in enumerate(small)], "i int, id binary")
-        hits = hits.join(F.broadcast(digests), "i").select("id")
+        hits = cut(hits.join(F.broadcast(digests), "i").select("id"), "hits")
     else:
-        hits = _inside(left, ids).select(F.col("l").alias("id")).unionByName(_inside(ids, left).select(F.col("s").alias("id")))
-    named = right.select("row_id", F.unhex(F.md5("c")).alias("id"))
-    return named.join(bounded(cut(hits.distinct(), "hits")), "id", "left_semi").select("row_id").distinct()
+        mine, theirs = _marks(right, "marks_b"), _marks(left, "marks_a")
+        # what is known to leak is looked for no more
+        known = lambda df, name: cut(mine.join(df, "id", "left_semi").select("id"), name)
+        rest = lambda *seen: cut(reduce(lambda df, hits: df.join(bounded(hits), "id", "left_anti"), seen, mine), "rest")
+        equal = known(theirs, "equal")
+        within = known(_inside(rest(equal), theirs, left).select(F.col("s").alias("id")), "within")
+        around = known(_inside(theirs, rest(equal, within), right).select(F.col("l").alias("id")), "around")
+        hits = equal.unionByName(within).unionByName(around)
+    return right.select("row_id", _digest("c").alias("id")).join(bounded(hits), "id", "left_semi").select("row_id").distinct()
 
 
 def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4, min_units: int = MIN_UNITS) -> DataFrame:
     """(row_id, match_a): for rows of b the first row of a whose signature differs in at most max_hamming bits; texts of min_units units up on both sides."""
 
-    def signed(rows: DataFrame) -> DataFrame:
-        text = rows.where("not deleted").select("row_id", row_text().alias("t")).where(utf16_length(F.col("t")) >= min_units)
-        return cut(text.select("row_id", simhash64(F.col("t")).alias("sig")), "signatures")
+    read = lambda rows: cut(rows.where("not deleted").select("row_id", _signature(min_units).alias("sig")), "signatures")
+    return _near(read(a), read(b), max_hamming)
+
 
-    x = cut(signed(a).groupBy("sig").agg(F.min("row_id").alias("match_a")), "sigs_a")
-    y = signed(b)
+def _near(a: DataFrame, b: DataFrame, max_hamming: int) -> DataFrame:
+    """leakage_near() of written rows (row_id, sig)."""
+    x = cut(a.where("sig is not null").groupBy("sig").agg(F.min("row_id").alias("match_a")), "sigs_a")
+    y = b.where("sig is not null").select("row_id", "sig")
     shape = slices(x.count() + y.count(), max_hamming)
     keyed = lambda df, *cols: df.select(*cols, F.explode(keys_of(F.col("sig"), *shape)).alias("k")).select(*cols, "k.key", "k.bits")
     left = keyed(x, "sig", "match_a").withColumnRenamed("sig", "x")
@@ -203,9 +312,11 @@ def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4, min_units: in
 
 
 def leakage(a: DataFrame, b: DataFrame, min_len: int = 64, max_hamming: int = 4, min_units: int = MIN_UNITS) -> DataFrame:
-    """(row_id, kind, match_a) of leaking rows of b: exact, or else near."""
-    exact = cut(leakage_exact(a, b, min_len), "exact")
-    near = leakage_near(a, b, max_hamming, min_units).join(exact, "row_id", "left_anti")
+    """(row_id, kind, match_a) of leaking rows of b: exact, or else near. Rows are scanned once; what is written of them is their chunks and signatures."""
+    read = lambda rows, least, name: cut(rows.where("not deleted").select("row_id", _signature(min_units).alias("sig"), _chunks(least).alias("chunks")), name)
+    a, b = read(a, min_len, "read_a"), read(b, 8, "read_b")
+    exact = cut(_exact(a, b), "exact")
+    near = _near(a, b, max_hamming).join(exact, "row_id", "left_anti")
     return exact.select("row_id", F.lit("exact").alias("kind"), F.lit(None).cast("long").alias("match_a")).unionByName(near.select("row_id", F.lit("near").alias("kind"), "match_a"))
 
 

@@ -465,6 +465,58 @@ def test_leakage_by_either_strategy(spark, monkeypatch):
     assert {r[0] for r in compare.leakage_exact(make(a), make(few)).collect()} == {i for i in want if i < 20}
 
 
+def test_leakage_of_every_size(spark, monkeypatch):
+    """Texts of every size class inside others, in both directions, with candidates of a text dealt into blocks and joined either way."""
+    rng = __import__("random").Random(11)
+    letters = "abcdefgh éß漢😀"
+    line = lambda n: "".join(rng.choice(letters) for _ in range(n)).strip().ljust(n, "x")
+    sizes = (8, 9, 12, 15, 16, 20, 31, 32, 40, 63, 64, 100, 255, 256, 300, 700)
+    whole = [line(n) + line(1500) for n in sizes] + ["z" * 300, line(500) * 3]
+    cut_out = lambda t, n: t[(at := rng.randrange(len(t) - n)) : at + n]
+    parts = [cut_out(t, n) for t, n in zip(whole, sizes, strict=False)]
+    edited = [p[: len(p) // 2] + "Q" + p[len(p) // 2 + 1 :] for p in parts]
+    a = whole + [p for p in parts[10:]] + [line(70) for _ in range(5)]
+    b = parts + edited + ["z" * n for n in range(100, 120)] + [line(30) + p + line(9) for p in parts] + [whole[0]] * 3 + [whole[-1][:520], whole[-1][700:]]
+    make = lambda ts: features.rows_table(spark.createDataFrame([(i, json.dumps({"text": t})) for i, t in enumerate(ts)], "row_id long, raw string"))
+    normal = lambda t: " ".join(t.lower().split(" ")).strip() if "  " not in t else " ".join(t.lower().split())
+    units = lambda t: len(t.encode("utf-16-le")) // 2
+    x, y = [normal(t) for t in a], [normal(t) for t in b]
+    want = {i for i, t in enumerate(y) if units(t) >= 8 and any(units(u) >= 64 and (t in u or u in t) for u in x)}
+    assert 20 < len(want) < len(b) - 10
+    monkeypatch.setattr(compare, "SMALL_TEXTS", 0)
+    assert {r[0] for r in compare.leakage_exact(make(a), make(b)).collect()} == want
+    for name, n in (("ANCHOR_BLOCK", 2), ("CANDIDATES", 2), ("FEW_PAIRS", 0)):
+        monkeypatch.setattr(compare, name, n)
+    assert {r[0] for r in compare.leakage_exact(make(a), make(b)).collect()} == want
+
+
+def test_leakage_writes_a_text_once(spark, tmp_path, monkeypatch):
+    """What jn4_leakage writes and shuffles stays near the texts' size: neither they nor the runs of their bytes are moved for the candidates."""
+    from pathlib import Path
+
+    import __spark_entry__
+
+    rng = __import__("random").Random(5)
+    line = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=n))
+    texts = [line(6000) for _ in range(600)] + [line(n) for n in (9, 20, 40, 90, 200) for _ in range(12)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(compare, "SMALL_TEXTS", 0)
+    monkeypatch.setattr(compare, "bounded", lambda df: df.hint("merge"))  # tables that are too large to be broadcast
+    monkeypatch.setattr("quarry.plans.lineage.shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sc = spark.sparkContext._jsc.sc()
+        shuffled = lambda: sc.listenerBus().waitUntilEmpty(30_000) or sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+        before = shuffled()
+        __spark_entry__.queries()["jn4_leakage"](spark, str(tmp_path)).collect()
+        moved = shuffled() - before + sum(f.stat().st_size for f in Path(tmp_path, "shared").rglob("*.parquet"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved < 2 * sum(map(len, texts))
+
+
 def nested(depth, leaf):
     return '{"a":[' * depth + leaf + "]}" * depth
 

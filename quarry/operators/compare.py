@@ -18,8 +18,9 @@ from quarry.operators.aggregates import profile
 from quarry.operators.dedup import MIN_UNITS, keys_of, slices
 from quarry.plans.lineage import bounded, cut
 
-#: Bytes of the shortest text that is looked for by anchors. Sizes of the windows in which anchors are chosen, with the bytes of an anchor: a text has those of the largest window that it holds.
-GRAM, WINDOWS = 8, ((8, 8), (16, 8), (32, 16), (64, 32), (256, 32))
+#: Bytes of the shortest text that is looked for by anchors. Bytes of anchors: a text below WINDOW bytes is covered by anchors of the largest size that it holds, a longer one has the
+#: least of the last size in each window.
+GRAM, GRAMS, WINDOW = 8, (8, 16, 32, 64), 256
 #: Different chunks, and bytes of them, up to which a side is taken to every task; long texts of an anchor, and candidates of a text, that one task takes.
 SMALL_TEXTS, SMALL_BYTES, ANCHOR_BLOCK, CANDIDATES = 20_000, 1 << 21, 1024, 10_000
 #: Bits of the filter of short texts' anchors (2 MB), whatever the input; two are set for each. A fuller one lets more through and loses nothing.
@@ -42,9 +43,9 @@ def _chunks(least: int) -> Column:
     return F.filter(F.transform(row_chunks(), norm), lambda c: utf16_length(c) >= least)
 
 
-def _signature(min_units: int) -> Column:
-    """Signature of a row's text, null below min_units units."""
-    return F.when(utf16_length(row_text()) >= min_units, simhash64(row_text()))
+def _signature(text: Column, min_units: int) -> Column:
+    """Signature of a text, null below min_units units."""
+    return F.when(utf16_length(text) >= min_units, simhash64(text))
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -56,14 +57,22 @@ def _digest(text: Column | str) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
-    """Hashes of all runs of `gram` bytes (GRAM, or twice that, and so on)."""
-    mixed = lambda x: (m := (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) ^ (m >> np.uint64(29))
-    h, size = mixed(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), GRAM).copy().view(np.uint64).ravel()), GRAM
-    while size < gram:
-        h = mixed(h[:-size] * np.uint64(0xC2B2AE3D27D4EB4F) + h[size:])
-        size *= 2
-    return h
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    """Hashes of all runs of GRAM bytes."""
+    return _mixed(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), GRAM).copy().view(np.uint64).ravel())
+
+
+def _longer(data: bytes, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes of all runs of so many bytes) for the sizes of GRAMS that a text holds, up to `most`."""
+    for gram in GRAMS:
+        if gram <= min(len(data), most):
+            h = _hashes(data) if gram == GRAM else _mixed(h[: -gram // 2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[gram // 2 :])  # noqa: F821
+            yield gram, h
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -90,7 +99,7 @@ def _sums(data: bytes, powers: np.ndarray) -> np.ndarray:
 
 
 def _marked(text: Column) -> Column:
-    """Struct (total, anchors) of a text: its sum, and the least hash of each window of its size class. A text inside another of that class or above has its anchors there too."""
+    """Struct (total, anchors) of a text: its sum; from WINDOW bytes on the least hash of each window, below that hashes of the runs of bytes that it is cut into. A text inside another has them there too."""
     kind = pa.struct([("total", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
     @F.arrow_udf("struct<total:bigint,anchors:array<bigint>>")
@@ -99,8 +108,11 @@ def _marked(text: Column) -> Column:
         data = [t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
         powers = _powers(max(map(len, data), default=0))
         for d in data:
-            fits = [(w, gram) for w, gram in WINDOWS if len(d) >= w]
-            own = np.unique(_least(_hashes(d, fits[-1][1]), fits[-1][0] - fits[-1][1] + 1)).view(np.int64).tolist() if fits else []
+            h, gram = np.zeros(0, np.uint64), GRAM
+            for gram, h in _longer(d, GRAMS[-1]):  # noqa: B007
+                pass
+            own = _least(h, WINDOW - gram + 1) if len(d) >= WINDOW else np.append(h[::gram], h[-1:])
+            own = np.unique(own).view(np.int64).tolist()
             out.append({"total": int(_sums(d, powers)[-1:].view(np.int64)[0]), "anchors": own})
         return pa.array(out, kind)
 
@@ -124,20 +136,19 @@ def _filter(anchors: DataFrame) -> np.ndarray:
 
 
 def _filtered(text: Column, bits: np.ndarray, grams: list[int]) -> Column:
-    """Array of the hashes of a text's runs of so many bytes that pass a filter."""
+    """Array of the hashes of a text's runs of so many bytes (ascending) that pass a filter."""
     most = np.uint64((1 << FILTER_BITS) - 1)
+    passed = lambda h, bit: h[(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
 
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             data, found = t.encode("utf-8", "surrogatepass"), []
-            for gram in grams:
-                if len(data) >= gram:
-                    h = _hashes(data, gram)
-                    set_ = lambda h, bit: h[(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]  # noqa: B023, E731
-                    h = set_(h, h & most)
-                    found += np.unique(set_(h, h >> np.uint64(FILTER_BITS) & most)).view(np.int64).tolist()
+            for gram, h in _longer(data, grams[-1]):
+                if gram in grams:
+                    h = passed(h, h & most)
+                    found += np.unique(passed(h, h >> np.uint64(FILTER_BITS) & most)).view(np.int64).tolist()
             out.append(found)
         return pa.array(out, pa.list_(pa.int64()))
 
@@ -171,20 +182,19 @@ def _holds(text: Column, wanted: Column) -> Column:
 
 
 def _inside(short: DataFrame, long: DataFrame, texts: DataFrame) -> DataFrame:
-    """(s, l): ids of texts (marks; GRAM bytes up) where short's is inside another, long's. texts: those of long, and others.
+    """(s, l): ids of texts (marks; GRAM bytes up) where short's is inside a longer one, long's. texts: those of long, and others.
 
-    A short text is looked for under one of its anchors, the one that fewest long texts have. Long texts post the anchors of the largest window;
-    of the runs of bytes that are anchors of texts below it only those that pass a filter are posted. Only ids and hashes are joined for that. The
+    A short text is looked for under one of its anchors, the one that fewest long texts have. Long texts post the anchors of their windows;
+    of the runs of bytes that are anchors of texts below WINDOW bytes only those that pass a filter are posted. Only ids and hashes are joined for that. The
     candidates left go to a long text as sizes, sums and digests, so a text is moved once at most, and not once a candidate.
     An anchor that over ANCHOR_BLOCK long texts have is dealt into blocks, and so are over CANDIDATES candidates of a text.
     """
-    least, edges = WINDOWS[-1][0], [w for w, _ in WINDOWS] + [1 << 62]
     mine = lambda df: df.select("id", F.size("anchors").alias("all"), F.explode("anchors").alias("anchor"))
     asked = cut(mine(short).select("anchor").distinct(), "asked")
-    posted = mine(long.where(F.col("size") >= least)).select("id", "anchor").join(bounded(asked), "anchor", "left_semi")
-    below = short.where((F.col("size") >= GRAM) & (F.col("size") < least))
-    used = below.agg(*[F.count_if((F.col("size") >= w) & (F.col("size") < end)) for w, end in zip(edges[:-2], edges[1:-1], strict=True)]).first()
-    if grams := sorted({gram for n, (_, gram) in zip(used, WINDOWS, strict=False) if n}):
+    posted = mine(long.where(F.col("size") >= WINDOW)).select("id", "anchor").join(bounded(asked), "anchor", "left_semi")
+    below = short.where((F.col("size") >= GRAM) & (F.col("size") < WINDOW))
+    gram = F.greatest(*[F.when(F.col("size") >= g, g) for g in GRAMS])
+    if grams := sorted(r[0] for r in below.select(gram).distinct().collect()):
         seen = texts.select(_digest("c").alias("id"), F.explode(_filtered(F.col("c"), _filter(mine(below)), grams)).alias("anchor"))
         seen = seen.join(bounded(asked), "anchor", "left_semi").join(bounded(long.select("id")), "id", "left_semi").select("id", "anchor")
         posted = posted.unionByName(seen).distinct()
@@ -198,7 +208,7 @@ def _inside(short: DataFrame, long: DataFrame, texts: DataFrame) -> DataFrame:
     asking = rare.select("s", "anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
     sizes = short.select(F.col("id").alias("s"), "size", "total")
     places = long.select(F.col("id").alias("l"), "row_id", "k", F.col("size").alias("room"))
-    pairs = asking.join(sizes, "s").join(dealt, ["anchor", "block"]).join(places, "l").where("s <> l and size <= room")
+    pairs = asking.join(sizes, "s").join(dealt, ["anchor", "block"]).join(places, "l").where("size < room")
     pairs = cut(pairs.select("s", "size", "total", "l", "row_id", "k"), "pairs")
     many = cut(pairs.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") > CANDIDATES).select("l", F.ceil(F.col("n") / CANDIDATES).cast("int").alias("parts")), "many")
     block = F.pmod(F.xxhash64("s"), F.coalesce("parts", F.lit(1)))
@@ -296,7 +306,7 @@ def _exact(a: DataFrame, b: DataFrame) -> DataFrame:
 def leakage_near(a: DataFrame, b: DataFrame, max_hamming: int = 4, min_units: int = MIN_UNITS) -> DataFrame:
     """(row_id, match_a): for rows of b the first row of a whose signature differs in at most max_hamming bits; texts of min_units units up on both sides."""
 
-    read = lambda rows: cut(rows.where("not deleted").select("row_id", _signature(min_units).alias("sig")), "signatures")
+    read = lambda rows: cut(rows.where("not deleted").select("row_id", row_text().alias("t")).select("row_id", _signature(F.col("t"), min_units).alias("sig")), "signatures")
     return _near(read(a), read(b), max_hamming)
 
 
@@ -313,7 +323,11 @@ def _near(a: DataFrame, b: DataFrame, max_hamming: int) -> DataFrame:
 
 def leakage(a: DataFrame, b: DataFrame, min_len: int = 64, max_hamming: int = 4, min_units: int = MIN_UNITS) -> DataFrame:
     """(row_id, kind, match_a) of leaking rows of b: exact, or else near. Rows are scanned once; what is written of them is their chunks and signatures."""
-    read = lambda rows, least, name: cut(rows.where("not deleted").select("row_id", _signature(min_units).alias("sig"), _chunks(least).alias("chunks")), name)
+
+    def read(rows: DataFrame, least: int, name: str) -> DataFrame:
+        texts = rows.where("not deleted").select("row_id", row_text().alias("t"), _chunks(least).alias("chunks"))  # a text is made once, for its length and its signature
+        return cut(texts.select("row_id", _signature(F.col("t"), min_units).alias("sig"), "chunks"), name)
+
     a, b = read(a, min_len, "read_a"), read(b, 8, "read_b")
     exact = cut(_exact(a, b), "exact")
     near = _near(a, b, max_hamming).join(exact, "row_id", "left_anti")
